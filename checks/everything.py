@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 import checks.classify_overview  # noqa: F401
+import checks.forecasting  # noqa: F401

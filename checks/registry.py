@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, digits: int = 4, need: str = ""):
+def query(name: str, sql: str | None = None, digits: int = 6, need: str = ""):
     """Register ``fn(inputs) -> DataFrame`` under ``name``.
 
     Doubles are rounded the same way on both sides, because sums of doubles depend on the order

@@ -4,6 +4,49 @@ from __future__ import annotations
 
 import re
 
+
+def tsb_sql(source: str, alpha: str, beta: str) -> str:
+    """TSB forecast per item of ``source`` (item_code, t, n, week_out)."""
+    return f"""
+        SELECT item_code, (z_rest + z_first * power(1 - {alpha}, hits - 1))
+               * (p_rest + power(1 - {beta}, n - 1) / (first_t + 1)) AS forecast
+        FROM (SELECT item_code, max(n) AS n, max(hits) AS hits, min(t) AS first_t, arg_min(week_out, t) AS z_first,
+                     sum(CASE WHEN hit > 1 THEN {alpha} * power(1 - {alpha}, hits - hit) * week_out ELSE 0 END) AS z_rest,
+                     sum(CASE WHEN t >= 1 THEN {beta} * power(1 - {beta}, n - 1 - t) ELSE 0 END) AS p_rest
+              FROM (SELECT item_code, t, n, week_out, row_number() OVER (PARTITION BY item_code ORDER BY t) AS hit,
+                           count(*) OVER (PARTITION BY item_code) AS hits
+                    FROM {source} WHERE week_out > 0) GROUP BY 1)"""
+
+
+def imapa_sql(source: str, windows: tuple[int, ...] = (1, 2, 4)) -> str:
+    """RMSE and forecast per item and aggregation window."""
+    parts = [
+        f"""SELECT item_code, {w} AS w, sqrt(avg(power(prev - b, 2)) FILTER (WHERE k > 0)) AS rmse, arg_max(level, k) / {w} AS forecast
+        FROM (SELECT *, lag(level) OVER (PARTITION BY item_code ORDER BY k) AS prev
+              FROM (SELECT item_code, k, b, power(0.9, k) * sum(CASE WHEN k = 0 THEN b ELSE 0.1 * b / power(0.9, k) END)
+                           OVER (PARTITION BY item_code ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level
+                    FROM (SELECT item_code, CAST(t // {w} AS INTEGER) AS k, sum(week_out) AS b FROM {source}
+                          WHERE t < (n // {w}) * {w} GROUP BY 1, 2)))
+        GROUP BY 1 HAVING count(*) >= 3"""
+        for w in windows
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def holt_sql(source: str, n: int, where: str) -> str:
+    """Holt forecast and trend per item for the grid points chosen by ``where``; n weeks."""
+    return f"""
+        SELECT item_code, i, j,
+               sum(CASE WHEN t = 0 THEN week_out * (w0.f1 - w0.f2) WHEN t = 1 THEN week_out * (w0.f2 + a * (h.f1 + b * h.f2))
+                        ELSE week_out * a * (h.f1 + b * h.f2) END) AS forecast,
+               sum(CASE WHEN t = 0 THEN week_out * (w0.g1 - w0.g2) WHEN t = 1 THEN week_out * (w0.g2 + a * (h.g1 + b * h.g2))
+                        ELSE week_out * a * (h.g1 + b * h.g2) END) AS trend
+        FROM (SELECT *, i / 20.0::DOUBLE AS a, j / 20.0::DOUBLE AS b FROM holtw WHERE {where}) h
+        JOIN (SELECT i, j, f1, f2, g1, g2 FROM holtw WHERE k = {n - 1}) w0 USING (i, j)
+        JOIN {source} d ON d.t = {n - 1} - h.k
+        GROUP BY 1, 2, 3"""
+
+
 CTES = {
     "lines": """
         SELECT 'P' || l_partkey AS item_code, CAST(l_shipdate AS DATE) AS d, l_quantity AS q,
@@ -122,9 +165,81 @@ CTES = {
         FROM (SELECT *, CAST(points AS DOUBLE) / nullif(nonzero, 0) AS adi, (nonzero_std / nonzero_mean) ^ 2 AS cv2 FROM stats)""",
 }
 
+# --- recurrences, written as weighted sums instead of step-by-step loops --------------------
+# n weeks, t = 0 .. n-1. Exponential smoothing weighs the value k weeks back with (1-a)^k, and
+# Holt with a row vector times the k-th power of a 2x2 matrix: (f1, f2) for level + trend and
+# (g1, g2) for the trend alone, on the grid a = i/20, b = j/20.
+CTES["holtw"] = """
+        SELECT i, j, 0 AS k, CAST(1 AS DOUBLE) AS f1, CAST(1 AS DOUBLE) AS f2, CAST(0 AS DOUBLE) AS g1, CAST(1 AS DOUBLE) AS g2
+        FROM (SELECT unnest(generate_series(1, 19)) AS i), (SELECT unnest(generate_series(0, 19)) AS j)
+        UNION ALL
+        SELECT i, j, k + 1, f1 * (1 - i/20.0::DOUBLE) - f2 * (i/20.0::DOUBLE) * (j/20.0::DOUBLE),
+               f1 * (1 - i/20.0::DOUBLE) + f2 * (1 - (i/20.0::DOUBLE) * (j/20.0::DOUBLE)),
+               g1 * (1 - i/20.0::DOUBLE) - g2 * (i/20.0::DOUBLE) * (j/20.0::DOUBLE),
+               g1 * (1 - i/20.0::DOUBLE) + g2 * (1 - (i/20.0::DOUBLE) * (j/20.0::DOUBLE))
+        FROM holtw WHERE k < 356"""
+CTES["tsb"] = tsb_sql("dense", "0.1", "0.1")
+CTES["imapa_all"] = imapa_sql("dense")
+CTES["imapa"] = """
+        SELECT item_code, arg_min(w, (round(rmse, 12), w)) AS imapa_window, arg_min(forecast, (round(rmse, 12), w)) AS forecast
+        FROM imapa_all GROUP BY 1"""
+CTES["season"] = """
+        SELECT s.item_code, c.r, CASE WHEN zero_share <= 0.3 AND r > 0.8114 THEN 'mul' ELSE 'add' END AS season_mode
+        FROM (SELECT item_code, avg(CASE WHEN week_out = 0 THEN 1.0 ELSE 0 END) AS zero_share FROM dense GROUP BY 1) s
+        LEFT JOIN (SELECT item_code, corr(amp, lev) AS r
+              FROM (SELECT item_code, t // 52 AS c, max(week_out) - min(week_out) AS amp, avg(week_out) AS lev
+                    FROM dense WHERE t < (n // 52) * 52 GROUP BY 1, 2)
+              GROUP BY 1 HAVING stddev_pop(amp) > 0 AND stddev_pop(lev) > 0) c USING (item_code)"""
+# Supplier items only: their series as lists, then one recursion step per week.
+CTES["lists"] = """
+        SELECT item_code, list(CAST(week_out AS DOUBLE) ORDER BY t) AS v, CAST(max(n) AS INTEGER) AS n
+        FROM dense WHERE item_code LIKE 'S%' GROUP BY 1"""
+CTES["hwstart"] = """
+        SELECT item_code, v, n, mode, a, b, g, CAST(52 AS INTEGER) AS t, list_sum(v[1:52]) / 52 AS l,
+               (list_sum(v[53:104]) - list_sum(v[1:52])) / (52 * 52) AS tr,
+               CASE WHEN mode = 'add'
+                    THEN list_transform(generate_series(1, 52), lambda x: v[x] - (v[x] + v[x + 52]) / 2)
+                    ELSE list_transform(generate_series(1, 52), lambda x: CASE WHEN v[x] + v[x + 52] > 0 THEN v[x] / ((v[x] + v[x + 52]) / 2) ELSE 1.0 END)
+               END AS s
+        FROM lists, hwgrid"""
+CTES["hw"] = """
+        SELECT item_code, v, n, mode, a, b, g, t, l, tr, s FROM hwstart
+        UNION ALL
+        SELECT item_code, v, n, mode, a, b, g, t + 1, nl, ntr,
+               list_append(s[2:52], CASE WHEN mode = 'add' THEN g * (v[t + 1] - nl) + (1 - g) * s[1]
+                                         WHEN abs(nl) > 1e-10 THEN g * (v[t + 1] / nl) + (1 - g) * s[1] ELSE s[1] END)
+        FROM (SELECT *, b * (nl - l) + (1 - b) * tr AS ntr
+              FROM (SELECT *, a * CASE WHEN mode = 'add' THEN v[t + 1] - s[1] WHEN abs(s[1]) > 1e-10 THEN v[t + 1] / s[1]
+                                       ELSE v[t + 1] END + (1 - a) * (l + tr) AS nl
+                    FROM hw WHERE t < n))"""
+CTES["hwfit"] = """
+        SELECT item_code, mode, a, b, g, greatest(0, CASE WHEN mode = 'add' THEN l + tr + s[1] ELSE (l + tr) * s[1] END) AS forecast,
+               CASE WHEN tr > 0.05 * l THEN 'up' WHEN tr < -0.05 * l THEN 'down' ELSE 'flat' END AS direction
+        FROM hw WHERE t = n"""
+CTES["hwgrid"] = """
+        SELECT mode, a, b, g FROM (VALUES ('add'), ('mul')) m(mode), (VALUES (0.3::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE)) p(a, b, g)"""
+
+CTES["hits"] = """
+        SELECT item_code, t, n, week_out, row_number() OVER (PARTITION BY item_code ORDER BY t) AS hit,
+               count(*) OVER (PARTITION BY item_code) AS hits FROM dense WHERE week_out > 0"""
+CTES["longf"] = """
+        SELECT p.item_code, 'tsb' AS method, coalesce(tsb.forecast, 0) AS forecast, 'intermittent' AS trend, NULL AS imapa_window
+        FROM pattern p LEFT JOIN tsb USING (item_code) WHERE pattern = 'intermittent'
+        UNION ALL
+        SELECT p.item_code, 'imapa', i.forecast, 'lumpy', imapa_window FROM pattern p JOIN imapa i USING (item_code) WHERE pattern = 'lumpy'
+        UNION ALL
+        SELECT p.item_code, 'holt_winters', h.forecast, h.direction, NULL FROM pattern p JOIN season s USING (item_code)
+        JOIN hwfit h ON h.item_code = p.item_code AND h.mode = s.season_mode WHERE pattern IN ('smooth', 'erratic')"""
+for _name in ("hwstart", "hw", "hwfit"):
+    CTES[_name.replace("hw", "hwt")] = re.sub(r"\bhw(start|grid|fit)?\b", r"hwt\1", CTES[_name])
+CTES["hwtgrid"] = """
+        SELECT mode, i / 20.0::DOUBLE AS a, j / 20.0::DOUBLE AS b, k / 20.0::DOUBLE AS g FROM (VALUES ('add'), ('mul')) m(mode),
+        (SELECT unnest(generate_series(1, 3)) AS i), (SELECT unnest(generate_series(1, 3)) AS j), (SELECT unnest(generate_series(1, 3)) AS k)"""
+CTES["hwtune"] = "SELECT * FROM hwtfit"
+
 
 def closure(names: list[str]) -> list[str]:
-    """The named CTEs and all they use, in definition order."""
+    """The named CTEs and all they use, each after the ones it reads."""
     wanted: set[str] = set()
     queue = list(names)
     while queue:
@@ -133,4 +248,16 @@ def closure(names: list[str]) -> list[str]:
             wanted.add(name)
             words = set(re.findall(r"\w+", CTES[name])) - {name}
             queue += [w for w in CTES if w in words]
-    return [name for name in CTES if name in wanted]
+    ordered: list[str] = []
+
+    def place(name: str) -> None:
+        if name not in ordered:
+            for word in CTES:
+                if word in wanted and word != name and re.search(rf"\b{word}\b", CTES[name]):
+                    place(word)
+            ordered.append(name)
+
+    for name in CTES:
+        if name in wanted:
+            place(name)
+    return ordered

@@ -113,12 +113,14 @@ def holt_winters(v: Column, alpha, beta, gamma, mode, m: int = SEASON) -> Column
 def _best(x: np.ndarray, forecasts: np.ndarray):
     """Index and RMSE of the grid point closest to the history; the first point wins ties.
 
-    Scores are compared at nine decimals, so that rounding noise cannot break a tie.
+    The squared error of a constant is variance + (forecast - mean)^2, so the distance to the
+    mean decides. Distances are compared at nine decimals: rounding noise breaks no tie.
     """
-    mean = x.mean(axis=1)[:, None]
-    rmse = np.sqrt(x.var(axis=1)[:, None] + (forecasts - mean) ** 2)
-    index = np.argmin(np.round(rmse, 9), axis=1)
-    return index, rmse[np.arange(len(x)), index]
+    if x.shape[1] < 2:
+        return np.zeros(len(x), dtype=int), np.zeros(len(x))
+    distance = np.abs(forecasts - x.mean(axis=1)[:, None])
+    index = np.argmin(np.round(distance, 9), axis=1)
+    return index, np.sqrt(x.var(axis=1) + distance[np.arange(len(x)), index] ** 2)
 
 
 def _holt_grid(x: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -188,8 +190,6 @@ def grid_search(kind: str, steps: int | None = None, m: int = SEASON):
                 else:
                     forecasts = evaluate(rows, multiplicative[part])
                 index, rmse = _best(rows, forecasts)
-                if rows.shape[1] < 2:
-                    rmse = np.zeros(len(part))
                 for name, values in zip(names, mesh):
                     out[name][part] = values[index]
                 out["rmse"][part] = rmse

@@ -42,13 +42,17 @@ def tune_holt_winters(weekly: DataFrame, steps: int | None = None, season: int =
 
 
 def _best_window(v: Column, mean: Column, var_pop: Column, points: Column, max_window: int) -> Column:
-    """Struct(rmse, window): every window scored alone, the smaller one on ties."""
+    """Struct(distance, window, rmse): every window scored alone, the smaller one on ties.
+
+    As in the grids, the distance of the forecast to the mean decides.
+    """
     scored = []
     for window in S.imapa_windows(max_window):
         fitted = S.imapa_level(v, window)
         forecast = F.coalesce(fitted["forecast"], F.lit(0.0))
-        score = F.round(S.constant_rmse(forecast, mean, var_pop, points), 9)
-        scored.append(F.struct(score.alias("rmse"), F.lit(window).alias("window")))
+        distance = F.when(points >= 2, F.round(F.abs(forecast - mean), 9)).otherwise(F.lit(0.0))
+        rmse = S.constant_rmse(forecast, mean, var_pop, points)
+        scored.append(F.struct(distance.alias("distance"), F.lit(window).alias("window"), rmse.alias("rmse")))
     return F.array_min(F.array(*scored))
 
 

@@ -14,17 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from granary.operators.ingest import forward_fill, lenient_double
 from granary.schema import ITEM, LEDGER_LABELS, MONTH_TO_DATE, OPENING_LABEL, QUANTITIES
 
-_PLACE = (
-    F.col("_metadata.file_path").alias("file"),
-    F.col("_metadata.file_block_start").alias("chunk"),
-    F.monotonically_increasing_id().alias("row_id"),
-)
 _UNICODE = ("utf-8", "utf8", "utf-8-sig")
 
 
+def _place() -> tuple[Column, ...]:
+    return (
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("chunk"),
+        F.monotonically_increasing_id().alias("row_id"),
+    )
+
+
 def infer_width(spark: SparkSession, paths: list[str] | str) -> int:
     """Columns of the widest first line over all files (one pass; give ``width`` to save it)."""
-    lines = spark.read.text(paths).select("value", *_PLACE).filter("chunk = 0")
+    lines = spark.read.text(paths).select("value", *_place()).filter("chunk = 0")
     first = lines.groupBy("file").agg(F.min_by("value", "row_id").alias("line"))
     return first.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
 
@@ -45,7 +48,7 @@ def read_ledger_csv(
     raw = reader.csv(
         paths, header=False, encoding="UTF-8" if encoding in _UNICODE else encoding, pathGlobFilter="*.csv"
     )
-    return raw.select(*_PLACE, F.array(*names).alias("cells"))
+    return raw.select(*_place(), F.array(*names).alias("cells"))
 
 
 @F.pandas_udf("boolean")
@@ -68,7 +71,7 @@ def probe_encoding(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     Lines arrive as raw bytes; only those that are no UTF-8 go to Python. GB2312 is part of GBK
     and a byte order mark is valid UTF-8, so three answers cover the five candidates.
     """
-    lines = spark.read.text(paths).select("value", _PLACE[0])
+    lines = spark.read.text(paths).select("value", _place()[0])
     unicode = F.is_valid_utf8("value")
     checked = lines.select("file", unicode.alias("utf8"), F.when(~unicode, F.col("value").cast("binary")).alias("raw"))
     checked = checked.select("file", "utf8", _is_gbk("raw").alias("gbk"))

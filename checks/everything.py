@@ -2,3 +2,4 @@
 
 import checks.classify_overview  # noqa: F401
 import checks.forecasting  # noqa: F401
+import checks.planning_chain  # noqa: F401

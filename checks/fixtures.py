@@ -131,6 +131,30 @@ class Inputs:
             F.col("l_suppkey"),
         )
 
+    def preferred_suppliers(self) -> DataFrame:
+        """Supplier of three of four parts: the one with the smallest key."""
+        parts = self.table("lineitem").filter("l_partkey % 4 <> 0")
+        picked = parts.groupBy(F.concat(F.lit("P"), "l_partkey").alias("item_code")).agg(F.min("l_suppkey").alias("s"))
+        return picked.select("item_code", F.col("s").cast("string").alias("supplier"))
+
+    def item_transit(self) -> DataFrame:
+        """Own in-transit quantity of every fifth item."""
+        rows = self.summary().filter(item_key() % 5 == 0)
+        return rows.select("item_code", (item_key() % 10).cast("double").alias("in_transit_qty"))
+
+    def supplier_transit(self) -> DataFrame:
+        """In-transit quantity of every third supplier."""
+        rows = self.table("supplier").filter("s_suppkey % 3 = 0")
+        return rows.select(
+            F.col("s_suppkey").cast("string").alias("supplier"),
+            (F.col("s_suppkey") % 7 + 1).cast("double").alias("in_transit_qty"),
+        )
+
+    def stock(self) -> DataFrame:
+        """Part summary with in-transit quantity for every fifth part."""
+        transit = F.when(item_key() % 5 == 0, (item_key() % 40).cast("double")).otherwise(0.0)
+        return self.summary("P").withColumn("in_transit_qty", transit)
+
     def demand(self) -> DataFrame:
         """Demand for two of three parts and for five items nobody supplies."""
         part = self.table("part").filter("p_partkey % 3 <> 0").select(

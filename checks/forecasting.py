@@ -185,12 +185,12 @@ def short_sql(weeks: int) -> str:
     return f"SELECT * FROM ({short_stats(weeks)} {holt} shortf AS ({short_forecasts(weeks)}) {body})"
 
 
-@query("forecast_holt_horizon", short_sql(12), need="dense holtw", digits=4)
+@query("forecast_holt_horizon", short_sql(12), need="dense holtw", digits=7)
 def forecast_holt_horizon(i: Inputs):
     return G.forecast_demand(i.dense_weekly("S", weeks=12)).select(*_SHOWN)
 
 
-@query("forecast_ses_horizon", short_sql(6), need="dense", digits=4)
+@query("forecast_ses_horizon", short_sql(6), need="dense", digits=7)
 def forecast_ses_horizon(i: Inputs):
     return G.forecast_demand(i.dense_weekly("S", weeks=6)).select(*_SHOWN)
 
@@ -217,7 +217,7 @@ TUNED = f"""SELECT * FROM ({short_stats(12)}
     LEFT JOIN ho ON ho.item_code = p.item_code AND (ho.i = 10) = tuned)"""
 
 
-@query("forecast_lifecycle_tuned", TUNED, need="dense holtw master", digits=4)
+@query("forecast_lifecycle_tuned", TUNED, need="dense holtw master", digits=7)
 def forecast_lifecycle_tuned(i: Inputs):
     rows = G.forecast_demand(i.dense_weekly("S", weeks=12), lifecycle=i.master("S"), tuned=tuned(i))
     return rows.select("item_code", "lifecycle", "method", "forecast", "alpha")

@@ -237,6 +237,117 @@ CTES["hwtgrid"] = """
         (SELECT unnest(generate_series(1, 3)) AS i), (SELECT unnest(generate_series(1, 3)) AS j), (SELECT unnest(generate_series(1, 3)) AS k)"""
 CTES["hwtune"] = "SELECT * FROM hwtfit"
 
+# --- planning chain ------------------------------------------------------------------------
+CTES["spread"] = """
+        SELECT item_code, avg(week_out) AS mean_out, coalesce(stddev_samp(week_out), 0) AS std_all,
+               coalesce(stddev_samp(week_out) FILTER (WHERE week_out > 0), 0) AS std_nonzero,
+               arg_max(week_balance, week_key) AS balance
+        FROM weekly GROUP BY 1"""
+
+
+def plan_sql(std: str = "std_all", variable: str = "0", lead: int = 1) -> str:
+    """The inventory plan of fixtures ``classes``, ``given`` and ``master``."""
+    return f"""
+        WITH base AS (
+          SELECT s.*, coalesce(c.combo, 'BX') AS combo, coalesce(g.forecast, s.mean_out) AS forecast, g.method,
+                 m.lifecycle, m.shelf_life_days, m.production_date, {std} AS std_out
+          FROM spread s LEFT JOIN classes c USING (item_code) LEFT JOIN given g USING (item_code) LEFT JOIN master m USING (item_code)),
+        levels AS (
+          SELECT b.*, l.service_level AS class_level, l.policy, l.period,
+                 CASE l.service_level WHEN 0.99 THEN 2.33 WHEN 0.97 THEN 1.88 WHEN 0.95 THEN 1.65 WHEN 0.90 THEN 1.28 ELSE 1.04 END::DOUBLE AS z,
+                 CASE WHEN b.forecast > 0 THEN sqrt(2 * 52 * b.forecast * 100 / 0.2) ELSE 0 END AS eoq
+          FROM base b JOIN (VALUES ('AX', 0.99, 'p', 1), ('AY', 0.97, 'p', 1), ('AZ', 0.95, 'o', NULL), ('BX', 0.97, 'p', 1), ('BY', 0.95, 'p', 2),
+                 ('BZ', 0.90, 'o', NULL), ('CX', 0.95, 'q', NULL), ('CY', 0.90, 'q', NULL), ('CZ', 0.85, 'o', NULL)) l(combo, service_level, policy, period)
+            USING (combo)),
+        safe AS (
+          SELECT *, CASE WHEN shelf_life_days > 0 AND mean_out > 0 THEN least(ss0, mean_out * (shelf_life_days / 7.0::DOUBLE) * 0.8) ELSE ss0 END AS ss1
+          FROM (SELECT *, CASE WHEN {variable} > 0 AND mean_out > 0
+                               THEN z * sqrt({lead} * std_out * std_out + mean_out * mean_out * power({variable}, 2))
+                               ELSE z * std_out * sqrt({lead}) END AS ss0 FROM levels)),
+        rop AS (SELECT *, CASE WHEN policy <> 'o' THEN forecast * {lead} + ss1 END AS rop1 FROM safe),
+        top AS (
+          SELECT *, CASE WHEN shelf_life_days > 0 AND mean_out > 0 THEN least(max0, mean_out * (shelf_life_days / 7.0::DOUBLE) * 0.6) ELSE max0 END AS max1
+          FROM (SELECT *, CASE WHEN policy = 'p' THEN forecast * (period + {lead}) + ss1 ELSE coalesce(rop1, 0) + eoq END AS max0 FROM rop)),
+        cycle AS (
+          SELECT *, CASE WHEN max1 > 0 THEN balance / max1 * 100 ELSE 0 END AS stock_level_pct,
+                 CASE lifecycle WHEN 'launch' THEN greatest(ss1, 2 * mean_out) WHEN 'active' THEN ss1 ELSE 0 END AS safety_stock,
+                 CASE lifecycle WHEN 'launch' THEN 0.99 ELSE class_level END::DOUBLE AS service_level,
+                 CASE lifecycle WHEN 'launch' THEN forecast * {lead} + greatest(ss1, 2 * mean_out) WHEN 'active' THEN rop1 END AS reorder_point,
+                 CASE lifecycle WHEN 'phase_out' THEN balance ELSE max1 END AS max_stock
+          FROM top)
+        SELECT *, CASE WHEN reorder_point IS NOT NULL AND balance <= safety_stock THEN 'shortage_risk'
+                       WHEN reorder_point IS NOT NULL AND balance <= reorder_point THEN 'reorder'
+                       WHEN balance >= max_stock THEN 'overstock' ELSE 'normal' END AS status,
+               (safety_stock + max_stock) / 2 * 0.2 AS holding_cost,
+               CASE WHEN eoq > 0 THEN forecast * 52 / eoq ELSE 0 END * 100 AS ordering_cost
+        FROM cycle"""
+
+
+CTES["plan"] = plan_sql()
+CTES["arrows"] = """
+        SELECT item_code, CASE WHEN a > b * 1.15 THEN '↑' WHEN a < b * 0.85 THEN '↓' ELSE '→' END AS demand_arrow
+        FROM (SELECT item_code, max(week_out) FILTER (WHERE t = n - 1) AS a, max(week_out) FILTER (WHERE t = n - 2) AS b FROM dense GROUP BY 1)"""
+# in transit: an own quantity for every fifth part, a supplier quantity for every third supplier
+CTES["transit"] = """
+        SELECT s.item_code, p.supplier,
+               coalesce(nullif(CASE WHEN k % 5 = 0 THEN CAST(k % 10 AS DOUBLE) END, 0), CASE WHEN sup % 3 = 0 THEN CAST(sup % 7 AS DOUBLE) + 1 END, 0) AS in_transit_qty
+        FROM summary s LEFT JOIN prefer p USING (item_code)"""
+CTES["prefer"] = """
+        SELECT item_code, CAST(sup AS VARCHAR) AS supplier, sup
+        FROM (SELECT 'P' || l_partkey AS item_code, min(l_suppkey) AS sup FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1)"""
+CTES["alerts"] = """
+        WITH base AS (
+          SELECT p.*, t.supplier, t.in_transit_qty, a.demand_arrow, substr(combo, 1, 1) AS abc_class,
+                 CASE WHEN mean_out > 0 THEN (balance + in_transit_qty) / mean_out WHEN balance + in_transit_qty > 0 THEN 1e9 ELSE 0 END AS weeks_left,
+                 CASE WHEN shelf_life_days > 0 AND balance > 0 THEN shelf_life_days - (DATE '2001-11-05' - production_date) END AS days_left
+          FROM plan p JOIN transit t USING (item_code) JOIN arrows a USING (item_code)),
+        dated AS (
+          SELECT *, CASE WHEN mean_out > 0 AND weeks_left > 0 THEN DATE '2001-11-05' + CAST(floor(weeks_left * 7) AS INTEGER) END AS stockout_date,
+                 CASE WHEN mean_out > 0 AND weeks_left > 0 THEN DATE '2001-11-05' + CAST(floor(greatest(0, weeks_left - 1) * 7) AS INTEGER) END AS order_by_date,
+                 CASE WHEN days_left <= 30 THEN 'high' WHEN days_left <= shelf_life_days * 0.3 THEN 'medium' END AS severity
+          FROM base)
+        SELECT item_code, abc_class, combo, lifecycle, supplier, in_transit_qty, weeks_left, stockout_date, order_by_date, demand_arrow, days_left, eoq,
+               balance, safety_stock, reorder_point, 'shortage' AS alert_type, CASE abc_class WHEN 'A' THEN 'urgent' WHEN 'B' THEN 'important' ELSE 'normal' END AS urgency,
+               safety_stock - balance AS quantity, greatest(0, coalesce(reorder_point, 0) - balance - in_transit_qty) AS buy_qty, 'buy' AS action
+        FROM dated WHERE lifecycle IN ('active', 'launch') AND status = 'shortage_risk'
+        UNION ALL
+        SELECT item_code, abc_class, combo, lifecycle, supplier, in_transit_qty, weeks_left, stockout_date, order_by_date, demand_arrow, days_left, eoq,
+               balance, safety_stock, reorder_point, 'reorder', CASE abc_class WHEN 'A' THEN 'this_week' WHEN 'B' THEN 'this_month' ELSE 'this_quarter' END,
+               greatest(0, coalesce(reorder_point, 0) - balance + safety_stock - in_transit_qty),
+               greatest(0, coalesce(reorder_point, 0) - balance + safety_stock - in_transit_qty), 'buy'
+        FROM dated WHERE lifecycle IN ('active', 'launch') AND status = 'reorder'
+        UNION ALL
+        SELECT item_code, abc_class, combo, lifecycle, supplier, in_transit_qty, weeks_left, stockout_date, order_by_date, demand_arrow, days_left, eoq,
+               balance, safety_stock, reorder_point, 'overstock', NULL, balance - max_stock, NULL,
+               CASE abc_class WHEN 'A' THEN 'return_to_supplier' WHEN 'B' THEN 'promote' ELSE 'keep' END
+        FROM dated WHERE lifecycle IN ('active', 'launch') AND status = 'overstock'
+        UNION ALL
+        SELECT item_code, abc_class, combo, lifecycle, supplier, in_transit_qty, weeks_left, stockout_date, NULL, demand_arrow, days_left, eoq,
+               balance, safety_stock, reorder_point, 'clearance', NULL, balance, NULL, 'clear stock, stop buying'
+        FROM dated WHERE lifecycle = 'phase_out' AND balance > 0
+        UNION ALL
+        SELECT item_code, abc_class, combo, lifecycle, supplier, in_transit_qty, weeks_left, stockout_date, order_by_date, demand_arrow, days_left, eoq,
+               balance, safety_stock, reorder_point, 'expiry', severity, days_left, NULL,
+               CASE severity WHEN 'high' THEN 'promote, discount or scrap' ELSE 'use first, adjust plan' END
+        FROM dated WHERE severity IS NOT NULL"""
+
+
+def purchases_sql(formula: str = "full") -> str:
+    net = "CASE WHEN demand_qty IS NULL THEN buy_qty ELSE full_qty END" if formula == "net" else "full_qty"
+    return f"""
+        SELECT *, greatest(needed_qty, 20) AS order_qty,
+               CASE WHEN eoq > 0 AND needed_qty > 0 AND needed_qty < eoq * 0.5 THEN 1 ELSE 0 END + CASE WHEN needed_qty < 20 THEN 1 ELSE 0 END AS warnings,
+               CASE abc_class WHEN 'A' THEN 100 WHEN 'B' THEN 50 ELSE 10 END + CASE alert_type WHEN 'shortage' THEN 200 ELSE 100 END AS priority,
+               DATE '2001-11-05' + CAST(7 * CASE urgency WHEN 'urgent' THEN 0 WHEN 'this_week' THEN 1 WHEN 'this_month' THEN 4
+                 WHEN 'this_quarter' THEN greatest(1, 12 - (dayofyear(DATE '2001-11-05') // 30) % 3) ELSE 1 END AS INTEGER) AS order_date
+        FROM (SELECT *, {net} AS needed_qty
+              FROM (SELECT a.*, d.demand_qty, greatest(0, coalesce(d.demand_qty, a.buy_qty)
+                       + CASE WHEN alert_type = 'shortage' THEN safety_stock ELSE 0 END - balance - in_transit_qty) AS full_qty
+                    FROM alerts a LEFT JOIN demand d USING (item_code) WHERE alert_type IN ('shortage', 'reorder')))"""
+
+
+CTES["purchases"] = purchases_sql()
+
 
 def closure(names: list[str]) -> list[str]:
     """The named CTEs and all they use, each after the ones it reads."""

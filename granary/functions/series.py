@@ -14,6 +14,19 @@ def _lit(value) -> Column:
     return value if isinstance(value, Column) else F.lit(float(value))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    The optimizer may inline a column into a lambda, which then computes it for every element;
+    as the element of a one-element array it is a variable instead.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def _params(alpha, beta) -> Column:
+    return F.struct(_lit(alpha).alias("alpha"), _lit(beta).alias("beta"))
+
+
 def series_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -35,27 +48,28 @@ def holt(v: Column, alpha, beta) -> Column:
 
     Fewer than three points give forecast 0 and direction ``insufficient``.
     """
-    alpha, beta = _lit(alpha), _lit(beta)
-
-    def step(state, x):
-        level = alpha * x + (1 - alpha) * (state["level"] + state["trend"])
-        trend = beta * (level - state["level"]) + (1 - beta) * state["trend"]
-        return F.struct(level.alias("level"), trend.alias("trend"))
-
     start = F.struct(
         F.get(v, F.lit(0)).alias("level"), (F.get(v, F.lit(1)) - F.get(v, F.lit(0))).alias("trend")
     )
-    fitted = F.aggregate(
-        F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
-        start,
-        step,
-        lambda s: F.struct(
-            (s["level"] + s["trend"]).alias("forecast"),
-            direction(s["trend"], s["level"]).alias("direction"),
-        ),
-    )
+
+    def fit(p):
+        def step(state, x):
+            level = p["alpha"] * x + (1 - p["alpha"]) * (state["level"] + state["trend"])
+            trend = p["beta"] * (level - state["level"]) + (1 - p["beta"]) * state["trend"]
+            return F.struct(level.alias("level"), trend.alias("trend"))
+
+        return F.aggregate(
+            F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
+            start,
+            step,
+            lambda s: F.struct(
+                (s["level"] + s["trend"]).alias("forecast"),
+                direction(s["trend"], s["level"]).alias("direction"),
+            ),
+        )
+
     short = F.struct(F.lit(0.0).alias("forecast"), F.lit("insufficient").alias("direction"))
-    return F.when(F.size(v) >= 3, fitted).otherwise(short)
+    return F.when(F.size(v) >= 3, bind(_params(alpha, beta), fit)).otherwise(short)
 
 
 def ses(mean: Column, last: Column, alpha) -> Column:
@@ -66,27 +80,30 @@ def ses(mean: Column, last: Column, alpha) -> Column:
 
 def tsb(v: Column, alpha, beta) -> Column:
     """Teunter-Syntetos-Babai: demand probability times demand size; 0 without demand."""
-    alpha, beta = _lit(alpha), _lit(beta)
     position = F.array_position(F.transform(v, lambda x: x > 0), F.lit(True))
 
-    def step(state, x):
-        hit = F.when(x > 0, 1.0).otherwise(0.0)
-        return F.struct(
-            F.when(x > 0, alpha * x + (1 - alpha) * state["size"]).otherwise(state["size"]).alias("size"),
-            (beta * hit + (1 - beta) * state["chance"]).alias("chance"),
+    def fit(p):
+        def step(state, x):
+            hit = F.when(x > 0, 1.0).otherwise(0.0)
+            size = F.when(x > 0, p["alpha"] * x + (1 - p["alpha"]) * state["size"]).otherwise(state["size"])
+            chance = p["beta"] * hit + (1 - p["beta"]) * state["chance"]
+            return F.struct(size.alias("size"), chance.alias("chance"))
+
+        start = F.struct(
+            F.get(v, (p["position"] - 1).cast("int")).alias("size"),
+            (F.lit(1.0) / p["position"]).alias("chance"),
+        )
+        fitted = F.aggregate(
+            F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
+            start,
+            step,
+            lambda s: s["size"] * s["chance"],
         )
+        return F.when(p["position"] > 0, fitted).otherwise(F.lit(0.0))
 
-    start = F.struct(
-        F.get(v, (position - 1).cast("int")).alias("size"),
-        (F.lit(1.0) / position).alias("chance"),
+    return bind(
+        F.struct(position.alias("position"), _lit(alpha).alias("alpha"), _lit(beta).alias("beta")), fit
     )
-    fitted = F.aggregate(
-        F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
-        start,
-        step,
-        lambda s: s["size"] * s["chance"],
-    )
-    return F.when(position > 0, fitted).otherwise(F.lit(0.0))
 
 
 def imapa_windows(max_window: int = IMAPA_WINDOW) -> list[int]:
@@ -117,17 +134,19 @@ def imapa_level(v: Column, window: int) -> Column:
             (0.1 * x + 0.9 * state["level"]).alias("level"), (state["sse"] + miss * miss).alias("sse")
         )
 
-    fitted = F.aggregate(
-        F.slice(blocks, F.lit(2), F.greatest(blocks_count - 1, F.lit(0))),
-        F.struct(F.get(blocks, F.lit(0)).alias("level"), F.lit(0.0).alias("sse")),
-        step,
-        lambda s: F.struct(
-            F.sqrt(s["sse"] / F.greatest(blocks_count - 1, F.lit(1))).alias("rmse"),
-            F.lit(window).alias("window"),
-            (s["level"] / window).alias("forecast"),
-        ),
-    )
-    return F.when(blocks_count >= 3, fitted)
+    def fit(sums):
+        return F.aggregate(
+            F.slice(sums, F.lit(2), F.greatest(F.size(sums) - 1, F.lit(0))),
+            F.struct(F.get(sums, F.lit(0)).alias("level"), F.lit(0.0).alias("sse")),
+            step,
+            lambda s: F.struct(
+                F.sqrt(s["sse"] / F.greatest(F.size(sums) - 1, F.lit(1))).alias("rmse"),
+                F.lit(window).alias("window"),
+                (s["level"] / window).alias("forecast"),
+            ),
+        )
+
+    return F.when(blocks_count >= 3, bind(blocks, fit))
 
 
 def imapa(v: Column, max_window: int = IMAPA_WINDOW) -> Column:
@@ -155,7 +174,7 @@ def last_step_arrow(last: Column, previous: Column) -> Column:
 
 def mean_absolute_error(v: Column, forecast: Column) -> Column:
     """MAE of one constant forecast over the whole series; 0 below two points."""
-    gap = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.abs(forecast - x))
+    gap = bind(forecast, lambda f: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.abs(f - x)))
     return F.when(F.size(v) >= 2, gap / F.size(v)).otherwise(F.lit(0.0))
 
 
@@ -215,26 +234,37 @@ def season_correlation(v: Column, season: int = SEASON) -> Column:
             (F.array_max(p) - F.array_min(p)).alias("x"), (series_sum(p) / season).alias("y")
         ),
     )
-    mean_x = series_sum(F.transform(pairs, lambda p: p["x"])) / cycles
-    mean_y = series_sum(F.transform(pairs, lambda p: p["y"])) / cycles
-    moments = F.aggregate(
-        F.transform(pairs, lambda p: F.struct((p["x"] - mean_x).alias("x"), (p["y"] - mean_y).alias("y"))),
-        F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"), F.lit(0.0).alias("xy")),
-        lambda s, p: F.struct(
-            (s["xx"] + p["x"] * p["x"]).alias("xx"),
-            (s["yy"] + p["y"] * p["y"]).alias("yy"),
-            (s["xy"] + p["x"] * p["y"]).alias("xy"),
-        ),
-        lambda s: F.when(
-            (s["xx"] > 0) & (s["yy"] > 0), s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"]))
-        ),
-    )
+
+    def correlate(cells):
+        means = F.struct(
+            (series_sum(F.transform(cells, lambda p: p["x"])) / F.size(cells)).alias("x"),
+            (series_sum(F.transform(cells, lambda p: p["y"])) / F.size(cells)).alias("y"),
+        )
+        return bind(
+            means,
+            lambda mean: F.aggregate(
+                cells,
+                F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"), F.lit(0.0).alias("xy")),
+                lambda s, p: F.struct(
+                    (s["xx"] + (p["x"] - mean["x"]) * (p["x"] - mean["x"])).alias("xx"),
+                    (s["yy"] + (p["y"] - mean["y"]) * (p["y"] - mean["y"])).alias("yy"),
+                    (s["xy"] + (p["x"] - mean["x"]) * (p["y"] - mean["y"])).alias("xy"),
+                ),
+                lambda s: F.when(
+                    (s["xx"] > 0) & (s["yy"] > 0), s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"]))
+                ),
+            ),
+        )
+
+    moments = bind(pairs, correlate)
     return F.struct(F.when(cycles >= 3, moments).alias("r"), cycles.alias("cycles"))
 
 
 def seasonal_mode(v: Column, season: int = SEASON) -> Column:
     """``mul`` when amplitude grows with the level (p < .05), else ``add``."""
     zero_share = F.size(F.filter(v, lambda x: x == 0)) / F.size(v)
-    found = season_correlation(v, season)
-    grows = (found["r"] > 0) & (pearson_p(found["r"], found["cycles"]) < 0.05)
+    grows = bind(
+        season_correlation(v, season),
+        lambda found: (found["r"] > 0) & (pearson_p(found["r"], found["cycles"]) < 0.05),
+    )
     return F.when((F.size(v) >= 3 * season) & (zero_share <= 0.3) & grows, "mul").otherwise("add")

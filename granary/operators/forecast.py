@@ -223,27 +223,27 @@ def forecast_demand(
             forecast.alias("forecast"), trend.alias("trend"), F.lit(window).cast("int").alias("imapa_window")
         )
 
-    holt = S.holt(v, F.col("alpha"), F.col("beta"))
-    windowed = S.imapa(v, imapa_window)
     no_trend = F.lit("n/a")
     result = first_match(
         [
             (F.col("method") == "tsb", answer(S.tsb(v, F.col("alpha"), F.col("beta")), F.lit("intermittent"))),
             (
                 F.col("method") == "imapa",
-                F.transform(
-                    F.array(windowed),
+                S.bind(
+                    S.imapa(v, imapa_window),
                     lambda w: F.struct(
                         filled(w["forecast"]).alias("forecast"),
                         F.lit("lumpy").alias("trend"),
                         F.when(w["forecast"] > 0, w["window"]).alias("imapa_window"),
                     ),
-                )[0],
+                ),
             ),
             (is_seasonal, answer(F.col("seasonal_fit.forecast"), F.col("seasonal_fit.direction"))),
             (
                 F.col("method") == "holt",
-                F.transform(F.array(holt), lambda h: answer(h["forecast"], h["direction"]))[0],
+                S.bind(
+                    S.holt(v, F.col("alpha"), F.col("beta")), lambda h: answer(h["forecast"], h["direction"])
+                ),
             ),
             (
                 F.col("method") == "ses",

@@ -10,6 +10,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import BooleanType
 
 from granary.operators.ingest import forward_fill, lenient_double
 from granary.schema import ITEM, LEDGER_LABELS, MONTH_TO_DATE, OPENING_LABEL, QUANTITIES
@@ -51,7 +52,7 @@ def read_ledger_csv(
     return raw.select(*_place(), F.array(*names).alias("cells"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _is_gbk(lines: pd.Series) -> pd.Series:
     def readable(raw) -> bool:
         if raw is None:

@@ -19,8 +19,12 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
-def read_demand(spark: SparkSession, source: str, encoding: str = "gbk") -> DataFrame:
-    """(item_code, demand_qty) from a CSV, a JSON array file, or an inline JSON array."""
+def read_demand(spark: SparkSession, source: str, encoding: str = "gbk", multiline: bool = True) -> DataFrame:
+    """(item_code, demand_qty) from a CSV, a JSON array file, or an inline JSON array.
+
+    A JSON array is one document and read by one task per file; large demand tables should be
+    CSV or JSON lines (``multiline=False``), which split.
+    """
     text = source.strip()
     if text.startswith(("[", "{")):
         rows = spark.range(1).select(F.explode(F.from_json(F.lit(text), _DEMAND_JSON)).alias("entry"))
@@ -29,7 +33,7 @@ def read_demand(spark: SparkSession, source: str, encoding: str = "gbk") -> Data
         # JSON numbers arrive as text: a column that is all numbers is numeric
         return normalize_demand(_numbers(typed))
     if text.endswith(".json"):
-        return normalize_demand(spark.read.json(text, multiLine=True))
+        return normalize_demand(spark.read.json(text, multiLine=multiline))
     if encoding.lower() not in ("utf-8", "utf8"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return normalize_demand(_numbers(spark.read.csv(text, header=True, encoding=encoding)))
@@ -66,6 +70,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def save_by_item(df: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Catalog table bucketed and sorted by item code.
+
+    Every operator groups or joins by item; on such a table these steps need no shuffle, which
+    pays off when one weekly table feeds forecast, plan, alerts and classification.
+    """
+    order = [c for c in ("week_key",) if c in df.columns]
+    writer = df.repartition(buckets, "item_code").write.mode("overwrite").bucketBy(buckets, "item_code")
+    writer = writer.sortBy("item_code", *order)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def finite(df: DataFrame) -> DataFrame:
     """Infinity and NaN as null, for sinks that cannot hold them."""
     limit = F.lit(float("inf"))

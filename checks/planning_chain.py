@@ -411,13 +411,10 @@ def alert_counts(i: Inputs):
 
 
 # --- purchases ----------------------------------------------------------------------
-def purchases(i: Inputs, formula: str = "full") -> DataFrame:
-    the_plan = plan(i)
-    found = J.generate_alerts(
-        the_plan, i.dense_weekly(), AS_OF, 1, i.item_transit(), i.preferred_suppliers(), i.supplier_transit()
-    )
+def purchases(i: Inputs, formula: str = "full", own_plan: bool = False) -> DataFrame:
     demand = i.demand().withColumn("has_demand", F.lit(True))
-    return B.purchase_plan(found, demand, the_plan, scorecard(i), moq=20.0, as_of=AS_OF, formula=formula)
+    other = plan(i) if own_plan else None
+    return B.purchase_plan(alerts(i), demand, other, scorecard(i), moq=20.0, as_of=AS_OF, formula=formula)
 
 
 _BUY = """SELECT item_code, abc_class, alert_type, urgency, R(needed_qty) AS needed_qty, R(order_qty) AS order_qty, order_date,
@@ -437,7 +434,7 @@ def purchase_plan(i: Inputs):
 
 @query("purchase_plan_net", _BUY.format(source="(" + purchases_sql("net") + ")"), need="alerts demand")
 def purchase_plan_net(i: Inputs):
-    return _bought(purchases(i, "net"))
+    return _bought(purchases(i, "net", own_plan=True))
 
 
 @query(

@@ -108,8 +108,8 @@ def generate_alerts(
     """
     items = in_transit_lookup(plan, in_transit, item_supplier, supplier_in_transit)
     if weekly is not None:
-        items = items.join(demand_arrow(weekly), ITEM, "left")
-    else:
+        items = items.drop("demand_arrow").join(demand_arrow(weekly), ITEM, "left")
+    elif "demand_arrow" not in items.columns:
         items = items.withColumn("demand_arrow", F.lit("→"))
     items = expiry_level(stockout_projection(items, as_of, lead_time), as_of)
     abc = F.substring("combo", 1, 1)
@@ -171,6 +171,7 @@ def generate_alerts(
         "safety_stock",
         "reorder_point",
         "max_stock",
+        "eoq",
         "mean_out",
         "in_transit_qty",
         "supplier",

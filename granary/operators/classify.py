@@ -57,6 +57,13 @@ def xyz_classify(
         F.sum("week_out").alias("total_out"),
         F.count("week_out").alias("points"),
     )
+    return xyz_from_stats(stats, x_limit, y_limit)
+
+
+def xyz_from_stats(
+    stats: DataFrame, x_limit: float = XYZ_LIMITS[0], y_limit: float = XYZ_LIMITS[1]
+) -> DataFrame:
+    """The same for rows that have std_out, mean_out and points already, such as forecasts."""
     cv = ratio(F.col("std_out"), F.col("mean_out"), float("inf"))
     return (
         stats.withColumn("cv", cv)

@@ -122,14 +122,27 @@ def demand_pattern(weekly: DataFrame) -> DataFrame:
 
 
 def demand_profile(weekly: DataFrame) -> DataFrame:
-    """Series, statistics and pattern per item from a single aggregation."""
+    """All that later stages need from the weekly table, from one aggregation per item.
+
+    Series, statistics, pattern, deviation over non-zero weeks, latest balance (if the table has
+    it) and the arrow of the last two weeks: forecast, XYZ class, plan and alerts can all start
+    from here, so the weekly table is shuffled once.
+    """
+    demand = F.when(F.col("week_out") > 0, F.col("week_out"))
+    balance = F.max_by("week_balance", "week_key") if "week_balance" in weekly.columns else F.first(F.lit(0.0))
     profile = weekly.groupBy(ITEM).agg(
         _ordered().alias("v"),
         *_stats(),
         filled(F.var_pop("week_out")).alias("var_out"),
+        filled(F.stddev_samp(demand)).alias("std_nonzero"),
+        filled(balance).alias("balance"),
         *_pattern_measures(),
     )
-    return profile.withColumn("pattern", _pattern()).drop("weeks", "nonzero", "nonzero_mean", "nonzero_std")
+    latest = F.size("v")
+    arrow = S.last_step_arrow(F.get("v", latest - 1), F.get("v", latest - 2))
+    return profile.withColumns({"pattern": _pattern(), "demand_arrow": arrow}).drop(
+        "weeks", "nonzero", "nonzero_mean", "nonzero_std"
+    )
 
 
 def lifecycle_override(lifecycle: Column, points: Column) -> Column:

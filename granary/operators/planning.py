@@ -119,7 +119,7 @@ def with_lifecycle(items: DataFrame, summary: DataFrame | None) -> DataFrame:
 
 
 def plan_inventory(
-    weekly: DataFrame,
+    weekly: DataFrame | None,
     summary: DataFrame | None = None,
     classification: DataFrame | None = None,
     forecasts: DataFrame | None = None,
@@ -133,15 +133,25 @@ def plan_inventory(
 
     ``classification`` has (item_code, combo), ``forecasts`` (item_code, forecast, method).
     Items without a class count as BX; items without a forecast use their mean outflow.
+    Without ``weekly`` the output of ``forecast_demand`` supplies the statistics as well, and the
+    weekly table is not read again.
     """
-    items = with_lifecycle(demand_variability(weekly), summary)
+    if weekly is None:
+        measured = forecasts.select(
+            ITEM, "mean_out", F.col("std_out").alias("std_all"), "std_nonzero", "balance", "demand_arrow",
+            "forecast", "method",
+        )
+        forecasts = None
+    else:
+        measured = demand_variability(weekly)
+    items = with_lifecycle(measured, summary)
     if classification is not None:
         items = items.join(classification.select(ITEM, "combo"), ITEM, "left")
     else:
         items = items.withColumn("combo", F.lit(None).cast("string"))
     if forecasts is not None:
         items = items.join(forecasts.select(ITEM, "forecast", "method"), ITEM, "left")
-    else:
+    elif weekly is not None:
         items = items.withColumns({"forecast": F.lit(None).cast("double"), "method": F.lit(None).cast("string")})
 
     mean, combo, forecast = F.col("mean_out"), F.col("combo"), F.col("forecast")

@@ -85,6 +85,7 @@ def purchase_plan(
 ) -> DataFrame:
     """One row per shortage or reorder alert, highest priority first.
 
+    The order quantity to check against comes with the alerts; ``plan`` overrides it.
     ``formula="full"`` takes stock off the quantity again even when the demand is the
     alert's own buy quantity, and counts no safety stock for reorders. ``formula="net"`` uses
     the alert's buy quantity as it is, since stock was already taken off there.
@@ -96,8 +97,8 @@ def purchase_plan(
     else:
         items = items.withColumn("demand_qty", F.lit(None).cast("double"))
     if plan is not None:
-        items = items.join(plan.select(ITEM, "eoq"), ITEM, "left")
-    else:
+        items = items.drop("eoq").join(plan.select(ITEM, "eoq"), ITEM, "left")
+    elif "eoq" not in items.columns:
         items = items.withColumn("eoq", F.lit(None).cast("double"))
     safety = F.when(F.col("alert_type") == "shortage", F.col("safety_stock")).otherwise(F.lit(0.0))
     demand = F.coalesce("demand_qty", "buy_qty")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from granary.operators import alerts as J, classify as C, forecast as G, ingest as N, planning as P, purchasing as B
 from granary.schema import ITEM, LEAD_TIME_WEEKS
-from granary.session import shared_folder
+from granary.session import cut_lineage, shared_folder
 from granary.sources import ledger as L, tables as T
 
+_XYZ_COLUMNS = (ITEM, "std_out", "mean_out", "total_out", "points")
+
 
 @dataclass
 class Ingested:
@@ -74,7 +76,7 @@ def ingest_ledgers(
 
 @dataclass
 class Replenishment:
-    """Every stage from classification to purchases, as lazy frames."""
+    """Every stage from classification to purchases."""
 
     classes: DataFrame
     forecasts: DataFrame
@@ -98,16 +100,13 @@ def replenish(
 ) -> Replenishment:
     """Classify, forecast, plan, alert and buy.
 
-    ``weekly`` has one row per item and week with balance. Give it as a stored table (best one
-    of ``save_by_item``): it is read by four stages.
+    ``weekly`` has one row per item and week with balance and is aggregated once; the forecasts
+    (one row per item) are materialised in the shared folder, and every later stage starts there.
     """
-    items = C.abc_xyz_items(C.abc_classify(summary), C.xyz_classify(weekly))
-    classes = C.control_strategy(items)
     lifecycle = summary.select(ITEM, "lifecycle") if "lifecycle" in summary.columns else None
-    forecasts = G.forecast_demand(weekly, lifecycle, tuned)
-    plan = P.plan_inventory(
-        weekly, summary, C.classification_map(items.select(ITEM, "combo")), forecasts, lead_time
-    )
-    alerts = J.generate_alerts(plan, weekly, as_of, lead_time, in_transit, item_supplier, supplier_in_transit)
-    purchases = B.purchase_plan(alerts, matched, plan.select(ITEM, F.col("eoq")), scorecard, moq, as_of)
-    return Replenishment(classes, forecasts, plan, alerts, purchases)
+    forecasts = cut_lineage(G.forecast_demand(weekly, lifecycle, tuned))
+    items = C.abc_xyz_items(C.abc_classify(summary), C.xyz_from_stats(forecasts.select(*_XYZ_COLUMNS)))
+    plan = P.plan_inventory(None, summary, C.classification_map(items), forecasts, lead_time)
+    alerts = J.generate_alerts(plan, None, as_of, lead_time, in_transit, item_supplier, supplier_in_transit)
+    purchases = B.purchase_plan(alerts, matched, None, scorecard, moq, as_of)
+    return Replenishment(C.control_strategy(items), forecasts, plan, alerts, purchases)

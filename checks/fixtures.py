@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from granary.operators.forecast import densify
+from granary.operators.forecast import Calendar, densify
 from granary.operators.ingest import running_balance, weekly_rollup
 
 AS_OF = "2001-11-05"
@@ -34,15 +34,24 @@ class Inputs:
     def sparse_weekly(self, grain: str = "PS") -> DataFrame:
         return weekly_rollup(self.daily(grain))
 
-    def dense_weekly(self, grain: str = "PS", weeks: int | None = None) -> DataFrame:
-        """Every item in every week of the data (or of its first ``weeks`` weeks)."""
+    def calendar(self, weeks: int | None = None) -> Calendar:
+        """All weeks of the data, or its first ``weeks`` weeks."""
         span = self.table("lineitem").agg(
             F.struct(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
         ).scalar()
         first, last = F.trunc(span["lo"], "week"), F.trunc(span["hi"], "week")
         if weeks:
             last = F.date_add(first, 7 * (weeks - 1))
-        return densify(self.sparse_weekly(grain), first, last)
+        return Calendar(first, last)
+
+    def dense_weekly(self, grain: str = "PS", weeks: int | None = None) -> DataFrame:
+        """Every item in every week of the calendar."""
+        span = self.calendar(weeks)
+        return densify(self.sparse_weekly(grain), span.first, span.last)
+
+    def stock_weekly(self, grain: str = "PS") -> DataFrame:
+        """The weeks that moved, with the balance after each."""
+        return running_balance(self.sparse_weekly(grain), self.summary(grain))
 
     def weekly(self, grain: str = "PS") -> DataFrame:
         """Dense weekly table with running balance."""

@@ -28,6 +28,18 @@ def demand_series(i: Inputs):
     )
 
 
+@query(
+    "demand_profile",
+    """SELECT s.item_code, R(mean_out) AS mean_out, R(std_out) AS std_out, total_out, points, last_out, R(var_out) AS var_out,
+    R(coalesce(nonzero_dev, 0)) AS std_nonzero, demand_arrow, pattern
+    FROM pattern s JOIN arrows USING (item_code) JOIN (SELECT item_code, stddev_samp(week_out) FILTER (WHERE week_out > 0) AS nonzero_dev
+    FROM dense GROUP BY 1) USING (item_code)""",
+    need="pattern arrows dense",
+)
+def demand_profile(i: Inputs):
+    return G.demand_profile(i.sparse_weekly(), i.calendar()).drop("v", "balance")
+
+
 @query(
     "demand_stats",
     """SELECT item_code, R(mean_out) AS mean_out, R(std_out) AS std_out, total_out, points, last_out FROM stats""",
@@ -141,7 +153,7 @@ _SHOWN = ("item_code", "pattern", "method", "forecast", "trend", "imapa_window",
     digits=4,
 )
 def forecast_demand(i: Inputs):
-    return G.forecast_demand(i.dense_weekly()).select(*_SHOWN)
+    return G.forecast_demand(i.sparse_weekly(), calendar=i.calendar()).select(*_SHOWN)
 
 
 # Short horizons of the supplier grain reach Holt (12 weeks) and SES (6 weeks).
@@ -252,7 +264,7 @@ def prediction_interval(i: Inputs):
     need="dense stats",
 )
 def forecast_metrics(i: Inputs):
-    rows = G.demand_profile(i.dense_weekly())
+    rows = G.demand_profile(i.sparse_weekly(), i.calendar())
     value = S.ses(F.col("mean_out"), F.col("last_out"), 0.3)
     rows = rows.withColumns(G.forecast_metrics(F.col("v"), value, F.col("mean_out"), F.col("var_out"), F.col("points")))
     return rows.select("item_code", "mae", "rmse", "bias")
@@ -294,7 +306,7 @@ def best_of(forecasts: str, keys: str, shown: str) -> str:
     need="dense holtw pattern",
 )
 def tune_ses(i: Inputs):
-    return H.tune_ses(i.dense_weekly())
+    return H.tune_ses(i.sparse_weekly(), calendar=i.calendar())
 
 
 @query(
@@ -307,7 +319,7 @@ def tune_ses(i: Inputs):
     need="dense holtw pattern",
 )
 def tune_holt(i: Inputs):
-    return H.tune_holt(i.dense_weekly())
+    return H.tune_holt(i.sparse_weekly(), calendar=i.calendar())
 
 
 TSB_GRID = """
@@ -325,7 +337,7 @@ TSB_GRID = """
     need="hits pattern",
 )
 def tune_tsb(i: Inputs):
-    return H.tune_tsb(i.dense_weekly())
+    return H.tune_tsb(i.sparse_weekly(), calendar=i.calendar())
 
 
 @query(
@@ -334,7 +346,7 @@ def tune_tsb(i: Inputs):
     need="imapa_all pattern",
 )
 def tune_imapa(i: Inputs):
-    return H.tune_imapa(i.dense_weekly())
+    return H.tune_imapa(i.sparse_weekly(), calendar=i.calendar())
 
 
 # A grid of three steps per parameter for all suppliers: the recursion in SQL is slow.
@@ -349,10 +361,10 @@ def tune_imapa(i: Inputs):
     digits=4,
 )
 def tune_holt_winters(i: Inputs):
-    return H.tune_holt_winters(i.dense_weekly("S"), steps=3)
+    return H.tune_holt_winters(i.sparse_weekly("S"), steps=3, calendar=i.calendar())
 
 
 # The whole grid (6 859 points for seasonal items) has no SQL of reasonable run time.
 @query("tune")
 def tune(i: Inputs):
-    return H.tune(i.dense_weekly(), lifecycle=i.master())
+    return H.tune(i.sparse_weekly(), lifecycle=i.master(), calendar=i.calendar())

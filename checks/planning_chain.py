@@ -201,7 +201,9 @@ def allocation_status(i: Inputs):
 
 # --- planning -----------------------------------------------------------------------
 def plan(i: Inputs, **options) -> DataFrame:
-    return P.plan_inventory(i.weekly(), i.master(), i.classes(), i.given_forecasts(), **options)
+    return P.plan_inventory(
+        i.stock_weekly(), i.master(), i.classes(), i.given_forecasts(), calendar=i.calendar(), **options
+    )
 
 
 @query(
@@ -288,7 +290,9 @@ def future_reorder_points(i: Inputs):
 )
 def shelf_life_caps(i: Inputs):
     capped = plan(i).filter("lifecycle = 'active'")
-    free = P.plan_inventory(i.weekly(), i.master().drop("shelf_life_days"), i.classes(), i.given_forecasts())
+    free = P.plan_inventory(
+        i.stock_weekly(), i.master().drop("shelf_life_days"), i.classes(), i.given_forecasts(), calendar=i.calendar()
+    )
     free = free.select("item_code", F.col("safety_stock").alias("free_ss"), F.col("max_stock").alias("free_max"))
     both = capped.join(free, "item_code").filter("safety_stock < free_ss or max_stock < free_max")
     return both.select("item_code", "safety_stock", "max_stock")
@@ -302,7 +306,7 @@ def plan_counts(i: Inputs):
 # --- alerts -------------------------------------------------------------------------
 def alerts(i: Inputs) -> DataFrame:
     return J.generate_alerts(
-        plan(i), i.dense_weekly(), AS_OF, 1, i.item_transit(), i.preferred_suppliers(), i.supplier_transit()
+        plan(i), i.sparse_weekly(), AS_OF, 1, i.item_transit(), i.preferred_suppliers(), i.supplier_transit(), i.calendar()
     )
 
 
@@ -518,7 +522,7 @@ def first_warnings(i: Inputs):
     digits=4,
 )
 def supplier_forecast_share(i: Inputs):
-    shared = K.supplier_forecast_share(G.forecast_demand(i.dense_weekly()))
+    shared = K.supplier_forecast_share(G.forecast_demand(i.sparse_weekly(), calendar=i.calendar()))
     return shared.select("item_code", "forecast", "trend", F.col("interval").contains(" ~ ").alias("has_interval"))
 
 
@@ -589,7 +593,7 @@ def kpi_compare(i: Inputs):
     digits=5,
 )
 def kpi_snapshot(i: Inputs):
-    return K.kpi_snapshot(G.forecast_demand(i.dense_weekly()), plan(i), alerts(i), run=1)
+    return K.kpi_snapshot(G.forecast_demand(i.sparse_weekly(), calendar=i.calendar()), plan(i), alerts(i), run=1)
 
 
 HEADLINE = """

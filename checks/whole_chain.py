@@ -27,13 +27,13 @@ CTES["purchases2"] = purchases_sql().replace("FROM alerts a", "FROM alerts2 a")
 
 
 def chain(i: Inputs):
-    stored = _scratch(i, "weekly", lambda p: write_table(i.weekly(), p))
+    stored = _scratch(i, "moves", lambda p: write_table(i.stock_weekly(), p))
     weekly = i.spark.read.parquet(stored)
     summary = i.summary().join(i.master(), "item_code")
     demand = i.demand().withColumn("has_demand", F.lit(True))
     return replenish(
         weekly, summary, scorecard(i), demand, in_transit=i.item_transit(), item_supplier=i.preferred_suppliers(),
-        supplier_in_transit=i.supplier_transit(), as_of=AS_OF, moq=20.0,
+        supplier_in_transit=i.supplier_transit(), as_of=AS_OF, moq=20.0, calendar=i.calendar(),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from granary.functions.numeric import filled, first_match, lookup
 from granary.functions.ordering import running_total
 from granary.functions.series import last_step_arrow
+from granary.operators.forecast import Calendar
 from granary.schema import (
     ALERT_COLOUR,
     ITEM,
@@ -51,8 +52,13 @@ def stockout_projection(plan: DataFrame, as_of: str | None = None, lead_time: in
     )
 
 
-def demand_arrow(weekly: DataFrame) -> DataFrame:
+def demand_arrow(weekly: DataFrame, calendar: Calendar | None = None) -> DataFrame:
     """Arrow per item: last week against the week before."""
+    if calendar is not None:
+        at, n = calendar.position(), calendar.weeks
+        pair = [filled(F.sum(F.when(at == n - back, F.col("week_out")))).alias(f"back{back}") for back in (1, 2)]
+        pairs = weekly.groupBy(ITEM).agg(*pair)
+        return pairs.select(ITEM, last_step_arrow(F.col("back1"), F.col("back2")).alias("demand_arrow"))
     latest = F.sort_array(F.collect_list(F.struct("week_key", "week_out")), asc=False)
     pairs = weekly.groupBy(ITEM).agg(F.slice(latest, 1, 2).alias("latest"))
     arrow = last_step_arrow(F.get("latest", F.lit(0))["week_out"], F.get("latest", F.lit(1))["week_out"])
@@ -101,6 +107,7 @@ def generate_alerts(
     in_transit: DataFrame | None = None,
     item_supplier: DataFrame | None = None,
     supplier_in_transit: DataFrame | None = None,
+    calendar: Calendar | None = None,
 ) -> DataFrame:
     """One row per alert; an item can have a stock alert and an expiry alert.
 
@@ -108,7 +115,7 @@ def generate_alerts(
     """
     items = in_transit_lookup(plan, in_transit, item_supplier, supplier_in_transit)
     if weekly is not None:
-        items = items.drop("demand_arrow").join(demand_arrow(weekly), ITEM, "left")
+        items = items.drop("demand_arrow").join(demand_arrow(weekly, calendar), ITEM, "left")
     elif "demand_arrow" not in items.columns:
         items = items.withColumn("demand_arrow", F.lit("→"))
     items = expiry_level(stockout_projection(items, as_of, lead_time), as_of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions import series as S
@@ -121,7 +123,54 @@ def demand_pattern(weekly: DataFrame) -> DataFrame:
     )
 
 
-def demand_profile(weekly: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Calendar:
+    """First and last week (Monday dates, as columns) of series whose empty weeks have no row.
+
+    With a calendar the operators read only the weeks that moved and count the others as zero,
+    so the zero rows of ``densify`` are never made.
+    """
+
+    first: Column
+    last: Column
+
+    @property
+    def weeks(self) -> Column:
+        return (F.datediff(self.last, self.first) / 7 + 1).cast("int")
+
+    def position(self, day: str = "week_start") -> Column:
+        return (F.datediff(F.col(day), self.first) / 7).cast("int")
+
+    def keep(self, weekly: DataFrame) -> DataFrame:
+        return weekly.filter(F.col("week_start").between(self.first, self.last))
+
+    def moments(
+        self, count: Column, mean: Column, var_pop: Column, weeks: Column | None = None
+    ) -> tuple[Column, Column]:
+        """Mean and sum of squared deviations after adding the empty weeks.
+
+        Merging ``weeks - count`` zeros into the moments of the rows: exact, without the
+        cancellation of sum(x^2) - n mean^2.
+        """
+        weeks = self.weeks if weeks is None else weeks
+        return mean * count / weeks, var_pop * count + mean * mean * count * (weeks - count) / weeks
+
+
+def _without_gaps(entries: Column, weeks: Column) -> Column:
+    """Dense series of ``weeks`` values from (at, x) pairs sorted by position."""
+
+    def fill(sorted_entries):
+        def before(entry, i):
+            previous = F.coalesce(F.get(sorted_entries, i - 1)["at"], F.lit(-1))
+            return F.concat(F.array_repeat(F.lit(0.0), entry["at"] - previous - 1), F.array(entry["x"]))
+
+        tail = weeks - 1 - F.element_at(sorted_entries, -1)["at"]
+        return F.concat(F.flatten(F.transform(sorted_entries, before)), F.array_repeat(F.lit(0.0), tail))
+
+    return S.bind(entries, fill)
+
+
+def demand_profile(weekly: DataFrame, calendar: Calendar | None = None) -> DataFrame:
     """All that later stages need from the weekly table, from one aggregation per item.
 
     Series, statistics, pattern, deviation over non-zero weeks, latest balance (if the table has
@@ -130,14 +179,32 @@ def demand_profile(weekly: DataFrame) -> DataFrame:
     """
     demand = F.when(F.col("week_out") > 0, F.col("week_out"))
     balance = F.max_by("week_balance", "week_key") if "week_balance" in weekly.columns else F.first(F.lit(0.0))
-    profile = weekly.groupBy(ITEM).agg(
-        _ordered().alias("v"),
+    measures = [
         *_stats(),
         filled(F.var_pop("week_out")).alias("var_out"),
         filled(F.stddev_samp(demand)).alias("std_nonzero"),
         filled(balance).alias("balance"),
         *_pattern_measures(),
-    )
+    ]
+    if calendar is None:
+        profile = weekly.groupBy(ITEM).agg(_ordered().alias("v"), *measures)
+    else:
+        # the week count travels as a value: a scalar subquery may not stand inside a lambda
+        rows = calendar.keep(weekly).withColumns({"at": calendar.position(), "calendar_weeks": calendar.weeks})
+        pairs = F.array_sort(F.collect_list(F.struct("at", filled("week_out").alias("x"))))
+        n = F.col("calendar_weeks")
+        profile = rows.groupBy(ITEM).agg(pairs.alias("pairs"), F.max(n).alias("calendar_weeks"), *measures)
+        mean, squares = calendar.moments(F.col("points"), F.col("mean_out"), F.col("var_out"), n)
+        profile = profile.withColumn("v", _without_gaps(F.col("pairs"), n)).withColumns(
+            {
+                "mean_out": mean,
+                "var_out": squares / n,
+                "std_out": F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1))).otherwise(F.lit(0.0)),
+                "points": n.cast("bigint"),
+                "weeks": n.cast("bigint"),
+                "last_out": F.element_at("v", -1),
+            }
+        ).drop("pairs", "calendar_weeks")
     latest = F.size("v")
     arrow = S.last_step_arrow(F.get("v", latest - 1), F.get("v", latest - 2))
     return profile.withColumns({"pattern": _pattern(), "demand_arrow": arrow}).drop(
@@ -207,13 +274,14 @@ def forecast_demand(
     z_value: float = INTERVAL_Z,
     imapa_window: int = IMAPA_WINDOW,
     season: int = SEASON,
+    calendar: Calendar | None = None,
 ) -> DataFrame:
     """One row per item: method, forecast for next week, interval, trend and error measures.
 
     ``lifecycle`` is any table with item_code and lifecycle; ``tuned`` the output of
-    ``tuning.tune``.
+    ``tuning.tune``. With a ``calendar``, weeks without a row count as zero.
     """
-    items = demand_profile(weekly)
+    items = demand_profile(weekly, calendar)
     if lifecycle is None:
         items = items.withColumn("lifecycle", F.lit("active"))
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions.numeric import filled, first_match, lookup, ratio
+from granary.operators.forecast import Calendar
 from granary.schema import (
     DEFAULT_POLICY,
     DEFAULT_SERVICE_LEVEL,
@@ -25,9 +26,20 @@ from granary.schema import (
 INTERMITTENT_METHODS = ("tsb", "imapa")
 
 
-def demand_variability(weekly: DataFrame) -> DataFrame:
+def demand_variability(weekly: DataFrame, calendar: Calendar | None = None) -> DataFrame:
     """Mean outflow, deviation over all and over non-zero weeks, and the latest balance."""
     demand = F.when(F.col("week_out") > 0, F.col("week_out"))
+    if calendar is not None:
+        rows = calendar.keep(weekly).groupBy(ITEM).agg(
+            F.count(F.lit(1)).alias("n"),
+            filled(F.avg("week_out")).alias("mean_out"),
+            filled(F.var_pop("week_out")).alias("var_out"),
+            filled(F.stddev_samp(demand)).alias("std_nonzero"),
+            filled(F.max_by("week_balance", "week_key")).alias("balance"),
+        )
+        mean, squares = calendar.moments(F.col("n"), F.col("mean_out"), F.col("var_out"))
+        std = F.when(calendar.weeks > 1, F.sqrt(F.try_divide(squares, calendar.weeks - 1))).otherwise(F.lit(0.0))
+        return rows.select(ITEM, mean.alias("mean_out"), std.alias("std_all"), "std_nonzero", "balance")
     return weekly.groupBy(ITEM).agg(
         filled(F.avg("week_out")).alias("mean_out"),
         filled(F.stddev_samp("week_out")).alias("std_all"),
@@ -128,13 +140,14 @@ def plan_inventory(
     holding_rate: float = HOLDING_RATE,
     sigma_lt: float | None = None,
     std_method: str = "std_all",
+    calendar: Calendar | None = None,
 ) -> DataFrame:
     """One row per item of ``weekly`` with every planning figure.
 
     ``classification`` has (item_code, combo), ``forecasts`` (item_code, forecast, method).
     Items without a class count as BX; items without a forecast use their mean outflow.
     Without ``weekly`` the output of ``forecast_demand`` supplies the statistics as well, and the
-    weekly table is not read again.
+    weekly table is not read again. With a ``calendar``, weeks without a row count as zero.
     """
     if weekly is None:
         measured = forecasts.select(
@@ -143,7 +156,7 @@ def plan_inventory(
         )
         forecasts = None
     else:
-        measured = demand_variability(weekly)
+        measured = demand_variability(weekly, calendar)
     items = with_lifecycle(measured, summary)
     if classification is not None:
         items = items.join(classification.select(ITEM, "combo"), ITEM, "left")

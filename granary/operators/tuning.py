@@ -11,34 +11,44 @@ from pyspark.sql import Column, DataFrame, functions as F
 from granary.functions import series as S
 from granary.functions.numeric import first_match
 from granary.functions.seasonal import grid_search
-from granary.operators.forecast import METHODS, demand_profile, lifecycle_override, route
+from granary.operators.forecast import METHODS, Calendar, demand_profile, lifecycle_override, route
 from granary.schema import IMAPA_WINDOW, ITEM, SEASON, SEASON_TEST_POINTS
 
 
-def _search(weekly: DataFrame, kind: str, fields: tuple[str, ...], mode: Column, steps: int | None, m: int = SEASON):
-    items = demand_profile(weekly)
+def _search(
+    weekly: DataFrame,
+    kind: str,
+    fields: tuple[str, ...],
+    mode: Column,
+    steps: int | None,
+    calendar: Calendar | None,
+    m: int = SEASON,
+) -> DataFrame:
+    items = demand_profile(weekly, calendar)
     found = items.withColumn("best", grid_search(kind, steps, m)(F.col("v"), mode))
     return found.select(
         ITEM, "pattern", *[F.col(f"best.{f}").alias(f) for f in fields], F.col("best.rmse").alias("rmse"), "points"
     )
 
 
-def tune_ses(weekly: DataFrame, steps: int | None = None) -> DataFrame:
+def tune_ses(weekly: DataFrame, steps: int | None = None, calendar: Calendar | None = None) -> DataFrame:
     """Best alpha per item; the objective is Holt with a trend that never changes."""
-    return _search(weekly, "ses", ("alpha",), F.lit("add"), steps)
+    return _search(weekly, "ses", ("alpha",), F.lit("add"), steps, calendar)
 
 
-def tune_holt(weekly: DataFrame, steps: int | None = None) -> DataFrame:
-    return _search(weekly, "holt", ("alpha", "beta"), F.lit("add"), steps)
+def tune_holt(weekly: DataFrame, steps: int | None = None, calendar: Calendar | None = None) -> DataFrame:
+    return _search(weekly, "holt", ("alpha", "beta"), F.lit("add"), steps, calendar)
 
 
-def tune_tsb(weekly: DataFrame, steps: int | None = None) -> DataFrame:
-    return _search(weekly, "tsb", ("alpha", "beta"), F.lit("add"), steps)
+def tune_tsb(weekly: DataFrame, steps: int | None = None, calendar: Calendar | None = None) -> DataFrame:
+    return _search(weekly, "tsb", ("alpha", "beta"), F.lit("add"), steps, calendar)
 
 
-def tune_holt_winters(weekly: DataFrame, steps: int | None = None, season: int = SEASON) -> DataFrame:
+def tune_holt_winters(
+    weekly: DataFrame, steps: int | None = None, calendar: Calendar | None = None, season: int = SEASON
+) -> DataFrame:
     mode = F.when(F.size("v") >= SEASON_TEST_POINTS, S.seasonal_mode(F.col("v"), season)).otherwise("add")
-    return _search(weekly, "holt_winters", ("alpha", "beta", "gamma"), mode, steps, season)
+    return _search(weekly, "holt_winters", ("alpha", "beta", "gamma"), mode, steps, calendar, season)
 
 
 def _best_window(v: Column, mean: Column, var_pop: Column, points: Column, max_window: int) -> Column:
@@ -56,9 +66,11 @@ def _best_window(v: Column, mean: Column, var_pop: Column, points: Column, max_w
     return F.array_min(F.array(*scored))
 
 
-def tune_imapa(weekly: DataFrame, max_window: int = IMAPA_WINDOW) -> DataFrame:
+def tune_imapa(
+    weekly: DataFrame, max_window: int = IMAPA_WINDOW, calendar: Calendar | None = None
+) -> DataFrame:
     """Best aggregation window per item."""
-    items = demand_profile(weekly)
+    items = demand_profile(weekly, calendar)
     best = _best_window(F.col("v"), F.col("mean_out"), F.col("var_out"), F.col("points"), max_window)
     return items.withColumn("best", best).select(
         ITEM, "pattern", F.col("best.window").alias("window"), F.col("best.rmse").alias("rmse"), "points"
@@ -72,6 +84,7 @@ def tune(
     steps: int | None = None,
     imapa_window: int = IMAPA_WINDOW,
     season: int = SEASON,
+    calendar: Calendar | None = None,
 ) -> DataFrame:
     """Best parameters per item for the model its pattern and length call for.
 
@@ -80,7 +93,7 @@ def tune(
     """
     if method not in (None, "auto", *METHODS):
         raise ValueError(f"unknown method {method!r}, expected auto or one of {METHODS}")
-    items = demand_profile(weekly)
+    items = demand_profile(weekly, calendar)
     if lifecycle is None:
         items = items.withColumn("lifecycle", F.lit("active"))
     else:

@@ -97,6 +97,7 @@ def replenish(
     as_of: str | None = None,
     lead_time: int = LEAD_TIME_WEEKS,
     moq: float = 0.0,
+    calendar: G.Calendar | None = None,
 ) -> Replenishment:
     """Classify, forecast, plan, alert and buy.
 
@@ -104,7 +105,7 @@ def replenish(
     (one row per item) are materialised in the shared folder, and every later stage starts there.
     """
     lifecycle = summary.select(ITEM, "lifecycle") if "lifecycle" in summary.columns else None
-    forecasts = cut_lineage(G.forecast_demand(weekly, lifecycle, tuned))
+    forecasts = cut_lineage(G.forecast_demand(weekly, lifecycle, tuned, calendar=calendar))
     items = C.abc_xyz_items(C.abc_classify(summary), C.xyz_from_stats(forecasts.select(*_XYZ_COLUMNS)))
     plan = P.plan_inventory(None, summary, C.classification_map(items), forecasts, lead_time)
     alerts = J.generate_alerts(plan, None, as_of, lead_time, in_transit, item_supplier, supplier_in_transit)

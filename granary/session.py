@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Series are collected per item: keep hashing up to 4096 items per task (some 14 KB each at
+    # 357 weeks) before the aggregate falls back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     # No call-site capture per column expression: it doubles the time to build large plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # GBK ledgers: without this Spark accepts only its short list of charsets.

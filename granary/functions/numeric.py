@@ -39,3 +39,14 @@ def first_match(pairs: list[tuple[Column, object]], otherwise=None) -> Column:
     for condition, value in pairs:
         chain = chain.when(condition, value)
     return chain.otherwise(otherwise)
+
+
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later steps read as plain columns, computed once per row.
+
+    They come out of a one-row generator, which the optimizer does not merge into the
+    projections above it. Python functions need this: an argument with nested lambdas is not
+    recognised as a call to run in Python.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -100,7 +100,8 @@ def holt_winters_fit(m: int = SEASON):
             )
         return pd.DataFrame({"forecast": pd.Series(forecast).replace({np.nan: None}), "direction": label})
 
-    return fit
+    # Called once per row: a plan that reads two fields of the result must not copy the call.
+    return fit.asNondeterministic()
 
 
 def holt_winters(v: Column, alpha, beta, gamma, mode, m: int = SEASON) -> Column:
@@ -195,4 +196,4 @@ def grid_search(kind: str, steps: int | None = None, m: int = SEASON):
                 out["rmse"][part] = rmse
         return pd.DataFrame(out).replace({np.nan: None}).astype(object)
 
-    return search
+    return search.asNondeterministic()  # called once per row, see holt_winters_fit

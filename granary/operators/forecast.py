@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions import series as S
-from granary.functions.numeric import filled, first_match
+from granary.functions.numeric import filled, first_match, settle
 from granary.functions.seasonal import holt_winters
 from granary.schema import (
     ADI_LIMIT,
@@ -62,13 +62,13 @@ def week_key(day: Column) -> Column:
 
 
 def _ordered(value: str = "week_out") -> Column:
-    pairs = F.array_sort(F.collect_list(F.struct("week_key", filled(value).alias("x"))))
+    pairs = F.sort_array(F.collect_list(F.struct("week_key", filled(value).alias("x"))))
     return F.transform(pairs, lambda p: p["x"])
 
 
 def demand_series(weekly: DataFrame) -> DataFrame:
     """One row per item with its outflow in week order (one row per item and week expected)."""
-    return weekly.groupBy(ITEM).agg(_ordered().alias("v"))
+    return settle(weekly.groupBy(ITEM).agg(_ordered().alias("v")), {"v": F.col("v")})
 
 
 def demand_stats(weekly: DataFrame) -> DataFrame:
@@ -187,15 +187,15 @@ def demand_profile(weekly: DataFrame, calendar: Calendar | None = None) -> DataF
         *_pattern_measures(),
     ]
     if calendar is None:
-        profile = weekly.groupBy(ITEM).agg(_ordered().alias("v"), *measures)
+        profile = settle(weekly.groupBy(ITEM).agg(_ordered().alias("v"), *measures), {"v": F.col("v")})
     else:
         # the week count travels as a value: a scalar subquery may not stand inside a lambda
         rows = calendar.keep(weekly).withColumns({"at": calendar.position(), "calendar_weeks": calendar.weeks})
-        pairs = F.array_sort(F.collect_list(F.struct("at", filled("week_out").alias("x"))))
+        pairs = F.sort_array(F.collect_list(F.struct("at", filled("week_out").alias("x"))))
         n = F.col("calendar_weeks")
         profile = rows.groupBy(ITEM).agg(pairs.alias("pairs"), F.max(n).alias("calendar_weeks"), *measures)
         mean, squares = calendar.moments(F.col("points"), F.col("mean_out"), F.col("var_out"), n)
-        profile = profile.withColumn("v", _without_gaps(F.col("pairs"), n)).withColumns(
+        profile = settle(profile, {"v": _without_gaps(F.col("pairs"), n)}).withColumns(
             {
                 "mean_out": mean,
                 "var_out": squares / n,
@@ -294,7 +294,7 @@ def forecast_demand(
 
     is_seasonal = F.col("method") == "holt_winters"
     mode = F.when(is_seasonal & (points >= SEASON_TEST_POINTS), S.seasonal_mode(v, season)).when(is_seasonal, "add")
-    items = items.withColumn("season_mode", mode)
+    items = settle(items, {"season_mode": mode})
     # only seasonal items send their series to Python; all others send null
     fit = holt_winters(F.when(is_seasonal, v), F.col("alpha"), F.col("beta"), F.col("gamma"), F.col("season_mode"), season)
     items = items.withColumn("seasonal_fit", fit)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions import series as S
-from granary.functions.numeric import first_match
+from granary.functions.numeric import first_match, settle
 from granary.functions.seasonal import grid_search
 from granary.operators.forecast import METHODS, Calendar, demand_profile, lifecycle_override, route
 from granary.schema import IMAPA_WINDOW, ITEM, SEASON, SEASON_TEST_POINTS
@@ -25,7 +25,8 @@ def _search(
     m: int = SEASON,
 ) -> DataFrame:
     items = demand_profile(weekly, calendar)
-    found = items.withColumn("best", grid_search(kind, steps, m)(F.col("v"), mode))
+    items = settle(items, {"season_mode": mode})
+    found = items.withColumn("best", grid_search(kind, steps, m)("v", "season_mode"))
     return found.select(
         ITEM, "pattern", *[F.col(f"best.{f}").alias(f) for f in fields], F.col("best.rmse").alias("rmse"), "points"
     )
@@ -113,7 +114,7 @@ def tune(
     mode = F.when(
         (F.col("model") == "holt_winters") & (points >= SEASON_TEST_POINTS), S.seasonal_mode(v, season)
     ).otherwise("add")
-    items = items.withColumn("season_mode", mode)
+    items = settle(items, {"season_mode": mode})
     items = items.withColumns(
         {
             "__ses": chosen("ses", "ses", add),

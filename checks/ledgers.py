@@ -229,6 +229,16 @@ def exclude_total_rows(i: Inputs):
     return rows.select(*_COLUMNS)
 
 
+@query(
+    "total_lines",
+    "SELECT DISTINCT '合计' AS item_code, 'total row' AS reason, count(*) + count(*) FILTER (WHERE p_partkey % 59 = 0) AS kept FROM part",
+)
+def total_lines(i: Inputs):
+    rows = numbered(i)
+    kept = L.without_totals(rows).filter("row_no >= 2").agg(F.count(F.lit(1))).scalar()
+    return L.total_lines(rows).select("item_code", "reason").distinct().withColumn("kept", kept)
+
+
 @query("excluded_rows", "SELECT DISTINCT '合计' AS item_code, 'total row' AS reason FROM part")
 def excluded_rows(i: Inputs):
     return N.excluded_rows(raw_summary(i)).select("item_code", "reason").distinct()

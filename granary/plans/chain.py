@@ -47,10 +47,11 @@ def ingest_ledgers(
     """
     staged = f"{shared_folder(spark).rstrip('/')}/{name}"
     T.write_table(L.number_rows(L.read_ledgers(spark, paths, width)), staged)
-    rows = spark.read.parquet(staged)
+    staged_rows = spark.read.parquet(staged)
     data_row = header_row + 1 if data_row is None else data_row
-    layouts = L.parse_ledger_layout(rows, header_row, reference_year)
+    layouts = L.parse_ledger_layout(staged_rows, header_row, reference_year)
     words = keywords or N.TOTAL_WORDS
+    rows = L.without_totals(staged_rows, data_row, words)
     lines = L.extract_summary(rows, layouts, data_row)
     watched = columns or [ITEM, *N.QUANTITIES]
     items = N.exclude_total_rows(lines, watched, words)
@@ -67,7 +68,9 @@ def ingest_ledgers(
         summary=summary,
         weekly=weekly,
         errors=N.extraction_errors(items),
-        excluded=N.excluded_rows(lines, watched, words),
+        excluded=L.total_lines(staged_rows, data_row, words).unionByName(
+            N.excluded_rows(lines, watched, words).select("file", "row_no", ITEM, "reason")
+        ),
         mismatches=N.cross_validate(summary, weekly),
         window=N.week_window(daily),
         problems=L.layout_problems(layouts),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import BooleanType
 
 from granary.operators.ingest import forward_fill, lenient_double
-from granary.schema import ITEM, LEDGER_LABELS, MONTH_TO_DATE, OPENING_LABEL, QUANTITIES
+from granary.schema import ITEM, LEDGER_LABELS, MONTH_TO_DATE, OPENING_LABEL, QUANTITIES, TOTAL_WORDS
 
 _UNICODE = ("utf-8", "utf8", "utf-8-sig")
 
@@ -193,6 +193,35 @@ def layout_problems(layouts: DataFrame) -> DataFrame:
     return layouts.select("file", F.explode(F.array_compact(F.array(*missing, no_days))).alias("problem"))
 
 
+def _is_total(keywords: tuple[str, ...], columns: int) -> Column:
+    def named(cell: Column) -> Column:
+        found = F.lit(False)
+        for word in keywords:
+            found = found | F.coalesce(F.contains(cell, F.lit(word)), F.lit(False))
+        return found
+
+    return F.exists(F.slice("cells", 1, columns), named)
+
+
+def without_totals(
+    numbered: DataFrame, data_row: int = 2, keywords: tuple[str, ...] = TOTAL_WORDS, columns: int = 7
+) -> DataFrame:
+    """Ledger lines that are no total lines, judged by their first cells.
+
+    This comes before the fills: a total line with an empty code cell would take the code of
+    the item above it.
+    """
+    return numbered.filter((F.col("row_no") < data_row) | ~_is_total(keywords, columns))
+
+
+def total_lines(
+    numbered: DataFrame, data_row: int = 2, keywords: tuple[str, ...] = TOTAL_WORDS, columns: int = 7
+) -> DataFrame:
+    """The lines ``without_totals`` removes, with file, row and reason."""
+    removed = numbered.filter((F.col("row_no") >= data_row) & _is_total(keywords, columns))
+    return removed.select("file", "row_no", F.get("cells", F.lit(1)).alias(ITEM), F.lit("total row").alias("reason"))
+
+
 def _data_rows(numbered: DataFrame, layouts: DataFrame, data_row: int) -> DataFrame:
     """Data rows with their layout and the forward-filled, trimmed item code of the row."""
     return numbered.filter(F.col("row_no") >= data_row).join(layouts, "file")

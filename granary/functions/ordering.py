@@ -22,9 +22,10 @@ def running_total(
     value: str | None = None,
     total_name: str | None = None,
     rank_name: str | None = None,
+    grand_name: str | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Add a running sum of ``value`` and/or a 1-based rank in the given total order.
+    """Add a running sum of ``value`` (and its grand total) and/or a 1-based rank in a total order.
 
     ``order`` has to be a total order (end it with a key), or ties land in any order. The
     sliced rows are materialised once: range bounds come from a sample, so evaluating them
@@ -38,9 +39,11 @@ def running_total(
         measures.append(F.sum(value).alias(_TOTAL))
     earlier = W.orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     offsets = sliced.groupBy(_SLICE).agg(*measures)  # at most `slices` rows
+    grand = [F.sum(_TOTAL).over(W.partitionBy()).alias(grand_name)] if grand_name else []
     offsets = offsets.select(
         _SLICE,
         *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in offsets.columns[1:]],
+        *grand,
     )
     inside = W.partitionBy(_SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     result = sliced

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from granary.functions.numeric import filled, first_match, lookup
 from granary.functions.ordering import running_total
@@ -221,10 +221,15 @@ def alert_priority(alerts: DataFrame, slices: int | None = None) -> DataFrame:
 
 
 def top_urgent(alerts: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` shortages, or reorders when there is no shortage."""
-    short = alerts.agg(F.count_if(F.col("alert_type") == "shortage")).scalar()
-    wanted = F.when(short > 0, "shortage").otherwise("reorder")
-    return alerts.filter(F.col("alert_type") == wanted).orderBy(*priority_order()).limit(n)
+    """The first ``n`` shortages, or reorders when there is no shortage.
+
+    One pass: shortages sort before reorders, and of the ``n`` rows left only the first kind stays.
+    """
+    wanted = F.when(F.col("alert_type") == "shortage", 0).otherwise(1)
+    buys = alerts.filter(F.col("alert_type").isin("shortage", "reorder")).withColumn("__kind", wanted)
+    first = buys.orderBy("__kind", *priority_order()).limit(n)
+    best = F.min("__kind").over(W.partitionBy())  # over `n` rows
+    return first.withColumn("__best", best).filter("__kind = __best").drop("__kind", "__best")
 
 
 def urgency_rank(urgency: Column) -> Column:

@@ -25,11 +25,10 @@ def abc_classify(
         measures.append(F.sum(F.col("out_amount").cast("decimal(18,2)")).alias("total_amount"))
     items = df.groupBy(ITEM).agg(*measures)
     measure = "total_amount" if by_amount else "total_out"
-    ranked = running_total(items, [F.desc(measure), F.asc(ITEM)], measure, "__running", slices=slices)
-    grand = df.agg(
-        F.sum(F.col("out_amount").cast("decimal(18,2)") if by_amount else F.col("out_qty"))
-    ).scalar()
-    whole = grand.cast("double")
+    ranked = running_total(
+        items, [F.desc(measure), F.asc(ITEM)], measure, "__running", grand_name="__grand", slices=slices
+    )
+    whole = F.col("__grand").cast("double")
     share = ratio(F.col(measure).cast("double"), whole, None)
     cumulative = ratio(F.col("__running").cast("double"), whole, None)
     return (
@@ -39,7 +38,7 @@ def abc_classify(
             "abc_class",
             first_match([(F.col("cum_share") <= a_limit, "A"), (F.col("cum_share") <= b_limit, "B")], "C"),
         )
-        .drop("__running")
+        .drop("__running", "__grand")
     )
 
 

@@ -42,12 +42,12 @@ def ingest_ledgers(
 ) -> Ingested:
     """Read, clean and roll up wide ledgers.
 
-    The CSV text is parsed once: its numbered rows go to ``<shared folder>/<name>`` as Parquet,
+    The CSV text is parsed once: its rows go to ``<shared folder>/<name>`` as Parquet,
     and summary, weekly and checks all start from there.
     """
     staged = f"{shared_folder(spark).rstrip('/')}/{name}"
-    T.write_table(L.number_rows(L.read_ledgers(spark, paths, width)), staged)
-    staged_rows = spark.read.parquet(staged)
+    T.write_table(L.read_ledgers(spark, paths, width), staged)
+    staged_rows = L.number_rows(spark.read.parquet(staged))
     data_row = header_row + 1 if data_row is None else data_row
     layouts = L.parse_ledger_layout(staged_rows, header_row, reference_year)
     words = keywords or N.TOTAL_WORDS

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from checks.fixtures import Inputs
+from granary.session import provide_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,8 @@ def query(name: str, sql: str | None = None, digits: int = 6, need: str = ""):
 
     def keep(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            provide_folder(spark)
+            ship(spark)
             return tidy(fn(Inputs(spark, folder)), digits)
 
         QUERIES[name] = run

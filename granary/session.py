@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,23 +32,41 @@ def build_session(app_name: str = "granary", master: str | None = None, **conf:
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
+    """The folder every executor can reach: the context's checkpoint folder, else ``spark.checkpoint.dir``."""
     context = spark.sparkContext
+    chosen = context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="granary-")
-    if context.getCheckpointDir() is None:
+    if configured is None and chosen is None:
+        raise RuntimeError("set spark.checkpoint.dir, or call setCheckpointDir, with a folder that all executors share")
+    if chosen is None:
         context.setCheckpointDir(configured)
-    return configured
+    return configured or chosen
+
+
+def provide_folder(spark: SparkSession) -> None:
+    """For tests, checks and benches on one machine: a new temporary folder where no folder is set."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context: Python functions load it by name there."""
+    context = spark.sparkContext
+    if getattr(context, "_granary_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="granary-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as to:
+        for path in sorted(root.rglob("*.py")):
+            to.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._granary_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

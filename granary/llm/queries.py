@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granary.llm import mtree
+import public_tokenizers
+
+from granary.llm import bpe, eliasfano, mtree
 from granary.llm.common import table
 from granary.session import provide_folder, ship
 
@@ -45,3 +47,15 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return mtree.top_k(vectors, F.col("id") % 50 == 0, k=5)
+
+
+@query("op3_elias_fano_ids")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = eliasfano.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return eliasfano.read_shards(manifest)
+
+
+@query("op10_bpe_rank_queue")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)

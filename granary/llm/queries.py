@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from granary.llm import bpe, eliasfano, mtree
+from granary.llm import blocks, bpe, eliasfano, mtree, warc
 from granary.llm.common import table
 from granary.session import provide_folder, ship
 
@@ -59,3 +59,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query(
+    "op7_warc_normaliser",
+    """
+    WITH d AS (SELECT page_id, url, encode(coalesce(html, '')) AS p FROM pages),
+    h AS (SELECT page_id, url, octet_length(p) AS n, sha1(p) AS hex, sha256(p) AS key FROM d),
+    b AS (SELECT *, list_transform(range(0, 32), lambda i: (
+            (CAST('0x' || substr(hex, CAST(i * 5 // 4 AS INTEGER) + 1, 1) AS INTEGER) * 16
+             + CAST('0x' || coalesce(nullif(substr(hex, CAST(i * 5 // 4 AS INTEGER) + 2, 1), ''), '0') AS INTEGER))
+            >> CAST(3 - (i * 5) % 4 AS INTEGER)) & 31) AS digits, max(page_id) OVER (PARTITION BY key) AS top FROM h)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+           list_aggregate(list_transform(digits, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, url
+    FROM b
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.with_originals(table(spark, sf_dir, "pages")))
+    normalised = warc.normalise(archives)
+    warc.drop_archives(archives)
+    return warc.read_archives(normalised)
+
+
+@query("op9_block_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(table(spark, sf_dir, "pages"))

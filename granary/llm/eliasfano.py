@@ -87,7 +87,7 @@ def write_shard(path: str, docs: Iterator[tuple[int | None, bytes]], wide: bool)
     fs, name = pafs.FileSystem.from_uri(path)
     names, bounds, nulls = [], [0], 0
     kind = "<u4" if wide else "<u2"
-    with fs.open_output_stream(name) as out:
+    with fs.open_output_stream(name, compression=None) as out:
         out.write(_MAGIC)
         for doc_id, coded in docs:
             out.write(np.frombuffer(coded, "<u4").astype(kind).tobytes())

@@ -150,7 +150,7 @@ def _uri(path: str) -> str:
 def _create(path: str):
     fs, name = pafs.FileSystem.from_uri(path)
     fs.create_dir(name.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(name)
+    return fs.open_output_stream(name, compression=None)
 
 
 def _record(page_id, url, payload: bytes, original, date: str) -> bytes:

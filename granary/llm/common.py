@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -47,3 +47,19 @@ def slices(batches: Iterator[pd.DataFrame], column: str, chars: int = 4_000_000)
         piece = batch[column].str.len().fillna(0).to_numpy().cumsum() // chars
         for _, part in batch.groupby(piece, sort=False):
             yield part
+
+
+def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows, all columns untouched, whose text ``judge()`` accepts; null is the empty text. ``judge`` runs once per task."""
+    import pyarrow as pa
+
+    at = [i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower()][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = judge()
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                yield batch.filter(pa.array(decide([x or "" for x in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from granary.llm import blocks, bpe, eliasfano, mtree, warc
+from granary.llm import blocks, bpe, edits, eliasfano, mtree, warc
 from granary.llm.common import table
 from granary.session import provide_folder, ship
 
@@ -87,3 +87,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_block_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_edit_matches")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from granary.llm import blocks, bpe, edits, eliasfano, mtree, warc
+from granary.llm import blocks, bpe, edits, eliasfano, mtree, ordinal, toxicity, warc
 from granary.llm.common import table
 from granary.session import provide_folder, ship
 
@@ -92,3 +92,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_edit_matches")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_ordinal_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_weak_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))

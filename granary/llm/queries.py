@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from granary.llm import blocks, bpe, edits, eliasfano, mtree, ordinal, toxicity, warc
+from granary.llm import blocks, bpe, edits, eliasfano, licences, mtree, ordinal, toxicity, warc
 from granary.llm.common import table
 from granary.session import provide_folder, ship
 
@@ -104,3 +104,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_rare_licence_words")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.weights(docs))

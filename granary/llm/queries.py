@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from granary.llm import blocks, bpe, edits, eliasfano, licences, mtree, ordinal, toxicity, warc
+from granary.llm import blocks, bpe, edits, eliasfano, jaccard, licences, mtree, ordinal, toxicity, warc
 from granary.llm.common import table
 from granary.session import provide_folder, ship
 
@@ -110,3 +110,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return licences.scan(docs, licences.weights(docs))
+
+
+@query("op4_jaccard_regions")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)

@@ -197,6 +197,26 @@ def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id
     return grouped.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def first_of_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that hold the smallest id of their group; of rows with one id and one text, one stays.
+
+    Rows without words, or with a null id, are in no group and stay.
+    """
+    groups = staged(components(docs, size, num, den, id_col, text_col), "groups")
+    row_id = F.col(f"`{id_col}`").cast("long")
+    gone = groups.where("component_id IS NOT NULL AND doc_id <> component_id AND n_shingles > 0").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(_sized(gone, gone.count()), row_id == F.col("__gone"), "left_anti")
+    # an id on several rows: rare, so only those rows are shuffled
+    again = groups.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    again = staged(again, "again")
+    if again.isEmpty():
+        return left
+    many = _sized(again, again.count())
+    once = left.join(many, row_id == F.col("__again"), "left_anti")
+    several = left.join(many, row_id == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(several)
+
+
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     """Ids, broadcast where their counted number allows it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

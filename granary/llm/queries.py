@@ -115,3 +115,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_jaccard_regions")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline

@@ -65,7 +65,7 @@ _WORDS = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
-SHORT_CHARS, LONG_CHARS = 70, 200
+SHORT_CHARS, LONG_CHARS = 70, 140
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINKS = 0.2
 

@@ -3,7 +3,7 @@
 Voters are word lists by language and theme, writing patterns, and word and prefix lists mined from a bounded sample
 of labelled training rows; each fires on a text or does not. The label model has the true label as a hidden class with
 a firing rate of every voter in each class, estimated by expectation maximisation. Voters that fire together more
-often than their class explains are correlated: their residual correlations are estimated, and a voter's evidence is
+often than their class explains are correlated: their correlations inside the classes are estimated, and a voter's evidence is
 divided by the number of voters it stands for. The posterior labels train a logistic classifier over words and
 prefixes, which scores any text, also those on which no voter fires.
 """
@@ -104,32 +104,49 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def label_model(votes: np.ndarray, share: float, rounds: int = 50, linked: float = 0.25) -> LabelModel:
-    """Expectation maximisation over 0/1 ``votes`` (rows x voters), starting from rows on which any voter fires.
+def label_model(votes: np.ndarray, share: float, rounds: int = 25, linked: float = 0.25) -> LabelModel:
+    """Expectation maximisation over 0/1 ``votes`` (rows x voters), with the class share given.
 
-    After half of the rounds, residual correlations inside the classes above ``linked`` tie voters together.
+    It starts from the ``share`` of rows with the most votes, where voters that almost repeat each other count once.
+    A second run uses correlations left inside the classes: for a pair of voters, the classes come from all others.
     """
-    n, k = votes.shape
-    posterior = np.where(votes.any(1), 0.9, 0.02)
-    stands_for = np.ones(k)
-    model = None
-    for step in range(rounds):
+    with np.errstate(divide="ignore", invalid="ignore"):  # a voter that never fires has no correlation
+        raw = np.nan_to_num(np.atleast_2d(np.corrcoef(votes.T))) if len(votes) > 1 else np.eye(votes.shape[1])
+    stands_for = _tied(raw, 0.8)
+    model = _maximise(votes, share, stands_for, rounds)
+    return _maximise(votes, share, _tied(_residual_correlation(votes, model), linked), rounds)
+
+
+def _tied(correlation: np.ndarray, least: float) -> np.ndarray:
+    tied = np.where(correlation > least, correlation, 0)
+    np.fill_diagonal(tied, 1)
+    return tied.sum(1)
+
+
+def _maximise(votes: np.ndarray, share: float, stands_for: np.ndarray, rounds: int) -> LabelModel:
+    weighted = votes @ (1 / stands_for)
+    posterior = np.where((weighted > 0) & (weighted >= np.quantile(weighted, 1 - share)), 0.9, 0.02)
+    for _ in range(rounds):
         # a prior of two rows keeps rates off 0 and 1; voters are taken to be better than chance
         toxic = (posterior @ votes + 0.2) / (posterior.sum() + 2)
         clean = ((1 - posterior) @ votes + 0.02) / ((1 - posterior).sum() + 2)
-        toxic = np.clip(np.maximum(toxic, 1.5 * clean), 1e-4, 0.999)
-        clean = np.clip(clean, 1e-5, 0.6)
-        model = LabelModel(toxic, clean, share, stands_for)
-        if step == rounds // 2:
-            expected = posterior[:, None] * toxic + (1 - posterior[:, None]) * clean
-            residual = votes - expected
-            scale = np.sqrt((residual**2).mean(0)) + 1e-9
-            correlation = (residual.T @ residual / n) / np.outer(scale, scale)
-            tied = np.where(correlation > linked, correlation, 0)
-            np.fill_diagonal(tied, 1)
-            stands_for = tied.sum(1)
+        model = LabelModel(np.clip(np.maximum(toxic, 1.5 * clean), 1e-4, 0.999), np.clip(clean, 1e-5, 0.6), share, stands_for)
         posterior = model.posterior(votes)
-    return LabelModel(model.toxic, model.clean, share, stands_for)
+    return model
+
+
+def _residual_correlation(votes: np.ndarray, model: LabelModel) -> np.ndarray:
+    """Correlation of each pair of voters inside the classes that the other voters give."""
+    evidence = np.where(votes > 0, np.log(model.toxic / model.clean), np.log((1 - model.toxic) / (1 - model.clean))) / model.stands_for
+    total = math.log(model.share / (1 - model.share)) + evidence.sum(1)
+    k = votes.shape[1]
+    out = np.eye(k)
+    for i in range(k):
+        for j in range(i):
+            p = 1 / (1 + np.exp(-np.clip(total - evidence[:, i] - evidence[:, j], -30, 30)))
+            a, b = (votes[:, v] - (p @ votes[:, v] / (p.sum() + 1e-9)) * p - ((1 - p) @ votes[:, v] / ((1 - p).sum() + 1e-9)) * (1 - p) for v in (i, j))
+            out[i, j] = out[j, i] = (a @ b) / (math.sqrt((a @ a) * (b @ b)) + 1e-9)
+    return out
 
 
 def mine(rows: list[Counter], labels: np.ndarray, least: int = 4, z: float = 4.0) -> list[str]:

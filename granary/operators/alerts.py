@@ -28,7 +28,7 @@ def stockout_projection(plan: DataFrame, as_of: str | None = None, lead_time: in
     """Weeks of cover, stock-out date and latest order date.
 
     ``weeks_left`` is infinite when stock is there but nothing flows out. Dates are null with a
-    ``projection_note`` for the cases without a date.
+    ``projection_note`` for the cases without a date; one after the year 9999 is "beyond the calendar".
     """
     stock, mean = F.col("balance") + F.col("in_transit_qty"), F.col("mean_out")
     weeks = F.when(mean > 0, F.try_divide(stock, mean)).otherwise(
@@ -37,16 +37,23 @@ def stockout_projection(plan: DataFrame, as_of: str | None = None, lead_time: in
     today, left = as_of_date(as_of), F.col("weeks_left")
     dated = (mean > 0) & (left > 0)
 
+    days = F.datediff(F.lit("9999-12-31").cast("date"), today)  # that the calendar still has
+
     def later(span: Column) -> Column:
-        # a date beyond the calendar is no date: cap the days before the cast
-        return F.date_add(today, F.least(F.floor(span * 7), F.lit(2_000_000)).cast("int"))
+        whole = F.floor(span * 7)
+        return F.when(whole <= days, F.date_add(today, F.least(whole, days).cast("int")))
 
     return plan.withColumn("weeks_left", weeks).withColumns(
         {
             "stockout_date": F.when(dated, later(left)),
             "order_by_date": F.when(dated, later(F.greatest(F.lit(0.0), left - lead_time))),
             "projection_note": first_match(
-                [(mean <= 0, "no outflow, no estimate"), (left <= 0, "already out, order now")], "projected"
+                [
+                    (mean <= 0, "no outflow, no estimate"),
+                    (left <= 0, "already out, order now"),
+                    (F.floor(left * 7) > days, "beyond the calendar"),
+                ],
+                "projected",
             ),
         }
     )

@@ -148,10 +148,15 @@ def product_flow(summary: DataFrame, order: str | None = None) -> DataFrame:
     """Flow per item and its state: idle, consuming, accumulating or balanced.
 
     ``order`` names the column that decides which opening stock is first and which closing
-    stock is last; without it the input has one row per item.
+    stock is last; without it the input has to have one row per item, and several raise an error.
     """
-    first = F.min_by("opening_qty", order) if order else F.first("opening_qty")
-    last = F.max_by("closing_qty", order) if order else F.last("closing_qty")
+
+    def only(name: str):
+        several = F.raise_error(F.concat(F.lit("give an order: several rows of item "), F.col(ITEM)))
+        return F.when(F.count(F.lit(1)) > 1, several).otherwise(F.min(name))
+
+    first = F.min_by("opening_qty", order) if order else only("opening_qty")
+    last = F.max_by("closing_qty", order) if order else only("closing_qty")
     flow = summary.groupBy(ITEM).agg(
         total("in_qty").alias("total_in"),
         total("out_qty").alias("total_out"),

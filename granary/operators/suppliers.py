@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DecimalType
 
 from granary.functions.numeric import ratio, total
 from granary.schema import DEPENDENCY_LIMITS, ITEM, ON_TIME_LIMITS, QUALITY_LIMITS, STANDARD_NAMES, SUPPLIER_ALIASES
@@ -65,13 +66,15 @@ def delivery_risk(performance: DataFrame) -> DataFrame:
 def quality_performance(df: DataFrame) -> DataFrame:
     """Accepted share and number of batches per supplier; 0 when nothing was delivered.
 
-    Quantities are added as DECIMAL, so the share does not depend on how rows are split.
+    DECIMAL quantities are added as they are, all others as doubles: no size of number is lost.
     """
+
+    def added(name: str) -> Column:
+        exact = isinstance(df.schema[name].dataType, DecimalType)
+        return F.coalesce(F.sum(F.col(name) if exact else F.col(name).try_cast("double")).cast("double"), F.lit(0.0))
+
     by_supplier = df.groupBy("supplier").agg(
-        *[
-            F.coalesce(F.sum(F.expr(f"try_cast({name} AS decimal(18,4))")).cast("double"), F.lit(0.0)).alias(name)
-            for name in ("qualified_qty", "delivered_qty")
-        ],
+        *[added(name).alias(name) for name in ("qualified_qty", "delivered_qty")],
         F.count(F.lit(1)).alias("batches"),
     )
     return by_supplier.withColumn("quality_share", ratio(F.col("qualified_qty"), F.col("delivered_qty")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ class Ingested:
     mismatches: DataFrame
     window: DataFrame
     problems: DataFrame
+    folder: str
 
 
 def ingest_ledgers(
@@ -42,10 +44,11 @@ def ingest_ledgers(
 ) -> Ingested:
     """Read, clean and roll up wide ledgers.
 
-    The CSV text is parsed once: its rows go to ``<shared folder>/<name>`` as Parquet,
-    and summary, weekly and checks all start from there.
+    The CSV text is parsed once: its rows go to a new folder ``<shared folder>/<name>-<id>`` as Parquet, and summary,
+    weekly and checks all start from there. Runs of one name do not touch each other; ``folder`` of the result can be
+    deleted once its frames are used up.
     """
-    staged = f"{shared_folder(spark).rstrip('/')}/{name}"
+    staged = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     T.write_table(L.read_ledgers(spark, paths, width), staged)
     staged_rows = L.number_rows(spark.read.parquet(staged))
     data_row = header_row + 1 if data_row is None else data_row
@@ -74,6 +77,7 @@ def ingest_ledgers(
         mismatches=N.cross_validate(summary, weekly),
         window=N.week_window(daily),
         problems=L.layout_problems(layouts),
+        folder=staged,
     )
 
 

@@ -6,8 +6,6 @@ Rows are kept as (file, chunk, row_id, cells): ``chunk`` is the byte offset of t
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import BooleanType
@@ -19,37 +17,48 @@ _UNICODE = ("utf-8", "utf8", "utf-8-sig")
 
 
 def _place() -> tuple[Column, ...]:
+    # the reader gives paths as URIs; "+" is no space there
     return (
-        F.col("_metadata.file_path").alias("file"),
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("row_id"),
     )
 
 
-def infer_width(spark: SparkSession, paths: list[str] | str) -> int:
-    """Columns of the widest first line over all files (one pass; give ``width`` to save it)."""
-    lines = spark.read.text(paths).select("value", *_place()).filter("chunk = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "row_id").alias("line"))
-    return first.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
+def _lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Lines of all ``*.csv`` files as they stand there, with their place; the same files for every reader."""
+    return spark.read.text(paths, pathGlobFilter="*.csv").select("value", *_place())
+
+
+def infer_width(lines: DataFrame) -> int:
+    """Cells of the widest line, at most: commas inside quotes count too (one pass; give ``width`` to save it)."""
+    return lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+
+
+def _cells(lines: DataFrame, width: int) -> DataFrame:
+    """Decoded lines parsed into arrays of ``width`` cells; shorter lines end in nulls."""
+    names = [f"c{i}" for i in range(width)]
+    text = F.regexp_replace(F.rtrim(F.col("value"), F.lit("\r")), "^\ufeff", "")
+    # a blank line is no CSV record, as in Spark's own reader
+    kept = lines.where(F.trim(text) != "")
+    parsed = kept.withColumn("parsed", F.from_csv(text, ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"}))
+    return parsed.select("file", "chunk", "row_id", F.array(*[F.col("parsed")[n] for n in names]).alias("cells"))
 
 
 def read_ledger_csv(
     spark: SparkSession, paths: list[str] | str, encoding: str = "utf-8", width: int | None = None
 ) -> DataFrame:
-    """Ledger rows of all files; longer lines are cut at ``width``, shorter ones end in nulls.
-
-    Charsets outside Spark's short list need ``spark.sql.legacy.javaCharsets``, which is set on
-    the session here.
-    """
+    """Ledger rows of all files in one charset. Lines are cut only where a ``width`` is given."""
+    lines = _lines(spark, paths)
     if encoding not in _UNICODE:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    width = width or infer_width(spark, paths)
-    names = [f"c{i}" for i in range(width)]
-    reader = spark.read.schema(", ".join(f"{n} string" for n in names)).option("mode", "PERMISSIVE")
-    raw = reader.csv(
-        paths, header=False, encoding="UTF-8" if encoding in _UNICODE else encoding, pathGlobFilter="*.csv"
-    )
-    return raw.select(*_place(), F.array(*names).alias("cells"))
+        lines = lines.withColumn("value", _decoded(spark, encoding))
+    return _cells(lines, width or infer_width(lines))
+
+
+def _decoded(spark: SparkSession, encoding: str) -> Column:
+    """Charsets outside Spark's short list need ``spark.sql.legacy.javaCharsets``, which is set on the session here."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return F.decode(F.col("value").cast("binary"), encoding)
 
 
 @F.pandas_udf(BooleanType())
@@ -66,32 +75,34 @@ def _is_gbk(lines: pd.Series) -> pd.Series:
     return lines.map(readable)
 
 
+def _per_file(lines: DataFrame) -> DataFrame:
+    unicode = F.is_valid_utf8("value")
+    checked = lines.select("file", unicode.alias("utf8"), F.when(~unicode, F.col("value").cast("binary")).alias("raw"))
+    checked = checked.select("file", "utf8", _is_gbk("raw").alias("gbk"))
+    per_file = checked.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("gbk").alias("gbk"))
+    return per_file.select("file", F.when(F.col("utf8"), "utf-8").when(F.col("gbk"), "gbk").otherwise("latin-1").alias("encoding"))
+
+
 def probe_encoding(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(file, encoding): the first of utf-8, gbk and latin-1 that reads every line of the file.
 
     Lines arrive as raw bytes; only those that are no UTF-8 go to Python. GB2312 is part of GBK
     and a byte order mark is valid UTF-8, so three answers cover the five candidates.
     """
-    lines = spark.read.text(paths).select("value", _place()[0])
-    unicode = F.is_valid_utf8("value")
-    checked = lines.select("file", unicode.alias("utf8"), F.when(~unicode, F.col("value").cast("binary")).alias("raw"))
-    checked = checked.select("file", "utf8", _is_gbk("raw").alias("gbk"))
-    per_file = checked.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("gbk").alias("gbk"))
-    return per_file.select("file", F.when(F.col("utf8"), "utf-8").when(F.col("gbk"), "gbk").otherwise("latin-1").alias("encoding"))
+    return _per_file(_lines(spark, paths))
 
 
 def read_ledgers(spark: SparkSession, paths: list[str] | str, width: int | None = None) -> DataFrame:
-    """Ledger rows of files in mixed encodings: one reader per encoding found.
+    """Ledger rows of files in mixed encodings, in one plan: each line is decoded by what its file turned out to be.
 
-    The driver sees one line per file, as it does for any file listing.
+    No path goes through the driver, so any name will do. The join with one row per file is a broadcast at run time
+    where those rows are few, and Spark splits a large file where they are not.
     """
-    by_encoding: dict[str, list[str]] = {}
-    for row in probe_encoding(spark, paths).toLocalIterator():
-        by_encoding.setdefault(row["encoding"], []).append(row["file"])
-    width = width or infer_width(spark, paths)
-    frames = [read_ledger_csv(spark, sorted(files), enc, width) for enc, files in sorted(by_encoding.items())]
-    # row ids restart per reader, but they are only compared inside one file
-    return reduce(DataFrame.unionByName, frames)
+    lines = _lines(spark, paths)
+    known = lines.join(_per_file(lines), "file")
+    gbk, latin = _decoded(spark, "GBK"), _decoded(spark, "ISO-8859-1")
+    decoded = F.when(F.col("encoding") == "gbk", gbk).when(F.col("encoding") == "latin-1", latin).otherwise(F.col("value"))
+    return _cells(known.withColumn("value", decoded), width or infer_width(lines))
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
@@ -250,10 +261,14 @@ def extract_summary(
     )
 
 
-def unpivot_daily(numbered: DataFrame, layouts: DataFrame, data_row: int = 2, code_at: int = 1) -> DataFrame:
-    """Daily triplets as rows (item, date, in_qty, out_qty, balance, file, row_no)."""
+def unpivot_daily(numbered: DataFrame, layouts: DataFrame, data_row: int = 2, code_at: int | None = None) -> DataFrame:
+    """Daily triplets as rows (item, date, in_qty, out_qty, balance, file, row_no).
+
+    The code is in the column of the layout, or the second where the layout has none; ``code_at`` overrides both.
+    """
     rows = _data_rows(numbered, layouts, data_row)
-    rows = rows.withColumn(ITEM, F.get("cells", F.lit(code_at)))
+    at = F.coalesce(F.col(f"fields.{ITEM}"), F.lit(1)) if code_at is None else F.lit(code_at)
+    rows = rows.withColumn(ITEM, F.get("cells", at))
     rows = forward_fill(rows, [ITEM])
 
     def cell(block, shift: int) -> Column:

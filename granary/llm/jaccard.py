@@ -35,6 +35,7 @@ from granary.llm.common import slices, staged, text_column
 
 BROADCAST_ROWS = 1_000_000
 LEAF = 64
+BLOCK = 512
 PIVOT_ROUNDS = 3
 _FOLD = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -243,9 +244,7 @@ def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> Data
         """(x, y, inter, uni) of distinct pairs that pass the bounds of sizes and parities."""
         bounded = pairs.join(folds.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("fold").alias("fx")), "x")
         bounded = bounded.join(folds.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("fold").alias("fy")), "y")
-        least = F.greatest("nx", "ny") * num <= F.least("nx", "ny") * den
-        # |x ^ y| <= (den - num) / (den + num) * (|x| + |y|)
-        bounded = bounded.where(least & (_differing("fx", "fy") * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)))
+        bounded = bounded.where(_bounded("nx", "ny", "fx", "fy", num, den))
         sized = bounded.select("x", "y", "nx", "ny")
         left = sized.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
         both = left.join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
@@ -274,7 +273,7 @@ def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> Data
         links = links.unionByName(measured(pairs, "more").where(linked).select("x", "y"))
         done = done.unionByName(pivots.select("region", F.col("pivot").alias("id")))
         open_ = open_.select("region", "id")
-    return links.unionByName(_leaf_links(open_, done, sets, measured, linked, num, den))
+    return links.unionByName(_leaf_links(open_, sets, folds, measured, linked, num, den))
 
 
 def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -286,24 +285,41 @@ def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
     return named.where("low < high").drop("low", "high")
 
 
-def _leaf_links(open_: DataFrame, done: DataFrame, sets: DataFrame, measured, linked, num: int, den: int) -> DataFrame:
-    """Links among the members left over: rings around the region's first pivot, neighbours replicated, pairs verified."""
+def _leaf_links(open_: DataFrame, sets: DataFrame, folds: DataFrame, measured, linked, num: int, den: int) -> DataFrame:
+    """Links among the members left over: rings around a pivot, neighbours replicated, pairs within all bounds verified.
+
+    The join on region and ring keeps a pair only if the distances to the pivot, the sizes and the parities allow a
+    link, so near misses of a large region are no rows. Members of large regions are dealt to blocks besides.
+    """
     pivots = open_.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(-1))).alias("pivot"))
     near = open_.join(pivots, "region")
     pairs = staged(near.select("id", "pivot").distinct(), "rings")
     both = pairs.join(sets.withColumnRenamed("s", "s1"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("s2")), "pivot")
     inter = F.size(F.array_intersect("s1", "s2"))
-    distance = 1 - inter / (F.size("s1") + F.size("s2") - inter)
+    distances = staged(both.select("id", "pivot", (1 - inter / (F.size("s1") + F.size("s2") - inter)).alias("d")), "distances")
     window = (den - num) / den + 1e-9
-    rings = staged(both.select("id", "pivot", F.floor(distance / F.lit(window)).cast("int").alias("ring")), "distances")
-    placed = near.join(rings, ["id", "pivot"])
-    left = placed.select("region", F.col("id").alias("x"), F.col("group").alias("gx"), F.col("ring").alias("r"))
+    placed = near.join(distances, ["id", "pivot"]).join(folds, "id").withColumn("ring", F.floor(F.col("d") / window).cast("int"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    left = placed.select("region", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("ring").alias("r"), *[F.col(c).alias(f"x{c}") for c in ("id", "group", "d", "n", "fold")])
     # a pair of one ring meets there; one of neighbouring rings in the upper ring
-    right = placed.select("region", F.col("id").alias("y"), F.col("group").alias("gy"), F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("r"))
-    met = left.join(right, ["region", "r"]).where("gx <> gy AND x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    right = placed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    right = right.select("region", "block", F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("r"), *[F.col(c).alias(f"y{c}") for c in ("id", "group", "d", "n", "fold")])
+    same = [left[c] == right[c] for c in ("region", "block", "r")]
+    near_pivot = F.abs(left.xd - right.yd) <= window
+    # in one ring each pair stands twice
+    once = (left.xid < right.yid) | (F.floor(left.xd / window) != F.floor(right.yd / window))
+    apart = left.xgroup != right.ygroup
+    met = left.join(right, [*same, apart, once, near_pivot, _bounded("xn", "yn", "xfold", "yfold", num, den)])
+    met = met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct()
     return measured(met, "leaves").where(linked).select("x", "y")
 
 
+def _bounded(nx: str, ny: str, fx: str, fy: str, num: int, den: int) -> Column:
+    """What sizes and parities allow: |x ^ y| <= (den - num) / (den + num) * (|x| + |y|)."""
+    sizes = F.greatest(nx, ny) * num <= F.least(nx, ny) * den
+    return sizes & (_differing(fx, fy) * (den + num) <= (F.col(nx) + F.col(ny)) * (den - num))
+
+
 def _differing(a: str, b: str) -> Column:
     """The number of bits in which two arrays of longs differ."""
     return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(_FOLD // 64)), F.lit(0))

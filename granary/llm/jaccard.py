@@ -17,8 +17,9 @@ Windows. Members left over are dealt to rings by their distance to the pivot: a
 distances that differ by no more than it (triangle inequality), so each member is replicated to the neighbouring ring
 only, and pairs of one ring are verified exactly.
 
-Equal sets are one entry throughout. Before sets are fetched, a candidate pair has to pass a bound from 1024-bit
-parities: the number of bits that differ is at most the symmetric difference. Groups are found by label propagation
+Equal sets are one entry throughout. Before sets are fetched, a candidate pair has to pass a bound from bit parities,
+1024 of them and for large sets at least two for each n-gram: the number of bits that differ is at most the symmetric
+difference. Groups are found by label propagation
 with pointer jumping over written tables. N-grams are 64-bit hashes.
 """
 
@@ -143,22 +144,28 @@ class Classes:
 
 
 def describe(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, e, regions, fold): set size, digest of the set, its region keys and its parities."""
-    kinds = "doc_id long, n long, e long, regions array<long>, fold array<long>"
+    """(doc_id, n, e, regions, fold, wide): set size, digest of the set, its region keys and its parities."""
+    kinds = "doc_id long, n long, e long, regions array<long>, fold array<long>, wide array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes(num, den)
         for batch in slices(batches, "text"):
             rows = []
             for doc_id, s in zip(batch.doc_id, shingle_sets(batch.text.tolist(), size), strict=True):
-                fold = np.packbits((np.bincount((s & np.uint64(_FOLD - 1)).astype(np.int64), minlength=_FOLD) & 1).astype(np.uint8)).view(np.int64)
-                rows.append((doc_id, len(s), digest(s), classes.regions(s).view(np.int64), fold))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "e", "regions", "fold"]).astype({"doc_id": "Int64"})
+                wide = parities(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > _FOLD else None
+                rows.append((doc_id, len(s), digest(s), classes.regions(s).view(np.int64), parities(s, _FOLD), wide))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "e", "regions", "fold", "wide"]).astype({"doc_id": "Int64"})
 
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_column(text_col).alias("text"))
     return chosen.mapInPandas(run, kinds)
 
 
+def parities(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the number of shingles is odd for every value of their low bits, packed; halves of it add up to the half as wide."""
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def digest(shingles: np.ndarray) -> int:
     """64 bits that name the set."""
     with np.errstate(over="ignore"):
@@ -238,13 +245,14 @@ def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> Data
             yield pd.DataFrame({"id": [digest(x) for x in found], "s": [x.view(np.int64) for x in found]})
 
     sets = staged(wanted.mapInPandas(run, "id long, s array<long>"), "shingles").dropDuplicates(["id"])
-    folds = staged(known.join(_sized(heads, n_active), "id", "left_semi").select("id", "n", "fold").dropDuplicates(["id"]), "folds")
+    folds = staged(known.join(_sized(heads, n_active), "id", "left_semi").select("id", "n", "fold", "wide").dropDuplicates(["id"]), "folds")
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         """(x, y, inter, uni) of distinct pairs that pass the bounds of sizes and parities."""
-        bounded = pairs.join(folds.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("fold").alias("fx")), "x")
-        bounded = bounded.join(folds.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("fold").alias("fy")), "y")
-        bounded = bounded.where(_bounded("nx", "ny", "fx", "fy", num, den))
+        bounded = pairs.join(folds.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("fold").alias("fx"), F.col("wide").alias("wx")), "x")
+        bounded = bounded.join(folds.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("fold").alias("fy"), F.col("wide").alias("wy")), "y")
+        wide = _folded_difference("wx", "wy", num, den) * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)
+        bounded = bounded.where(_bounded("nx", "ny", "fx", "fy", num, den)).where(F.coalesce(wide, F.lit(True)))
         sized = bounded.select("x", "y", "nx", "ny")
         left = sized.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
         both = left.join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
@@ -325,6 +333,19 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(_FOLD // 64)), F.lit(0))
 
 
+def _folded_difference(a: str, b: str, num: int, den: int) -> Column:
+    """Bits in which two parities differ, the wider one folded to the width of the other; null where one is null."""
+
+    def half(c: Column) -> Column:
+        middle = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, 1, middle), F.slice(c, middle + 1, middle), lambda x, y: x.bitwiseXOR(y))
+
+    x, y = F.col(a), F.col(b)
+    for _ in range(max(1, (den // num).bit_length())):  # sizes differ by less than den / num
+        x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, d: t + d)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, group) for every node of the links: the smallest id of its component.
 

@@ -5,3 +5,4 @@ import checks.forecasting  # noqa: F401
 import checks.planning_chain  # noqa: F401
 import checks.ledgers  # noqa: F401
 import checks.whole_chain  # noqa: F401
+import checks.full_grain  # noqa: F401

@@ -1,12 +1,13 @@
 """Licence statements by a positional index of rare words, in DataFrame functions only.
 
-Templates are short licence wordings. Their words are counted over the whole corpus first; those in few documents are
-rare and carry the weight log(N / df). Each file looks up its licence words of the highest weight, every occurrence
-votes for the place in the file where the template would start (its position less the word's position in the
-template), and the place with the most weight is the candidate: its share of the template's weight is the score. A
-label is given only if the template's mandatory key phrase stands at its place. Fixed base phrases are found apart
-from this, at every place where their words follow one another. The templates are literals of bounded size, so
-everything happens inside the row and no shuffle depends on the texts.
+Templates are short licence wordings. One pass over the texts writes the positional index: per file the places of the
+templates' words, function words left out. Document frequencies come from the index; words in few documents are rare
+and carry the weight log(N / df). Each file looks up its licence words of the highest weight, every occurrence votes
+for the place in the file where the template would start (its position less the word's position in the template), and
+the place with the most weight is the candidate: its share of the template's weight is the score. A label is given
+only if the template's mandatory key phrase stands at its place. Fixed base phrases are found apart from this, at
+every place where their words follow one another. The templates are literals of bounded size, so everything happens
+inside the row and no shuffle depends on the texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from granary.llm.common import text_column
+from granary.llm.common import staged, text_column
 
 # fixed values: phrase and label
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -38,49 +39,65 @@ TEMPLATES = [
     ("cc0", "dedicated to the public domain under the creative commons cc0 1 0 universal", "creative commons cc0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE_SHARE = 0.05
 LOOKED_UP = 16
 LEAST_SCORE = 0.6
 
 
-def word_array(text_col: str = "text") -> Column:
-    """Words of the whole text with A-Z in lower case; null is the empty text."""
-    lower = F.translate(text_column(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+# never looked up: too frequent in any corpus
+FUNCTION_WORDS = frozenset("a and any are by for from in into is nc nd of on or sa the this to under use v with without 0 1 2 3 4".split())
+VOCABULARY = sorted({w for _, wording, _ in TEMPLATES for w in wording.split()} - FUNCTION_WORDS)
+_HITS = "array<struct<w:string,i:int>>"
 
 
-def weights(docs: DataFrame, text_col: str = "text", rare_share: float = RARE_SHARE) -> dict[str, float]:
-    """log(N / df) of the templates' words that at most ``rare_share`` of all documents have (or, in few documents, one)."""
-    vocabulary = sorted({w for _, wording, _ in TEMPLATES for w in wording.split()})
-    present = docs.select(F.array_intersect(F.array(*map(F.lit, vocabulary)), word_array(text_col)).alias("found"))
-    counted = present.select(F.explode("found").alias("word")).groupBy("word").count()
-    df = {r[0]: r[1] for r in counted.collect()}  # at most the vocabulary
-    total = max(docs.count(), 1)
-    most = max(1.0, rare_share * total)
-    return {w: math.log((total + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary if df.get(w, 0) <= most}
+def word_array(text_col: str = "text") -> Column:
+    """Words of the whole text in lower case; null is the empty text.
 
+    Lower case of other letters than A-Z moves no word limit. The one that turns into an ASCII letter is the Kelvin
+    sign, into k: no base phrase has a k, and one template word ("sharealike").
+    """
+    return F.array_remove(F.split(F.lower(text_column(text_col)), GAP), "")
 
-def scan(docs: DataFrame, rare: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
-    Null and empty texts have no words, no places and no labels (empty strings). Repeated rows stay. A template whose
-    words are all frequent in the corpus finds nothing; its score is 0.
-    """
+def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional index: (doc_id, n_words, at0.., hits, words), with the words of files that have hits only."""
     words = F.col("words")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_array(text_col).alias("words"))
     # words padded by spaces of their own, so that a contained phrase is a phrase of whole words
     rows = rows.withColumn("padded", F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
-    none = F.array().cast("array<int>")
+    vocabulary = F.array(*map(F.lit, VOCABULARY))
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
         runs = F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), lambda i: _all(F.get(words, i + j) == F.lit(w) for j, w in enumerate(parts)))
-        return F.when(F.contains("padded", F.lit(_padded(phrase))), runs).otherwise(none)
+        return F.when(F.contains("padded", F.lit(_padded(phrase))), runs).otherwise(F.array().cast("array<int>"))
+
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    hits = F.when(F.arrays_overlap(words, vocabulary), F.filter(placed, lambda x: F.array_contains(vocabulary, x["w"]))).otherwise(F.array().cast(_HITS))
+    rows = rows.withColumns({"hits": hits, **{f"at{i}": places(p) for i, p in enumerate(BASE)}})
+    kept = F.when(F.size("hits") > 0, words).alias("words")
+    return rows.select("doc_id", F.size(words).cast("long").alias("n_words"), *[f"at{i}" for i in range(len(BASE))], "hits", kept)
 
-    rows = rows.withColumns({f"at{i}": places(p) for i, p in enumerate(BASE)})
-    looked_up = _looked_up(words, rare)
-    rows = rows.withColumn("rare", looked_up)
+
+def weights(index: DataFrame, rare_share: float = RARE_SHARE) -> dict[str, float]:
+    """log(N / df) of the words of the vocabulary that at most ``rare_share`` of all documents have (or, in few documents, one)."""
+    counted = index.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("word")).groupBy("word").count()
+    df = {r[0]: r[1] for r in counted.collect()}  # at most the vocabulary
+    total = max(index.count(), 1)
+    most = max(1.0, rare_share * total)
+    return {w: math.log((total + 1) / (df.get(w, 0) + 0.5)) for w in VOCABULARY if df.get(w, 0) <= most}
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_share: float = RARE_SHARE) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
+
+    Null and empty texts have no words, no places and no labels (empty strings). Repeated rows stay. A template whose
+    words are all frequent in the corpus finds nothing; its score is 0.
+    """
+    index = staged(positions(docs, id_col, text_col), "positions")
+    rare = weights(index, rare_share)
+    rows = index.withColumn("rare", _looked_up(rare))
     scores = {}
     for i, (_, wording, key) in enumerate(TEMPLATES):
         scores[f"score{i}"] = F.when(F.size("rare") > 0, _score(wording, key, rare)).otherwise(F.lit(0.0))
@@ -91,7 +108,7 @@ def scan(docs: DataFrame, rare: dict[str, float], id_col: str = "doc_id", text_c
     best = F.greatest(*[F.col(c) for c in scores], F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return rows.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        "n_words",
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
@@ -116,14 +133,13 @@ def _joined(labels: list[Column]) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
 
 
-def _looked_up(words: Column, rare: dict[str, float]) -> Column:
+def _looked_up(rare: dict[str, float]) -> Column:
     """(word, place) of the file's ``LOOKED_UP`` licence words of the highest weight, all occurrences."""
     if not rare:
-        return F.array().cast("array<struct<w:string,i:int>>")
+        return F.array().cast(_HITS)
     by_weight = F.array(*[F.lit(w) for w in sorted(rare, key=lambda w: (-rare[w], w))])
-    present = F.slice(F.array_intersect(by_weight, words), 1, LOOKED_UP)
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    return F.when(F.arrays_overlap(words, by_weight), F.filter(placed, lambda x: F.array_contains(present, x["w"]))).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
+    present = F.slice(F.array_intersect(by_weight, F.transform("hits", lambda x: x["w"])), 1, LOOKED_UP)
+    return F.when(F.size("hits") > 0, F.filter("hits", lambda x: F.array_contains(present, x["w"]))).otherwise(F.array().cast(_HITS))
 
 
 def _score(wording: str, key: str, rare: dict[str, float]) -> Column:

@@ -108,8 +108,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_rare_licence_words")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return licences.scan(docs, licences.weights(docs))
+    return licences.scan(table(spark, sf_dir, "documents"))
 
 
 @query("op4_jaccard_regions")

@@ -140,14 +140,14 @@ def test_licences(spark):
         "cc",
     ] + ["plain words of a text that has no such statement"] * 60
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, words string, score string")
-    rows = {r.doc_id: r for r in licences.scan(docs, licences.weights(docs, rare_share=0.2)).collect()}
+    rows = {r.doc_id: r for r in licences.scan(docs, rare_share=0.2).collect()}
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
         r = rows[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == scan_brute(t)
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
     assert [rows[i].labels for i in (4, 5, 6, 7, 8, 9, 12)] == ["mit", "apache-2.0", "gpl,gpl-3.0", "cc-by,cc-by-nc", "", "apache-2.0,mit", ""]
-    assert licences.scan(docs.limit(0), licences.weights(docs.limit(0))).count() == 0
+    assert licences.scan(docs.limit(0)).count() == 0
 
 
 PAGE = """<html><head><title>No</title></head><body><header class="site-header"><a href=/>Home</a></header>

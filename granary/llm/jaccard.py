@@ -244,8 +244,8 @@ def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> Data
             found = shingle_sets(batch.text.tolist(), size)
             yield pd.DataFrame({"id": [digest(x) for x in found], "s": [x.view(np.int64) for x in found]})
 
-    sets = staged(wanted.mapInPandas(run, "id long, s array<long>"), "shingles").dropDuplicates(["id"])
-    folds = staged(known.join(_sized(heads, n_active), "id", "left_semi").select("id", "n", "fold", "wide").dropDuplicates(["id"]), "folds")
+    sets = staged(wanted.mapInPandas(run, "id long, s array<long>"), "shingles")
+    folds = staged(known.join(_sized(heads, n_active), "id", "left_semi").select("id", "n", "fold", "wide"), "folds")
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         """(x, y, inter, uni) of distinct pairs that pass the bounds of sizes and parities."""
@@ -253,11 +253,13 @@ def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> Data
         bounded = bounded.join(folds.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("fold").alias("fy"), F.col("wide").alias("wy")), "y")
         wide = _folded_difference("wx", "wy", num, den) * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)
         bounded = bounded.where(_bounded("nx", "ny", "fx", "fy", num, den)).where(F.coalesce(wide, F.lit(True)))
-        sized = bounded.select("x", "y", "nx", "ny")
-        left = sized.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
-        both = left.join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
+        sized = staged(bounded.select("x", "y", "nx", "ny").distinct(), f"{name}-pairs")
+        needed = sets.join(_sized(sized.select(F.explode(F.array("x", "y")).alias("id")).distinct(), 2 * sized.count()), "id", "left_semi")
+        left = sized.join(needed.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
+        both = left.join(needed.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
         inter = F.size(F.array_intersect("sx", "sy")).cast("long")
-        return staged(both.select("x", "y", inter.alias("inter"), (F.col("nx") + F.col("ny") - inter).alias("uni")), name)
+        # an id on several rows brings its set several times
+        return staged(both.select("x", "y", inter.alias("inter"), (F.col("nx") + F.col("ny") - inter).alias("uni")).distinct(), name)
 
     linked = F.col("inter") * den >= F.col("uni") * num
     # first pivots: every member of a region against the pivot
@@ -302,9 +304,10 @@ def _leaf_links(open_: DataFrame, sets: DataFrame, folds: DataFrame, measured, l
     pivots = open_.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(-1))).alias("pivot"))
     near = open_.join(pivots, "region")
     pairs = staged(near.select("id", "pivot").distinct(), "rings")
-    both = pairs.join(sets.withColumnRenamed("s", "s1"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("s2")), "pivot")
+    needed = sets.join(_sized(pairs.select(F.explode(F.array("id", "pivot")).alias("id")).distinct(), 2 * pairs.count()), "id", "left_semi")
+    both = pairs.join(needed.withColumnRenamed("s", "s1"), "id").join(needed.select(F.col("id").alias("pivot"), F.col("s").alias("s2")), "pivot")
     inter = F.size(F.array_intersect("s1", "s2"))
-    distances = staged(both.select("id", "pivot", (1 - inter / (F.size("s1") + F.size("s2") - inter)).alias("d")), "distances")
+    distances = staged(both.select("id", "pivot", (1 - inter / (F.size("s1") + F.size("s2") - inter)).alias("d")).distinct(), "distances")
     window = (den - num) / den + 1e-9
     placed = near.join(distances, ["id", "pivot"]).join(folds, "id").withColumn("ring", F.floor(F.col("d") / window).cast("int"))
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -52,11 +53,11 @@ def words(text: str) -> set[str]:
 
 def units(found: set[str]) -> Counter:
     """Words and word beginnings, each with the number of distinct words that have it."""
-    out = Counter(found)
+    out = Counter(map(intern, found))  # rows of the sample share their strings
     for word in found:
         for n in PREFIXES:
             if len(word) > n:
-                out[word[:n] + "*"] += 1
+                out[intern(word[:n] + "*")] += 1
     return out
 
 

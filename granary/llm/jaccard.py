@@ -266,50 +266,48 @@ def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> Data
     stars = shared.where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
     links = measured(stars, "stars").where(linked).select("x", "y")
     done = shared.select("region", F.col("pivot").alias("id")).distinct()
-    open_ = shared.select("region", "id")
-    for step in range(PIVOT_ROUNDS):
-        links, open_ = staged(links, "links"), _unsettled(open_, links)
-        sizes = W.partitionBy("region")
-        open_ = staged(open_.withColumn("many", F.count(F.lit(1)).over(sizes)), "open")
-        if step == PIVOT_ROUNDS - 1:
-            break
+    links = staged(links, "links")
+    open_ = staged(_unsettled(shared.select("region", "id"), links), "open")
+    small, large = open_.where(F.col("many") <= LEAF), open_.where(F.col("many") > LEAF)
+    for step in range(1, PIVOT_ROUNDS):
         # large regions recur with their next pivot, by another hash each time
-        again = open_.where(F.col("many") > LEAF).join(done, ["region", "id"], "left_anti")
-        pivots = again.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(step))).alias("pivot"))
+        again = large.join(done, ["region", "id"], "left_anti")
+        pivots = staged(again.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(step))).alias("pivot")), "pivots")
         if pivots.isEmpty():
             break
-        pivots = staged(pivots, "pivots")
-        pairs = open_.join(pivots, "region").where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
-        links = links.unionByName(measured(pairs, "more").where(linked).select("x", "y"))
+        pairs = large.join(pivots, "region").where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
+        links = staged(links.unionByName(measured(pairs, "more").where(linked).select("x", "y")), "links")
         done = done.unionByName(pivots.select("region", F.col("pivot").alias("id")))
-        open_ = open_.select("region", "id")
-    return links.unionByName(_leaf_links(open_, sets, folds, measured, linked, num, den))
+        large = staged(_unsettled(large.select("region", "id"), links), "open")
+    return links.unionByName(_leaf_links(small, large, sets, folds, measured, linked, num, den))
 
 
 def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(region, id, group) of the regions whose members are in several groups."""
+    """(region, id, group, many) of the regions whose members are in several groups."""
     groups = connected(links)
     named = members.join(groups, members.id == groups.node, "left").select("region", "id", F.coalesce("group", "id").alias("group"))
     inside = W.partitionBy("region")
-    named = named.withColumn("low", F.min("group").over(inside)).withColumn("high", F.max("group").over(inside))
+    named = named.withColumns({"low": F.min("group").over(inside), "high": F.max("group").over(inside), "many": F.count(F.lit(1)).over(inside)})
     return named.where("low < high").drop("low", "high")
 
 
-def _leaf_links(open_: DataFrame, sets: DataFrame, folds: DataFrame, measured, linked, num: int, den: int) -> DataFrame:
+def _leaf_links(small: DataFrame, large: DataFrame, sets: DataFrame, folds: DataFrame, measured, linked, num: int, den: int) -> DataFrame:
     """Links among the members left over: rings around a pivot, neighbours replicated, pairs within all bounds verified.
 
     The join on region and ring keeps a pair only if the distances to the pivot, the sizes and the parities allow a
-    link, so near misses of a large region are no rows. Members of large regions are dealt to blocks besides.
+    link, so near misses of a large region are no rows. Members of large regions are dealt to blocks besides; a small
+    region is one ring, for it has fewer pairs than distances are worth.
     """
-    pivots = open_.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(-1))).alias("pivot"))
-    near = open_.join(pivots, "region")
+    pivots = large.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(-1))).alias("pivot"))
+    near = large.join(pivots, "region")
     pairs = staged(near.select("id", "pivot").distinct(), "rings")
     needed = sets.join(_sized(pairs.select(F.explode(F.array("id", "pivot")).alias("id")).distinct(), 2 * pairs.count()), "id", "left_semi")
     both = pairs.join(needed.withColumnRenamed("s", "s1"), "id").join(needed.select(F.col("id").alias("pivot"), F.col("s").alias("s2")), "pivot")
     inter = F.size(F.array_intersect("s1", "s2"))
     distances = staged(both.select("id", "pivot", (1 - inter / (F.size("s1") + F.size("s2") - inter)).alias("d")).distinct(), "distances")
     window = (den - num) / den + 1e-9
-    placed = near.join(distances, ["id", "pivot"]).join(folds, "id").withColumn("ring", F.floor(F.col("d") / window).cast("int"))
+    placed = near.join(distances, ["id", "pivot"]).drop("pivot").unionByName(small.withColumn("d", F.lit(0.0)))
+    placed = placed.join(folds.drop("wide"), "id").withColumn("ring", F.floor(F.col("d") / window).cast("int"))
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     left = placed.select("region", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("ring").alias("r"), *[F.col(c).alias(f"x{c}") for c in ("id", "group", "d", "n", "fold")])
     # a pair of one ring meets there; one of neighbouring rings in the upper ring

@@ -161,7 +161,7 @@ def _encoder(path: str, pattern: str) -> tuple[Ranks, Memory]:
             begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
             yield ranks.encode(data, begins[np.cumsum([len(x) for x in split(text)], dtype=np.int64)])
 
-    return ranks, Memory(encode)
+    return ranks, Memory(encode, most=300_000, joined=2_000_000)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -175,7 +175,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, memory = _encoder(path, pattern)
-        for batch in slices(batches, "text", 16_000_000):
+        for batch in slices(batches, "text", 6_000_000):
             rows = []
             for doc_id, coded in zip(batch.doc_id, memory.batch(batch.text.tolist()), strict=True):
                 ids = np.frombuffer(coded, "<u4")

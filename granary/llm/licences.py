@@ -2,9 +2,9 @@
 
 Templates are short licence wordings. One pass over the texts writes the positional index: per file the places of the
 templates' words, function words left out. Document frequencies come from the index; words in few documents are rare
-and carry the weight log(N / df). Each file looks up its licence words of the highest weight, every occurrence votes
-for the place in the file where the template would start (its position less the word's position in the template), and
-the place with the most weight is the candidate: its share of the template's weight is the score. A label is given
+and carry the weight log(N / df). Every occurrence of a template's word votes for the place in the file where the
+template would start (its position less the word's position in the template), however many licence words the file has,
+and the place with the most weight is the candidate: its share of the template's weight is the score. A label is given
 only if the template's mandatory key phrase stands at its place. Fixed base phrases are found apart from this, at
 every place where their words follow one another. The templates are literals of bounded size, so everything happens
 inside the row and no shuffle depends on the texts.
@@ -41,7 +41,6 @@ TEMPLATES = [
 ]
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE_SHARE = 0.05
-LOOKED_UP = 16
 LEAST_SCORE = 0.6
 
 
@@ -97,11 +96,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_s
     """
     index = staged(positions(docs, id_col, text_col), "positions")
     rare = weights(index, rare_share)
-    rows = index.withColumn("rare", _looked_up(rare))
     scores = {}
     for i, (_, wording, key) in enumerate(TEMPLATES):
-        scores[f"score{i}"] = F.when(F.size("rare") > 0, _score(wording, key, rare)).otherwise(F.lit(0.0))
-    rows = rows.withColumns(scores)
+        scores[f"score{i}"] = F.when(F.size("hits") > 0, _score(wording, key, rare)).otherwise(F.lit(0.0))
+    rows = index.withColumns(scores)
     every = F.concat(*[f"at{i}" for i in range(len(BASE))])
     base = [F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())]
     own = [F.when(F.col(f"score{i}") >= LEAST_SCORE, F.lit(label)) for i, (label, _, _) in enumerate(TEMPLATES)]
@@ -133,15 +131,6 @@ def _joined(labels: list[Column]) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
 
 
-def _looked_up(rare: dict[str, float]) -> Column:
-    """(word, place) of the file's ``LOOKED_UP`` licence words of the highest weight, all occurrences."""
-    if not rare:
-        return F.array().cast(_HITS)
-    by_weight = F.array(*[F.lit(w) for w in sorted(rare, key=lambda w: (-rare[w], w))])
-    present = F.slice(F.array_intersect(by_weight, F.transform("hits", lambda x: x["w"])), 1, LOOKED_UP)
-    return F.when(F.size("hits") > 0, F.filter("hits", lambda x: F.array_contains(present, x["w"]))).otherwise(F.array().cast(_HITS))
-
-
 def _score(wording: str, key: str, rare: dict[str, float]) -> Column:
     """The largest share of a template's rare weight at one place of the file, 0 where the key phrase is not at its place there."""
     template, key_words = wording.split(), key.split()
@@ -149,20 +138,17 @@ def _score(wording: str, key: str, rare: dict[str, float]) -> Column:
     for i, w in enumerate(template):
         if w in rare:
             at.setdefault(w, i)  # the first place of a word in the template
-    # a file looks up a limited number of words: of a template's own, those of the highest weight count
-    at = {w: at[w] for w in sorted(at, key=lambda w: (-rare[w], w))[:LOOKED_UP]}
     total = sum(rare[w] for w in at)
     if not total:
         return F.lit(0.0)
-    where = F.create_map(*[F.lit(x) for w, i in at.items() for x in (w, i)])
-    weight = F.create_map(*[F.lit(x) for w in at for x in (w, rare[w])])
-    own = F.filter("rare", lambda x: F.map_contains_key(where, x["w"]))
-    starts = F.array_distinct(F.transform(own, lambda x: x["i"] - where[x["w"]]))
     begin = next(i for i in range(len(template)) if template[i : i + len(key_words)] == key_words)
+    # only places with the key phrase count, so every occurrence of its rarest word gives all of them
+    asked = max((w for w in key_words if w in VOCABULARY), key=lambda w: rare.get(w, 0.0))
+    starts = F.transform(F.filter("hits", lambda x: x["w"] == F.lit(asked)), lambda x: x["i"] - template.index(asked, begin))
     verified = F.filter(starts, lambda s: (s + begin >= 0) & _all(F.get("words", s + begin + j) == F.lit(w) for j, w in enumerate(key_words)))
 
     def share(s: Column) -> Column:
-        agreeing = F.filter(own, lambda x: (x["i"] - where[x["w"]]) == s)
-        return F.aggregate(agreeing, F.lit(0.0), lambda a, x: a + weight[x["w"]]) / F.lit(total)
+        """What the words that stand at their places weigh: each of them votes for this start."""
+        return sum((F.when(F.get("words", s + i) == F.lit(w), F.lit(rare[w])).otherwise(F.lit(0.0)) for w, i in at.items()), F.lit(0.0)) / F.lit(total)
 
     return F.coalesce(F.array_max(F.transform(verified, share)), F.lit(0.0))

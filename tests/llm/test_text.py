@@ -150,6 +150,23 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+NOTICES = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "Licensed under the Apache License, Version 2.0.",
+    "Released under the MIT License.",
+    "Licensed under the GNU General Public License, version 3.",
+    "Subject to the terms of the Mozilla Public License, v. 2.0.",
+]
+
+
+def test_licences_of_many_notices(spark):
+    texts = [" ".join(NOTICES), "a person may copy the source of free software subject to terms " * 500 + NOTICES[2], *["plain words"] * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licences.scan(docs).collect()}
+    assert [rows[i].labels for i in range(3)] == ["apache-2.0,bsd,gpl,gpl-3.0,mit,mpl-2.0", "apache-2.0", ""]
+
+
 PAGE = """<html><head><title>No</title></head><body><header class="site-header"><a href=/>Home</a></header>
 <nav><ul><li><a href=x>one</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 {open}<h1>A title</h1><p>It is a text about the &amp; and what was in it, as it should be for all of us who

@@ -1,13 +1,14 @@
 """Licence statements by a positional index of rare words, in DataFrame functions only.
 
 Templates are short licence wordings. One pass over the texts writes the positional index: per file the places of the
-templates' words, function words left out. Document frequencies come from the index; words in few documents are rare
-and carry the weight log(N / df). Every occurrence of a template's word votes for the place in the file where the
-template would start (its position less the word's position in the template), however many licence words the file has,
-and the place with the most weight is the candidate: its share of the template's weight is the score. A label is given
-only if the template's mandatory key phrase stands at its place. Fixed base phrases are found apart from this, at
-every place where their words follow one another. The templates are literals of bounded size, so everything happens
-inside the row and no shuffle depends on the texts.
+templates' words, function words left out. Document frequencies come from the index; a word carries the weight log(N /
+df), so words in few documents count most, and no word is dropped for being frequent. Every occurrence of a template's
+word votes for the place in the file where the template would start (its position less the word's position in the
+template), however many licence words the file has, and the place with the most weight is the candidate: its share of
+the template's weight, or of its words where that is more, is the score. A label is given only if the template's
+mandatory key phrase stands at its place. Fixed base phrases are found apart from this, at every place where their
+words follow one another. The templates are literals of bounded size, so everything happens inside the row and no
+shuffle depends on the texts.
 """
 
 from __future__ import annotations
@@ -80,25 +81,25 @@ def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def weights(index: DataFrame, rare_share: float = RARE_SHARE) -> dict[str, float]:
-    """log(N / df) of the words of the vocabulary that at most ``rare_share`` of all documents have (or, in few documents, one)."""
+    """log(N / df) of the words of the vocabulary, above 0; a word in more than ``rare_share`` of all documents weighs as one in that share."""
     counted = index.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("word")).groupBy("word").count()
     df = {r[0]: r[1] for r in counted.collect()}  # at most the vocabulary
     total = max(index.count(), 1)
     most = max(1.0, rare_share * total)
-    return {w: math.log((total + 1) / (df.get(w, 0) + 0.5)) for w in VOCABULARY if df.get(w, 0) <= most}
+    return {w: math.log((total + 1) / (min(df.get(w, 0), most) + 0.5)) for w in VOCABULARY}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_share: float = RARE_SHARE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
-    Null and empty texts have no words, no places and no labels (empty strings). Repeated rows stay. A template whose
-    words are all frequent in the corpus finds nothing; its score is 0.
+    Null and empty texts have no words, no places and no labels (empty strings). Repeated rows stay. A notice keeps its
+    label however many documents have it.
     """
     index = staged(positions(docs, id_col, text_col), "positions")
-    rare = weights(index, rare_share)
+    weight = weights(index, rare_share)
     scores = {}
     for i, (_, wording, key) in enumerate(TEMPLATES):
-        scores[f"score{i}"] = F.when(F.size("hits") > 0, _score(wording, key, rare)).otherwise(F.lit(0.0))
+        scores[f"score{i}"] = F.when(F.size("hits") > 0, _score(wording, key, weight)).otherwise(F.lit(0.0))
     rows = index.withColumns(scores)
     every = F.concat(*[f"at{i}" for i in range(len(BASE))])
     base = [F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())]
@@ -131,24 +132,24 @@ def _joined(labels: list[Column]) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
 
 
-def _score(wording: str, key: str, rare: dict[str, float]) -> Column:
-    """The largest share of a template's rare weight at one place of the file, 0 where the key phrase is not at its place there."""
+def _score(wording: str, key: str, weight: dict[str, float]) -> Column:
+    """The largest share of a template's words at one place of the file, 0 where the key phrase is not at its place there.
+
+    The share is the larger one of weight and of number: the weights depend on the other documents, and a wording that
+    stands in many of them would lose its label by them.
+    """
     template, key_words = wording.split(), key.split()
-    at: dict[str, int] = {}
-    for i, w in enumerate(template):
-        if w in rare:
-            at.setdefault(w, i)  # the first place of a word in the template
-    total = sum(rare[w] for w in at)
-    if not total:
-        return F.lit(0.0)
+    at = {w: template.index(w) for w in dict.fromkeys(template) if w in weight}  # the first place of a word in the template
+    total = sum(weight[w] for w in at)
     begin = next(i for i in range(len(template)) if template[i : i + len(key_words)] == key_words)
     # only places with the key phrase count, so every occurrence of its rarest word gives all of them
-    asked = max((w for w in key_words if w in VOCABULARY), key=lambda w: rare.get(w, 0.0))
+    asked = max((w for w in key_words if w in weight), key=lambda w: weight[w])
     starts = F.transform(F.filter("hits", lambda x: x["w"] == F.lit(asked)), lambda x: x["i"] - template.index(asked, begin))
     verified = F.filter(starts, lambda s: (s + begin >= 0) & _all(F.get("words", s + begin + j) == F.lit(w) for j, w in enumerate(key_words)))
 
-    def share(s: Column) -> Column:
-        """What the words that stand at their places weigh: each of them votes for this start."""
-        return sum((F.when(F.get("words", s + i) == F.lit(w), F.lit(rare[w])).otherwise(F.lit(0.0)) for w, i in at.items()), F.lit(0.0)) / F.lit(total)
+    def share(s: Column, of: dict[str, float], whole: float) -> Column:
+        """Each word that stands at its place votes for this start."""
+        return sum((F.when(F.get("words", s + i) == F.lit(w), F.lit(of[w])).otherwise(F.lit(0.0)) for w, i in at.items()), F.lit(0.0)) / F.lit(whole)
 
-    return F.coalesce(F.array_max(F.transform(verified, share)), F.lit(0.0))
+    best = F.transform(verified, lambda s: F.greatest(share(s, weight, total), share(s, dict.fromkeys(at, 1.0), float(len(at)))))
+    return F.coalesce(F.array_max(best), F.lit(0.0))

@@ -167,6 +167,18 @@ def test_licences_of_many_notices(spark):
     assert [rows[i].labels for i in range(3)] == ["apache-2.0,bsd,gpl,gpl-3.0,mit,mpl-2.0", "apache-2.0", ""]
 
 
+def test_licences_of_frequent_notices(spark):
+    def labels(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return [r.labels for r in licences.scan(docs).orderBy("doc_id").collect()]
+
+    plain = ["plain words"] * 40
+    assert labels(NOTICES * 2) == ["mit", "bsd", "apache-2.0", "mit", "gpl,gpl-3.0", "mpl-2.0"] * 2
+    # a group that holds a third of all rows, and a shorter statement beside it
+    assert labels([f"Text {i}. {NOTICES[3]}" for i in range(20)] + ["Under the MIT License"] + plain) == ["mit"] * 21 + [""] * 40
+    assert labels(["Under the MIT License"] * 20 + plain) == ["mit"] * 20 + [""] * 40
+
+
 PAGE = """<html><head><title>No</title></head><body><header class="site-header"><a href=/>Home</a></header>
 <nav><ul><li><a href=x>one</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 {open}<h1>A title</h1><p>It is a text about the &amp; and what was in it, as it should be for all of us who

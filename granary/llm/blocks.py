@@ -1,8 +1,9 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass classifies each block by itself: link density, length
-and the density of stop words (English, French, German, Spanish) make it good, bad, nearly good or short, and markup
-that states its own role (article, nav, footer, a class such as "sidebar") decides outright. In the second pass the
+and the density of stop words (English, French, German, Spanish) make it good, bad, nearly good or short. Markup that
+names something beside the text (nav, footer, a class such as "sidebar") makes it bad. Markup that names the text
+(article, main) decides nothing: it lowers the thresholds and is a good neighbour at its limits. In the second pass the
 blocks left undecided take the label of the nearest decided neighbours: of both where they agree, of the good one for
 a nearly good block or a heading before text, else bad. A page without any undecided block never needs the second pass.
 """
@@ -68,6 +69,8 @@ GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 SHORT_CHARS, LONG_CHARS = 70, 140
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINKS = 0.2
+# inside article and main
+MAIN_STOP, MAIN_LINKS = 0.15, 0.5
 
 
 def _role(tag: str, attributes: str) -> str | None:
@@ -146,31 +149,41 @@ def blocks(page: str) -> list[tuple[str, float, str | None, bool]]:
 def first_pass(text: str, links: float, role: str | None, heading: bool) -> str:
     if role == BAD:
         return BAD
-    if role == "main":
-        return GOOD
-    if links > LINKS:
-        return BAD
+    inside = role == "main"
+    if links > (MAIN_LINKS if inside else LINKS):
+        # the title of a text may link to it
+        return SHORT if inside and heading else BAD
     if len(text) < SHORT_CHARS:
-        return SHORT
+        return NEAR if inside and not heading else SHORT
     words = _WORDS.findall(text.lower())
     density = sum(w in _STOP for w in words) / len(words) if words else 0.0
+    if inside:
+        return GOOD if density >= MAIN_STOP else NEAR
     if density >= STOP_HIGH:
         return GOOD if len(text) > LONG_CHARS else NEAR
     return NEAR if density >= STOP_LOW else BAD
 
 
-def second_pass(labels: list[str], headings: list[bool]) -> list[str]:
-    """Undecided blocks inherit: nearly good ones first, so that short ones see them decided."""
+def second_pass(labels: list[str], headings: list[bool], inside: list[bool] | None = None) -> list[str]:
+    """Undecided blocks inherit: nearly good ones first, so that short ones see them decided.
+
+    The limits of article and main, whose blocks are ``inside``, are good neighbours.
+    """
+    inside = inside or [False] * len(labels)
     for kind in (NEAR, SHORT):
         before, after = [], []
         last = None
-        for x in labels:
+        for i, x in enumerate(labels):
+            if inside[i] and not (i and inside[i - 1]):
+                last = GOOD
             before.append(last)
             last = x if x in (GOOD, BAD) else last
         last = None
-        for x in reversed(labels):
+        for i in reversed(range(len(labels))):
+            if inside[i] and not (i + 1 < len(labels) and inside[i + 1]):
+                last = GOOD
             after.append(last)
-            last = x if x in (GOOD, BAD) else last
+            last = labels[i] if labels[i] in (GOOD, BAD) else last
         after.reverse()
 
         def inherit(b, a, heading, kind=kind):
@@ -185,11 +198,8 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[str]:
 def main_text(page: str) -> str:
     found = blocks(page)
     labels = [first_pass(*b) for b in found]
-    if any(b[2] == "main" for b in found):
-        # markup names the text: what stands beside it is none
-        labels = [x if b[2] == "main" else BAD for x, b in zip(labels, found, strict=True)]
-    elif NEAR in labels or SHORT in labels:
-        labels = second_pass(labels, [b[3] for b in found])
+    if NEAR in labels or SHORT in labels:
+        labels = second_pass(labels, [b[3] for b in found], [b[2] == "main" for b in found])
     return " ".join(b[0] for b, x in zip(found, labels, strict=True) if x == GOOD)
 
 

@@ -198,6 +198,20 @@ def test_main_text(around):
     assert blocks.main_text(PAGE.format(open=around[0], close=around[1])) == TEXT
 
 
+LONG = "It is a text about the things that were in it, as it should be for all of us who read it with care, and it goes on for long enough that the rules can tell."
+
+
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_rules_decide_beside_and_inside_marked_text(name):
+    # the text in a plain container, a teaser in the marked one
+    assert blocks.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><{name}><p>Read more of it</p></{name}></body>").startswith(f"{LONG} {LONG}")
+    # an unmarked list of links in the marked container
+    links = "".join(f"<li><a href=/{i}>Some other page {i}</a></li>" for i in range(5))
+    assert blocks.main_text(f"<{name}><h1>Title</h1><p>{LONG}</p><p>x = 1</p><h3>More</h3><ul>{links}</ul></{name}>") == f"Title {LONG} x = 1"
+    # words of other languages and short lines of the text stay
+    assert blocks.main_text(f"<nav>a</nav><{name}><h1><a href=/>Title</a></h1><p>Krótki</p><p>{'słowa tekstu ' * 12}</p></{name}><footer>b</footer>") == f"Title Krótki {'słowa tekstu ' * 12}".strip()
+
+
 def test_second_pass_inherits():
     labels = [blocks.BAD, blocks.SHORT, blocks.GOOD, blocks.NEAR, blocks.SHORT, blocks.GOOD, blocks.SHORT]
     assert blocks.second_pass(labels, [False] * 7) == ["bad", "bad", "good", "good", "good", "good", "bad"]

@@ -33,7 +33,7 @@ _STOP = frozenset(
     si sin sobre su sus también un una y ya
     """.split()
 )
-_SKIP = "script style noscript template svg math iframe object textarea select canvas audio video head title".split()
+_SKIP = "script style noscript template svg math iframe object textarea select canvas audio video title".split()
 _BLOCK_TAGS = frozenset(
     """
     address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer
@@ -56,7 +56,7 @@ _BOILER_WORDS = frozenset(
 )
 _MAIN_WORDS = frozenset("articlebody main mainentity".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(_SKIP) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(_SKIP) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -73,30 +73,34 @@ LINKS = 0.2
 MAIN_STOP, MAIN_LINKS = 0.15, 0.5
 
 
-def _role(tag: str, attributes: str) -> str | None:
-    """"bad" or "main" where the tag or its names say so."""
-    if tag in _BOILER_TAGS:
-        return BAD
+def _role(tag: str, attributes: str) -> tuple[str | None, str]:
+    """"bad" or "main" where the tag or its names say so, and whether a "whole" name or a "part" of one, or a form, says "bad" of it."""
+    if tag in _BOILER_TAGS and tag != "form":
+        return BAD, ""
+    role, bad = "main" if tag in _MAIN_TAGS else None, "part" if tag == "form" else ""
     if attributes:
-        if _HIDDEN.search(attributes):
-            return BAD
         names = {w.lower() for m in _ROLE.finditer(attributes) for w in _WORDS.findall(_CAMEL.sub(" ", m[1]))}
         names |= {m[1].strip("\"'").lower() for m in _ROLE.finditer(attributes)}
-        if names & _BOILER_WORDS:
-            return BAD
-        if names & _MAIN_WORDS:
-            return "main"
-    if tag in _MAIN_TAGS:
-        return "main"
-    return None
+        role = "main" if names & _MAIN_WORDS else role
+        if tag not in _MAIN_TAGS and names & _BOILER_WORDS:
+            whole = {w.lower() for m in _ROLE.finditer(attributes) for w in m[1].strip("\"'").split()}
+            bad = "whole" if whole & _BOILER_WORDS else "part"
+        bad = bad or ("part" if _HIDDEN.search(attributes) else "")
+    return role, "" if tag == "body" else bad
 
 
 def blocks(page: str) -> list[tuple[str, float, str | None, bool]]:
-    """(text, link density, what its containers say, heading) of every block with text, in page order."""
+    """(text, link density, what its containers say, heading) of every block with text, in page order.
+
+    Names and forms decide nothing on body, article and main, around main, or on a container of most of the text: pages
+    name their wrappers by what they have or lack. A name that is such a word as a whole holds where article stands
+    elsewhere.
+    """
     out: list = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, str | None]] = []  # open containers with what they say, inherited
+    containers: list[tuple[int, str, str | None, str]] = [(0, "", None, "")]  # outer one, tag, what it says, what its names say
+    stack = [0]  # open containers
     at, heading, in_link = 0, False, 0
 
     def flush() -> None:
@@ -104,7 +108,7 @@ def blocks(page: str) -> list[tuple[str, float, str | None, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html.unescape(" ".join(linked)).split())) / len(text) if linked else 0.0
-                out.append((text, min(1.0, links), stack[-1][1] if stack else None, heading))
+                out.append((text, min(1.0, links), stack[-1], heading))
             parts.clear()
             linked.clear()
 
@@ -129,21 +133,47 @@ def blocks(page: str) -> list[tuple[str, float, str | None, bool]]:
         if tag not in _KEPT_OPEN or token[4].endswith("/"):
             continue
         if not closing:
-            before = stack[-1][1] if stack else None
-            role = _role(tag, token[4])
-            if tag == "header" and before != "main":
-                role = BAD
-            stack.append((tag, BAD if before == BAD else role or before))
+            containers.append((stack[-1], tag, *_role(tag, token[4])))
+            stack.append(len(containers) - 1)
             in_link += tag == "a"
-        elif any(t == tag for t, _ in stack):
+        elif any(containers[c][1] == tag for c in stack):
             while True:
-                name, _ = stack.pop()
+                name = containers[stack.pop()][1]
                 in_link -= name == "a"
                 if name == tag:
                     break
     put(page[at:])
     flush()
-    return out
+    said = _said(containers, out)
+    return [(text, links, said[c], heading) for text, links, c, heading in out]
+
+
+def _said(containers: list[tuple[int, str, str | None, str]], found: list[tuple[str, float, int, bool]]) -> list[str | None]:
+    """What each container says of its text, inherited."""
+    n = len(containers)
+    # unlinked text outside nav, footer and the like, and what of it stands in article or main; outer containers come first
+    held, marked = [0.0] * n, [0.0] * n
+    beside, inside, around = [False] * n, [False] * n, [False] * n
+    for i, (outer, _, role, _) in enumerate(containers):
+        beside[i] = role == BAD or beside[outer]
+        inside[i] = role == "main" or inside[outer]
+    for text, links, c, _ in found:
+        if not beside[c]:
+            held[c] += len(text) * (1 - links)
+            marked[c] += len(text) * (1 - links) * inside[c]
+    for i in range(n - 1, 0, -1):
+        outer, tag, role, _ = containers[i]
+        held[outer] += held[i]
+        marked[outer] += marked[i]
+        around[outer] |= around[i] or (role == "main" and tag != "article")
+    said: list[str | None] = [None]
+    for i, (outer, tag, role, named) in enumerate(containers[1:], 1):
+        before = said[outer]
+        most = 2 * held[i] > held[0] and (named != "whole" or 2 * marked[i] >= marked[0])
+        bad = bool(named) or (tag == "header" and before != "main")
+        own = BAD if bad and not most and not around[i] else role
+        said.append(BAD if before == BAD else own or before)
+    return said
 
 
 def first_pass(text: str, links: float, role: str | None, heading: bool) -> str:

@@ -212,6 +212,28 @@ def test_rules_decide_beside_and_inside_marked_text(name):
     assert blocks.main_text(f"<nav>a</nav><{name}><h1><a href=/>Title</a></h1><p>Krótki</p><p>{'słowa tekstu ' * 12}</p></{name}><footer>b</footer>") == f"Title Krótki {'słowa tekstu ' * 12}".strip()
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><script>var t = '<p>'</script><body>", ""),
+        ("<html><head><title>t</title>", ""),
+        ("<body class='no-sidebar'>", ""),
+        ("<body style='display:none'><main>", "</main>"),
+        ("<div id='content' class='with-sidebar'>", "</div>"),
+        ("<div class='has-header'><article>", "</article></div>"),
+        ("<div class='share-enabled'><div class='post-tags'>", "</div></div>"),
+        ("<form action=/ ><div><main>", "</main></div></form>"),
+        ("<article class='post has-comments'>", "</article>"),
+        ("<div class='widget'><div class='header'>", "</div></div>"),
+        ("<div class=ad>Longer than all of it. " + LONG * 4 + "</div><article>", "</article>"),
+        ("<header-bar>x</header-bar><style-guide>", "</style-guide>"),
+    ],
+)
+def test_names_of_wrappers_empty_no_page(before, after):
+    side = "<div class='sidebar'><p>It is beside the text and not a part of it, as all of us can see.</p></div>"
+    assert blocks.main_text(f"{before}<p>{LONG}</p><p>{LONG}</p>{after}{side}<form><p>Your mail to us</p></form>") == f"{LONG} {LONG}"
+
+
 def test_second_pass_inherits():
     labels = [blocks.BAD, blocks.SHORT, blocks.GOOD, blocks.NEAR, blocks.SHORT, blocks.GOOD, blocks.SHORT]
     assert blocks.second_pass(labels, [False] * 7) == ["bad", "bad", "good", "good", "good", "good", "bad"]

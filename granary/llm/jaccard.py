@@ -173,9 +173,12 @@ def digest(shingles: np.ndarray) -> int:
         return int(mix(mix(np.array(both[:1])) + np.array(both[1:])).view(np.int64)[0])
 
 
-def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: ``component_id`` is the smallest id that links lead to.
 
+    With ``count_links`` every link is verified, also inside groups that are connected already, and a column
+    ``n_links`` has the number of other rows the row links with.
+
     Two rows link when den * intersection >= num * union of their sets of ``size``-word shingles (words between
     ASCII white space, A-Z in lower case). A text without words, or null, has the empty set and links with nothing.
     Equal texts link, so repeated rows share a group; rows with a null id are groups of their own (null).
@@ -195,14 +198,31 @@ def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id
     shared = staged(members.where("low < high").select("region", "id", F.col("first.pivot").alias("pivot")), "shared")
 
     heads = staged(shared.select("id").distinct().join(entries.withColumnRenamed("e", "id"), "id"), "active")
-    links = _links(docs, known, shared, heads, size, num, den, id_col, text_col)
+    links = _links(docs, known, shared, heads, size, num, den, id_col, text_col, count_links)
+    links = staged(links.distinct(), "every-link") if count_links else links
     groups = connected(links).withColumnRenamed("node", "e").join(entries, "e")
     least = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     named = entries.join(groups.select("e", "group").join(least, "group").drop("group"), "e", "left")
     named = named.select("e", F.coalesce("component_id", "doc_id").alias("component_id"))
     rows = every.select("doc_id", F.col("n").alias("n_shingles"), "e")
-    grouped = rows.where("n_shingles > 0").join(named, "e", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return grouped.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    if count_links:
+        named, columns = named.join(_linked_rows(full, links), "e"), [*columns, "n_links"]
+        rows = rows.withColumn("none", F.lit(0).cast("long"))
+    grouped = rows.where("n_shingles > 0").join(named, "e", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    single = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    if count_links:
+        grouped = grouped.withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.col("none")))
+        single = single.withColumn("n_links", F.col("none"))
+    return grouped.select(*columns).unionByName(single.select(*columns))
+
+
+def _linked_rows(full: DataFrame, links: DataFrame) -> DataFrame:
+    """(e, n_links): the other rows of the same set and the rows of all sets it links with."""
+    held = staged(full.groupBy("e").agg(F.count(F.lit(1)).alias("held")), "held")
+    both = links.select(F.col("x").alias("e"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("e"), F.col("x").alias("other")))
+    beside = both.join(held.select(F.col("e").alias("other"), F.col("held").alias("more")), "other").groupBy("e").agg(F.sum("more").alias("more"))
+    return held.join(beside, "e", "left").select("e", (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
 
 
 def first_of_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,8 +250,8 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> DataFrame:
-    """(x, y): enough links between different sets that groups are those of all links."""
+def _links(docs, known, shared, heads, size, num, den, id_col, text_col, every: bool = False) -> DataFrame:
+    """(x, y): enough links between different sets that groups are those of all links, or ``every`` link."""
     spark = docs.sparkSession
     n_active = heads.count()
     if not n_active:
@@ -262,6 +282,11 @@ def _links(docs, known, shared, heads, size, num, den, id_col, text_col) -> Data
         return staged(both.select("x", "y", inter.alias("inter"), (F.col("nx") + F.col("ny") - inter).alias("uni")).distinct(), name)
 
     linked = F.col("inter") * den >= F.col("uni") * num
+    if every:
+        # each set is a group of its own, so no pair is left out as connected
+        sized = shared.select("region", "id", F.col("id").alias("group"), F.count(F.lit(1)).over(W.partitionBy("region")).alias("many"))
+        sized = staged(sized, "open")
+        return _leaf_links(sized.where(F.col("many") <= LEAF), sized.where(F.col("many") > LEAF), sets, folds, measured, linked, num, den)
     # first pivots: every member of a region against the pivot
     stars = shared.where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
     links = measured(stars, "stars").where(linked).select("x", "y")

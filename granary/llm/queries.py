@@ -113,7 +113,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_jaccard_regions")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+    return jaccard.components(table(spark, sf_dir, "documents"), size=3, num=90, den=100, count_links=True)
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

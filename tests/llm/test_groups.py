@@ -63,6 +63,25 @@ def test_large_region_recurs(spark, monkeypatch):
     assert made(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("leaf", [4, 64])
+def test_every_link_is_counted(spark, monkeypatch, leaf):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    dice = random.Random(5)
+    rows = [(1000, None), (1001, ""), (1002, "one"), (None, "one"), (1003, "ONE"), (1003, "one")]
+    for i in range(120):
+        words = [f"w{i % 3}-{j}" for j in range(70)]
+        for _ in range(dice.choice([0, 0, 1, 1, 2, 3])):
+            words[dice.randrange(70)] = f"n{dice.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    sets = [frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    link = lambda a, b: bool(sets[a]) and a != b and None not in (rows[a][0], rows[b][0]) and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+    want = sorted((str(rows[a][0]), sum(link(a, b) for b in range(len(rows)))) for a in range(len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.components(df, 3, 90, 100, count_links=True).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == want
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, 90, 100)
+
+
 def test_no_groups(spark):
     assert made(spark, [], 3, 90, 100) == []
     assert made(spark, [(1, "a b c d")], 3, 90, 100) == [("1", 2, "1")]

@@ -6,8 +6,8 @@ Regions. A pivot cuts the space of sets only where distances to it vary by more
 nothing every distance is 1. So the space is first projected: hashing deals the n-grams to m subspaces, and the part
 of a set in a subspace is its pivot there. If two sets differ by at most k n-grams and m > k, the triangle inequality
 leaves one subspace at least in which they do not differ, so they stand in a common region. k follows from the
-threshold and the largest size of a size class; a set near the lower end of the next class is replicated into it (the
-window of the size pivot, the empty set).
+threshold and the largest size of a size class; a set is replicated into every further class that has sizes it can be
+linked with (the window of the size pivot, the empty set).
 
 Pivots inside regions. Every region takes a pivot document and all its members are measured against it, exactly.
 Members within the threshold are linked to it, and what is linked needs no further comparison inside the group. A
@@ -122,7 +122,8 @@ class Classes:
         """The classes in which a set of ``n`` meets all sets it can be linked with."""
         self._grow(n * self.den // self.num + 1)
         c = int(np.searchsorted(self.lows, n, side="right")) - 1
-        return [i for i in ([c, c + 1] if n * self.den >= self.num * self.lows[c + 1] else [c]) if self.budgets[i]]
+        further = range(c + 1, len(self.budgets))  # a low threshold links sets that lie several classes apart
+        return [i for i in [c, *(i for i in further if n * self.den >= self.num * self.lows[i])] if self.budgets[i]]
 
     def regions(self, shingles: np.ndarray) -> np.ndarray:
         """A key for every region of the set: class, subspace and the part of the set that lies in it."""

@@ -82,6 +82,15 @@ def test_every_link_is_counted(spark, monkeypatch, leaf):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("num", [10, 30, 50, 60, 65, 80, 90])
+def test_sizes_that_can_link_share_a_class(num):
+    classes = jaccard.Classes(num, 100)
+    of = {n: set(classes.of(n)) for n in range(1, 201)}
+    # without a budget of differences only equal sets link, and those are one entry
+    apart = [(a, b) for a in of for b in range(a + 1, 201) if a * 100 >= num * b and not of[a] & of[b]]
+    assert apart == []
+
+
 def test_no_groups(spark):
     assert made(spark, [], 3, 90, 100) == []
     assert made(spark, [(1, "a b c d")], 3, 90, 100) == [("1", 2, "1")]

@@ -35,6 +35,34 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def task_uri(path: str) -> str:
+    """``path`` of the shared folder as a URI that pyarrow opens inside a task."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
+def written_blocks(df: DataFrame, name: str, block: str, blocks: int) -> str:
+    """``df`` written to the shared folder, one sub-folder per value of ``block``; returns the folder for ``read_block``."""
+    path = run_folder(df.sparkSession, name)
+    df.repartition(max(1, min(blocks, partitions(df))), block).write.partitionBy(block).parquet(path)
+    return path
+
+
+def read_block(path: str, block: str, number: int):
+    """Inside a task: one block of ``written_blocks`` as an Arrow table, or None if it has no rows."""
+    return read_files(f"{path}/{block}={number}")
+
+
+def read_files(path: str):
+    """Inside a task: the Parquet files of a folder as an Arrow table, or None if there is no such folder."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, name = pafs.FileSystem.from_uri(task_uri(path))
+    if fs.get_file_info(name).type == pafs.FileType.NotFound:
+        return None
+    return pq.read_table(name, filesystem=fs, partitioning=None)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

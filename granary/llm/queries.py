@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from granary.llm import balltree, blocks, bpe, edits, eliasfano, jaccard, licences, mtree, negatives, ordinal, toxicity, warc
+from granary.llm import balltree, blocks, bpe, edits, eliasfano, jaccard, licences, mtree, negatives, ordinal, suffixes, toxicity, warc
 from granary.llm.common import table
 from granary.session import provide_folder, ship
 
@@ -140,6 +140,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_two_stage_suffixes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda t, x: t + x)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op13_packed_negatives",
     """

@@ -21,7 +21,6 @@ collapse inside a block before anything is sent, so a group of copies that holds
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +28,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import partitions, run_folder, staged, task_uri
+from granary.llm import textblocks
+from granary.llm.common import partitions, staged
 
-BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 SORT_BYTES = 4_000_000
 HOT = 20_000
 LONGEST_RUN = 2048
@@ -67,14 +66,7 @@ class Block:
     """Documents side by side: their bytes, ids and ends."""
 
     def __init__(self, path: str):
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        fs, name = pafs.FileSystem.from_uri(path)
-        table = pq.read_table(name, filesystem=fs, partitioning=None)
-        texts = table["text"].to_pylist()
-        self.null = np.array(table["doc_id"].is_null())
-        self.doc = np.array(table["doc_id"].fill_null(0), np.int64)
+        self.doc, self.null, texts = textblocks.read(path)
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
 
@@ -126,25 +118,6 @@ class Block:
         return out
 
 
-def _write_blocks(batches, folder: str, block_bytes: int):
-    """Files of whole documents, about ``block_bytes`` each (a longer document is a block of its own)."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    fs, name = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(name, recursive=True)
-    for batch in batches:
-        sizes = np.array(pc.binary_length(batch.column("text")), np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // block_bytes, prepend=0)).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-            if a < b:
-                path = f"{name}/{uuid.uuid4().hex}.parquet"
-                pq.write_table(pa.Table.from_batches([batch.slice(a, b - a)]), path, filesystem=fs, compression="zstd")
-                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "bytes": [int(sizes[a:b].sum())], "docs": [b - a]})
-
-
 def _truncated(keys: np.ndarray) -> bytes:
     return (keys >> np.uint64(8 * (8 - _KEPT))).view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
 
@@ -189,49 +162,65 @@ def _shared(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     return pd.DataFrame({"no": pdf.no, "bucket": pdf.bucket, "marks": [marks[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]})
 
 
+class Repeats:
+    """The pieces of a block that may repeat: where they stand, and the distinct ones in the order of their buckets."""
+
+    def __init__(self, block: Block, marks: pd.DataFrame, length: int, buckets: int):
+        begin, starts, key = block.pieces(length)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        new = np.append(True, key[order][1:] != key[order][:-1]) if len(order) else np.zeros(0, bool)
+        mark = np.empty(len(key), np.uint8)
+        mark[order] = np.frombuffer(b"".join(marks.sort_values("bucket").marks), np.uint8)[np.cumsum(new) - 1]
+        # strings of hot keys stand alone, under a key of the whole string
+        cold, hot = mark == 1, mark == 3
+        single = np.repeat(begin[hot], starts[hot]) + np.arange(int(starts[hot].sum())) - np.repeat(np.cumsum(starts[hot]) - starts[hot], starts[hot])
+        self.begin = np.concatenate([begin[cold], single])
+        key = np.concatenate([key[cold], block.hashes(single, length)])
+        starts = np.concatenate([starts[cold], np.ones(len(single), np.int64)])
+        self.doc, data = block.doc[block.document(self.begin)], block.data.tobytes()
+        numbers: dict[bytes, int] = {}
+        piece = np.array([numbers.setdefault(data[a:b], len(numbers)) for a, b in zip(self.begin.tolist(), (self.begin + starts + length - 1).tolist(), strict=True)], np.int64)
+        first = np.zeros(len(numbers), np.int64)
+        first[piece[::-1]] = np.arange(len(piece))[::-1]
+        bucket = (key[first] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        texts = list(numbers)
+        self.piece, self.texts = place[piece], [texts[i] for i in order.tolist()]
+        self.key, self.starts, self.bucket = key[first][order], starts[first][order], bucket[order]
+
+
 def _pieces_of_block(manifest: pd.DataFrame, marks: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
-    """Of a block: rows (no, bucket, keys, sizes, least, data) with its distinct pieces that may repeat, and one row with
-    bucket -1 that says where each stands: ``keys`` the begins, ``sizes`` the piece numbers, ``least`` the documents."""
+    """(no, bucket, keys, sizes, least, data): the distinct pieces of a block that may repeat, with the least document of each."""
     columns = ["no", "bucket", "keys", "sizes", "least", "data"]
     if manifest.empty or marks.empty:
         return pd.DataFrame([], columns=columns)
-    block, no = Block(manifest.path.iloc[0]), int(manifest.no.iloc[0])
-    begin, starts, key = block.pieces(length)
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((key, bucket))
-    new = np.append(True, key[order][1:] != key[order][:-1])
-    told = np.frombuffer(b"".join(marks.sort_values("bucket").marks), np.uint8)[np.cumsum(new) - 1]
-    mark = np.empty(len(key), np.uint8)
-    mark[order] = told
-    begin, starts, key, mark = begin[mark > 0], starts[mark > 0], key[mark > 0], mark[mark > 0]
-    # strings of hot keys stand alone, under a key of the whole string
-    cold, hot = (mark & 1 == 1) & (mark < 2), mark == 3
-    single = np.repeat(begin[hot], starts[hot]) + np.arange(int(starts[hot].sum())) - np.repeat(np.cumsum(starts[hot]) - starts[hot], starts[hot])
-    begin = np.concatenate([begin[cold], single])
-    key = np.concatenate([key[cold], block.hashes(single, length)])
-    starts = np.concatenate([starts[cold], np.ones(len(single), np.int64)])
-    if not len(begin):
-        return pd.DataFrame([], columns=columns)
-    doc, data = block.doc[block.document(begin)], block.data.tobytes()
-    numbers: dict[bytes, int] = {}
-    piece = np.array([numbers.setdefault(data[a:b], len(numbers)) for a, b in zip(begin.tolist(), (begin + starts + length - 1).tolist(), strict=True)], np.int64)
-    least = np.full(len(numbers), np.iinfo(np.int64).max)
-    np.minimum.at(least, piece, doc)
-    first = np.zeros(len(numbers), np.int64)
-    first[piece[::-1]] = np.arange(len(piece))[::-1]
-    texts, key, starts = list(numbers), key[first], starts[first]
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    renamed = np.empty(len(order), np.int64)
-    renamed[order] = np.arange(len(order))
-    cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)).tolist()
-    rows = [(no, -1, begin.astype("<i8").tobytes(), renamed[piece].astype("<i4").tobytes(), doc.astype("<i8").tobytes(), starts[order].astype("<u2").tobytes())]
-    for a, b in zip(cut, cut[1:], strict=False):
-        part = order[a:b]
-        rows.append((no, int(bucket[part[0]]), key[part].tobytes(), starts[part].astype("<u2").tobytes(), least[part].tobytes(), b"".join([texts[i] for i in part.tolist()])))
+    found, no = Repeats(Block(manifest.path.iloc[0]), marks, length, buckets), int(manifest.no.iloc[0])
+    least = np.full(len(found.texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, found.piece, found.doc)
+    cut = [0, *(np.flatnonzero(np.diff(found.bucket)) + 1).tolist(), len(found.bucket)]
+    rows = [
+        (no, int(found.bucket[a]), found.key[a:b].tobytes(), found.starts[a:b].astype("<u2").tobytes(), least[a:b].tobytes(), _packed(b"".join(found.texts[a:b])))
+        for a, b in zip(cut, cut[1:], strict=False)
+        if a < b
+    ]
     return pd.DataFrame(rows, columns=columns)
 
 
+def _packed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
 def _ahead(data: bytes, at: np.ndarray, offset: int) -> np.ndarray:
     """The 8 bytes from ``offset`` behind each place as one number in the order of the bytes."""
     words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
@@ -332,11 +321,11 @@ def first_documents(texts: list[bytes], starts: np.ndarray, least: np.ndarray, l
 
 
 def _firsts_of_bucket(pdf: pd.DataFrame, length: int, sort_bytes: int) -> pd.DataFrame:
-    """(no, bucket, change, value): per block the smallest documents of its pieces' strings, as runs of one value."""
+    """(no, bucket, marks, change, value, many): per block the smallest documents of its pieces' strings, as runs of one value."""
     key = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
     starts = np.frombuffer(b"".join(pdf["sizes"]), "<u2").astype(np.int64)
     least = np.frombuffer(b"".join(pdf["least"]), np.int64)
-    data, size = b"".join(pdf["data"]), starts + length - 1
+    data, size = b"".join(map(_unpacked, pdf["data"])), starts + length - 1
     ends = np.cumsum(size)
     numbers: dict[bytes, int] = {}
     piece = np.array([numbers.setdefault(data[a:b], len(numbers)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)], np.int64)
@@ -363,30 +352,29 @@ def _firsts_of_bucket(pdf: pd.DataFrame, length: int, sort_bytes: int) -> pd.Dat
         own, many = piece[at : at + n], starts[at : at + n]
         values = found[np.repeat(base[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
         change = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        rows.append((no, bucket, change.astype("<i4").tobytes(), values[change].tobytes(), int(many.sum())))
+        rows.append((no, bucket, None, _packed(change.astype("<i4").tobytes()), _packed(values[change].tobytes()), int(many.sum())))
         at += n
-    return pd.DataFrame(rows, columns=["no", "bucket", "change", "value", "many"])
+    return pd.DataFrame(rows, columns=["no", "bucket", "marks", "change", "value", "many"])
 
 
 _ROWS = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
 
-def _documents_of_block(manifest: pd.DataFrame, found: pd.DataFrame, length: int) -> pd.DataFrame:
+def _documents_of_block(manifest: pd.DataFrame, found: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
     """The documents of a block with their removed spans and the bytes that are left."""
     if manifest.empty:
         return pd.DataFrame([], columns=["doc_id", "n_bytes", "starts", "ends", "kept"])
     block = Block(manifest.path.iloc[0])
     n = len(block.data)
     gone = np.zeros(n, bool)
-    where = found[found.bucket == -1]
-    if len(where):
-        places = where.iloc[0]
-        begin, piece = np.frombuffer(places["keys"], "<i8"), np.frombuffer(places["sizes"], "<i4").astype(np.int64)
-        doc, starts = np.frombuffer(places["least"], "<i8"), np.frombuffer(places["data"], "<u2").astype(np.int64)
+    sent = found[found.change.notna()]
+    if len(sent):
+        pieces = Repeats(block, found[found.marks.notna()], length, buckets)
+        begin, piece, doc, starts = pieces.begin, pieces.piece, pieces.doc, pieces.starts
         parts = []
-        for row in found[found.bucket >= 0].sort_values("bucket").itertuples():
-            change = np.frombuffer(row.change, "<i4")
-            parts.append(np.repeat(np.frombuffer(row.value, np.int64), np.diff(np.append(change, int(row.many)))))
+        for row in sent.sort_values("bucket").itertuples():
+            change = np.frombuffer(_unpacked(row.change), "<i4")
+            parts.append(np.repeat(np.frombuffer(_unpacked(row.value), np.int64), np.diff(np.append(change, int(row.many)))))
         first = np.concatenate(parts)
         base, many = np.cumsum(starts) - starts, starts[piece]
         inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
@@ -416,7 +404,7 @@ def _documents_of_block(manifest: pd.DataFrame, found: pd.DataFrame, length: int
     )
 
 
-def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, block_bytes: int = textblocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept) per row: the removed spans of the UTF-8 text, and what is left of it.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts in a row with a smaller id, judged on the
@@ -425,26 +413,24 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     stays. An empty table has no rows. A character of which bytes go is cut, so ``kept`` is binary.
     """
     spark = docs.sparkSession
-    folder = task_uri(run_folder(spark, "blocks"))
-    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
-    written = staged(chosen.mapInArrow(lambda it: _write_blocks(it, folder, block_bytes), "path string, bytes long, docs long"), "written")
-    manifest = staged(written.select(F.monotonically_increasing_id().alias("no"), "path", "bytes"), "manifest")
+    manifest = textblocks.stored(docs, id_col, text_col, block_bytes)
     blocks, total = manifest.select(F.count(F.lit(1)), F.sum("bytes")).first()
     if not blocks:
         return spark.createDataFrame([], _ROWS)
     buckets = max(1, -(-total // bucket_bytes))
     # explicit numbers: the shuffled rows are small, the work behind them is not
-    by_block, by_bucket = min(blocks, 4 * partitions(docs)), min(buckets, 4 * partitions(docs))
+    by_block, by_bucket = min(blocks, 4 * partitions(docs)), min(4 * buckets, 4 * partitions(docs))
     spread = manifest.repartition(by_block, "no")
 
     keys = spread.mapInPandas(lambda it: _keys_of_block(it, length, buckets), "no long, bucket int, grams binary, held binary")
     marks = keys.repartition(by_bucket, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, hot), "no long, bucket int, marks binary")
-    marks = staged(marks, "marks").repartition(by_block, "no")
-    pieces = spread.groupBy("no").cogroup(marks.groupBy("no")).applyInPandas(
+    marks = staged(marks, "marks")
+    known = marks.repartition(by_block, "no").groupBy("no")
+    pieces = spread.groupBy("no").cogroup(known).applyInPandas(
         lambda a, b: _pieces_of_block(a, b, length, buckets), "no long, bucket int, keys binary, sizes binary, least binary, data binary"
     )
-    pieces = staged(pieces, "pieces")
-    sent = pieces.where("bucket >= 0").repartition(by_bucket, "bucket")
-    firsts = sent.groupBy("bucket").applyInPandas(lambda pdf: _firsts_of_bucket(pdf, length, SORT_BYTES), "no long, bucket int, change binary, value binary, many long")
-    both = pieces.where("bucket < 0").unionByName(firsts, allowMissingColumns=True).repartition(by_block, "no")
-    return spread.groupBy("no").cogroup(both.groupBy("no")).applyInPandas(lambda a, b: _documents_of_block(a, b, length), _ROWS)
+    firsts = pieces.repartition(by_bucket, "bucket").groupBy("bucket").applyInPandas(
+        lambda pdf: _firsts_of_bucket(pdf, length, SORT_BYTES), "no long, bucket int, marks binary, change binary, value binary, many long"
+    )
+    both = staged(firsts, "firsts").unionByName(marks, allowMissingColumns=True).repartition(by_block, "no")
+    return spread.groupBy("no").cogroup(both.groupBy("no")).applyInPandas(lambda a, b: _documents_of_block(a, b, length, buckets), _ROWS)

@@ -2,25 +2,30 @@
 
 1 - Jaccard is a metric d, and so is the size of the symmetric difference. The join runs in three steps.
 
-Regions. A pivot cuts the space of sets only where distances to it vary by more than the window; for texts that share
-nothing every distance is 1. So the space is first projected: hashing deals the n-grams to m subspaces, and the part
-of a set in a subspace is its pivot there. If two sets differ by at most k n-grams and m > k, the triangle inequality
+First regions. A pivot document cuts the space of sets only where distances to it vary by more than the window; for texts
+that share nothing every distance is 1. So the space is first projected: hashing deals the n-grams to m subspaces, and the
+part of a set in a subspace is its pivot there. If two sets differ by at most k n-grams and m > k, the triangle inequality
 leaves one subspace at least in which they do not differ, so they stand in a common region. k follows from the
 threshold and the largest size of a size class; a set is replicated into every further class that has sizes it can be
-linked with (the window of the size pivot, the empty set).
-
-Pivots inside regions. Every region takes a pivot document and all its members are measured against it, exactly.
-Members within the threshold are linked to it, and what is linked needs no further comparison inside the group. A
-region that still has members of several groups recurs with its next pivot while it is large.
-
-Windows. Members left over are dealt to rings by their distance to the pivot: a pair within the threshold has
-distances that differ by no more than it (triangle inequality), so each member is replicated to the neighbouring ring
-only, and pairs of one ring are verified exactly.
-
-Equal sets are one entry throughout. Before sets are fetched, a candidate pair has to pass a bound from bit parities,
-1024 of them and for large sets at least two for each n-gram: the number of bits that differ is at most the symmetric
-difference. Groups are found by label propagation
-with pointer jumping over written tables. N-grams are 64-bit hashes.
+linked with (the window of the size pivot, the empty set). A region that only one set has is dropped. Linked sets share one
+region more than the parts of a set outnumber k, so a set leaves out as many regions that hold many sets (a passage
+that many texts share), and all of them are kept where it has fewer to spare. Inside a region the bound from sizes and bit parities
+(the bits that differ are at most the symmetric difference) says which sets may link; what these connect is a cell, and no
+link leaves it.
+
+Voronoi recursion. A cell over the limit takes pivot documents that lie more than two thresholds apart. Every member
+goes to the cell of its nearest pivot, and to the cell of an earlier pivot as a guest if its distance to that one is larger by
+no more than two thresholds: if x and y link, d(x, p) <= d(x, y) + d(y, p) gives both triangle inequalities that
+make this enough. Two guests of a cell are not compared there, so a pair is compared in one cell only. Cells recur while
+they are large and cut. One that does not (near copies, all within a window) is compared block by block, each pair of blocks a
+piece of work of its own; where only groups are wanted, what links with its pivot is linked to it and needs no comparison
+with its like.
+
+Leaves. A piece of work is bounded in sets and n-grams, and a task verifies all its pairs exactly with products of its
+incidence matrix. Out come sums per set (links, as rows are counted) and the group label of every linked set, never pairs.
+
+Equal sets are one entry throughout, and equal texts of a block collapse before anything is sent. Groups are found by label
+propagation with pointer jumping over written tables, on labels of cells instead of sets. N-grams are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,15 +35,22 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from granary.llm.common import slices, staged, text_column
-
-BROADCAST_ROWS = 1_000_000
-LEAF = 64
-BLOCK = 512
-PIVOT_ROUNDS = 3
-_FOLD = 1024
+import zstandard
+from pyspark.sql import DataFrame, functions as F
+
+from granary.llm import textblocks
+from granary.llm.common import partitions, staged
+
+BROADCAST_ROWS = 100_000
+BUCKET_BYTES = 8_000_000
+CELL_ROWS = 400
+CELL_SHINGLES = 50_000
+FEW = 16  # so few sets are one piece of work at any size
+PIVOTS = 8
+LEVELS = 12
+_CHUNK = 1 << 20
+MANY = 64  # entries of a region beyond which sets leave it out if they can
+_KEPT = 5  # bytes of a region key that are compared inside its bucket
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -52,48 +64,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)))
-        down = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64)))
+    up = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)))
+    down = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64)))
     return up, down
 
 
-def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, hash) of every word, A-Z in lower case; arrays beside the data are bounded by the longest word."""
+    gap = ((data == 0x20) | ((data >= 9) & (data <= 13))).view(np.int8)
+    edge = np.diff(np.concatenate([np.ones(1, np.int8), gap, np.ones(1, np.int8)]))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + _CHUNK, side="right")))
+        part = data[base : ends[to - 1]]
+        up, down = _powers(_CHUNK) if len(part) <= _CHUNK else _powers.__wrapped__(len(part))
+        lower = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint64)
+        sums = np.append(np.zeros(1, np.uint64), np.cumsum((lower + np.uint64(1)) * up[: len(part)]))
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((sums[e] - sums[s]) * down[s] ^ mix((e - s).astype(np.uint64)))
+        at = to
+    return starts, out
+
+
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """The distinct hashed ``size``-word shingles of every text, ascending; with fewer words, the whole sequence is one."""
-    coded = [t.encode() for t in texts]
-    data = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
-    n = len(data)
-    if not n:
-        return [np.zeros(0, np.uint64) for _ in texts]
-    up, down = _powers(1 << max(16, (n + 1).bit_length()))
-    with np.errstate(over="ignore"):
-        gap = (data == 0x20) | ((data >= 9) & (data <= 13))
-        lower = np.where((data >= 65) & (data <= 90), data + 32, data)
-        sums = np.append(np.zeros(1, np.uint64), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * up[:n]))
-        edge = np.diff(np.concatenate([[1], gap.view(np.int8), [1]]))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        word = mix((sums[ends] - sums[starts]) * down[starts] ^ mix((ends - starts).astype(np.uint64)))
+    at = 0
+    while at < len(texts):
+        to, held = at + 1, len(texts[at])
+        while to < len(texts) and held + len(texts[to]) < _CHUNK:
+            held += len(texts[to]) + 1
+            to += 1
+        coded, at = texts[at:to], to
+        starts, word = _word_hashes(np.frombuffer(b"\n".join([*coded, b""]), np.uint8))
         limits = np.cumsum([len(c) + 1 for c in coded])
-        first = np.searchsorted(starts, np.concatenate([[0], limits[:-1]]))
-        last = np.searchsorted(starts, limits)
+        cuts = np.searchsorted(starts, np.append(0, limits))
         whole = np.zeros(max(0, len(word) - size + 1), np.uint64)
         for i in range(size):
             whole = whole * np.uint64(_BASE) + word[i : len(word) - size + 1 + i]
         whole = mix(whole ^ np.uint64(size))
-        out = []
-        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
             if b - a >= size:
-                out.append(np.unique(whole[a : b - size + 1]))
+                yield np.unique(whole[a : b - size + 1])
             elif b > a:
-                h = np.uint64(0)
+                h = np.zeros(1, np.uint64)
                 for w in word[a:b]:
                     h = h * np.uint64(_BASE) + w
-                out.append(mix(np.array([h ^ np.uint64((b - a) << 8)], np.uint64)))
+                yield mix(h ^ np.uint64((b - a) << 8))
             else:
-                out.append(np.zeros(0, np.uint64))
-    return out
+                yield np.zeros(0, np.uint64)
 
 
 class Classes:
@@ -125,46 +147,33 @@ class Classes:
         further = range(c + 1, len(self.budgets))  # a low threshold links sets that lie several classes apart
         return [i for i in [c, *(i for i in further if n * self.den >= self.num * self.lows[i])] if self.budgets[i]]
 
-    def regions(self, shingles: np.ndarray) -> np.ndarray:
-        """A key for every region of the set: class, subspace and the part of the set that lies in it."""
-        keys = []
-        with np.errstate(over="ignore"):
-            spread, place = mix(shingles + np.uint64(0x51)), (mix(shingles ^ np.uint64(0xA5)) >> np.uint64(33)).astype(np.int64)
-            for c in self.of(len(shingles)):
-                m = self.parts[c]
-                part = place % m
-                order = np.argsort(part, kind="stable")
-                used, begin = np.unique(part[order], return_index=True)
-                sums = np.add.reduceat(spread[order], begin)
-                if len(used) <= self.budgets[c]:
-                    full = np.zeros(m, np.uint64)
-                    full[used] = sums
-                    used, sums = np.arange(m), full
-                keys.append(mix(sums ^ mix((used.astype(np.uint64) << np.uint64(8)) + np.uint64(c))))
-        return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-
-
-def describe(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, e, regions, fold, wide): set size, digest of the set, its region keys and its parities."""
-    kinds = "doc_id long, n long, e long, regions array<long>, fold array<long>, wide array<long>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = Classes(num, den)
-        for batch in slices(batches, "text"):
-            rows = []
-            for doc_id, s in zip(batch.doc_id, shingle_sets(batch.text.tolist(), size), strict=True):
-                wide = parities(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > _FOLD else None
-                rows.append((doc_id, len(s), digest(s), classes.regions(s).view(np.int64), parities(s, _FOLD), wide))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "e", "regions", "fold", "wide"]).astype({"doc_id": "Int64"})
-
-    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    return chosen.mapInPandas(run, kinds)
-
-
-def parities(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the number of shingles is odd for every value of their low bits, packed; halves of it add up to the half as wide."""
+    def regions(self, shingles: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """A key for every region of the set (class, subspace and the part of the set that lies in it), and per class how
+        many there are and how many of them can be left out."""
+        keys, spare, n = [], [], len(shingles)
+        spread, place = mix(shingles + np.uint64(0x51)), (mix(shingles ^ np.uint64(0xA5)) >> np.uint64(33)).astype(np.int64)
+        for c in self.of(n):
+            m = self.parts[c]
+            part = place % m
+            order = np.argsort(part, kind="stable")
+            used, begin = np.unique(part[order], return_index=True)
+            sums = np.add.reduceat(spread[order], begin)
+            if len(used) <= self.budgets[c]:
+                full = np.zeros(m, np.uint64)
+                full[used] = sums
+                used, sums = np.arange(m), full
+            keys.append(mix(sums ^ mix((used.astype(np.uint64) << np.uint64(8)) + np.uint64(c))))
+            differ = (self.den - self.num) * (n + min(n * self.den // self.num, self.lows[c + 1] - 1)) // (self.den + self.num)
+            spare.append((len(used), max(0, len(used) - differ - 1)))
+        return (np.concatenate(keys) if keys else np.zeros(0, np.uint64)), spare
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles is odd for every value of their low bits, a bit for each and one at least per shingle
+    (at most 4096); halves of it add up to that of half the width."""
+    bits = min(4096, max(64, 1 << (len(shingles) - 1).bit_length()))
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -174,7 +183,404 @@ def digest(shingles: np.ndarray) -> int:
         return int(mix(mix(np.array(both[:1])) + np.array(both[1:])).view(np.int64)[0])
 
 
-def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+def least_labels(node: np.ndarray, key: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For every node the smallest label that common keys lead to."""
+    order = np.argsort(key, kind="stable")
+    node, key = node[order], key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    several = ~(new & np.append(new[1:], True))
+    node, new = node[several], new[several]
+    if not len(node):
+        return label
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    while True:
+        low = label.copy()
+        np.minimum.at(low, node, np.minimum.reduceat(label[node], first)[group])
+        if (low == label).all():
+            return label
+        label = low
+
+
+_DESCRIBED = "kind int, no long, pos int, doc_id long, n long, e long, bucket int, regions binary, several binary"
+
+
+class Regions:
+    """The distinct sets of a block (``e``, ``n``, parities) and the rows (key, node) of their regions by bucket and key."""
+
+    def __init__(self, doc: np.ndarray, null: np.ndarray, texts: list[bytes], size: int, classes: Classes, buckets: int):
+        self.n_of, self.e_of = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+        nodes: dict[int, int] = {}
+        keys, self.spare, self.sets = [], [], []
+        for i, s in enumerate(shingle_sets(texts, size)):
+            self.n_of[i], self.e_of[i] = len(s), (e := digest(s))
+            if len(s) and not null[i] and e not in nodes:
+                nodes[e] = len(nodes)
+                key, spare = classes.regions(s)
+                keys.append(key)
+                self.spare.append(spare)
+                self.sets.append((len(s), parities(s)))
+        self.e = np.fromiter(nodes, np.int64, len(nodes))
+        key = np.concatenate([np.zeros(0, np.uint64), *keys])
+        node = np.repeat(np.arange(len(nodes)), [len(k) for k in keys])
+        # which class of its set a region belongs to
+        sizes = [many for spare in self.spare for many, _ in spare]
+        share = np.repeat(np.arange(len(sizes)), sizes)
+        bucket = (key % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((key, bucket))
+        self.key, self.node, self.share, self.bucket = key[order], node[order], share[order], bucket[order]
+        self.new = np.append(True, self.key[1:] != self.key[:-1]) if len(key) else np.zeros(0, bool)
+
+
+def _describe(batches: Iterator[pd.DataFrame], size: int, num: int, den: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Of every block: a row per document with its set's size and digest (kind 0), and per bucket the region keys of its
+    sets, each once with the number of sets that have it (kind 1)."""
+    classes = Classes(num, den)
+    for batch in batches:
+        for file in batch.itertuples():
+            doc, null, texts = textblocks.read(file.path)
+            r = Regions(doc, null, texts, size, classes, buckets)
+            yield _full(pd.DataFrame({"kind": 0, "no": file.no, "pos": np.arange(len(doc)), "doc_id": pd.Series(doc, dtype="Int64").mask(null), "n": r.n_of, "e": r.e_of}))
+            first = np.flatnonzero(r.new)
+            several = np.minimum(np.diff(np.append(first, len(r.key))), 255).astype(np.uint8)
+            key, bucket = r.key[first], r.bucket[first]
+            cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            rows = [(int(bucket[a]), _short(key[a:b]), several[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False) if a < b]
+            if rows:
+                yield _full(pd.DataFrame(rows, columns=["bucket", "regions", "several"]).assign(kind=1, no=file.no))
+
+
+def _full(df: pd.DataFrame) -> pd.DataFrame:
+    names = [x.split()[0] for x in _DESCRIBED.split(", ")]
+    df = df.reindex(columns=names)
+    return df.astype({c: "Int64" for c in ("pos", "doc_id", "n", "e", "bucket")})
+
+
+def _short(keys: np.ndarray) -> bytes:
+    return (keys >> np.uint64(8 * (8 - _KEPT))).view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
+
+
+def _long(short: list[bytes]) -> np.ndarray:
+    kept = np.frombuffer(b"".join(short), np.uint8).reshape(-1, _KEPT)
+    raw = np.zeros((len(kept), 8), np.uint8)
+    raw[:, :_KEPT] = kept
+    return raw.view("<u8")[:, 0]
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(no, bucket, marks): for every region of a block 1 if several sets have it, 3 if more than ``MANY`` do, else 0."""
+    _, region = np.unique(_long(list(pdf.regions)), return_inverse=True)
+    held = np.bincount(region, np.frombuffer(b"".join(pdf.several), np.uint8))
+    marks = ((held > 1) + 2 * (held > MANY)).astype(np.uint8)[region]
+    cuts = pdf.several.str.len().cumsum().tolist()
+    return pd.DataFrame({"no": pdf.no, "bucket": pdf.bucket, "marks": [_packed(marks[a:b].tobytes()) for a, b in zip([0, *cuts], cuts, strict=False)]})
+
+
+def _packed(data: bytes) -> bytes:
+    return zstandard.compress(data)
+
+
+_SENT = "no long, bucket int, regions binary, nodes binary, e binary, n binary, words binary"
+
+
+def _shared_regions(manifest: pd.DataFrame, marks: pd.DataFrame, size: int, num: int, den: int, buckets: int) -> pd.DataFrame:
+    """Per bucket the shared regions of a block's sets, and size and parities of these sets."""
+    columns = [x.split()[0] for x in _SENT.split(", ")]
+    if manifest.empty or marks.empty:
+        return pd.DataFrame([], columns=columns)
+    r = Regions(*textblocks.read(manifest.path.iloc[0]), size, Classes(num, den), buckets)
+    mark = np.frombuffer(b"".join(map(zstandard.decompress, marks.sort_values("bucket").marks)), np.uint8)[np.cumsum(r.new) - 1]
+    spare = np.array([more for spare in r.spare for _, more in spare])
+    kept = (mark == 1) | ((mark == 3) & (np.bincount(r.share[mark == 3], minlength=len(spare)) > spare)[r.share])
+    key, node, bucket = r.key[kept], r.node[kept], r.bucket[kept]
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    rows = []
+    for a, b in zip(cut, cut[1:], strict=False):
+        if a < b:
+            own, at = np.unique(node[a:b], return_inverse=True)
+            n = np.array([r.sets[i][0] for i in own.tolist()], np.int64)
+            words = b"".join(r.sets[i][1].tobytes() for i in own.tolist())
+            rows.append((int(manifest.no.iloc[0]), int(bucket[a]), _short(key[a:b]), at.astype("<i4").tobytes(), r.e[own].tobytes(), n.tobytes(), words))
+    return pd.DataFrame(rows, columns=columns)
+
+
+def _differing(a: np.ndarray, b: np.ndarray, start: np.ndarray, wide: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The number of bits in which the parities of the sets ``a`` and ``b`` differ, at the smaller of both widths."""
+    out = np.zeros(len(a), np.int64)
+    for wa, wb in {*zip(wide[a].tolist(), wide[b].tolist(), strict=True)}:
+        at = np.flatnonzero((wide[a] == wa) & (wide[b] == wb))
+        low = min(wa, wb)
+        for begin in range(0, len(at), 1 << 16):
+            part = at[begin : begin + (1 << 16)]
+            x, y = (words[start[i][:, None] + np.arange(w)] for i, w in ((a[part], wa), (b[part], wb)))
+            x, y = (np.bitwise_xor.reduce(z.reshape(len(part), -1, low), axis=1) for z in (x, y))
+            out[part] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+def _plausible(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """(x, y): sets that regions of this bucket and the bounds connect, each with the smallest it leads to.
+
+    Every set of a region is compared with one of its sets after the other; regions whose sets are connected need no more.
+    """
+    e, n = np.frombuffer(b"".join(pdf.e), np.int64), np.frombuffer(b"".join(pdf.n), np.int64)
+    words = np.frombuffer(b"".join(pdf.words), np.uint64)
+    counts = pdf.e.str.len().to_numpy() // 8
+    node = np.frombuffer(b"".join(pdf.nodes), "<i4") + np.repeat(np.cumsum(counts) - counts, pdf.nodes.str.len() // 4)
+    wide = np.minimum(64, np.maximum(1, (1 << np.frexp(n - 1)[1].astype(np.int64)) // 64))
+    start = np.cumsum(wide) - wide
+    # equal sets of several blocks are one node
+    name, first, same = np.unique(e, return_index=True, return_inverse=True)
+    _, region = np.unique(_long(list(pdf.regions)), return_inverse=True)
+    rows = np.unique(np.stack([region, same[node]], 1), axis=0)
+    region, node = rows[:, 0], rows[:, 1]
+    label = np.arange(len(name))
+    turn = 0
+    while len(region):
+        begin = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+        size = np.diff(np.append(begin, len(region)))
+        low, high = np.minimum.reduceat(label[node], begin), np.maximum.reduceat(label[node], begin)
+        open_ = (low < high) & (size > turn)
+        if not open_.any():
+            break
+        kept = np.repeat(open_, size)
+        pivot = np.repeat(node[np.minimum(begin + turn, len(node) - 1)], size)[kept]
+        region, node = region[kept], node[kept]
+        ask = np.flatnonzero(label[pivot] != label[node])
+        a, b = first[pivot[ask]], first[node[ask]]
+        fits = np.maximum(n[a], n[b]) * num <= np.minimum(n[a], n[b]) * den
+        ask, a, b = ask[fits], a[fits], b[fits]
+        fits = _differing(a, b, start, wide, words) * (den + num) <= (n[a] + n[b]) * (den - num)
+        ask = ask[fits]
+        if len(ask):
+            pair = np.arange(len(ask), dtype=np.uint64)
+            label = least_labels(np.concatenate([pivot[ask], node[ask], np.arange(len(label)), label]), np.concatenate([pair, pair, np.arange(len(label), dtype=np.uint64) + len(ask), np.arange(len(label), dtype=np.uint64) + len(ask)]), label)
+        turn += 1
+    moved = label != np.arange(len(label))
+    return pd.DataFrame({"x": name[moved], "y": name[label[moved]]})
+
+
+_MEMBERS = "cell long, e long, mask long, held long, n long, s binary"
+
+
+def _fetch(manifest: pd.DataFrame, wanted: pd.DataFrame, size: int) -> pd.DataFrame:
+    """The sets of the wanted documents of a block."""
+    if manifest.empty or wanted.empty:
+        return pd.DataFrame([], columns=[x.split()[0] for x in _MEMBERS.split(", ")])
+    texts = textblocks.read(manifest.path.iloc[0])[2]
+    sets = shingle_sets([texts[p] for p in wanted.pos], size)
+    return wanted[["cell", "e", "held", "n"]].assign(mask=0, s=[s.tobytes() for s in sets])
+
+
+def _distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """Jaccard distances of all sets (rows) to the pivots."""
+    sizes = np.array([len(s) for s in sets])
+    first, joined = np.cumsum(sizes) - sizes, np.concatenate(sets)
+    out = np.empty((len(sets), len(pivots)))
+    for j, p in enumerate(pivots):
+        at = np.minimum(np.searchsorted(p, joined), len(p) - 1)
+        inter = np.add.reduceat((p[at] == joined).astype(np.int64), first)
+        out[:, j] = 1 - inter / (sizes + len(p) - inter)
+    return out
+
+
+_SPLIT = _MEMBERS + ", stuck boolean, guest boolean, label long"
+
+
+def _pivots(seeds: pd.DataFrame, window: float) -> tuple[list[int], list[np.ndarray]]:
+    """Names and sets of seeds that lie more than two thresholds apart, the first one always."""
+    names, pivots = [], []
+    for e, s in sorted((int(r["e"]), r["s"]) for r in seeds.seeds.iloc[0]):
+        s = np.frombuffer(s, np.uint64)
+        if e not in names and all(d > 2 * window for d in (_distances([s], pivots)[0] if pivots else [])):
+            names.append(e)
+            pivots.append(s)
+    return names, pivots
+
+
+def _cells(far: np.ndarray, window: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(pivot, who stays, who visits) of the cells of a Voronoi partition."""
+    home = far.argmin(1)
+    least = far[np.arange(len(far)), home]
+    for j in range(far.shape[1]):
+        yield j, home == j, (home > j) & (far[:, j] - least <= 2 * window)
+
+
+def _measure(members: pd.DataFrame, seeds: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """(cell, part, load): what the cells of the pivots would hold of a part of a cell."""
+    if members.empty:
+        return pd.DataFrame([], columns=["cell", "part", "load"])
+    window = (den - num) / den + 1e-9
+    far = _distances([np.frombuffer(s, np.uint64) for s in members.s], _pivots(seeds, window)[1])
+    n = members.n.to_numpy()
+    return pd.DataFrame([(int(members.cell.iloc[0]), j, int(n[stays | visits].sum())) for j, stays, visits in _cells(far, window)], columns=["cell", "part", "load"])
+
+
+def _split(members: pd.DataFrame, seeds: pd.DataFrame, num: int, den: int, level: int, only_groups: bool) -> pd.DataFrame:
+    """The members of a part of a cell in the cells of its pivots, guests included; uncut where ``seeds`` say so."""
+    columns = [x.split()[0] for x in _SPLIT.split(", ")]
+    if members.empty:
+        return pd.DataFrame([], columns=columns)
+    window = (den - num) / den + 1e-9
+    names, pivots = _pivots(seeds, window)
+    out = members.reset_index(drop=True).assign(stuck=False, guest=False, label=pd.Series(pd.NA, index=range(len(members)), dtype="Int64"))
+    sets = [np.frombuffer(s, np.uint64) for s in members.s]
+    if not seeds.cuts.iloc[0]:
+        out["stuck"] = True
+        if only_groups:
+            near = _distances(sets, pivots[:1])[:, 0] <= window - 2e-9
+            out["guest"] = near
+            out["mask"] = out["mask"] | np.where(near, 1 << level, 0)
+            out["label"] = pd.Series(np.full(len(out), names[0]), dtype="Int64").mask(~near)
+        return out[columns]
+    parts = []
+    for j, stays, visits in _cells(_distances(sets, pivots), window):
+        part = out[stays | visits].copy()
+        part["mask"] = part["mask"] | np.where(visits[stays | visits], 1 << level, 0)
+        old = part["cell"].to_numpy(np.int64).view(np.uint64)
+        part["cell"] = mix(mix(old + np.uint64(level + 1)) ^ np.array([names[j]], np.int64).view(np.uint64)).view(np.int64)
+        parts.append(part)
+    return pd.concat(parts)[columns]
+
+
+def _verified(sets: list[np.ndarray], side: np.ndarray, mask: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs link: all of one side, or those between both sides; two members with a common bit of ``mask`` never do here."""
+    sizes = np.array([len(s) for s in sets])
+    m = len(sets)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), sizes)
+    # what a single set holds adds nothing, what all hold is added at once
+    shared = (count > 1) & (count < m)
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    inter = np.full((m, m), float((count == m).sum()), np.float32)
+    for begin in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [begin, begin + 4096])
+        held = np.zeros((m, min(4096, int(shared.sum()) - begin)), np.float32)
+        held[row[a:b], column[a:b] - begin] = 1
+        inter += held @ held.T
+    inter = inter.astype(np.int64)
+    link = den * inter >= num * (sizes[:, None] + sizes[None] - inter)
+    link &= (mask[:, None] & mask[None]) == 0
+    if side.any():
+        link &= side[:, None] != side[None]
+    np.fill_diagonal(link, False)
+    return link
+
+
+def _leaves(batches: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
+    """(e, label, beside) of every linked set of each piece of work: its group there, and the rows of the sets it links with."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame | None:
+        if len(part) < 2:
+            return None
+        link = _verified([np.frombuffer(s, np.uint64) for s in part.s], part.side.to_numpy(), part["mask"].to_numpy(), num, den)
+        if not link.any():
+            return None
+        label = part.e.to_numpy(np.int64)
+        while True:
+            low = np.minimum(label, np.where(link, label[None], np.iinfo(np.int64).max).min(1))
+            if (low == label).all():
+                break
+            label = low
+        linked = link.any(1)
+        return pd.DataFrame({"e": part.e.to_numpy()[linked], "label": label[linked], "beside": (link @ part.held.to_numpy(np.int64))[linked]})
+
+    held: list[pd.DataFrame] = []
+    out: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        cut = [0, *(np.flatnonzero(np.diff(batch.key.to_numpy())) + 1).tolist(), len(batch)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            part = batch.iloc[a:b]
+            if held and held[0].key.iloc[0] != part.key.iloc[0]:
+                out.append(work(pd.concat(held)))
+                held = []
+            held.append(part)
+        if any(x is not None for x in out):
+            yield pd.concat([x for x in out if x is not None])
+        out = []
+    if held and (last := work(pd.concat(held))) is not None:
+        yield last
+
+
+def _bounded(df: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """(cell, load, parts) of the cells over the limits."""
+    sizes = df.groupBy("cell").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("many"))
+    parts = F.greatest(F.ceil(F.col("load") / shingles), F.ceil(F.col("many") / rows)).cast("int")
+    return sizes.select("cell", "load", "many", parts.alias("parts")).where(f"parts > 1 AND many > {FEW}")
+
+
+def _pieces(members: DataFrame, num: int, den: int, rows: int, shingles: int, only_groups: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(key, side, e, mask, held, n, s): bounded pieces of work that hold every pair that can link, and labels found before."""
+    kept = ["cell", "e", "mask", "held", "n", "s"]
+    spread = 4 * partitions(members)
+
+    def split_at(level: int):
+        return lambda a, b: _split(a, b, num, den, level, only_groups)
+
+    ready, blocks, labels = [], [], []
+    for level in range(LEVELS):
+        big = staged(_bounded(members, rows, shingles), "big")
+        many = big.count()
+        if not many:
+            ready.append(members)
+            break
+        ready.append(members.join(_sized(big, many), "cell", "left_anti"))
+        large = members.join(_sized(big, many), "cell").withColumn("salt", F.pmod(F.xxhash64("e"), F.col("parts")).cast("int"))
+        left = large.select(*kept, "salt").repartition(spread, "cell", "salt").groupBy("cell", "salt")
+        seed = [F.min_by(F.struct("e", "s"), F.xxhash64("e", F.lit(level * PIVOTS + k))).alias(f"s{k}") for k in range(PIVOTS)]
+        seeds = staged(large.groupBy("cell").agg(F.max("parts").alias("parts"), F.max("load").alias("whole"), *seed), "seeds")
+        salted = seeds.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.array(*[f"s{k}" for k in range(PIVOTS)]).alias("seeds"))
+        loads = left.cogroup(salted.repartition(spread, "cell", "salt").groupBy("cell", "salt")).applyInPandas(lambda a, b: _measure(a, b, num, den), "cell long, part int, load long")
+        loads = loads.groupBy("cell", "part").agg(F.sum("load").alias("load")).groupBy("cell").agg(F.sum("load").alias("total"), F.max("load").alias("most"))
+        # a cell that hardly shrinks, or whose guests outweigh it, is not cut again
+        cuts = (F.col("most") <= 0.7 * F.col("whole")) & (F.col("total") <= 1.5 * F.col("whole")) & F.lit(level < LEVELS - 1)
+        told = staged(loads.join(seeds.select("cell", "whole"), "cell").select("cell", cuts.alias("cuts")), "cuts")
+        right = salted.join(_sized(told, many), "cell").repartition(spread, "cell", "salt").groupBy("cell", "salt")
+        cut = staged(left.cogroup(right).applyInPandas(split_at(level), _SPLIT), "cut")
+        labels.append(cut.where("label IS NOT NULL").select("e", "label", F.lit(0).cast("long").alias("beside")))
+        blocks.append(cut.where("stuck").select(*kept, "guest"))
+        members = cut.where("NOT stuck").select(*kept)
+    pieces = _union(ready).select(F.col("cell").alias("key"), F.lit(0).alias("side"), *kept[1:])
+    if blocks:
+        stuck = staged(_union(blocks), "stuck")
+        per = lambda guest: F.greatest(F.ceil(F.sum(F.when(F.col("guest") == guest, F.col("n")).otherwise(0)) / shingles), F.ceil(F.count(F.when(F.col("guest") == guest, 1)) / rows)).cast("int")
+        sizes = staged(stuck.groupBy("cell").agg(per(False).alias("own"), per(True).alias("guests")), "stuck-sizes")
+        placed = stuck.join(_sized(sizes, sizes.count()), "cell")
+        own = F.pmod(F.xxhash64("e", F.lit(7)), F.greatest("own", F.lit(1))).cast("int")
+        other = F.col("own") + F.pmod(F.xxhash64("e", F.lit(7)), F.greatest("guests", F.lit(1))).cast("int")
+        placed = placed.withColumn("block", F.when(F.col("guest"), other).otherwise(own))
+        # pairs of blocks i <= j with i among the cell's own blocks: guests are not compared with each other
+        upto = F.when(F.col("guest"), F.col("own") - 1).otherwise(F.col("own") + F.col("guests") - 1)
+        placed = placed.where("own > 0").withColumn("with", F.explode(F.sequence(F.lit(0), upto)))
+        low, high = F.least("block", "with"), F.greatest("block", "with")
+        key = F.xxhash64("cell", low, high).alias("key")
+        pieces = pieces.unionByName(placed.select(key, F.when((low != high) & (F.col("block") == high), 1).otherwise(0).alias("side"), *kept[1:]))
+    return pieces, _union(labels) if labels else None
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def components(
+    docs: DataFrame,
+    size: int = 5,
+    num: int = 80,
+    den: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    count_links: bool = False,
+    cell_rows: int = CELL_ROWS,
+    cell_shingles: int = CELL_SHINGLES,
+    block_bytes: int = textblocks.BLOCK_BYTES,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: ``component_id`` is the smallest id that links lead to.
 
     With ``count_links`` every link is verified, also inside groups that are connected already, and a column
@@ -182,48 +588,57 @@ def components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id
 
     Two rows link when den * intersection >= num * union of their sets of ``size``-word shingles (words between
     ASCII white space, A-Z in lower case). A text without words, or null, has the empty set and links with nothing.
-    Equal texts link, so repeated rows share a group; rows with a null id are groups of their own (null).
+    Equal texts link, so repeated rows share a group; rows with a null id are groups of their own (null). Texts and words
+    of any length are read whole. An empty table has no rows.
     """
     if not 0 < num <= den:
         raise ValueError("the threshold has to lie above 0 and not above 1")
-    every = staged(describe(docs, size, num, den, id_col, text_col), "sets")
-    full = every.where("n > 0 AND doc_id IS NOT NULL")
-    # equal sets are one entry, named by the digest; one of its rows stands for it
-    entries = staged(full.groupBy("e").agg(F.min("doc_id").alias("doc_id")), "entries")
-    known = full.join(_sized(entries, entries.count()), ["e", "doc_id"], "left_semi").withColumnRenamed("e", "id")
-
-    inside = W.partitionBy("region")
-    first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("pivot"))).over(inside)
-    members = known.select("id", F.explode("regions").alias("region"))
-    members = members.withColumns({"first": first, "low": F.min("id").over(inside), "high": F.max("id").over(inside)})
-    shared = staged(members.where("low < high").select("region", "id", F.col("first.pivot").alias("pivot")), "shared")
-
-    heads = staged(shared.select("id").distinct().join(entries.withColumnRenamed("e", "id"), "id"), "active")
-    links = _links(docs, known, shared, heads, size, num, den, id_col, text_col, count_links)
-    links = staged(links.distinct(), "every-link") if count_links else links
-    groups = connected(links).withColumnRenamed("node", "e").join(entries, "e")
-    least = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = entries.join(groups.select("e", "group").join(least, "group").drop("group"), "e", "left")
-    named = named.select("e", F.coalesce("component_id", "doc_id").alias("component_id"))
-    rows = every.select("doc_id", F.col("n").alias("n_shingles"), "e")
-    columns = ["doc_id", "n_shingles", "component_id"]
-    if count_links:
-        named, columns = named.join(_linked_rows(full, links), "e"), [*columns, "n_links"]
-        rows = rows.withColumn("none", F.lit(0).cast("long"))
-    grouped = rows.where("n_shingles > 0").join(named, "e", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    single = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    spark = docs.sparkSession
+    manifest = textblocks.stored(docs, id_col, text_col, block_bytes)
+    blocks, total = manifest.select(F.count(F.lit(1)), F.sum("bytes")).first()
+    if not blocks:
+        return spark.createDataFrame([], "doc_id long, n_shingles long, component_id long" + ", n_links long" * count_links)
+    buckets = max(1, -(-total // BUCKET_BYTES))
+    # explicit numbers: the shuffled rows are small, the work behind them is not
+    by_block, by_bucket = min(blocks, 4 * partitions(docs)), min(4 * buckets, 4 * partitions(docs))
+    spread = manifest.repartition(by_block, "no")
+    described = staged(spread.mapInPandas(lambda it: _describe(it, size, num, den, buckets), _DESCRIBED), "described")
+    rows = described.where("kind = 0").select("doc_id", "no", "pos", "n", "e")
+    keys = described.where("kind = 1").select("no", "bucket", "regions", "several").repartition(by_bucket, "bucket").groupBy("bucket")
+    marks = staged(keys.applyInPandas(_shared, "no long, bucket int, marks binary"), "marks")
+    shared = spread.groupBy("no").cogroup(marks.repartition(by_block, "no").groupBy("no"))
+    shared = shared.applyInPandas(lambda a, b: _shared_regions(a, b, size, num, den, buckets), _SENT)
+    met = shared.repartition(by_bucket, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _plausible(pdf, num, den), "x long, y long")
+    cells = connected(met).select(F.col("node").alias("e"), F.col("group").alias("cell"))
+
+    # equal sets are one entry, named by the digest; the row with the smallest id stands for it
+    full = rows.where("n > 0 AND doc_id IS NOT NULL")
+    entries = full.groupBy("e").agg(F.min(F.struct("doc_id", "no", "pos")).alias("at"), F.count(F.lit(1)).alias("held"), F.max("n").alias("n"))
+    entries = staged(entries.select("e", "held", "n", "at.*"), "entries")
+    wanted = entries.join(cells, "e").select("no", "pos", "cell", "e", "held", "n")
+    found = spread.groupBy("no").cogroup(wanted.repartition(by_block, "no").groupBy("no")).applyInPandas(lambda a, b: _fetch(a, b, size), _MEMBERS)
+    members = staged(found, "members")
+
+    pieces, known = _pieces(members, num, den, cell_rows, cell_shingles, not count_links)
+    work = pieces.repartition(4 * partitions(docs), "key").sortWithinPartitions("key")
+    linked = work.mapInPandas(lambda it: _leaves(it, num, den), "e long, label long, beside long")
+    linked = staged(linked if known is None else linked.unionByName(known), "linked")
+    sums = staged(linked.groupBy("e").agg(F.min("label").alias("label"), F.sum("beside").alias("beside")), "sums")
+    # a set of several pieces of work joins their labels; sets themselves take no part in the propagation
+    low = linked.select("e", F.col("label").alias("x")).distinct().join(sums.select("e", F.col("label").alias("y")), "e").where("x <> y").select("x", "y").distinct()
+    merged = connected(low).withColumnRenamed("node", "label")
+    grouped = sums.join(_sized(merged, merged.count()), "label", "left").select("e", "beside", F.coalesce("group", "label").alias("group"))
+    least = entries.join(grouped, "e").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    least = staged(least, "least")
+    named = grouped.join(_sized(least, least.count()), "group").select("e", "beside", "component_id")
+    named = entries.join(named, "e", "left").select("e", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("held") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+
+    joined = rows.join(named, "e", "left")
+    grouped_row = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(grouped_row, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
     if count_links:
-        grouped = grouped.withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.col("none")))
-        single = single.withColumn("n_links", F.col("none"))
-    return grouped.select(*columns).unionByName(single.select(*columns))
-
-
-def _linked_rows(full: DataFrame, links: DataFrame) -> DataFrame:
-    """(e, n_links): the other rows of the same set and the rows of all sets it links with."""
-    held = staged(full.groupBy("e").agg(F.count(F.lit(1)).alias("held")), "held")
-    both = links.select(F.col("x").alias("e"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("e"), F.col("x").alias("other")))
-    beside = both.join(held.select(F.col("e").alias("other"), F.col("held").alias("more")), "other").groupBy("e").agg(F.sum("more").alias("more"))
-    return held.join(beside, "e", "left").select("e", (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+        columns.append(F.when(grouped_row, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return joined.select(*columns)
 
 
 def first_of_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,128 +666,6 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _links(docs, known, shared, heads, size, num, den, id_col, text_col, every: bool = False) -> DataFrame:
-    """(x, y): enough links between different sets that groups are those of all links, or ``every`` link."""
-    spark = docs.sparkSession
-    n_active = heads.count()
-    if not n_active:
-        return spark.createDataFrame([], "x long, y long")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    wanted = texts.join(_sized(heads, n_active), "doc_id", "left_semi")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, "text"):
-            found = shingle_sets(batch.text.tolist(), size)
-            yield pd.DataFrame({"id": [digest(x) for x in found], "s": [x.view(np.int64) for x in found]})
-
-    sets = staged(wanted.mapInPandas(run, "id long, s array<long>"), "shingles")
-    folds = staged(known.join(_sized(heads, n_active), "id", "left_semi").select("id", "n", "fold", "wide"), "folds")
-
-    def measured(pairs: DataFrame, name: str) -> DataFrame:
-        """(x, y, inter, uni) of distinct pairs that pass the bounds of sizes and parities."""
-        bounded = pairs.join(folds.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("fold").alias("fx"), F.col("wide").alias("wx")), "x")
-        bounded = bounded.join(folds.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("fold").alias("fy"), F.col("wide").alias("wy")), "y")
-        wide = _folded_difference("wx", "wy", num, den) * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)
-        bounded = bounded.where(_bounded("nx", "ny", "fx", "fy", num, den)).where(F.coalesce(wide, F.lit(True)))
-        sized = staged(bounded.select("x", "y", "nx", "ny").distinct(), f"{name}-pairs")
-        needed = sets.join(_sized(sized.select(F.explode(F.array("x", "y")).alias("id")).distinct(), 2 * sized.count()), "id", "left_semi")
-        left = sized.join(needed.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
-        both = left.join(needed.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-        inter = F.size(F.array_intersect("sx", "sy")).cast("long")
-        # an id on several rows brings its set several times
-        return staged(both.select("x", "y", inter.alias("inter"), (F.col("nx") + F.col("ny") - inter).alias("uni")).distinct(), name)
-
-    linked = F.col("inter") * den >= F.col("uni") * num
-    if every:
-        # each set is a group of its own, so no pair is left out as connected
-        sized = shared.select("region", "id", F.col("id").alias("group"), F.count(F.lit(1)).over(W.partitionBy("region")).alias("many"))
-        sized = staged(sized, "open")
-        return _leaf_links(sized.where(F.col("many") <= LEAF), sized.where(F.col("many") > LEAF), sets, folds, measured, linked, num, den)
-    # first pivots: every member of a region against the pivot
-    stars = shared.where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
-    links = measured(stars, "stars").where(linked).select("x", "y")
-    done = shared.select("region", F.col("pivot").alias("id")).distinct()
-    links = staged(links, "links")
-    open_ = staged(_unsettled(shared.select("region", "id"), links), "open")
-    small, large = open_.where(F.col("many") <= LEAF), open_.where(F.col("many") > LEAF)
-    for step in range(1, PIVOT_ROUNDS):
-        # large regions recur with their next pivot, by another hash each time
-        again = large.join(done, ["region", "id"], "left_anti")
-        pivots = staged(again.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(step))).alias("pivot")), "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = large.join(pivots, "region").where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
-        links = staged(links.unionByName(measured(pairs, "more").where(linked).select("x", "y")), "links")
-        done = done.unionByName(pivots.select("region", F.col("pivot").alias("id")))
-        large = staged(_unsettled(large.select("region", "id"), links), "open")
-    return links.unionByName(_leaf_links(small, large, sets, folds, measured, linked, num, den))
-
-
-def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(region, id, group, many) of the regions whose members are in several groups."""
-    groups = connected(links)
-    named = members.join(groups, members.id == groups.node, "left").select("region", "id", F.coalesce("group", "id").alias("group"))
-    inside = W.partitionBy("region")
-    named = named.withColumns({"low": F.min("group").over(inside), "high": F.max("group").over(inside), "many": F.count(F.lit(1)).over(inside)})
-    return named.where("low < high").drop("low", "high")
-
-
-def _leaf_links(small: DataFrame, large: DataFrame, sets: DataFrame, folds: DataFrame, measured, linked, num: int, den: int) -> DataFrame:
-    """Links among the members left over: rings around a pivot, neighbours replicated, pairs within all bounds verified.
-
-    The join on region and ring keeps a pair only if the distances to the pivot, the sizes and the parities allow a
-    link, so near misses of a large region are no rows. Members of large regions are dealt to blocks besides; a small
-    region is one ring, for it has fewer pairs than distances are worth.
-    """
-    pivots = large.groupBy("region").agg(F.min_by("id", F.xxhash64("id", F.lit(-1))).alias("pivot"))
-    near = large.join(pivots, "region")
-    pairs = staged(near.select("id", "pivot").distinct(), "rings")
-    needed = sets.join(_sized(pairs.select(F.explode(F.array("id", "pivot")).alias("id")).distinct(), 2 * pairs.count()), "id", "left_semi")
-    both = pairs.join(needed.withColumnRenamed("s", "s1"), "id").join(needed.select(F.col("id").alias("pivot"), F.col("s").alias("s2")), "pivot")
-    inter = F.size(F.array_intersect("s1", "s2"))
-    distances = staged(both.select("id", "pivot", (1 - inter / (F.size("s1") + F.size("s2") - inter)).alias("d")).distinct(), "distances")
-    window = (den - num) / den + 1e-9
-    placed = near.join(distances, ["id", "pivot"]).drop("pivot").unionByName(small.withColumn("d", F.lit(0.0)))
-    placed = placed.join(folds.drop("wide"), "id").withColumn("ring", F.floor(F.col("d") / window).cast("int"))
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    left = placed.select("region", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("ring").alias("r"), *[F.col(c).alias(f"x{c}") for c in ("id", "group", "d", "n", "fold")])
-    # a pair of one ring meets there; one of neighbouring rings in the upper ring
-    right = placed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    right = right.select("region", "block", F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("r"), *[F.col(c).alias(f"y{c}") for c in ("id", "group", "d", "n", "fold")])
-    same = [left[c] == right[c] for c in ("region", "block", "r")]
-    near_pivot = F.abs(left.xd - right.yd) <= window
-    # in one ring each pair stands twice
-    once = (left.xid < right.yid) | (F.floor(left.xd / window) != F.floor(right.yd / window))
-    apart = left.xgroup != right.ygroup
-    met = left.join(right, [*same, apart, once, near_pivot, _bounded("xn", "yn", "xfold", "yfold", num, den)])
-    met = met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct()
-    return measured(met, "leaves").where(linked).select("x", "y")
-
-
-def _bounded(nx: str, ny: str, fx: str, fy: str, num: int, den: int) -> Column:
-    """What sizes and parities allow: |x ^ y| <= (den - num) / (den + num) * (|x| + |y|)."""
-    sizes = F.greatest(nx, ny) * num <= F.least(nx, ny) * den
-    return sizes & (_differing(fx, fy) * (den + num) <= (F.col(nx) + F.col(ny)) * (den - num))
-
-
-def _differing(a: str, b: str) -> Column:
-    """The number of bits in which two arrays of longs differ."""
-    return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(_FOLD // 64)), F.lit(0))
-
-
-def _folded_difference(a: str, b: str, num: int, den: int) -> Column:
-    """Bits in which two parities differ, the wider one folded to the width of the other; null where one is null."""
-
-    def half(c: Column) -> Column:
-        middle = (F.size(c) / 2).cast("int")
-        return F.zip_with(F.slice(c, 1, middle), F.slice(c, middle + 1, middle), lambda x, y: x.bitwiseXOR(y))
-
-    x, y = F.col(a), F.col(b)
-    for _ in range(max(1, (den // num).bit_length())):  # sizes differ by less than den / num
-        x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
-    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, d: t + d)
-
-
 def connected(links: DataFrame) -> DataFrame:
     """(node, group) for every node of the links: the smallest id of its component.
 
@@ -381,11 +674,13 @@ def connected(links: DataFrame) -> DataFrame:
     """
     edges = staged(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(links.select(F.col("y").alias("u"), F.col("x").alias("v"))).distinct(), "edges")
     labels = staged(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("group")).select(F.col("u").alias("node"), "group"), "labels")
-    while True:
-        near = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("group").alias("best"))
+    nodes = labels.count()
+    while nodes:
+        near = edges.join(_sized(labels, nodes), F.col("v") == F.col("node")).groupBy("u").agg(F.min("group").alias("best"))
         joined = labels.join(near, labels.node == near.u).select("node", F.col("group").alias("old"), F.least("group", "best").alias("new"))
         jump = labels.select(F.col("node").alias("at"), F.col("group").alias("further"))
-        moved = staged(joined.join(jump, joined.new == jump.at).select("node", "old", F.least("new", "further").alias("group")), "labels")
+        moved = staged(joined.join(_sized(jump, nodes), joined.new == jump.at).select("node", "old", F.least("new", "further").alias("group")), "labels")
         labels = moved.select("node", "group")
         if moved.where("old <> group").isEmpty():
-            return labels
+            break
+    return labels

@@ -30,9 +30,9 @@ def brute(rows, size, num, den):
     return sorted((str(i), len(s), str(None if i is None else least[g])) for (i, s), g in zip(sets, group, strict=True))
 
 
-def made(spark, rows, size, num, den):
-    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, e int, region string")
-    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.components(df, size, num, den).collect())
+def made(spark, rows, size, num, den, **limits):
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, e int, region string").repartition(3)
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.components(df, size, num, den, **limits).collect())
 
 
 @pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80), (2, 60)])
@@ -50,36 +50,57 @@ def test_groups_equal_all_pairs(spark, size, num):
     assert made(spark, rows, size, num, 100) == brute(rows, size, num, 100)
 
 
-def test_large_region_recurs(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 4)
-    dice = random.Random(9)
-    base = [f"w{i}" for i in range(80)]
+def near_copies(dice, groups, each, changes):
     rows = []
-    for i in range(90):
-        words = list(base)
-        for _ in range(dice.choice([1, 2, 3, 5])):
-            words[dice.randrange(80)] = f"n{dice.randrange(1000)}"
-        rows.append((i, " ".join(words)))
-    assert made(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
-
-
-@pytest.mark.parametrize("leaf", [4, 64])
-def test_every_link_is_counted(spark, monkeypatch, leaf):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
-    dice = random.Random(5)
-    rows = [(1000, None), (1001, ""), (1002, "one"), (None, "one"), (1003, "ONE"), (1003, "one")]
-    for i in range(120):
-        words = [f"w{i % 3}-{j}" for j in range(70)]
-        for _ in range(dice.choice([0, 0, 1, 1, 2, 3])):
-            words[dice.randrange(70)] = f"n{dice.randrange(1000)}"
-        rows.append((i, " ".join(words)))
+    for g in range(groups):
+        base = [f"w{g % 2}-{j % 60 if g < 2 else j}" for j in range(70)]
+        for _ in range(each):
+            words = list(base)
+            for _ in range(dice.choice(changes)):
+                words[dice.randrange(70)] = f"n{dice.randrange(1000)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+LIMITS = [{}, {"cell_rows": 8, "cell_shingles": 500}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize(("num", "changes"), [(90, [1, 2, 3, 5]), (60, [0, 3, 6, 12, 20]), (30, [0, 10, 20, 40])])
+def test_large_cells_recur(spark, monkeypatch, limits, num, changes):
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rows = near_copies(random.Random(9), 4, 40, changes)
+    assert made(spark, rows, 3, num, 100, **limits) == brute(rows, 3, num, 100)
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize(("num", "changes"), [(90, [0, 0, 1, 1, 2, 3]), (40, [0, 10, 20, 40])])
+def test_every_link_is_counted(spark, monkeypatch, limits, num, changes):
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rows = [(1000, None), (1001, ""), (1002, "one"), (None, "one"), (1003, "ONE"), (1003, "one"), *near_copies(random.Random(5), 4, 40, changes)]
     sets = [frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
-    link = lambda a, b: bool(sets[a]) and a != b and None not in (rows[a][0], rows[b][0]) and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+    link = lambda a, b: bool(sets[a]) and a != b and None not in (rows[a][0], rows[b][0]) and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
     want = sorted((str(rows[a][0]), sum(link(a, b) for b in range(len(rows)))) for a in range(len(rows)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.components(df, 3, 90, 100, count_links=True).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard.components(df, 3, num, 100, count_links=True, **limits).collect()
     assert sorted((str(r.doc_id), r.n_links) for r in got) == want
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, 90, 100)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, num, 100)
+
+
+def test_pivots_cut_cells_and_guests_keep_every_pair():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.choice(30, 28, replace=False) + 200 * (i % 4), rng.choice(2000, 2) + 1000])).astype(np.uint64) for i in range(200)]
+    members = pd.DataFrame({"cell": 5, "e": np.arange(200) + 1, "mask": 0, "held": 1, "n": [len(s) for s in sets], "s": [s.tobytes() for s in sets], "salt": 0})
+    seeds = pd.DataFrame({"seeds": [[{"e": int(i) + 1, "s": sets[i].tobytes()} for i in range(8)]], "cuts": [True]})
+    cut = jaccard._split(members, seeds, 80, 100, 0, False)
+    assert cut.cell.nunique() >= 4 and not cut.stuck.any()
+    link = jaccard._verified(sets, np.zeros(200, int), np.zeros(200, int), 80, 100)
+    met = {(x, y) for _, c in cut.groupby("cell") for x, m in zip(c.e, c["mask"], strict=True) for y, k in zip(c.e, c["mask"], strict=True) if x < y and not m & k}
+    assert {(a + 1, b + 1) for a, b in zip(*np.nonzero(link), strict=True) if a < b} <= met
+    assert len(met) < 200 * 199 / 2 / 2
 
 
 @pytest.mark.parametrize("num", [10, 30, 50, 60, 65, 80, 90])

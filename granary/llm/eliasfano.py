@@ -122,12 +122,15 @@ class Shard:
 
 
 @lru_cache(1)
-def _tokenizer(path: str) -> tuple[Memory, bool]:
-    """Per worker: the tokenizer's ids of pieces, and whether ids need 4 bytes."""
+def _tokenizer(path: str, special_as_text: bool) -> tuple[Memory, bool]:
+    """Per worker: the tokenizer's ids of pieces, and whether ids need 4 bytes.
+
+    A special string has no white space and ends in no punctuation that pieces are cut before, so it stays whole.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # special strings inside a text are ordinary text
+    tokenizer.encode_special_tokens = special_as_text
 
     # the vocabulary writes every byte of a token as one character
     lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
@@ -143,9 +146,12 @@ def _tokenizer(path: str) -> tuple[Memory, bool]:
     return Memory(encode, joined=100_000), tokenizer.get_vocab_size() > 65535
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Write all documents as shards in ascending order of id; the manifest (shard, path, docs, ids, first_id).
 
+    Ids are those of the library without special tokens added around a text. A special string inside a text is its own token as
+    the library has it by default, or ordinary text with ``special_as_text``.
+
     ``tokenizer`` is a byte-level BPE file of the tokenizers library, present on every machine; ``end_id`` follows
     every document. Null and empty texts have the end id only. Rows with a null id come first; equal ids are ordered
     by text, so repeated rows stand side by side. An empty table has an empty manifest.
@@ -160,7 +166,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         folder = "file://" + folder.removeprefix("file:")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, wide = _tokenizer(tokenizer)
+        memory, wide = _tokenizer(tokenizer, special_as_text)
         filled = slices(batches, "text", 16_000_000)
         first = next(filled, None)
         if first is None:

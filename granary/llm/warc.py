@@ -2,8 +2,10 @@
 
 ``write_archives`` writes one record per page and each file as a single gzip stream, as many crawlers do.
 ``normalise`` inflates such a file once, from front to back with bounded memory, writes every record again as a gzip
-member of its own and a sidecar ``.idx`` with offset, length, type and id of each record: from then on records are
-read singly, and files are split over tasks. ``read_archives`` reads through the sidecars.
+member of its own and a sidecar ``.idx`` (Parquet) with offset, length, type and id of each record: from then on records are
+read singly, and files are split over tasks. ``read_archives`` reads through the sidecars. Archives of other writers may
+have any member layout, header names in any case, folded lines, zeros behind a member and empty lines between records. An
+archive that is cut inside a member or a record raises, and so does a payload without its digest: no record is lost unseen.
 
 Equal payloads are found by their SHA-256, aggregated before any shuffle of pages. Groups that hold at least a
 thousandth of all pages, of which there are at most a thousand, are looked up by broadcast; the others by a join.
@@ -20,7 +22,9 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from granary.llm.common import partitions, run_folder, staged, text_column
@@ -91,22 +95,31 @@ def normalise(archives: DataFrame, level: int = 4) -> DataFrame:
             for source in batch.path:
                 path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                 at = records = 0
-                with _create(path) as out, _create(path + ".idx") as index:
+                with _create(path) as out, _create(path + ".idx") as file, pq.ParquetWriter(file, _INDEX) as index:
+                    lines: list = []
                     for record in split_records(inflate(source)):
                         packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = packer.compress(record) + packer.flush()
                         out.write(member)
                         head = headers(record)
-                        # fixed width, so a reader seeks to any line
-                        index.write(b"%020d %012d %-10s %-52s\n" % (at, len(member), head["WARC-Type"].encode(), head["WARC-Record-ID"].encode()))
+                        lines.append((at, len(member), head["warc-type"], head["warc-record-id"]))
                         at, records = at + len(member), records + 1
+                        if len(lines) == _READ_RECORDS:  # a row group is what one reader takes
+                            index.write_table(_lines(lines))
+                            lines = []
+                    if lines:
+                        index.write_table(_lines(lines))
                 yield pd.DataFrame([(path, records)], columns=["path", "records"])
 
     spread = archives.select("path").repartition(partitions(archives), "path")
     return staged(spread.mapInPandas(run, "path string, records long"), "normalised")
 
 
-_LINE = 20 + 1 + 12 + 1 + 10 + 1 + 52 + 1
+_INDEX = pa.schema([("at", pa.int64()), ("size", pa.int64()), ("type", pa.string()), ("record_id", pa.string())])
+
+
+def _lines(rows: list) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _INDEX, strict=True)], schema=_INDEX)
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
@@ -120,12 +133,8 @@ def read_archives(normalised: DataFrame) -> DataFrame:
             for part in batch.itertuples():
                 fs, name = pafs.FileSystem.from_uri(part.path)
                 file = fs.open_input_file(name)
-                count = min(part.records - part.begin, _READ_RECORDS)
-                lines = fs.open_input_file(name + ".idx").read_at(count * _LINE, part.begin * _LINE)
-                rows = []
-                for i in range(0, len(lines), _LINE):
-                    at, size = lines[i : i + 33].split()
-                    rows.append(parse(zlib.decompress(file.read_at(int(size), int(at)), 31)))
+                lines = pq.ParquetFile(fs.open_input_file(name + ".idx")).read_row_group(part.begin // _READ_RECORDS, ["at", "size"]).to_pydict()
+                rows = [parse(zlib.decompress(file.read_at(size, at), 31)) for at, size in zip(lines["at"], lines["size"], strict=True)]
                 yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return parts.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
@@ -181,15 +190,28 @@ def _record(page_id, url, payload: bytes, original, date: str) -> bytes:
 
 
 def inflate(path: str) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or many members, in blocks."""
+    """The bytes of a gzip file of one or many members, in blocks of bounded size; a file that ends inside a member raises."""
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_stream(name, compression=None) as file:
-        stream, rest = zlib.decompressobj(31), b""
+        stream, rest = None, b""
         while rest or (rest := file.read(_BLOCK)):
-            if stream.eof:
+            if stream is None:
+                rest = rest.lstrip(b"\0")  # padding between members
+                if not rest:
+                    continue
                 stream = zlib.decompressobj(31)
-            yield stream.decompress(rest)
-            rest = stream.unused_data
+            block = stream.decompress(rest, _BLOCK)
+            if block:
+                yield block
+            rest = stream.unconsumed_tail
+            if stream.eof:
+                stream, rest = None, stream.unused_data
+        while stream is not None and (block := stream.decompress(b"", _BLOCK)):
+            yield block
+            if stream.eof:
+                stream = None
+    if stream is not None and not stream.eof:
+        raise ValueError(f"{path} ends inside a gzip member")
 
 
 def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -199,21 +221,33 @@ def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
         held += block
         while True:
             if wanted is None:
+                while held[:2] == b"\r\n":  # more empty lines than the two that end a record
+                    del held[:2]
                 end = held.find(_END)
                 if end < 0:
                     break
-                wanted = end + 4 + int(headers(bytes(held[: end + 4]))["Content-Length"]) + 4
+                wanted = end + 4 + int(headers(bytes(held[: end + 4]))["content-length"]) + 4
             if len(held) < wanted:
                 break
             yield bytes(held[:wanted])
             del held[:wanted]
             wanted = None
-    if held:
+    if held.strip(b"\r\n"):
         raise ValueError(f"{len(held)} bytes after the last whole record")
 
 
 def headers(record: bytes) -> dict[str, str]:
-    return dict(line.split(": ", 1) for line in record[: record.find(_END)].decode().split("\r\n")[1:] if ": " in line)
+    """The header fields by name in lower case; a line that begins with white space goes on with the field before it."""
+    out: dict[str, str] = {}
+    name = None
+    for line in record[: record.find(_END)].decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
 
 
 def parse(record: bytes) -> tuple:
@@ -221,11 +255,11 @@ def parse(record: bytes) -> tuple:
     head = headers(record)
     block = record[record.find(_END) + 4 : -4]
     cut = block.find(_END)
-    page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
-    if head["WARC-Type"] == "response":
+    page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
+    if head["warc-type"] == "response":
         size, digest = len(block) - cut - 4, sha1_base32(block[cut + 4 :])
-        if f"sha1:{digest}" != head["WARC-Payload-Digest"]:
-            raise ValueError(f"payload of {head['WARC-Record-ID']} does not have its digest")
+        if f"sha1:{digest}" != head["warc-payload-digest"]:
+            raise ValueError(f"payload of {head['warc-record-id']} does not have its digest")
     else:
-        size, digest = int(headers(block)["Content-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
-    return page and int(page), size, digest, head["WARC-Type"], refers and int(refers), head.get("WARC-Target-URI")
+        size, digest = int(headers(block)["content-length"]), head["warc-payload-digest"].removeprefix("sha1:")
+    return page and int(page), size, digest, head["warc-type"], refers and int(refers), head.get("warc-target-uri")

@@ -117,20 +117,21 @@ def test_elias_fano_round_trip(step, tmp_path):
         assert sequence.select(a, b).tolist() == values[a:b].tolist()
 
 
-def test_shards(spark, documents):
+@pytest.mark.parametrize("special", [False, True])
+def test_shards(spark, documents, special):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = tokenizers.Tokenizer.from_file(path)
-    extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(TEXTS + random_texts(300))], "doc_id long, text string")
+    own.encode_special_tokens = special
+    odd = ["a b<|endoftext|>c", "<|endoftext|>", "x <|endoftext|>, y", "x\n<|endoftext|>\ny z", "a  <|endoftext|>  b <|endoftext|><|endoftext|> c", "word<|endoftext|", "<|endoftext|>. <|endoftext|>) end"]
+    extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(TEXTS + odd + random_texts(300))], "doc_id long, text string")
     docs = documents.select("doc_id", "text", "id", "n").unionByName(extra, allowMissingColumns=True)
-    got = eliasfano.read_shards(eliasfano.write_shards(docs, path, end_id=2)).collect()
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or ""), r.doc_id, own.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect() if "<|" not in (r.text or ""))
+    got = eliasfano.read_shards(eliasfano.write_shards(docs, path, end_id=2, special_as_text=special)).collect()
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or ""), r.doc_id, own.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect())
     got = sorted(got, key=lambda r: r.start)
     start = 0
-    by_id = [(i, len(t) + 1, zlib.crc32(np.array([*t, 2], "<u4").tobytes())) for _, i, t in rows]
     for r in got:
         assert r.start == start
         start += r.n_tokens
-    special = {100 + i for i, t in enumerate(TEXTS) if "<|" in t}
-    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got if r.doc_id not in special] == by_id
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(t) + 1, zlib.crc32(np.array([*t, 2], "<u4").tobytes())) for _, i, t in rows]
     assert eliasfano.read_shards(eliasfano.write_shards(documents.limit(0), path, end_id=2)).count() == 0

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -271,3 +272,50 @@ def test_warc_reads_any_member_layout(tmp_path):
     path = tmp_path / "a.gz"
     path.write_bytes(gzip.compress(b"".join(records[:7])) + gzip.compress(b"".join(records[7:])))
     assert list(warc.split_records(warc.inflate(f"file://{path}"))) == records
+
+
+def test_warc_that_is_cut_raises(tmp_path):
+    import gzip
+
+    records = [warc._record(i, "u", b"x" * 5000, None, "d") for i in range(3)]
+    whole = gzip.compress(b"".join(records))
+    members = b"".join(gzip.compress(r) + b"\0" * 7 for r in records)
+    path = tmp_path / "a.gz"
+    path.write_bytes(members)
+    assert list(warc.split_records(warc.inflate(f"file://{path}"))) == records
+    for data in (whole[:-40], whole[:-4], members[: len(members) // 2], gzip.compress(b"".join(records)[:-900]), whole[:5]):
+        path.write_bytes(data)
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.split_records(warc.inflate(f"file://{path}")))
+
+
+def test_warc_inflates_in_bounded_blocks(tmp_path):
+    import gzip
+
+    path = tmp_path / "a.gz"
+    path.write_bytes(gzip.compress(bytes(50_000_000)))
+    sizes = [len(b) for b in warc.inflate(f"file://{path}")]
+    assert sum(sizes) == 50_000_000 and max(sizes) <= warc._BLOCK
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def foreign(i):
+        block = b"HTTP/1.1 200 OK\r\ncontent-length: 2\r\n\r\nok"
+        lines = [b"WARC/1.0", b"content-length:%d" % len(block), b"Warc-Type: response", b"WARC-RECORD-ID: <urn:x:" + b"long" * 30 + b"%d>" % i, b"X-Page-ID: %d" % i]
+        lines += [b"warc-payload-digest: sha1:", b"  " + warc.sha1_base32(b"ok").encode()]
+        return b"\r\n".join(lines).replace(b"sha1:\r\n  ", b"sha1:") + b"\r\n\r\n" + block + b"\r\n\r\n" * (1 + i % 2)
+
+    path = tmp_path / "b.warc.gz"
+    other = b"WARC/1.0\r\nWARC-Type: continuation\r\nWARC-Record-ID: <urn:y>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    path.write_bytes(gzip.compress(b"".join(foreign(i) for i in range(5000))))
+    normal = warc.normalise(spark.createDataFrame([(f"file://{path}", 5000)], "path string, records long"))
+    rows = warc.read_archives(normal).collect()
+    assert sorted(r.page_id for r in rows) == list(range(5000)) and {r.payload_bytes for r in rows} == {2}
+    path.write_bytes(gzip.compress(other + foreign(1)))
+    [(file, n)] = warc.normalise(spark.createDataFrame([(f"file://{path}", 2)], "path string, records long")).collect()
+    import pyarrow.parquet as pq
+
+    index = pq.read_table(file.removeprefix("file://") + ".idx").to_pydict()
+    assert n == 2 and index["type"] == ["continuation", "response"]

@@ -235,6 +235,47 @@ def test_names_of_wrappers_empty_no_page(before, after):
     assert blocks.main_text(f"{before}<p>{LONG}</p><p>{LONG}</p>{after}{side}<form><p>Your mail to us</p></form>") == f"{LONG} {LONG}"
 
 
+MORE = "Of the rest there is as much as of the text itself, and it is not for us to say which of the two was the better one, as all of it was here before we had come to it and will be here after. "
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "comment-list", "advert", "sponsored box", "cookie_notice", "sidebarLeft"])
+@pytest.mark.parametrize(("before", "after"), [("<article>", "</article>"), ("<div>", "</div>")])
+def test_beside_the_text_however_long(name, before, after):
+    assert blocks.main_text(f"{before}<p>{LONG}</p>{after}<div class='{name}'><p>{MORE * 3}</p><p>{MORE}</p></div>") == LONG
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<p class='notice'>" + MORE + "</p>",
+        "<p class='notice'>" + MORE + "<p>",
+        "<span class='advert'>" + MORE + "<span>more</span></span>",
+        "<h2 class=ad>Buy now</h2>",
+        "<ul><li class='sponsored'>" + MORE + "</li></ul>",
+    ],
+)
+def test_names_of_any_element(inner):
+    assert blocks.main_text(f"<article><p>{LONG}</p>{inner}<p>{LONG}</p></article>") == f"{LONG} {LONG}"
+    assert blocks.main_text(f"<article><p>Some {inner if inner.startswith('<span') else ''}text of it. {LONG}</p></article>") == f"Some text of it. {LONG}"
+
+
+def test_paragraphs_of_links_stay_in_the_article():
+    links = ", ".join(f"<a href=/{i}>The name of page {i}</a>" for i in range(6))
+    text = ", ".join(f"The name of page {i}" for i in range(6))
+    assert blocks.main_text(f"<article><p>{LONG}</p><p>{links}</p><p>{LONG}</p></article>") == f"{LONG} {text} {LONG}"
+
+
+@pytest.mark.parametrize("text", ["Il gatto è salito sul tetto della casa mentre pioveva forte, poi scese piano e andò a dormire vicino al fuoco acceso.", "这是一个没有停用词表的语言的段落，它仍然是页面的正文。" * 4, "One short paragraph."])
+def test_text_without_stop_words(text):
+    assert blocks.main_text(f"<nav><a href=/>Home</a></nav><div><p>{text}</p></div><ul><li><a href=/x>A link</a></li></ul><footer>(c)</footer>") == text
+
+
+def test_quotes_inside_unquoted_values():
+    assert blocks.main_text(f"<article><p title=it's>{LONG}</p><p data-x=\"a>b\" title='c>d'>{LONG}</p></article>") == f"{LONG} {LONG}"
+    assert blocks.main_text("<p " + "a=\"b\" c='d' " * 20000) == ""  # no tag is tried twice
+    assert blocks.main_text("<script " + "a=\"b\" c='d' " * 20000) == ""
+
+
 def test_second_pass_inherits():
     labels = [blocks.BAD, blocks.SHORT, blocks.GOOD, blocks.NEAR, blocks.SHORT, blocks.GOOD, blocks.SHORT]
     assert blocks.second_pass(labels, [False] * 7) == ["bad", "bad", "good", "good", "good", "good", "bad"]
@@ -245,7 +286,7 @@ def test_pages(spark):
     rows = [(1, "u", PAGE.format(open="<main>", close="</main>"), "t"), (2, None, None, None), (None, "u", "", None), (3, "u", "plain", "t"), (3, "u", "plain", "t"), (4, "v", "<p>" * 3000 + "x", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = blocks.extract(pages).collect()
-    assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", len(TEXT)), ("2", 0), ("3", 0), ("3", 0), ("4", 0), ("None", 0)]
+    assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", len(TEXT)), ("2", 0), ("3", 5), ("3", 5), ("4", 1), ("None", 0)]
     assert blocks.extract(pages.limit(0)).count() == 0
 
 

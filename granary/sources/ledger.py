@@ -6,12 +6,11 @@ Rows are kept as (file, chunk, row_id, cells): ``chunk`` is the byte offset of t
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import BooleanType
 
 from granary.operators.ingest import forward_fill, lenient_double
 from granary.schema import ITEM, LEDGER_LABELS, MONTH_TO_DATE, OPENING_LABEL, QUANTITIES, TOTAL_WORDS
+from granary.sources.records import cells, whole_records
 
 _UNICODE = ("utf-8", "utf8", "utf-8-sig")
 
@@ -30,91 +29,77 @@ def _lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.text(paths, pathGlobFilter="*.csv").select("value", *_place())
 
 
-def infer_width(lines: DataFrame) -> int:
-    """Cells of the widest line, at most: commas inside quotes count too (one pass; give ``width`` to save it)."""
-    return lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
-
-
-def _cells(lines: DataFrame, width: int) -> DataFrame:
-    """Decoded lines parsed into arrays of ``width`` cells; shorter lines end in nulls."""
-    names = [f"c{i}" for i in range(width)]
+def _cells(lines: DataFrame, width: int | None) -> DataFrame:
+    """Decoded records parsed into arrays of cells, of exactly ``width`` where it is given."""
     text = F.regexp_replace(F.rtrim(F.col("value"), F.lit("\r")), "^\ufeff", "")
     # a blank line is no CSV record, as in Spark's own reader
     kept = lines.where(F.trim(text) != "")
-    parsed = kept.withColumn("parsed", F.from_csv(text, ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"}))
-    return parsed.select("file", "chunk", "row_id", F.array(*[F.col("parsed")[n] for n in names]).alias("cells"))
+    return kept.select("file", "chunk", "row_id", cells(text, width).alias("cells"))
 
 
 def read_ledger_csv(
     spark: SparkSession, paths: list[str] | str, encoding: str = "utf-8", width: int | None = None
 ) -> DataFrame:
-    """Ledger rows of all files in one charset. Lines are cut only where a ``width`` is given."""
-    lines = _lines(spark, paths)
+    """Ledger rows of all files in one charset; quoted cells may hold line breaks. Rows are cut or filled only where a
+    ``width`` is given."""
+    lines = whole_records(_lines(spark, paths))
     if encoding not in _UNICODE:
         lines = lines.withColumn("value", _decoded(spark, encoding))
-    return _cells(lines, width or infer_width(lines))
+    return _cells(lines, width)
 
 
 def _decoded(spark: SparkSession, encoding: str) -> Column:
-    """Charsets outside Spark's short list need ``spark.sql.legacy.javaCharsets``, which is set on the session here."""
+    """Charsets outside Spark's short list, and replacing what cannot be decoded, need settings that are put on the session."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
     return F.decode(F.col("value").cast("binary"), encoding)
 
 
-@F.pandas_udf(BooleanType())
-def _is_gbk(lines: pd.Series) -> pd.Series:
-    def readable(raw) -> bool:
-        if raw is None:
-            return True
-        try:
-            bytes(raw).decode("gbk")
-            return True
-        except UnicodeDecodeError:
-            return False
-
-    return lines.map(readable)
-
-
-def _per_file(lines: DataFrame) -> DataFrame:
+def _per_file(spark: SparkSession, lines: DataFrame) -> DataFrame:
     unicode = F.is_valid_utf8("value")
-    checked = lines.select("file", unicode.alias("utf8"), F.when(~unicode, F.col("value").cast("binary")).alias("raw"))
-    checked = checked.select("file", "utf8", _is_gbk("raw").alias("gbk"))
-    per_file = checked.groupBy("file").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("gbk").alias("gbk"))
+    # what GBK cannot read does not come back as the same bytes
+    gbk = F.encode(_decoded(spark, "GBK"), "GBK") == F.col("value").cast("binary")
+    per_file = lines.groupBy("file").agg(F.bool_and(unicode).alias("utf8"), F.bool_and(F.when(~unicode, gbk).otherwise(True)).alias("gbk"))
     return per_file.select("file", F.when(F.col("utf8"), "utf-8").when(F.col("gbk"), "gbk").otherwise("latin-1").alias("encoding"))
 
 
 def probe_encoding(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(file, encoding): the first of utf-8, gbk and latin-1 that reads every line of the file.
 
-    Lines arrive as raw bytes; only those that are no UTF-8 go to Python. GB2312 is part of GBK
+    Lines arrive as raw bytes; those that are no UTF-8 are decoded and encoded again. GB2312 is part of GBK
     and a byte order mark is valid UTF-8, so three answers cover the five candidates.
     """
-    return _per_file(_lines(spark, paths))
+    return _per_file(spark, _lines(spark, paths))
 
 
 def read_ledgers(spark: SparkSession, paths: list[str] | str, width: int | None = None) -> DataFrame:
-    """Ledger rows of files in mixed encodings, in one plan: each line is decoded by what its file turned out to be.
+    """Ledger rows of files in mixed encodings, in one plan: each record is decoded by what its file turned out to be.
 
-    No path goes through the driver, so any name will do. The join with one row per file is a broadcast at run time
-    where those rows are few, and Spark splits a large file where they are not.
+    No path goes through the driver, so any name will do, and no job runs while the plan is built. The join with one row per
+    file is a broadcast at run time where those rows are few, and Spark splits a large file where they are not.
     """
     lines = _lines(spark, paths)
-    known = lines.join(_per_file(lines), "file")
+    known = whole_records(lines).join(_per_file(spark, lines), "file")
     gbk, latin = _decoded(spark, "GBK"), _decoded(spark, "ISO-8859-1")
     decoded = F.when(F.col("encoding") == "gbk", gbk).when(F.col("encoding") == "latin-1", latin).otherwise(F.col("value"))
-    return _cells(known.withColumn("value", decoded), width or infer_width(lines))
+    return _cells(known.withColumn("value", decoded), width)
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
-    """Add ``row_no``, the 0-based line of the file, from one count per scan split."""
-    splits = rows.groupBy("file", "chunk").agg(F.min("row_id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    """Add ``row_no``, the 0-based record of the file, from one count per scan split.
+
+    Where ids of a split have gaps (blank lines, glued records) its rows are counted by a window over the split.
+    """
+    splits = rows.groupBy("file", "chunk").agg(F.min("row_id").alias("__first"), F.max("row_id").alias("__last"), F.count(F.lit(1)).alias("__n"))
     earlier = W.partitionBy("file").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = splits.select("file", "chunk", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    return (
-        rows.join(starts, ["file", "chunk"])
-        .withColumn("row_no", F.col("row_id") - F.col("__first") + F.col("__base"))
-        .drop("__first", "__base")
+    starts = splits.select(
+        "file", "chunk", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"), (F.col("__last") - F.col("__first") + 1 != F.col("__n")).alias("__gaps")
     )
+    placed = rows.join(F.broadcast(starts), ["file", "chunk"])  # one row per scan split
+    even = placed.where("NOT __gaps").withColumn("row_no", F.col("row_id") - F.col("__first") + F.col("__base"))
+    nth = F.row_number().over(W.partitionBy("file", "chunk").orderBy("row_id"))
+    counted = placed.where("__gaps").withColumn("row_no", (nth - 1 + F.col("__base")).cast("bigint"))
+    return even.unionByName(counted).drop("__first", "__base", "__gaps")
 
 
 def _date_label(cell: Column) -> Column:

@@ -205,12 +205,16 @@ def of_type(alerts: DataFrame, kind: str) -> DataFrame:
     return alerts.filter(F.col("alert_type").isin(*kinds))
 
 
-def priority_order() -> list[Column]:
-    """Order inside the kinds: first the top urgency, then quantity; expiry by days left."""
+def priority_keys() -> list[tuple[Column, bool]]:
+    """(column, descending) of the order inside the kinds: first the top urgency, then quantity; expiry by days left."""
     first = F.when(F.col("urgency").isin("urgent", "this_week", "high"), 0).otherwise(1)
     size = F.when(F.col("alert_type") == "expiry", -F.col("days_left").cast("double")).otherwise(F.col("quantity"))
     urgent = F.when(F.col("alert_type").isin("overstock", "clearance"), 0).otherwise(first)
-    return [F.asc(_list_name()), urgent.asc(), size.desc(), F.asc(ITEM)]
+    return [(_list_name(), False), (urgent, False), (size, True), (F.col(ITEM), False)]
+
+
+def priority_order() -> list[Column]:
+    return [c.desc() if descending else c.asc() for c, descending in priority_keys()]
 
 
 def _list_name() -> Column:
@@ -224,7 +228,7 @@ def prioritised(alerts: DataFrame) -> DataFrame:
 
 def alert_priority(alerts: DataFrame, slices: int | None = None) -> DataFrame:
     """Alerts with their position in the whole list, ranked without a single-task window."""
-    return running_total(alerts, priority_order(), rank_name="position", slices=slices)
+    return running_total(alerts, priority_keys(), rank_name="position", slices=slices)
 
 
 def top_urgent(alerts: DataFrame, n: int = 5) -> DataFrame:

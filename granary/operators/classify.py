@@ -26,7 +26,7 @@ def abc_classify(
     items = df.groupBy(ITEM).agg(*measures)
     measure = "total_amount" if by_amount else "total_out"
     ranked = running_total(
-        items, [F.desc(measure), F.asc(ITEM)], measure, "__running", grand_name="__grand", slices=slices
+        items, [(F.col(measure), True), (F.col(ITEM), False)], measure, "__running", grand_name="__grand", slices=slices
     )
     whole = F.col("__grand").cast("double")
     share = ratio(F.col(measure).cast("double"), whole, None)

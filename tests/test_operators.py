@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import ordering
 from granary.functions.ordering import running_total
 from granary.operators import (
     alerts as J,
@@ -30,7 +31,7 @@ def test_running_total_with_hot_ties(spark):
     rng = random.Random(1)
     rows = [(f"i{n:04d}", 7.0 if n % 3 else float(rng.randint(0, 500))) for n in range(2000)]
     df = frame(spark, rows, "item_code string, q double")
-    got = running_total(df, [F.desc("q"), F.asc("item_code")], "q", "run", "rank", slices=7).collect()
+    got = running_total(df, [(F.col("q"), True), (F.col("item_code"), False)], "q", "run", "rank", slices=7).collect()
     expected, total = {}, 0.0
     for rank, (item, q) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), start=1):
         total += q
@@ -38,6 +39,30 @@ def test_running_total_with_hot_ties(spark):
     assert {r["item_code"]: (r["run"], r["rank"]) for r in got} == expected
 
 
+def test_running_total_of_few_rows_and_nulls(spark):
+    keys = [(F.col("q"), True), (F.col("item_code"), False)]
+    assert running_total(frame(spark, [], "item_code string, q double"), keys, "q", "run", "rank", "all", slices=7).count() == 0
+    rows = [("b", None), ("a", 2.0), (None, 2.0), ("c", -1.0)]
+    got = running_total(frame(spark, rows, "item_code string, q double"), keys, "q", "run", "rank", slices=3).collect()
+    assert {r["item_code"]: (r["rank"], r["run"]) for r in got} == {None: (1, 2.0), "a": (2, 4.0), "c": (3, 3.0), "b": (4, 3.0)}
+
+
+def test_slices_are_even_and_cost_no_job_while_planned(spark):
+    rows = [(f"i{n:05d}", 7.0 if n % 3 else float(n)) for n in range(20000)]
+    df = frame(spark, rows, "item_code string, q double")
+    keys = [(F.col("q"), True), (F.col("item_code"), False)]
+    spark.sparkContext.setJobGroup("slices", "slices")
+    tracker = spark.sparkContext.statusTracker()
+    ranked = running_total(df, keys, "q", "run", "rank", slices=16)
+    classes = C.abc_classify(df.withColumnRenamed("q", "out_qty"))
+    assert list(tracker.getJobIdsForGroup("slices")) == []
+    assert classes.count() == ranked.count() == 20000
+    spark.sparkContext.setJobGroup("", "")
+    keyed = df.withColumn(ordering._KEY, ordering.sort_key(keys))
+    sizes = ordering._sliced(keyed, 16).groupBy(ordering._SLICE).count().collect()
+    assert len(sizes) == 16 and max(n for _, n in sizes) < 2 * 20000 / 16
+
+
 def test_abc_limits_are_inclusive(spark):
     # shares 70 %, 20 %, 10 %: cumulative exactly .70 and .90
     df = frame(spark, [("a", 70.0), ("b", 20.0), ("c", 10.0)], "item_code string, out_qty double")

@@ -168,10 +168,15 @@ class Classes:
         return (np.concatenate(keys) if keys else np.zeros(0, np.uint64)), spare
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether the number of shingles is odd for every value of their low bits, a bit for each and one at least per shingle
-    (at most 4096); halves of it add up to that of half the width."""
-    bits = min(4096, max(64, 1 << (len(shingles) - 1).bit_length()))
+def parity_words(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """64-bit words of the parities of sets of ``n``: sets that share nothing differ in half of the bits, a quarter more than links can."""
+    most = (den - num) * 2 * n // (den + num)
+    return np.minimum(64, 1 << np.frexp(np.maximum(5 * most // 2 - 1, 0) // 64)[1].astype(np.int64))
+
+
+def parities(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Whether the number of shingles is odd for every value of their low bits; halves of it add up to that of half the width."""
+    bits = 64 * words
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -218,7 +223,7 @@ class Regions:
                 key, spare = classes.regions(s)
                 keys.append(key)
                 self.spare.append(spare)
-                self.sets.append((len(s), parities(s)))
+                self.sets.append((len(s), parities(s, int(parity_words(np.array([len(s)]), classes.num, classes.den)[0]))))
         self.e = np.fromiter(nodes, np.int64, len(nodes))
         key = np.concatenate([np.zeros(0, np.uint64), *keys])
         node = np.repeat(np.arange(len(nodes)), [len(k) for k in keys])
@@ -326,7 +331,7 @@ def _plausible(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     words = np.frombuffer(b"".join(pdf.words), np.uint64)
     counts = pdf.e.str.len().to_numpy() // 8
     node = np.frombuffer(b"".join(pdf.nodes), "<i4") + np.repeat(np.cumsum(counts) - counts, pdf.nodes.str.len() // 4)
-    wide = np.minimum(64, np.maximum(1, (1 << np.frexp(n - 1)[1].astype(np.int64)) // 64))
+    wide = parity_words(n, num, den)
     start = np.cumsum(wide) - wide
     # equal sets of several blocks are one node
     name, first, same = np.unique(e, return_index=True, return_inverse=True)

@@ -349,53 +349,41 @@ def tune_imapa(i: Inputs):
     return H.tune_imapa(i.sparse_weekly(), calendar=i.calendar())
 
 
-# A grid of three steps per parameter for all suppliers: the recursion in SQL is slow.
+HW_BEST = "SELECT item_code, p.a AS alpha, p.b AS beta, p.g AS gamma, sqrt(var_out + power(p.f - mean_out, 2)) AS rmse FROM hwbest JOIN pattern USING (item_code)"
+
+
 @query(
     "tune_holt_winters",
-    best_of(
-        "SELECT h.item_code, a, b, g, forecast FROM hwtune h JOIN season s ON s.item_code = h.item_code AND s.season_mode = h.mode",
-        "a, b, g",
-        "a AS alpha, b AS beta, g AS gamma",
-    ),
-    need="hwtune season pattern",
+    f"SELECT item_code, pattern, alpha, beta, gamma, R(h.rmse) AS rmse, points FROM ({HW_BEST}) h JOIN pattern USING (item_code)",
+    need="hwbest pattern",
     digits=4,
 )
 def tune_holt_winters(i: Inputs):
-    return H.tune_holt_winters(i.sparse_weekly("S"), steps=3, calendar=i.calendar())
+    return H.tune_holt_winters(i.sparse_weekly(), calendar=i.calendar())
 
 
-# The router over the same small grids: every model that occurs at 357 weeks.
+# The router over the whole grids: every model that occurs at 357 weeks.
 _MODEL = """CASE WHEN lifecycle = 'obsolete' THEN 'obsolete' WHEN lifecycle = 'phase_out' THEN 'clearance' WHEN p.pattern = 'intermittent' THEN 'tsb'
     WHEN p.pattern = 'lumpy' THEN 'imapa' ELSE 'holt_winters' END"""
-_TSB3 = best_of(TSB_GRID.replace("generate_series(1, 8)", "generate_series(1, 3)"), "i, j", "i / 20.0::DOUBLE AS alpha, j / 20.0::DOUBLE AS beta")
+_TSB_BEST = best_of(TSB_GRID, "i, j", "i / 20.0::DOUBLE AS alpha, j / 20.0::DOUBLE AS beta")
 _WINDOW = best_of("SELECT item_code, w, forecast FROM imapa_all", "w", "CAST(w AS INTEGER) AS win")
-_HW3 = best_of(
-    "SELECT h.item_code, a, b, g, forecast FROM hwtune h JOIN season s ON s.item_code = h.item_code AND s.season_mode = h.mode",
-    "a, b, g",
-    "a AS alpha, b AS beta, g AS gamma",
-)
-
-
-@query(
-    "tune_router",
-    f"""SELECT item_code, lifecycle, pattern, model, CASE model WHEN 'tsb' THEN t_alpha WHEN 'holt_winters' THEN h_alpha END AS alpha,
+TUNED = f"""SELECT item_code, lifecycle, pattern, model, CASE model WHEN 'holt_winters' THEN season_mode END AS season_mode,
+    CASE model WHEN 'tsb' THEN t_alpha WHEN 'holt_winters' THEN h_alpha END AS alpha,
     CASE model WHEN 'tsb' THEN t_beta WHEN 'holt_winters' THEN h_beta END AS beta, CASE model WHEN 'holt_winters' THEN h_gamma END AS gamma,
     CASE model WHEN 'imapa' THEN win END AS "window",
-    CASE model WHEN 'tsb' THEN t_rmse WHEN 'holt_winters' THEN h_rmse WHEN 'imapa' THEN w_rmse ELSE 0 END AS rmse,
+    R(CASE model WHEN 'tsb' THEN t_rmse WHEN 'holt_winters' THEN h_rmse WHEN 'imapa' THEN w_rmse ELSE 0 END) AS rmse, points,
     CASE WHEN model IN ('obsolete', 'clearance') THEN 'skipped by lifecycle' END AS note
-    FROM (SELECT p.item_code, lifecycle, p.pattern, {_MODEL} AS model, t.alpha AS t_alpha, t.beta AS t_beta, t.rmse AS t_rmse,
+    FROM (SELECT p.item_code, lifecycle, p.pattern, p.points, s.season_mode, {_MODEL} AS model, t.alpha AS t_alpha, t.beta AS t_beta, t.rmse AS t_rmse,
                  h.alpha AS h_alpha, h.beta AS h_beta, h.gamma AS h_gamma, h.rmse AS h_rmse, w.win, w.rmse AS w_rmse
-          FROM pattern p JOIN master m ON m.item_code = p.item_code LEFT JOIN ({_TSB3}) t ON t.item_code = p.item_code
-          LEFT JOIN ({_WINDOW}) w ON w.item_code = p.item_code LEFT JOIN ({_HW3}) h ON h.item_code = p.item_code)""",
-    need="pattern master hits imapa_all hwtune season",
-    digits=4,
-)
+          FROM pattern p JOIN master m ON m.item_code = p.item_code JOIN season s ON s.item_code = p.item_code LEFT JOIN ({_TSB_BEST}) t ON t.item_code = p.item_code
+          LEFT JOIN ({_WINDOW}) w ON w.item_code = p.item_code LEFT JOIN ({HW_BEST}) h ON h.item_code = p.item_code)"""
+
+
+@query("tune_router", f"SELECT * EXCLUDE (season_mode, points) FROM ({TUNED})", need="pattern master hits imapa_all hwbest season", digits=4)
 def tune_router(i: Inputs):
-    tuned_items = H.tune(i.sparse_weekly(), lifecycle=i.master(), steps=3, calendar=i.calendar())
-    return tuned_items.drop("season_mode", "points")
+    return H.tune(i.sparse_weekly(), lifecycle=i.master(), calendar=i.calendar()).drop("season_mode", "points")
 
 
-# The whole grid (6 859 points for seasonal items) has no SQL of reasonable run time.
-@query("tune")
+@query("tune", TUNED, need="pattern master hits imapa_all hwbest season", digits=4)
 def tune(i: Inputs):
     return H.tune(i.sparse_weekly(), lifecycle=i.master(), calendar=i.calendar())

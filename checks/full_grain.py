@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import json
 import uuid
 
@@ -176,71 +177,75 @@ def layout_problems(i: Inputs):
     return problems.join(lines, "file").groupBy("problem").agg(F.sum("n").alias("lines"))
 
 
-def _month(i: Inputs, year: int, month: int) -> DataFrame:
-    """Ledger lines of one month, one per part that moved: code, opening 0 and the movements of each day."""
-    rows = i.daily("P").where((F.year("date") == year) & (F.month("date") == month))
-    return rows.groupBy("item_code", F.dayofmonth("date").alias("day")).agg(F.sum("in_qty").alias("i"), F.sum("out_qty").alias("o"))
+_CHARSETS = ("utf-8", "gbk", "utf-8-sig", "latin-1")  # by month number
+# heads and names of the files: words of the charset, every third name in quotes over two lines
+_WORDS = {
+    False: (["库存明细", "", "", "", "本月累计", "", ""], ["物料分类", "物料编码", "物料名称", "库存", "入库", "出库", "结存"], "名称", '名称 "A"\n第二行, 大'),
+    True: (["stocks", "", "", "", "", "", ""], ["type", "code", "désignation", "stock", "entrée", "sortie", "solde"], "pièce", 'pièce "A"\ndeuxième ligne, grande'),
+}
 
 
-MONTHS = ((1996, 2, "utf-8"), (1998, 7, "gbk"), (YEAR, MONTH, "utf-8-sig"))
+def _month_files(i: Inputs) -> str:
+    """Ledgers of every month of ``lineitem``, in two files each that tasks write: in four charsets, with quoted line breaks in names,
+    in a folder with a space, a sharp and Chinese letters."""
+
+    def write(path: str) -> None:
+        target = f"{path}/库存 #1"
+
+        def save(key, rows: pd.DataFrame) -> pd.DataFrame:
+            import pyarrow.fs as pafs
+
+            year, month, part = map(int, key)
+            charset = _CHARSETS[month % 4]
+            dates, actions, plain, quoted = _WORDS[charset == "latin-1"]
+            days = range(1, calendar.monthrange(year, month)[1] + 1)
+            lines = [",".join(dates + [x for d in days for x in (f"{year}-{month:02d}-{d:02d}",) * 3]), ",".join(actions + actions[4:] * len(days))]
+            for code, moves in zip(rows.item_code, rows.moves, strict=True):
+                by_day = {m["day"]: m for m in moves}
+                name = '"' + quoted.replace('"', '""') + '"' if int(code[1:]) % 3 == 0 else plain
+                cells = ["x", code, name, "0", "0", "0", "0"]
+                for d in days:
+                    m = by_day.get(d)
+                    cells += ["", "", ""] if m is None else [f"{m['i']:.12g}", f"{m['o']:.12g}", "0"]
+                lines.append(",".join(cells))
+            fs, name = pafs.FileSystem.from_uri(target_uri(target))
+            fs.create_dir(name, recursive=True)
+            with fs.open_output_stream(f"{name}/明细 {year}-{month} {uuid.uuid4().hex}.csv") as out:
+                out.write(("\n".join(lines) + "\n").encode(charset))
+            return pd.DataFrame({"done": [True]})
+
+        daily = i.daily("P").groupBy("item_code", F.to_date("date").alias("date")).agg(F.sum("in_qty").alias("i"), F.sum("out_qty").alias("o"))
+        moves = daily.groupBy(F.year("date").alias("year"), F.month("date").alias("month"), "item_code").agg(F.collect_list(F.struct(F.dayofmonth("date").alias("day"), "i", "o")).alias("moves"))
+        moves.groupBy("year", "month", F.pmod(F.xxhash64("item_code"), F.lit(2)).alias("part")).applyInPandas(save, "done boolean").count()
+
+    return _scratch(i, "months", write) + "/库存 #1"
 
 
 @query(
     "ledgers_of_any_charset",
-    """SELECT item_code, date, sum(in_qty) AS in_qty, sum(out_qty) AS out_qty FROM (
-        SELECT 'P' || l_partkey AS item_code, CAST(l_shipdate AS DATE) AS date,
-               CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END AS in_qty, l_quantity AS out_qty FROM lineitem
-        WHERE (year(l_shipdate), month(l_shipdate)) IN (""" + ", ".join(f"({y}, {m})" for y, m, _ in MONTHS) + """)) GROUP BY 1, 2""",
+    """SELECT 'P' || l_partkey AS item_code, CAST(l_shipdate AS DATE) AS date,
+              sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS in_qty, sum(l_quantity) AS out_qty FROM lineitem GROUP BY 1, 2""",
 )
 def ledgers_of_any_charset(i: Inputs):
-    """Three months as files in UTF-8, GBK and UTF-8 with a byte order mark, in folders with a space and Chinese letters."""
-
-    def lines(year: int, month: int, charset: str):
-        def encode(batches):
-            days = range(1, 32)
-            dates = ["库存明细", "", "", "", "本月累计", "", ""] + [x for d in days for x in (f"{month}/{d}",) * 3]
-            actions = ["物料分类", "物料编码", "物料名称", "库存", "入库", "出库", "结存"] + ["入库", "出库", "结存"] * 31
-            out = [",".join(dates), ",".join(actions)]
-            for batch in batches:
-                for code, moves in zip(batch.item_code, batch.moves, strict=True):
-                    by_day = {m["day"]: m for m in moves}
-                    cells = ["原料", code, "名称", "0", "0", "0", "0"]
-                    for d in days:
-                        m = by_day.get(d)
-                        cells += ["", "", ""] if m is None else [f"{m['i']:g}", f"{m['o']:g}", "0"]
-                    out.append(",".join(cells))
-            data = "\n".join(out).encode("utf-8" if charset == "utf-8-sig" else charset)
-            yield pd.DataFrame({"value": [(b"\xef\xbb\xbf" if charset == "utf-8-sig" else b"") + data + b"\n"]})
-
-        return encode
-
-    def write(path: str) -> None:
-        import pyarrow.fs as pafs
-
-        for year, month, charset in MONTHS:
-            moves = _month(i, year, month).groupBy("item_code").agg(F.collect_list(F.struct("day", "i", "o")).alias("moves"))
-            target = f"{path}/库存 {year}#{month}"
-
-            def save(batches, lines=lines(year, month, charset), target=target):
-                for frame in lines(batches):
-                    fs, name = pafs.FileSystem.from_uri(target_uri(target))
-                    fs.create_dir(name, recursive=True)
-                    with fs.open_output_stream(f"{name}/明细 {uuid.uuid4().hex}.csv") as out:
-                        out.write(frame.value[0])
-                yield pd.DataFrame({"done": [True]})
-
-            moves.repartition(4, "item_code").mapInPandas(save, "done boolean").count()
-
-    folder = _scratch(i, "charsets", write)
-    numbered = L.number_rows(L.read_ledgers(i.spark, [f"{folder}/库存 {y}#{m}" for y, m, _ in MONTHS]))
-    layouts = []
-    for year, month, _ in MONTHS:
-        own = numbered.where(F.contains("file", F.lit(f"{year}#{month}/")))
-        layouts.append(L.unpivot_daily(own, L.parse_ledger_layout(own, reference_year=year)))
-    daily = layouts[0].unionByName(layouts[1]).unionByName(layouts[2])
+    """Every line of ``lineitem`` through ledger files in UTF-8, with and without a byte order mark, GBK and latin-1."""
+    numbered = L.number_rows(L.read_ledgers(i.spark, _month_files(i)))
+    daily = L.unpivot_daily(numbered, L.parse_ledger_layout(numbered))
     return daily.where("out_qty IS NOT NULL").select("item_code", "date", "in_qty", "out_qty")
 
 
+@query(
+    "quoted_ledger_cells",
+    """SELECT DISTINCT 'P' || l_partkey AS item_code, year(l_shipdate) AS year, month(l_shipdate) AS month,
+              CASE WHEN month(l_shipdate) % 4 = 3 THEN CASE WHEN l_partkey % 3 = 0 THEN 'pièce "A"' || chr(10) || 'deuxième ligne, grande' ELSE 'pièce' END
+                   ELSE CASE WHEN l_partkey % 3 = 0 THEN '名称 "A"' || chr(10) || '第二行, 大' ELSE '名称' END END AS name FROM lineitem""",
+)
+def quoted_ledger_cells(i: Inputs):
+    """The name cells of all months' ledgers, a third of them quoted over two lines."""
+    rows = L.number_rows(L.read_ledgers(i.spark, _month_files(i))).where("row_no > 1")
+    at = lambda n: F.regexp_extract("file", r"明细 (\d+)-(\d+) ", n).cast("bigint")
+    return rows.select(F.get("cells", F.lit(1)).alias("item_code"), at(1).alias("year"), at(2).alias("month"), F.get("cells", F.lit(2)).alias("name"))
+
+
 def target_uri(path: str) -> str:
     """A path as pyarrow takes it: a local one without a scheme."""
     return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path

@@ -230,12 +230,38 @@ CTES["longf"] = """
         UNION ALL
         SELECT p.item_code, 'holt_winters', h.forecast, h.direction, NULL FROM pattern p JOIN season s USING (item_code)
         JOIN hwfit h ON h.item_code = p.item_code AND h.mode = s.season_mode WHERE pattern IN ('smooth', 'erratic')"""
-for _name in ("hwstart", "hw", "hwfit"):
-    CTES[_name.replace("hw", "hwt")] = re.sub(r"\bhw(start|grid|fit)?\b", r"hwt\1", CTES[_name])
-CTES["hwtgrid"] = """
-        SELECT mode, i / 20.0::DOUBLE AS a, j / 20.0::DOUBLE AS b, k / 20.0::DOUBLE AS g FROM (VALUES ('add'), ('mul')) m(mode),
-        (SELECT unnest(generate_series(1, 3)) AS i), (SELECT unnest(generate_series(1, 3)) AS j), (SELECT unnest(generate_series(1, 3)) AS k)"""
-CTES["hwtune"] = "SELECT * FROM hwtfit"
+# The whole grid a = i/20, b = j/20, g = k/20. The additive forecast is a weighted sum of the series, with weights by
+# running the recurrence backwards over 357 weeks; the multiplicative one is stepped through per item and point.
+CTES["hwpoints"] = """
+        SELECT i / 20.0::DOUBLE AS a, j / 20.0::DOUBLE AS b, k / 20.0::DOUBLE AS g
+        FROM (SELECT unnest(generate_series(1, 19)) AS i), (SELECT unnest(generate_series(1, 19)) AS j), (SELECT unnest(generate_series(1, 19)) AS k)"""
+CTES["hwback"] = """
+        SELECT a, b, g, list_reduce(generate_series(1, 357 - 52), lambda r, x: {
+                   'l': (1 - a) * (r.l + b * r.t - g * r.s[1]) - b * r.t, 't': (1 - a) * (r.l + b * r.t - g * r.s[1]) + (1 - b) * r.t,
+                   's': list_append(r.s[2:52], (1 - g) * r.s[1] - a * (r.l + b * r.t - g * r.s[1])),
+                   'w': list_append(r.w, a * (r.l + b * r.t - g * r.s[1]) + g * r.s[1])},
+               {'l': 1.0::DOUBLE, 't': 1.0::DOUBLE, 's': list_transform(generate_series(1, 52), lambda x: CASE WHEN x = 52 THEN 1.0 ELSE 0.0 END::DOUBLE), 'w': []::DOUBLE[]}) AS r
+        FROM hwpoints"""
+CTES["hwweights"] = """
+        SELECT a, b, g, list_transform(generate_series(0, 356), lambda t: CASE
+                   WHEN t < 52 THEN r.l / 52 - r.t / (52 * 52) + r.s[52 - t] / 2
+                   WHEN t < 104 THEN r.w[357 - t] + r.t / (52 * 52) - r.s[104 - t] / 2 ELSE r.w[357 - t] END) AS w
+        FROM hwback"""
+CTES["serieslists"] = """
+        SELECT item_code, season_mode AS mode, v FROM (SELECT item_code, list(CAST(week_out AS DOUBLE) ORDER BY t) AS v FROM dense GROUP BY 1) JOIN season USING (item_code)"""
+CTES["hwall"] = """
+        SELECT item_code, a, b, g, greatest(0, list_inner_product(v, w)) AS forecast FROM serieslists, hwweights WHERE mode = 'add'
+        UNION ALL
+        SELECT item_code, a, b, g, greatest(0, (r.l + r.t) * r.s[1])
+        FROM (SELECT item_code, a, b, g, list_reduce(v[53:357], lambda r, x: list_transform([a * CASE WHEN abs(r.s[1]) > 1e-10 THEN x / r.s[1] ELSE x END + (1 - a) * (r.l + r.t)],
+                       lambda nl: {'l': nl, 't': b * (nl - r.l) + (1 - b) * r.t,
+                                   's': list_append(r.s[2:52], CASE WHEN abs(nl) > 1e-10 THEN g * (x / nl) + (1 - g) * r.s[1] ELSE r.s[1] END)})[1],
+                     {'l': list_sum(v[1:52]) / 52, 't': (list_sum(v[53:104]) - list_sum(v[1:52])) / (52 * 52),
+                      's': list_transform(generate_series(1, 52), lambda y: CASE WHEN v[y] + v[y + 52] > 0 THEN v[y] / ((v[y] + v[y + 52]) / 2) ELSE 1.0 END)}) AS r
+              FROM serieslists, hwpoints WHERE mode = 'mul')"""
+CTES["hwbest"] = """
+        SELECT item_code, arg_min({'a': a, 'b': b, 'g': g, 'f': forecast}, (round(abs(forecast - mean_out), 9), a, b, g)) AS p
+        FROM hwall JOIN pattern USING (item_code) GROUP BY 1"""
 
 # --- planning chain ------------------------------------------------------------------------
 CTES["spread"] = """

@@ -2,10 +2,16 @@
 
 A batch holds many series; each recurrence advances all of them (and all grid points) by one
 week per numpy call, so Python overhead is per week, not per item.
+
+The additive models are linear in the series: the forecast of a grid point is the series times the point's impulse-response weights.
+These depend on the length and the parameters only, so they are built once per length, for all grid points, by running the
+recurrence backwards from the forecast (its adjoint), and a batch of series is then one matrix product.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -124,14 +130,41 @@ def _best(x: np.ndarray, forecasts: np.ndarray):
     return index, np.sqrt(x.var(axis=1) + distance[np.arange(len(x)), index] ** 2)
 
 
-def _holt_grid(x: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    level = np.repeat(x[:, :1], alpha.size, axis=1)
-    trend = np.repeat(x[:, 1:2] - x[:, :1], alpha.size, axis=1)
-    for t in range(1, x.shape[1]):
-        new_level = alpha * x[:, t : t + 1] + (1 - alpha) * (level + trend)
-        trend = beta * (new_level - level) + (1 - beta) * trend
-        level = new_level
-    return level + trend
+@lru_cache(8)
+def holt_weights(n: int, steps: int, with_trend: bool) -> np.ndarray:
+    """(weeks, grid): what each week adds to Holt's forecast of a series of ``n`` weeks, at every grid point."""
+    points = grid(steps)
+    alpha, beta = (a.ravel() for a in np.meshgrid(points, points, indexing="ij")) if with_trend else (points, np.zeros_like(points))
+    weights = np.zeros((n, alpha.size))
+    level, trend = np.ones(alpha.size), np.ones(alpha.size)  # how the forecast depends on the state behind week t
+    for t in range(n - 1, 0, -1):
+        total = level + beta * trend
+        weights[t] = alpha * total
+        level, trend = (1 - alpha) * total - beta * trend, (1 - alpha) * total + (1 - beta) * trend
+    weights[0] += level - trend
+    weights[1] += trend
+    return weights
+
+
+@lru_cache(3)
+def holt_winters_weights(n: int, steps: int, m: int) -> np.ndarray:
+    """(weeks, grid): what each week adds to the additive Holt-Winters forecast of a series of ``n`` weeks, before it is cut at 0."""
+    points = grid(steps)
+    alpha, beta, gamma = (a.ravel() for a in np.meshgrid(points, points, points, indexing="ij"))
+    weights = np.zeros((n, alpha.size))
+    level, trend = np.ones(alpha.size), np.ones(alpha.size)
+    season = np.zeros((m, alpha.size))
+    season[n % m] = 1
+    for t in range(n - 1, m - 1, -1):
+        kept = season[t % m]
+        total = level + beta * trend - gamma * kept
+        weights[t] = alpha * total + gamma * kept
+        season[t % m] = (1 - gamma) * kept - alpha * total
+        level, trend = (1 - alpha) * total - beta * trend, (1 - alpha) * total + (1 - beta) * trend
+    # the start: level and trend from the sums of the first two seasons, a slot from half their difference
+    weights[:m] += level / m - trend / (m * m) + season / 2
+    weights[m : 2 * m] += trend / (m * m) - season / 2
+    return weights
 
 
 def _tsb_grid(x: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -168,13 +201,18 @@ def grid_search(kind: str, steps: int | None = None, m: int = SEASON):
     def evaluate(x: np.ndarray, multiplicative: np.ndarray) -> np.ndarray:
         if kind == "tsb":
             return _tsb_grid(x, points, points)
-        if kind == "holt_winters":
-            a, b, g = (p[None, :] for p in mesh)
-            return _holt_winters(x, a, b, g, multiplicative, m)[0]
-        return _holt_grid(x, mesh[0][None, :], mesh[1][None, :])
-
-    cells = mesh[0].size * (m + 8 if kind == "holt_winters" else 4)
-    group = max(1, _BUDGET // cells)
+        if kind != "holt_winters":
+            return x @ holt_weights(x.shape[1], points.size, kind == "holt")
+        out = np.empty((len(x), mesh[0].size))
+        add = ~multiplicative
+        if add.any():
+            out[add] = np.maximum(x[add] @ holt_winters_weights(x.shape[1], points.size, m), 0.0)
+        a, b, g = (p[None, :] for p in mesh)
+        for at in np.flatnonzero(multiplicative):  # a ring of seasons per grid point: one series at a time
+            out[at] = _holt_winters(x[at : at + 1], a, b, g, multiplicative[at : at + 1], m)[0]
+        return out
+
+    group = max(1, _BUDGET // mesh[0].size)
 
     @F.pandas_udf("alpha double, beta double, gamma double, rmse double")
     def search(v: pd.Series, mode: pd.Series) -> pd.DataFrame:

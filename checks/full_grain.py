@@ -181,7 +181,7 @@ _CHARSETS = ("utf-8", "gbk", "utf-8-sig", "latin-1")  # by month number
 # heads and names of the files: words of the charset, every third name in quotes over two lines
 _WORDS = {
     False: (["库存明细", "", "", "", "本月累计", "", ""], ["物料分类", "物料编码", "物料名称", "库存", "入库", "出库", "结存"], "名称", '名称 "A"\n第二行, 大'),
-    True: (["stocks", "", "", "", "", "", ""], ["type", "code", "désignation", "stock", "entrée", "sortie", "solde"], "pièce", 'pièce "A"\ndeuxième ligne, grande'),
+    True: (["stocks", "", "", "", "", "", ""], ["type", "code", "désignation", "stock", "entrée", "sortie", "solde"], "clé", 'clé "A"\ndeuxième ligne, grande'),
 }
 
 
@@ -221,6 +221,12 @@ def _month_files(i: Inputs) -> str:
     return _scratch(i, "months", write) + "/库存 #1"
 
 
+def _month_rows(i: Inputs) -> DataFrame:
+    """Numbered rows of all months; the parsed rows are a table, as in ``ingest_ledgers``."""
+    path = _scratch(i, "month-rows", lambda path: T.write_table(L.read_ledgers(i.spark, _month_files(i)), path))
+    return L.number_rows(i.spark.read.parquet(path))
+
+
 @query(
     "ledgers_of_any_charset",
     """SELECT 'P' || l_partkey AS item_code, CAST(l_shipdate AS DATE) AS date,
@@ -228,7 +234,7 @@ def _month_files(i: Inputs) -> str:
 )
 def ledgers_of_any_charset(i: Inputs):
     """Every line of ``lineitem`` through ledger files in UTF-8, with and without a byte order mark, GBK and latin-1."""
-    numbered = L.number_rows(L.read_ledgers(i.spark, _month_files(i)))
+    numbered = _month_rows(i)
     daily = L.unpivot_daily(numbered, L.parse_ledger_layout(numbered))
     return daily.where("out_qty IS NOT NULL").select("item_code", "date", "in_qty", "out_qty")
 
@@ -236,12 +242,12 @@ def ledgers_of_any_charset(i: Inputs):
 @query(
     "quoted_ledger_cells",
     """SELECT DISTINCT 'P' || l_partkey AS item_code, year(l_shipdate) AS year, month(l_shipdate) AS month,
-              CASE WHEN month(l_shipdate) % 4 = 3 THEN CASE WHEN l_partkey % 3 = 0 THEN 'pièce "A"' || chr(10) || 'deuxième ligne, grande' ELSE 'pièce' END
+              CASE WHEN month(l_shipdate) % 4 = 3 THEN CASE WHEN l_partkey % 3 = 0 THEN 'clé "A"' || chr(10) || 'deuxième ligne, grande' ELSE 'clé' END
                    ELSE CASE WHEN l_partkey % 3 = 0 THEN '名称 "A"' || chr(10) || '第二行, 大' ELSE '名称' END END AS name FROM lineitem""",
 )
 def quoted_ledger_cells(i: Inputs):
     """The name cells of all months' ledgers, a third of them quoted over two lines."""
-    rows = L.number_rows(L.read_ledgers(i.spark, _month_files(i))).where("row_no > 1")
+    rows = _month_rows(i).where("row_no > 1")
     at = lambda n: F.regexp_extract("file", r"明细 (\d+)-(\d+) ", n).cast("bigint")
     return rows.select(F.get("cells", F.lit(1)).alias("item_code"), at(1).alias("year"), at(2).alias("month"), F.get("cells", F.lit(2)).alias("name"))
 

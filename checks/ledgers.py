@@ -109,7 +109,9 @@ def ledger_folder(i: Inputs) -> str:
 
 
 def numbered(i: Inputs) -> DataFrame:
-    return L.number_rows(L.read_ledgers(i.spark, ledger_folder(i), width=WIDTH))
+    """Numbered ledger rows; the parsed rows are a table, as in ``ingest_ledgers``."""
+    path = _scratch(i, "ledger-rows", lambda path: T.write_table(L.read_ledgers(i.spark, ledger_folder(i), width=WIDTH), path))
+    return L.number_rows(i.spark.read.parquet(path))
 
 
 def layouts(i: Inputs) -> DataFrame:
@@ -149,7 +151,7 @@ _COLUMNS = ("item_code", "opening_qty", "in_qty", "out_qty", "closing_qty")
     f"SELECT p_brand AS category, count(*) + count(*) FILTER (WHERE p_partkey % 59 = 0) AS lines, {WIDTH} AS cells FROM part GROUP BY 1",
 )
 def read_ledger_csv(i: Inputs):
-    rows = numbered(i).filter("row_no >= 2 and cells[0] <> '合计'")
+    rows = L.number_rows(L.read_ledgers(i.spark, ledger_folder(i), width=WIDTH)).filter("row_no >= 2 and cells[0] <> '合计'")
     return rows.groupBy(F.col("cells")[0].alias("category")).agg(
         F.count(F.lit(1)).alias("lines"), F.max(F.size("cells")).alias("cells")
     )

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import keep_rows, slices, text_column
+from granary.llm.common import keep_rows, read_block, slices, staged, text_column, written_blocks
 
 RATE = 0.1
 BLOCK_CHARS = 2_000_000
@@ -152,32 +152,42 @@ class Finder:
         return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size. Null and blank items match nothing; rows without an id have none to report."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[str, int]:
+    """Folder and number of blocks of bounded size, written as files that tasks read one at a time: the driver holds no item.
+
+    Null and blank items match nothing; rows without an id have none to report; repeated items are one.
+    """
     items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_column(text_col).alias("text")).where("id IS NOT NULL AND trim(text) <> ''").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-total // block_chars)
-    if count <= 1:
-        return [[tuple(r) for r in items.collect()]] if count else []
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(count))
-    return [[tuple(r) for r in items.where(part == b).collect()] for b in range(count)]
+    items = staged(items, "items")
+    count = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, count))).cast("int")
+    return written_blocks(items.withColumn("block", part), "item-blocks", "block", max(1, count)), count
+
+
+def _finder(path: str, number: int, rate: float) -> Finder:
+    """Inside a task: the finder of one block."""
+    found = read_block(path, "block", number)
+    rows = found.to_pydict() if found is not None else {"id": [], "text": []}
+    return Finder(list(zip(rows["id"], rows["text"], strict=True)), rate)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """(doc_id, item_id, distance, match_end): every item that a document holds within ``rate`` edits per character.
 
     Distance is the least over the whole document, ``match_end`` the place in the normalised text where that match
-    ends. Null and empty texts hold nothing. Repeated documents give repeated rows; two items with one text both
-    match. Empty tables give no rows.
+    ends. Null and empty texts hold nothing, and texts of any length are read whole. Repeated documents give repeated rows; two
+    items with one text both match. Empty tables give no rows.
     """
-    spark = docs.sparkSession
     kinds = "doc_id long, item_id long, distance int, match_end long"
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    out = spark.createDataFrame([], kinds)
-    for block in item_blocks(benchmark):
+    path, count = item_blocks(benchmark, block_chars=block_chars)
+    out = docs.sparkSession.createDataFrame([], kinds)
+    for number in range(count):
 
-        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            finder = Finder(block, rate)
+        def run(batches: Iterator[pd.DataFrame], number=number) -> Iterator[pd.DataFrame]:
+            finder = _finder(path, number, rate)
             for batch in slices(batches, "text"):
                 rows = [(d, *hit) for d, text in zip(batch.doc_id, batch.text, strict=True) for hit in finder.hits(text)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "match_end"]).astype({"doc_id": "Int64"})
@@ -186,16 +196,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents, all columns, that hold no item within ``rate`` edits per character."""
-    for block in item_blocks(benchmark):
-        docs = keep_rows(docs, text_col, _judge(block, rate))
+    path, count = item_blocks(benchmark, block_chars=block_chars)
+    for number in range(count):
+        docs = keep_rows(docs, text_col, _judge(path, number, rate))
     return docs
 
 
-def _judge(block: list[tuple[int, str]], rate: float) -> Callable[[], Callable[[list[str]], list[bool]]]:
+def _judge(path: str, number: int, rate: float) -> Callable[[], Callable[[list[str]], list[bool]]]:
     def judge() -> Callable[[list[str]], list[bool]]:
-        finder = Finder(block, rate)
+        finder = _finder(path, number, rate)
         return lambda texts: [not finder.hits(t, first=True) for t in texts]
 
     return judge

@@ -111,7 +111,9 @@ def test_edit_rows(spark, documents):
     assert left.columns == documents.columns and left.count() == documents.count() - 2
     assert edits.matches(documents, items.limit(0)).count() == 0 and edits.matches(documents.limit(0), items).count() == 0
     # items in several blocks give the same rows
-    assert len(edits.item_blocks(items, block_chars=40)) > 1
+    assert edits.item_blocks(items, block_chars=40)[1] > 1
+    assert sorted(map(tuple, edits.matches(documents, items, block_chars=40).collect())) == sorted(map(tuple, rows))
+    assert edits.without_leaks(documents, items, block_chars=40).count() == left.count()
 
 
 def scan_brute(text):

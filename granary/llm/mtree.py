@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from granary.llm.common import staged
+from granary.llm.common import read_files, run_folder, staged
 
 PAGE = 128
 TREE_ROWS = 8192
@@ -71,9 +72,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, page: int = PAGE, tr
     cut = F.pmod(F.xxhash64("v"), parts[F.col("route")]).cast("int")
     pages = routed.withColumn("cut", cut).groupBy("route", "cut").applyInPandas(lambda key, pdf: _build(key, pdf, space, page), _PAGES)
     pages = staged(pages, "pages")
-    tops = pages.where("page = 0").select("tree", "top", "reach").orderBy("tree").collect()
-    trees = np.array([r[0] for r in tops])
-    centres, reach = np.array([space.pad(r[1]) for r in tops]), np.array([r[2] for r in tops])
+    tops = run_folder(spark, "tops")  # a row per tree, read by tasks
+    pages.where("page = 0").select("tree", "top", "reach").write.parquet(tops)
 
     asked = vectors.where(is_query)
     questions = staged(asked.groupBy("v").agg(F.min("id").alias("qid")), "questions")
@@ -87,10 +87,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, page: int = PAGE, tr
         copies = pages.join(needed, F.col("tree") == F.col("at"))
         return pairs.groupBy("tree", "block").cogroup(copies.groupBy("at", "part")).applyInPandas(lambda a, b: _search(a, b, space, k + 1), _FOUND)
 
-    first = staged(visit(questions.mapInPandas(lambda it: _nearest(it, space, trees, centres, reach), bounds)), "first")
+    first = staged(visit(questions.mapInPandas(lambda it: _nearest(it, space, tops), bounds)), "first")
     kth = first.where(F.col("nth") == k + 1).select("qid", F.col("score").alias("least"))
     known = questions.join(kth, "qid", "left").select("qid", "v", F.lit(0).cast("long").alias("tree"), "least")
-    rest = visit(known.mapInPandas(lambda it: _others(it, space, trees, centres, reach), bounds))
+    rest = visit(known.mapInPandas(lambda it: _others(it, space, tops), bounds))
 
     best = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     merged = first.unionByName(rest).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
@@ -202,29 +202,40 @@ def _build(key, pdf: pd.DataFrame, space: Space, page: int) -> pd.DataFrame:
     return out.assign(top=[list(map(int, top)) if f else None for f in first], reach=np.where(first, reach, np.nan))
 
 
-def _nearest(batches, space: Space, trees, centres, reach) -> Iterator[pd.DataFrame]:
+@lru_cache(1)
+def _tops(path: str) -> tuple[np.ndarray, list, np.ndarray]:
+    """Per worker: the trees, ascending, with their top vectors and reach."""
+    rows = read_files(path).sort_by("tree").to_pydict()
+    return np.array(rows["tree"], np.int64), rows["top"], np.array(rows["reach"], np.float64)
+
+
+def _measured(batches, space: Space, path: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Questions in pieces, with their squared norms, the trees, and the distances to their tops; a piece has bounded arrays."""
+    trees, tops, reach = _tops(path)
+    centres = space.matrix(tops).astype(np.float64).T
+    step = max(1, 4_000_000 // len(trees))
     for batch in batches:
-        if len(batch):
-            q = space.matrix(batch.v)
-            d = space.to_query(q.astype(np.float64) @ centres.astype(np.float64).T, space.norms(q)[:, None])
-            yield pd.DataFrame({"qid": batch.qid, "v": batch.v, "tree": trees[d.argmin(1)], "least": None})
+        for at in range(0, len(batch), step):
+            part = batch.iloc[at : at + step]
+            q = space.matrix(part.v)
+            q2 = space.norms(q)[:, None]
+            yield part, q2, trees, reach, space.to_query(q.astype(np.float64) @ centres, q2)
 
 
-def _others(batches, space: Space, trees, centres, reach) -> Iterator[pd.DataFrame]:
+def _nearest(batches, space: Space, path: str) -> Iterator[pd.DataFrame]:
+    for part, _, trees, _, d in _measured(batches, space, path):
+        yield pd.DataFrame({"qid": part.qid, "v": part.v, "tree": trees[d.argmin(1)], "least": None})
+
+
+def _others(batches, space: Space, path: str) -> Iterator[pd.DataFrame]:
     """The trees, beside the one searched already, that can hold a score of at least ``least``."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        q = space.matrix(batch.v)
-        q2 = space.norms(q)[:, None]
-        d = space.to_query(q.astype(np.float64) @ centres.astype(np.float64).T, q2)
-        done = d.argmin(1)
-        least = batch.least.astype("float64").fillna(-np.inf).to_numpy()[:, None]
+    for part, q2, trees, reach, d in _measured(batches, space, path):
+        least = part.least.astype("float64").fillna(-np.inf).to_numpy()[:, None]
         bound = space.to_query(np.where(np.isinf(least), -1e300, least), q2)
         open_ = d - reach[None] <= bound + space.slack()
-        open_[np.arange(len(q)), done] = False
+        open_[np.arange(len(part)), d.argmin(1)] = False
         row, tree = np.nonzero(open_)
-        yield pd.DataFrame({"qid": batch.qid.to_numpy()[row], "v": batch.v.to_numpy()[row], "tree": trees[tree], "least": batch.least.to_numpy()[row]})
+        yield pd.DataFrame({"qid": part.qid.to_numpy()[row], "v": part.v.to_numpy()[row], "tree": trees[tree], "least": part.least.to_numpy()[row]})
 
 
 def _search(questions: pd.DataFrame, pages: pd.DataFrame, space: Space, wanted: int) -> pd.DataFrame:

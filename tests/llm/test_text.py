@@ -1,5 +1,6 @@
 """Classifiers, licences, edit matching and pages."""
 
+import math
 import random
 import re
 import zlib
@@ -143,7 +144,7 @@ def test_licences(spark):
         "cc",
     ] + ["plain words of a text that has no such statement"] * 60
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, words string, score string")
-    rows = {r.doc_id: r for r in licences.scan(docs, rare_share=0.2).collect()}
+    rows = {r.doc_id: r for r in licences.scan(docs).collect()}
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
         r = rows[i]
@@ -182,6 +183,68 @@ def test_licences_of_frequent_notices(spark):
     assert labels(["Under the MIT License"] * 20 + plain) == ["mit"] * 20 + [""] * 40
 
 
+def labels_brute(texts):
+    """The labels and scores by plain loops over all places."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for t in texts]
+    df = {w: sum(w in set(x) for x in words) for w in licences.VOCABULARY}
+    weight = {w: math.log(1 + len(texts) / (df[w] + 1)) for w in df}
+    out = []
+    for x, text in zip(words, texts, strict=True):
+        labels, best = set(filter(None, scan_brute(text)[4].split(","))), 0.0
+        best = 1.0 if labels else 0.0
+        for label, wording, key in licences.TEMPLATES:
+            template, keys = wording.split(), key.split()
+            at, rarest = licences.looked_up(wording, weight)
+            begin = next(i for i in range(len(template)) if template[i : i + len(keys)] == keys)
+            for s in range(-len(template), len(x)):
+                stands = {w for w in at if 0 <= s + at[w] < len(x) and x[s + at[w]] == w}
+                if s + begin >= 0 and x[s + begin : s + begin + len(keys)] == keys and len(stands & set(rarest)) >= min(2, len(rarest)):
+                    score = sum(weight[w] for w in stands) / sum(weight[w] for w in at)
+                    best = max(best, score)
+                    if score >= licences.LEAST_SCORE:
+                        labels.add(label)
+        out.append((",".join(sorted(labels)), round(min(1.0, best), 9)))
+    return out
+
+
+def scanned(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.labels, round(r.score, 9)) for r in licences.scan(docs).orderBy("doc_id").collect()]
+
+
+REAL = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1",
+    "// SPDX-License-Identifier: MIT",
+    "# SPDX-License-Identifier: Apache-2.0",
+    "MIT License\n\nCopyright (c) nobody",
+    "License: Apache-2.0",
+]
+
+
+def test_licence_labels_equal_plain_loops(spark):
+    dice = random.Random(8)
+    pool = [*NOTICES, *REAL, "released into the public domain", "the license of MIT", "version 3", "a person may copy", "Licensed under CC BY-SA 4.0", "plain words " * 5]
+    texts = [None, "", *REAL]
+    for _ in range(120):
+        words = " ".join(dice.choices(pool, k=dice.randint(1, 4))).split()
+        for _ in range(dice.randint(0, 4)):
+            words[dice.randrange(len(words))] = dice.choice(["x", "license", "gnu", "mit"])
+        texts.append(" ".join(words))
+    assert scanned(spark, texts) == labels_brute(texts)
+    assert [x for x, _ in scanned(spark, REAL + ["plain"] * 20)][:6] == ["gpl,gpl-3.0", "gpl,lgpl", "mit", "apache-2.0", "mit", "apache-2.0"]
+
+
+def test_frequencies_decide_candidates_and_score(spark):
+    # a notice without three of its words: in a corpus where those are rare they cost more than the threshold allows
+    torn = "permission is hereby granted free of charge to any x x a x of this x"
+    missing = "person obtaining copy software"
+    common = "permission hereby granted free charge"
+    rare = scanned(spark, [torn] + [common] * 40 + ["plain"] * 40)[0]
+    frequent = scanned(spark, [torn] + [missing] * 40 + ["plain"] * 40)[0]
+    assert rare[0] == "" and frequent[0] == "mit" and rare[1] < licences.LEAST_SCORE <= frequent[1]
+
+
 PAGE = """<html><head><title>No</title></head><body><header class="site-header"><a href=/>Home</a></header>
 <nav><ul><li><a href=x>one</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 {open}<h1>A title</h1><p>It is a text about the &amp; and what was in it, as it should be for all of us who

@@ -149,8 +149,11 @@ def append_kpis(i: Inputs):
     path = f"{shared_folder(i.spark).rstrip('/')}/kpis-{uuid.uuid4().hex}"
     yearly = history(i)
     for q in range(4):
-        K.append_kpis(yearly.select((F.col("run") * 4 + q).alias("run"), "metric", (F.col("value") * (q + 1)).alias("value")), path)
-    return K.kpi_history(i.spark.read.parquet(path))
+        runs = yearly.select((F.col("run") * 4 + q).alias("run"), "metric", (F.col("value") * (q + 1)).alias("value"))
+        K.append_kpis(runs, path)
+        if q % 2:  # appended again: counts once
+            K.append_kpis(runs, path)
+    return K.kpi_history(K.read_kpis(i.spark, path))
 
 
 @query(

@@ -102,8 +102,19 @@ def dependency_by_nation(i: Inputs):
     need="scorecard quality dependence",
 )
 def risk_summary(i: Inputs):
-    rows = i.deliveries()
-    return E.risk_summary(scorecard(i), E.quality_risk(E.quality_performance(rows)), E.dependency(rows))
+    return E.risk_summary(cards=E.scorecards(i.deliveries()))
+
+
+@query(
+    "scorecards",
+    """SELECT supplier, R(s.avg_delay) AS avg_delay, R(s.std_delay) AS std_delay, s.deliveries, R(s.on_time_share) AS on_time_share, s.delivery_risk,
+    R(q.quality_share) AS quality_share, q.quality_risk, d.items, R(d.item_share) AS item_share, d.dependency_risk
+    FROM scorecard s JOIN quality q USING (supplier) JOIN dependence d USING (supplier)""",
+    need="scorecard quality dependence",
+)
+def scorecards(i: Inputs):
+    shown = ("avg_delay", "std_delay", "deliveries", "on_time_share", "delivery_risk", "quality_share", "quality_risk", "items", "item_share", "dependency_risk")
+    return E.scorecards(i.deliveries()).select("supplier", *shown)
 
 
 @query(

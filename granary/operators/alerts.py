@@ -66,10 +66,11 @@ def demand_arrow(weekly: DataFrame, calendar: Calendar | None = None) -> DataFra
         pair = [filled(F.sum(F.when(at == n - back, F.col("week_out")))).alias(f"back{back}") for back in (1, 2)]
         pairs = weekly.groupBy(ITEM).agg(*pair)
         return pairs.select(ITEM, last_step_arrow(F.col("back1"), F.col("back2")).alias("demand_arrow"))
-    latest = F.sort_array(F.collect_list(F.struct("week_key", "week_out")), asc=False)
-    pairs = weekly.groupBy(ITEM).agg(F.slice(latest, 1, 2).alias("latest"))
-    arrow = last_step_arrow(F.get("latest", F.lit(0))["week_out"], F.get("latest", F.lit(1))["week_out"])
-    return pairs.select(ITEM, arrow.alias("demand_arrow"))
+    # two rows of an item at most pass the shuffle
+    back = F.row_number().over(W.partitionBy(ITEM).orderBy(F.desc("week_key"), F.desc("week_out")))
+    latest = weekly.select(ITEM, "week_key", "week_out").withColumn("__back", back).filter("__back <= 2")
+    pairs = latest.groupBy(ITEM).agg(*[F.max(F.when(F.col("__back") == n, F.col("week_out"))).alias(f"back{n}") for n in (1, 2)])
+    return pairs.select(ITEM, last_step_arrow(F.col("back1"), F.col("back2")).alias("demand_arrow"))
 
 
 def in_transit_lookup(

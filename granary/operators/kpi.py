@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from granary.functions.numeric import filled, first_match
 from granary.schema import ITEM
@@ -86,9 +88,24 @@ def kpi_compare(history: DataFrame, keep: int = 10) -> DataFrame:
     )
 
 
-def append_kpis(snapshot: DataFrame, path: str) -> None:
-    """Append one run to the KPI table; readers keep the latest runs with ``kpi_history``."""
-    snapshot.write.mode("append").parquet(path)
+def append_kpis(snapshot: DataFrame, path: str) -> str:
+    """Append the runs of ``snapshot`` to the KPI table in ``path``; the name of the batch.
+
+    The rows are written first, under a batch of their own; a manifest row per run then makes them count. A run that is
+    appended again, at another time or at the same one, counts once: readers take its first batch in the order of names
+    (they begin with the time). A batch without a manifest row, left by a job that failed, is never read.
+    """
+    batch = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    snapshot.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/rows")
+    written = snapshot.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") == batch)
+    written.select("run", "batch").distinct().coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return batch
+
+
+def read_kpis(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of every run once."""
+    counted = spark.read.parquet(f"{path}/manifest").groupBy("run").agg(F.min("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/rows").join(counted, ["run", "batch"]).drop("batch")
 
 
 def headline_metrics(

@@ -89,11 +89,7 @@ def dependency(df: DataFrame, by: str = "supplier") -> DataFrame:
     per_supplier = df.groupBy(by).agg(F.countDistinct(ITEM).alias("items"), total("out_qty").alias("total_out"))
     all_items = df.agg(F.countDistinct(ITEM)).scalar()
     share = ratio(F.col("items").cast("double"), all_items.cast("double"))
-    high, medium = DEPENDENCY_LIMITS
-    return per_supplier.withColumn("item_share", share).withColumn(
-        "dependency_risk",
-        F.when(F.col("item_share") >= high, "high").when(F.col("item_share") >= medium, "medium").otherwise("low"),
-    )
+    return per_supplier.withColumn("item_share", share).withColumn("dependency_risk", _dependency_level())
 
 
 def high_risk_count(scored: DataFrame, column: str) -> DataFrame:
@@ -103,22 +99,70 @@ def high_risk_count(scored: DataFrame, column: str) -> DataFrame:
     )
 
 
+def scorecards(df: DataFrame) -> DataFrame:
+    """All three dimensions per supplier from one pass over the deliveries, with their risk levels.
+
+    Measures are added up per supplier and item first, which also counts the items; the result has the columns of
+    ``delivery_risk``, ``quality_risk`` and ``dependency``.
+    """
+    delay = F.datediff(F.expr("try_cast(actual_date AS date)"), F.expr("try_cast(planned_date AS date)"))
+
+    def added(name: str) -> Column:
+        exact = isinstance(df.schema[name].dataType, DecimalType)
+        return F.sum(F.col(name) if exact else F.col(name).try_cast("double")).alias(name)
+
+    rows = df.withColumn("__delay", delay)
+    parts = rows.groupBy("supplier", ITEM).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("__delay").alias("known"),
+        F.sum("__delay").alias("delay"),
+        F.sum(F.col("__delay").cast("double") * F.col("__delay")).alias("square"),
+        F.count_if(F.col("__delay") <= 0).alias("on_time"),
+        *[added(name) for name in ("qualified_qty", "delivered_qty", "out_qty")],
+    )
+    known, mean = F.sum("known"), F.sum("delay") / F.sum("known")
+    quantity = lambda name: F.coalesce(F.sum(name).cast("double"), F.lit(0.0)).alias(name)
+    card = parts.groupBy("supplier").agg(
+        mean.alias("avg_delay"),
+        F.when(known > 1, F.sqrt(F.greatest(F.sum("square") - known * mean * mean, F.lit(0.0)) / (known - 1))).alias("std_delay"),
+        F.sum("n").alias("deliveries"),
+        (F.sum("on_time") / F.sum("n")).alias("on_time_share"),
+        quantity("qualified_qty"),
+        quantity("delivered_qty"),
+        F.sum("n").alias("batches"),
+        F.count(ITEM).alias("items"),
+        quantity("out_qty").alias("total_out"),
+    )
+    all_items = parts.agg(F.countDistinct(ITEM)).scalar()
+    card = card.withColumn("quality_share", ratio(F.col("qualified_qty"), F.col("delivered_qty")))
+    card = card.withColumn("item_share", ratio(F.col("items").cast("double"), all_items.cast("double")))
+    return quality_risk(delivery_risk(card)).withColumn("dependency_risk", _dependency_level())
+
+
+def _dependency_level() -> Column:
+    high, medium = DEPENDENCY_LIMITS
+    return F.when(F.col("item_share") >= high, "high").when(F.col("item_share") >= medium, "medium").otherwise("low")
+
+
+_DIMENSIONS = ("delivery_risk", "quality_risk", "dependency_risk")
+
+
 def risk_summary(
-    delivery: DataFrame | None = None, quality: DataFrame | None = None, dependence: DataFrame | None = None
+    delivery: DataFrame | None = None, quality: DataFrame | None = None, dependence: DataFrame | None = None, cards: DataFrame | None = None
 ) -> DataFrame:
-    """Counts per level over the dimensions at hand and a recommendation; None if there are none."""
-    given = [
-        frame.select(F.lit(name).alias("dimension"), F.col(column).alias("level"))
-        for frame, name, column in (
-            (delivery, "delivery", "delivery_risk"),
-            (quality, "quality", "quality_risk"),
-            (dependence, "dependency", "dependency_risk"),
-        )
-        if frame is not None
-    ]
-    if not given:
+    """Counts per level over the dimensions at hand and a recommendation; None if there are none.
+
+    ``cards`` has several dimensions in one frame (``scorecards``) and takes the place of the three.
+    """
+    if cards is not None:
+        given = [c for c in _DIMENSIONS if c in cards.columns]
+        levels = cards.select(F.explode(F.array(*given)).alias("level")) if given else None
+    else:
+        frames = zip((delivery, quality, dependence), _DIMENSIONS, strict=True)
+        given = [frame.select(F.col(column).alias("level")) for frame, column in frames if frame is not None]
+        levels = reduce(DataFrame.unionByName, given) if given else None
+    if levels is None:
         return None
-    levels = reduce(DataFrame.unionByName, given)
     counts = levels.agg(
         *[F.count_if(F.col("level") == level).alias(f"{level}_count") for level in ("low", "medium", "high")]
     )

@@ -135,18 +135,34 @@ POLICY = {
 DEFAULT_POLICY = ("variable", None, "default")
 PERIODIC_POLICIES = ("fixed_period_fixed_qty", "fixed_period")
 MADE_TO_ORDER = ("AZ", "BZ", "CZ")
-# Class -> (service level, replenishment, count frequency, safety stock rule, remark).
-CONTROL_STRATEGY = {
-    "AX": ("99%", "fixed period and quantity (JIT)", "daily", "low", "vendor-managed stock"),
-    "AY": ("97%", "fixed period, variable quantity", "weekly", "medium", "shared rolling forecast"),
-    "AZ": ("95%", "variable, by order", "fortnightly", "high or by order", "confirm demand with customer"),
-    "BX": ("97%", "fixed period and quantity (EOQ)", "weekly", "low", "EOQ replenishment"),
-    "BY": ("95%", "fixed period, variable quantity", "fortnightly", "medium", "safety buffer"),
-    "BZ": ("90%", "variable", "monthly", "high or by order", "periodic review"),
-    "CX": ("95%", "fixed quantity (two-bin)", "monthly", "low", "two-bin"),
-    "CY": ("90%", "variable", "monthly", "medium", "min-max"),
-    "CZ": ("85%", "variable", "quarterly", "by order or drop", "review whether to keep"),
+# Class -> (count frequency, safety stock rule).
+COUNTING = {
+    "AX": ("daily", "low"), "AY": ("weekly", "medium"), "AZ": ("fortnightly", "high or by order"),
+    "BX": ("weekly", "low"), "BY": ("fortnightly", "medium"), "BZ": ("monthly", "high or by order"),
+    "CX": ("monthly", "low"), "CY": ("monthly", "medium"), "CZ": ("quarterly", "by order or drop"),
+}
+# Method of a policy -> what the buyer does.
+REMARKS = {
+    "jit_vmi": "let the supplier watch the stock and refill it",
+    "rolling_forecast": "send the supplier a new forecast every week",
+    "make_to_order": "ask the customer before anything is bought",
+    "eoq": "buy the economic quantity each time",
+    "safety_buffer": "hold a buffer against late deliveries",
+    "periodic_review": "look at the item once a month",
+    "two_bin": "reorder when the first of two bins is empty",
+    "min_max": "fill up to the maximum once the minimum is reached",
+    "order_or_drop": "buy for orders only, or take it out of the range",
 }
+
+
+def _strategy(combo: str) -> tuple[str, str, str, str, str]:
+    kind, weeks, method = POLICY[combo]
+    words = kind.replace("_", " ") + (f" every {weeks} weeks" if weeks and weeks > 1 else " every week" if weeks else "")
+    return (f"{SERVICE_LEVEL[combo]:.0%}", words, *COUNTING[combo], REMARKS[method])
+
+
+# Class -> (service level, replenishment, count frequency, safety stock rule, remark).
+CONTROL_STRATEGY = {combo: _strategy(combo) for combo in POLICY}
 DEFAULT_STRATEGY = ("N/A", "undefined", "N/A", "ask an administrator", "")
 # Urgency words by ABC class and their ranks.
 SHORTAGE_URGENCY = {"A": "urgent", "B": "important"}

@@ -192,3 +192,37 @@ def test_profile_shuffles_the_weekly_table_once(spark):
 
     weekly = frame(spark, [("a", 1, 1.0, 2.0)], "item_code string, week_key int, week_out double, week_balance double")
     assert plan_text(forecast_demand(weekly)).count("Exchange hashpartitioning") == 1
+
+
+def test_two_scorecards_in_one_scan(spark):
+    from checks.fixtures import Inputs
+    from granary.operators import suppliers as E
+
+    summary = E.risk_summary(cards=E.scorecards(Inputs(spark, "/root/testdata/sf0.001").deliveries()))
+    summary.collect()
+    plan = plan_text(summary)
+    final = plan[: plan.index("== Initial Plan")] if "== Initial Plan" in plan else plan
+    assert final.count("lineitem.parquet") == 1
+
+
+def test_last_two_weeks_are_limited_before_the_shuffle(spark):
+    from granary.operators import alerts as J
+
+    rows = [("hot", f"1995-{w:03d}", float(w)) for w in range(500)] + [("a", "1", 10.0), ("a", "2", 5.0), ("b", "1", 3.0), ("c", None, 1.0)]
+    df = frame(spark, rows, "item_code string, week_key string, week_out double").repartition(3)
+    found = J.demand_arrow(df)
+    assert {r["item_code"]: r["demand_arrow"] for r in found.collect()} == {"hot": "→", "a": "↓", "b": "→", "c": "→"}
+    plan = plan_text(found)
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")  # printed top down: the limit stands below the exchange
+
+
+def test_a_run_counts_once(spark, tmp_path):
+    from granary.operators import kpi as K
+
+    path = str(tmp_path / "kpis")
+    run = lambda n, v: frame(spark, [(n, "m", v)], "run int, metric string, value double")
+    K.append_kpis(run(1, 1.0), path)
+    K.append_kpis(run(2, 2.0), path)
+    K.append_kpis(run(1, 1.0), path)
+    frame(spark, [(3, "m", 9.0, "left by a job that failed")], "run int, metric string, value double, batch string").write.mode("append").parquet(f"{path}/rows")
+    assert sorted(map(tuple, K.read_kpis(spark, path).collect())) == [(1, "m", 1.0), (2, "m", 2.0)]

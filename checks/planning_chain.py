@@ -461,16 +461,16 @@ def purchase_qty(i: Inputs):
     return purchases(i).select("item_code", "needed_qty")
 
 
-@query(
-    "purchase_warnings",
-    """SELECT item_code, count(*) AS warnings FROM (
-      SELECT item_code FROM purchases WHERE eoq > 0 AND needed_qty > 0 AND needed_qty < eoq * 0.5
-      UNION ALL SELECT item_code FROM purchases WHERE needed_qty < 20) GROUP BY 1""",
-    need="purchases",
-)
+# the texts of both checks, in their order
+WARNINGS = """SELECT item_code, alert_type, CAST(row_number() OVER (PARTITION BY item_code ORDER BY kind) - 1 AS INTEGER) AS position, warning FROM (
+    SELECT item_code, alert_type, 1 AS kind, 'order of ' || printf('%.2f', needed_qty) || ' is far below EOQ ' || printf('%.2f', eoq) || ': combine orders' AS warning
+    FROM purchases WHERE eoq > 0 AND needed_qty > 0 AND needed_qty < eoq * 0.5
+    UNION ALL SELECT item_code, alert_type, 2, 'order of ' || printf('%.2f', needed_qty) || ' raised to the minimum order 20.00' FROM purchases WHERE needed_qty < 20)"""
+
+
+@query("purchase_warnings", f"SELECT item_code, position, warning FROM ({WARNINGS})", need="purchases")
 def purchase_warnings(i: Inputs):
-    rows = purchases(i).select("item_code", F.explode("warnings").alias("warning"))
-    return rows.groupBy("item_code").agg(F.count("warning").alias("warnings"))
+    return purchases(i).select("item_code", F.posexplode("warnings").alias("position", "warning"))
 
 
 @query("order_dates", "SELECT item_code, urgency, order_date FROM purchases", need="purchases")
@@ -511,30 +511,22 @@ def top_purchases(i: Inputs):
     return B.top_purchases(purchases(i)).select("item_code", "priority")
 
 
-@query(
-    "first_warnings",
-    """SELECT item_code, alert_type, CAST(place AS INTEGER) AS position FROM (
-      SELECT item_code, alert_type, row_number() OVER (PARTITION BY item_code ORDER BY kind) - 1 AS place FROM (
-        SELECT item_code, alert_type, 1 AS kind FROM purchases WHERE eoq > 0 AND needed_qty > 0 AND needed_qty < eoq * 0.5
-        UNION ALL SELECT item_code, alert_type, 2 FROM purchases WHERE needed_qty < 20))
-    ORDER BY alert_type DESC, item_code, place LIMIT 10""",
-    need="purchases",
-)
+@query("first_warnings", f"SELECT item_code, alert_type, position, warning FROM ({WARNINGS}) ORDER BY alert_type DESC, item_code, position LIMIT 10", need="purchases")
 def first_warnings(i: Inputs):
-    return B.first_warnings(purchases(i)).select("item_code", "alert_type", "position")
+    return B.first_warnings(purchases(i)).select("item_code", "alert_type", "position", "warning")
 
 
 # --- KPIs ---------------------------------------------------------------------------
 @query(
     "supplier_forecast_share",
-    """SELECT item_code, R(forecast) AS forecast, trend, CAST(round(forecast, 1) AS VARCHAR) <> '' AS has_interval
-    FROM longf ORDER BY item_code LIMIT 20""",
-    need="longf",
+    """SELECT item_code, R(f.forecast) AS forecast, f.trend,
+    printf('%.2f', greatest(0, f.forecast - 1.65 * std_out * sqrt(1 + 1.0 / points))) || ' ~ ' || printf('%.2f', f.forecast + 1.65 * std_out * sqrt(1 + 1.0 / points)) AS "interval"
+    FROM longf f JOIN stats USING (item_code) ORDER BY item_code LIMIT 20""",
+    need="longf stats",
     digits=4,
 )
 def supplier_forecast_share(i: Inputs):
-    shared = K.supplier_forecast_share(G.forecast_demand(i.sparse_weekly(), calendar=i.calendar()))
-    return shared.select("item_code", "forecast", "trend", F.col("interval").contains(" ~ ").alias("has_interval"))
+    return K.supplier_forecast_share(G.forecast_demand(i.sparse_weekly(), calendar=i.calendar()))
 
 
 @query(

@@ -161,7 +161,7 @@ def _encoder(path: str, pattern: str) -> tuple[Ranks, Memory]:
             begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
             yield ranks.encode(data, begins[np.cumsum([len(x) for x in split(text)], dtype=np.int64)])
 
-    return ranks, Memory(encode, most=300_000, joined=2_000_000)
+    return ranks, Memory(encode, most=150_000, joined=1_000_000)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -43,6 +43,8 @@ from granary.llm.common import partitions, staged
 
 BROADCAST_ROWS = 100_000
 BUCKET_BYTES = 8_000_000
+# text whose shared regions meet in one task, and the least number of such tasks: the more meet, the fewer times parities are sent
+GROUP_BYTES, LEAST_GROUPS = 128_000_000, 8
 CELL_ROWS = 400
 CELL_SHINGLES = 50_000
 FEW = 16  # so few sets are one piece of work at any size
@@ -287,8 +289,8 @@ def _packed(data: bytes) -> bytes:
 _SENT = "no long, bucket int, regions binary, nodes binary, e binary, n binary, words binary"
 
 
-def _shared_regions(manifest: pd.DataFrame, marks: pd.DataFrame, size: int, num: int, den: int, buckets: int) -> pd.DataFrame:
-    """Per bucket the shared regions of a block's sets, and size and parities of these sets."""
+def _shared_regions(manifest: pd.DataFrame, marks: pd.DataFrame, size: int, num: int, den: int, buckets: int, groups: int) -> pd.DataFrame:
+    """Per group of buckets the shared regions of a block's sets, and size and parities of these sets."""
     columns = [x.split()[0] for x in _SENT.split(", ")]
     if manifest.empty or marks.empty:
         return pd.DataFrame([], columns=columns)
@@ -296,7 +298,9 @@ def _shared_regions(manifest: pd.DataFrame, marks: pd.DataFrame, size: int, num:
     mark = np.frombuffer(b"".join(map(zstandard.decompress, marks.sort_values("bucket").marks)), np.uint8)[np.cumsum(r.new) - 1]
     spare = np.array([more for spare in r.spare for _, more in spare])
     kept = (mark == 1) | ((mark == 3) & (np.bincount(r.share[mark == 3], minlength=len(spare)) > spare)[r.share])
-    key, node, bucket = r.key[kept], r.node[kept], r.bucket[kept]
+    group = r.bucket[kept] % groups
+    order = np.argsort(group, kind="stable")
+    key, node, bucket = r.key[kept][order], r.node[kept][order], group[order]
     cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     rows = []
     for a, b in zip(cut, cut[1:], strict=False):
@@ -604,6 +608,7 @@ def components(
     if not blocks:
         return spark.createDataFrame([], "doc_id long, n_shingles long, component_id long" + ", n_links long" * count_links)
     buckets = max(1, -(-total // BUCKET_BYTES))
+    groups = min(buckets, max(LEAST_GROUPS, -(-total // GROUP_BYTES)))
     # explicit numbers: the shuffled rows are small, the work behind them is not
     by_block, by_bucket = min(blocks, 4 * partitions(docs)), min(4 * buckets, 4 * partitions(docs))
     spread = manifest.repartition(by_block, "no")
@@ -612,8 +617,8 @@ def components(
     keys = described.where("kind = 1").select("no", "bucket", "regions", "several").repartition(by_bucket, "bucket").groupBy("bucket")
     marks = staged(keys.applyInPandas(_shared, "no long, bucket int, marks binary"), "marks")
     shared = spread.groupBy("no").cogroup(marks.repartition(by_block, "no").groupBy("no"))
-    shared = shared.applyInPandas(lambda a, b: _shared_regions(a, b, size, num, den, buckets), _SENT)
-    met = shared.repartition(by_bucket, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _plausible(pdf, num, den), "x long, y long")
+    shared = shared.applyInPandas(lambda a, b: _shared_regions(a, b, size, num, den, buckets, groups), _SENT)
+    met = shared.repartition(min(4 * groups, 4 * partitions(docs)), "bucket").groupBy("bucket").applyInPandas(lambda pdf: _plausible(pdf, num, den), "x long, y long")
     cells = connected(met).select(F.col("node").alias("e"), F.col("group").alias("cell"))
 
     # equal sets are one entry, named by the digest; the row with the smallest id stands for it

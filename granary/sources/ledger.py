@@ -15,7 +15,7 @@ from granary.sources.records import cells, whole_records
 _UNICODE = ("utf-8", "utf8", "utf-8-sig")
 
 
-def _place() -> tuple[Column, ...]:
+def place() -> tuple[Column, ...]:
     # the reader gives paths as URIs; "+" is no space there
     return (
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
@@ -26,7 +26,7 @@ def _place() -> tuple[Column, ...]:
 
 def _lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Lines of all ``*.csv`` files as they stand there, with their place; the same files for every reader."""
-    return spark.read.text(paths, pathGlobFilter="*.csv").select("value", *_place())
+    return spark.read.text(paths, pathGlobFilter="*.csv").select("value", *place())
 
 
 def _cells(lines: DataFrame, width: int | None) -> DataFrame:

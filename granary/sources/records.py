@@ -37,16 +37,39 @@ def _composed(rows: DataFrame, over: W) -> DataFrame:
 
 
 def whole_records(lines: DataFrame) -> DataFrame:
-    """(value, file, chunk, row_id): the lines, those of a record with quoted line breaks glued by new lines.
+    """(value, file, chunk, row_id): the lines, those of a CSV record with quoted line breaks glued by new lines.
 
     A quote opens a cell only as its first character; two quotes inside a quoted cell are one. A record stands at the place of its
     first line. A quote that is never closed is an ordinary character: the lines behind it stay as they are. Charsets that
     keep ASCII bytes for ASCII only (UTF-8, GBK, latin-1) are all right, for quotes and commas are found in the bytes.
     """
-    columns = ["value", "file", "chunk", "row_id"]
     text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     quoted = F.contains("value", F.lit('"'))
-    marked = lines.select(*columns, F.when(quoted, text.rlike(_OPENS)).otherwise(False).alias("opens"), F.when(quoted, text.rlike(_STAYS)).otherwise(True).alias("stays"))
+    return glued(lines, F.when(quoted, text.rlike(_OPENS)).otherwise(False), F.when(quoted, text.rlike(_STAYS)).otherwise(True), "\n")
+
+
+def json_elements(pieces: DataFrame) -> DataFrame:
+    """(entry map<string,string>): the objects of JSON arrays whose text was read in pieces that end at "}".
+
+    A string may hold a brace; such pieces are glued. An element that holds another object is null.
+    """
+    unescaped = F.regexp_replace("value", r"(?s)\\.", "")
+    odd = _odd(_count(unescaped, '"'))
+    whole = glued(pieces, odd, ~odd, "}")
+    braces = _count(F.regexp_replace(unescaped, '"[^"]*"', ""), "{")
+    element = F.concat(F.substring("value", F.locate("{", F.col("value")), F.length("value")), F.lit("}"))
+    return whole.where(braces > 0).select(F.when(braces == 1, F.from_json(element, "map<string,string>")).alias("entry"))
+
+
+def _count(text: Column, character: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
+
+
+def glued(lines: DataFrame, opens: Column, stays: Column, glue: str) -> DataFrame:
+    """``lines`` with those of one record put together: whether a line leaves a reader inside a quoted cell that was outside
+    before (``opens``) or inside (``stays``)."""
+    columns = ["value", "file", "chunk", "row_id"]
+    marked = lines.select(*columns, opens.alias("opens"), stays.alias("stays"))
 
     # per split: what its lines do to the state, composed
     inside = W.partitionBy(*_SPLIT).orderBy("row_id")
@@ -81,9 +104,9 @@ def whole_records(lines: DataFrame) -> DataFrame:
     # the last record of a file that never closes stays in lines
     part = (F.col("before") | F.col("after")) & (F.col("closed") | F.coalesce(F.col("head") != F.col("latest"), F.lit(True)))
     some = some.withColumn("part", part)
-    glued = some.where("part").groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("chunk", "row_id", "value"))).alias("lines"))
-    glued = glued.select(F.concat_ws("\n", F.col("lines.value")).alias("value"), "file", F.col("head.chunk").alias("chunk"), F.col("head.row_id").alias("row_id"))
-    return plain.unionByName(some.where("NOT part").select(*columns)).unionByName(glued)
+    joined = some.where("part").groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("chunk", "row_id", "value"))).alias("lines"))
+    joined = joined.select(F.concat_ws(glue, F.col("lines.value")).alias("value"), "file", F.col("head.chunk").alias("chunk"), F.col("head.row_id").alias("row_id"))
+    return plain.unionByName(some.where("NOT part").select(*columns)).unionByName(joined)
 
 
 # a comma and the cell behind it: quoted, with anything after the closing quote, or up to the next comma

@@ -9,6 +9,8 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from granary.operators.ingest import lifecycle_columns
 from granary.operators.matching import normalize_demand
+from granary.sources.ledger import place
+from granary.sources.records import json_elements
 
 _DEMAND_JSON = "array<map<string,string>>"
 
@@ -22,23 +24,32 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 def read_demand(spark: SparkSession, source: str, encoding: str = "gbk", multiline: bool = True) -> DataFrame:
     """(item_code, demand_qty) from a CSV, a JSON array file, or an inline JSON array.
 
-    A JSON array is one document and read by one task per file; large demand tables should be
-    CSV or JSON lines (``multiline=False``), which split.
+    A JSON array is read in splits like any other text: pieces end at "}", and elements that a split or a brace inside a
+    string cuts are put together again. ``multiline=False`` is for JSON lines.
     """
     text = source.strip()
     if text.startswith(("[", "{")):
-        rows = spark.range(1).select(F.explode(F.from_json(F.lit(text), _DEMAND_JSON)).alias("entry"))
-        keys = sorted({k for r in rows.select(F.map_keys("entry").alias("k")).collect() for k in r["k"]})
-        typed = rows.select(*[F.col("entry")[k].alias(k) for k in keys])
-        # JSON numbers arrive as text: a column that is all numbers is numeric
-        return normalize_demand(_numbers(typed))
+        return normalize_demand(_columns(spark.range(1).select(F.explode(F.from_json(F.lit(text), _DEMAND_JSON)).alias("entry"))))
     if text.endswith(".json"):
-        return normalize_demand(spark.read.json(text, multiLine=multiline))
+        if not multiline:
+            return normalize_demand(spark.read.json(text))
+        return normalize_demand(_columns(json_elements(spark.read.text(text, lineSep="}").select("value", *place()))))
     if encoding.lower() not in ("utf-8", "utf8"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return normalize_demand(_numbers(spark.read.csv(text, header=True, encoding=encoding)))
 
 
+def _columns(rows: DataFrame) -> DataFrame:
+    """Maps as columns: one aggregate finds the keys (the columns of the table) and which of them hold numbers only."""
+    broken = rows.where("entry IS NULL").count()
+    if broken:
+        raise ValueError(f"{broken} elements are no flat objects")
+    number = F.col("value").isNull() | F.col("value").try_cast("double").isNotNull()
+    keys = rows.select(F.explode("entry").alias("key", "value")).groupBy("key").agg(F.bool_and(number).alias("numeric")).orderBy("key").collect()
+    cell = lambda k: F.col("entry")[k.key]
+    return rows.select(*[(cell(k).try_cast("double") if k.numeric and not _is_code(k.key) else cell(k)).alias(k.key) for k in keys])
+
+
 def _numbers(df: DataFrame) -> DataFrame:
     """Text columns holding only numbers as doubles, found with one aggregate."""
     checks = [F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast("double").isNotNull()).alias(c) for c in df.columns]

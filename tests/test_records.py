@@ -2,6 +2,7 @@
 
 import csv
 import io
+import json
 import random
 
 import pytest
@@ -60,3 +61,23 @@ def test_no_job_while_the_plan_is_built(spark, tmp_path):
     spark.sparkContext.setJobGroup("", "")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_arrays_are_read_in_splits(spark, tmp_path, indent):
+    from granary.sources import tables as T
+
+    odd = ["x", "a } b", '"}" and {', "\\", '\\"}', "new\nline }", "料号{"]
+    rows = [{"物料编码": f"{odd[i % len(odd)]}{i}", "需求量": i / 4, "note": odd[(i * 3) % len(odd)], "none": None} for i in range(300)]
+    (tmp_path / "d.json").write_text(json.dumps(rows, ensure_ascii=False, indent=indent), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    try:
+        found = T.read_demand(spark, str(tmp_path / "d.json"))
+        assert sorted(map(tuple, found.collect())) == sorted((r["物料编码"], r["需求量"]) for r in rows)
+        assert spark.read.text(str(tmp_path / "d.json"), lineSep="}").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "e.json").write_text("[]")
+    with pytest.raises(ValueError):
+        T.read_demand(spark, str(tmp_path / "e.json"))

@@ -175,7 +175,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, memory = _encoder(path, pattern)
-        for batch in slices(batches, "text", 6_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             rows = []
             for doc_id, coded in zip(batch.doc_id, memory.batch(batch.text.tolist()), strict=True):
                 ids = np.frombuffer(coded, "<u4")

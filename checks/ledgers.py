@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from checks.fixtures import Inputs, item_key
@@ -15,6 +15,7 @@ from granary.sources import ledger as L, tables as T
 
 YEAR, MONTH, DAYS = 2001, 9, 30
 WIDTH = 7 + 3 * DAYS
+FILE_ITEMS = 50_000  # a file of some 17 MB, filled and sorted by one task
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
@@ -49,21 +50,17 @@ def ledger_rows(i: Inputs) -> DataFrame:
     flows = F.transform(days, lambda d: F.struct(flow(d, "i").alias("i"), flow(d, "o").alias("o")))
     items = items.withColumn("flows", flows)
 
-    def until(d):
-        upto = F.slice("flows", F.lit(1), d)
-        return F.aggregate(upto, F.col("opening"), lambda acc, f: acc + f["i"] - f["o"])
+    # opening stock and the stock after each day, in one pass
+    stock = F.aggregate(
+        "flows", F.array("opening"), lambda acc, f: F.concat(acc, F.array(F.element_at(acc, -1) + f["i"] - f["o"]))
+    )
 
     def text(value):
         return value.cast("int").cast("string")
 
     total = lambda name: F.aggregate("flows", F.lit(0.0), lambda acc, f: acc + f[name])
     triplets = F.flatten(
-        F.transform(
-            days,
-            lambda d: F.array(
-                text(F.element_at("flows", d)["i"]), text(F.element_at("flows", d)["o"]), text(until(d))
-            ),
-        )
+        F.zip_with("flows", F.slice(stock, 2, DAYS), lambda f, left: F.array(text(f["i"]), text(f["o"]), text(left)))
     )
     head = F.array(
         F.col("p_brand"),
@@ -93,16 +90,21 @@ def _with_header(batches):
     labels = [f"{MONTH}/{d}" for d in range(1, DAYS + 1)]
     dates = ["stock", None, None, "8/31", "本月累计", None, None] + [x for label in labels for x in (label, label, label)]
     actions = ["物料分类", "物料编码", "物料名称", "库存", "入库", "出库", "结存"] + ["入库", "出库", "结存"] * DAYS
-    yield pd.DataFrame({"cells": [dates, actions]})
+
+    def lines(rows):
+        return pa.RecordBatch.from_arrays([rows.cast(pa.list_(pa.string()))], ["cells"])
+
+    yield lines(pa.array([dates, actions]))
     for batch in batches:
-        yield batch[["cells"]]
-    yield pd.DataFrame({"cells": [["合计", "合计", None] + ["0"] * (WIDTH - 3)]})
+        yield lines(batch.column("cells"))
+    yield lines(pa.array([["合计", "合计", None] + ["0"] * (WIDTH - 3)]))
 
 
 def ledger_folder(i: Inputs) -> str:
     def write(path: str) -> None:
-        parts = ledger_rows(i).repartitionByRange(4, "k").sortWithinPartitions("k", "r")
-        lines = parts.mapInPandas(_with_header, "cells array<string>")
+        files = max(4, -(-i.table("part").count() // FILE_ITEMS))
+        parts = ledger_rows(i).repartitionByRange(files, "k").sortWithinPartitions("k", "r")
+        lines = parts.mapInArrow(_with_header, "cells array<string>")
         lines.select(*[F.col("cells")[n].alias(f"c{n}") for n in range(WIDTH)]).write.csv(path)
 
     return _scratch(i, "ledger", write)

@@ -124,4 +124,5 @@ def cells(record: Column, width: int | None = None) -> Column:
         return F.when(cell.startswith('"') & cell.rlike(r'(?s)^"[^"]*+(?:""[^"]*+)*+"'), inner).when(cell != "", cell)
 
     found = F.transform(raw, plain)
-    return found if width is None else F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(found, i))
+    # cut and filled as a whole: inside a lambda the record would be parsed again for every cell
+    return found if width is None else F.slice(F.concat(found, F.array_repeat(F.lit(None).cast("string"), width)), 1, width)

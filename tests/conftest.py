@@ -22,3 +22,11 @@ def spark(tmp_path_factory):
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def split_sizes(request):
+    """A test may set the cost of a file; the next one starts without it."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").conf.unset("spark.sql.files.openCostInBytes")

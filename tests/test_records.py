@@ -81,3 +81,21 @@ def test_json_arrays_are_read_in_splits(spark, tmp_path, indent):
     (tmp_path / "e.json").write_text("[]")
     with pytest.raises(ValueError):
         T.read_demand(spark, str(tmp_path / "e.json"))
+
+
+def test_a_record_is_parsed_once_whatever_its_width(spark):
+    import time
+
+    from granary.sources.records import cells
+
+    lines = spark.range(3000).select(F.concat_ws(",", F.array_repeat(F.col("id").cast("string"), 150)).alias("value")).repartition(1).cache()
+    cut = {n: {(len(r[0]), r[0].count(None)) for r in lines.select(cells(F.col("value"), n)).limit(20).collect()} for n in (2, 151)}
+    assert cut == {2: {(2, 0)}, 151: {(151, 1)}}
+    taken = {}
+    for width in (None, 150):
+        begun = time.time()
+        lines.select(cells(F.col("value"), width)).write.format("noop").mode("overwrite").save()
+        taken[width] = time.time() - begun
+    lines.unpersist()
+    # it took 150 times as long while every cell parsed the record again
+    assert taken[150] < 15 * taken[None] + 1

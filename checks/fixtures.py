@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from granary.operators.forecast import Calendar, densify
-from granary.operators.ingest import running_balance, weekly_rollup
+from granary.operators.ingest import dense_balance, running_balance, weekly_rollup
 
 AS_OF = "2001-11-05"
 
@@ -55,7 +55,8 @@ class Inputs:
 
     def weekly(self, grain: str = "PS") -> DataFrame:
         """Dense weekly table with running balance."""
-        return running_balance(self.dense_weekly(grain), self.summary(grain))
+        span = self.calendar()
+        return dense_balance(self.sparse_weekly(grain), self.summary(grain), span.first, span.last)
 
     def bucketed(self) -> DataFrame:
         """Supplier items in weekly, monthly and quarterly buckets, each its own item."""

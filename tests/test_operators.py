@@ -226,3 +226,26 @@ def test_a_run_counts_once(spark, tmp_path):
     K.append_kpis(run(1, 1.0), path)
     frame(spark, [(3, "m", 9.0, "left by a job that failed")], "run int, metric string, value double, batch string").write.mode("append").parquet(f"{path}/rows")
     assert sorted(map(tuple, K.read_kpis(spark, path).collect())) == [(1, "m", 1.0), (2, "m", 2.0)]
+
+
+def test_dense_balance_is_the_running_balance_of_dense_weeks(spark):
+    import datetime
+
+    from granary.operators import forecast as G, ingest as N
+
+    monday = datetime.date(2021, 12, 6)
+    week = lambda n: monday + datetime.timedelta(7 * n)
+    moves = [("a", week(0), 1.0, 2.5), ("a", week(3), 4.0, 0.5), ("b", week(2), 0.25, 9.0), ("b", week(8), 1.0, 1.0), ("late", week(9), 1.0, 3.0),
+             ("two", week(1), 5.0, 2.0), ("two", week(4), 1.0, 7.0), (None, week(2), 1.0, 0.0), ("last", week(6), None, 3.0)]
+    weekly = spark.createDataFrame(moves, "item_code string, week_start date, week_in double, week_out double")
+    opening = spark.createDataFrame([("a", 10.0), ("b", None), ("late", 7.0), ("two", 3.0), ("two", 3.0), ("x", 1.0)], "item_code string, opening_qty double")
+    first, last = F.lit(week(0)), F.lit(week(6))
+    want = N.running_balance(G.densify(weekly, first, last), opening)
+    got = N.dense_balance(weekly, opening, first, last)
+    assert got.columns == want.columns
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert plain(got) == plain(want) and len(plain(got)) == 7 * 7
+    # no dense row is sorted: above the weeks there is neither a sort nor a window
+    above = got._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")[0]
+    assert "Window" not in above and "Sort" not in above
+    assert "Window" in want._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")[0]

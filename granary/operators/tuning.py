@@ -57,14 +57,17 @@ def _best_window(v: Column, mean: Column, var_pop: Column, points: Column, max_w
 
     As in the grids, the distance of the forecast to the mean decides.
     """
-    scored = []
-    for window in S.imapa_windows(max_window):
-        fitted = S.imapa_level(v, window)
-        forecast = F.coalesce(fitted["forecast"], F.lit(0.0))
-        distance = F.when(points >= 2, F.round(F.abs(forecast - mean), 9)).otherwise(F.lit(0.0))
-        rmse = S.constant_rmse(forecast, mean, var_pop, points)
-        scored.append(F.struct(distance.alias("distance"), F.lit(window).alias("window"), rmse.alias("rmse")))
-    return F.array_min(F.array(*scored))
+    def score(window: int) -> Column:
+        def scored(fitted: Column) -> Column:
+            forecast = F.coalesce(fitted["forecast"], F.lit(0.0))
+            distance = F.when(points >= 2, F.round(F.abs(forecast - mean), 9)).otherwise(F.lit(0.0))
+            rmse = S.constant_rmse(forecast, mean, var_pop, points)
+            return F.struct(distance.alias("distance"), F.lit(window).alias("window"), rmse.alias("rmse"))
+
+        # fitted once, though distance and error both read its forecast
+        return S.bind(S.imapa_level(v, window), scored)
+
+    return F.array_min(F.array(*[score(window) for window in S.imapa_windows(max_window)]))
 
 
 def tune_imapa(

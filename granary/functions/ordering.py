@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from granary.functions.numeric import settle
+
 _SLICE = "__slice"
 _KEY = "__key"
 _TOTAL = "__offset_total"
@@ -45,8 +47,19 @@ def _bounds(keyed: DataFrame, slices: int) -> DataFrame:
 
 def _sliced(keyed: DataFrame, slices: int) -> DataFrame:
     """``keyed`` with the number of the slice of each row."""
-    bounded = keyed.withColumn("__bounds", _bounds(keyed, slices).scalar())
-    return bounded.withColumn(_SLICE, F.size(F.filter("__bounds", lambda b: b <= F.col(_KEY)))).drop("__bounds")
+    # settled: inside the lambda the key would be built again for every bound it is compared with
+    bounded = settle(keyed, {_KEY: F.col(_KEY), "__bounds": _bounds(keyed, slices).scalar()})
+    return bounded.withColumn(_SLICE, _up_to("__bounds", F.col(_KEY), slices)).drop("__bounds")
+
+
+def _up_to(bounds: str, key: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending ``bounds`` are not above ``key``, by halving steps."""
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(most.bit_length()))])
+
+    def step(found, n):
+        return F.when(F.get(F.col(bounds), found + n - 1) <= key, found + n).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def running_total(

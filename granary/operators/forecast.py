@@ -27,6 +27,7 @@ from granary.schema import (
 )
 
 METHODS = ("ses", "holt", "holt-winters", "tsb", "imapa")
+DENSE_TASKS = 200
 
 
 def densify(weekly: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
@@ -34,13 +35,15 @@ def densify(weekly: DataFrame, first: Column | None = None, last: Column | None
 
     ``weekly`` has one row per item and ``week_start``. The weeks are generated inside the item
     row, so there is no item-by-week join, and the result stays partitioned by item: a later
-    ``groupBy(item_code)`` needs no shuffle.
+    ``groupBy(item_code)`` needs no shuffle. The moves are small and their weeks many, so items are dealt to a set number of
+    tasks: merged by the size of the moves, one task would hold, and sort, the weeks of a large share of all items.
     """
     if first is None or last is None:
         bounds = weekly.agg(F.struct(F.min("week_start").alias("lo"), F.max("week_start").alias("hi"))).scalar()
         first, last = bounds["lo"], bounds["hi"]
     moves = F.map_from_entries(F.collect_list(F.struct("week_start", F.struct("week_in", "week_out"))))
-    rows = weekly.groupBy(ITEM).agg(moves.alias("moves"))
+    tasks = max(DENSE_TASKS, int(weekly.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = weekly.repartition(tasks, ITEM).groupBy(ITEM).agg(moves.alias("moves"))
     rows = rows.select(
         ITEM, "moves", F.explode(F.sequence(first, last, F.expr("interval 7 days"))).alias("week_start")
     )

@@ -1,5 +1,6 @@
 """Limits, ties, skew and plan shapes of the relational operators."""
 
+import datetime
 import random
 
 import pytest
@@ -249,3 +250,22 @@ def test_dense_balance_is_the_running_balance_of_dense_weeks(spark):
     above = got._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")[0]
     assert "Window" not in above and "Sort" not in above
     assert "Window" in want._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")[0]
+
+
+def test_slices_are_found_by_halving(spark):
+    from granary.functions.ordering import _up_to
+
+    rows = frame(spark, [(k, b) for k in (-1, 0, 3, 4, 9, 99) for b in ([], [0], [0, 3, 4, 9], list(range(199)))], "k int, b array<int>")
+    for r in rows.withColumn("n", _up_to("b", F.col("k"), 200)).collect():
+        assert r["n"] == sum(x <= r["k"] for x in r["b"]), r
+
+
+def test_weeks_of_many_items_are_not_one_task(spark):
+    from granary.operators import alerts as J, forecast as G
+
+    weeks = [datetime.date(2001, 1, 1) + datetime.timedelta(7 * w) for w in range(30)]
+    moves = [(f"P{k}", weeks[k % 30], 0.0, 1.0) for k in range(300)]
+    dense = G.densify(frame(spark, moves, "item_code string, week_start date, week_in double, week_out double"))
+    # a task holds one of 200 shares of the items however small their moves are
+    assert dense.rdd.getNumPartitions() >= 200
+    assert J.demand_arrow(dense).count() == 300

@@ -99,3 +99,12 @@ def test_a_record_is_parsed_once_whatever_its_width(spark):
     lines.unpersist()
     # it took 150 times as long while every cell parsed the record again
     assert taken[150] < 15 * taken[None] + 1
+
+
+def test_records_without_quotes_are_split(spark):
+    from granary.sources.records import cells
+
+    rows = spark.createDataFrame([("a,,b,",), ('"x,y",,"",z',), (",",), ("a",), ('a"b,c',)], "value string")
+    got = rows.select(cells(F.col("value")).alias("c"))
+    assert [r.c for r in got.collect()] == [["a", None, "b", None], ["x,y", None, "", "z"], [None, None], ["a"], ['a"b', "c"]]
+    assert "split(value" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -15,6 +15,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.kept: dict[str, DataFrame] = {}  # summaries by grain that a query has written once
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -69,6 +70,8 @@ class Inputs:
 
     def summary(self, grain: str = "PS", unbalanced: bool = False) -> DataFrame:
         """One row per item: flows, stock, price, amount."""
+        if grain in self.kept and not unbalanced:
+            return self.kept[grain]
         lines = self.table("lineitem").withColumn("amount", F.col("l_extendedprice").cast("decimal(18,2)"))
         codes = {"P": F.concat(F.lit("P"), "l_partkey"), "S": F.concat(F.lit("S"), "l_suppkey")}
         code = F.explode(F.array(*[codes[g] for g in grain])) if len(grain) > 1 else codes[grain]

@@ -27,6 +27,8 @@ CTES["purchases2"] = purchases_sql().replace("FROM alerts a", "FROM alerts2 a")
 
 
 def chain(i: Inputs):
+    # balances, lifecycle, amounts and transit all start from the summary: the line items are added up to it once
+    i.kept["PS"] = i.spark.read.parquet(_scratch(i, "summary", lambda p: write_table(i.summary(), p)))
     stored = _scratch(i, "moves", lambda p: write_table(i.stock_weekly(), p))
     weekly = i.spark.read.parquet(stored)
     summary = i.summary().join(i.master(), "item_code")

@@ -1,4 +1,4 @@
-"""Holt-Winters and parameter grids: numpy over Arrow batches of series.
+"""Holt-Winters, intermittent demand and parameter grids: numpy over Arrow batches of series.
 
 A batch holds many series; each recurrence advances all of them (and all grid points) by one
 week per numpy call, so Python overhead is per week, not per item.
@@ -117,6 +117,90 @@ def holt_winters(v: Column, alpha, beta, gamma, mode, m: int = SEASON) -> Column
     return holt_winters_fit(m)(v, *as_column, mode)
 
 
+def _in_groups(series: pd.Series):
+    """As ``_by_length``, in groups that stay near the cache, with the weeks as rows."""
+    for where, x in _by_length(series, 1):
+        group = max(1, _BUDGET // x.shape[1])
+        for begin in range(0, len(where), group):
+            yield where[begin : begin + group], np.ascontiguousarray(x[begin : begin + group].T)
+
+
+def _tsb(weeks: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Demand probability times size, as ``series.tsb``; NaN counts as demand there, too."""
+    hit = ~(weeks <= 0)
+    first = hit.argmax(axis=0)
+    size, chance = weeks[first, np.arange(weeks.shape[1])], 1.0 / (first + 1)
+    for now, value in zip(hit[1:], weeks[1:]):
+        size = np.where(now, alpha * value + (1 - alpha) * size, size)
+        chance = beta * now + (1 - beta) * chance
+    return np.where(hit.any(axis=0), size * chance, 0.0)
+
+
+def _mae(weeks: np.ndarray, forecast: np.ndarray) -> np.ndarray:
+    """As ``series.mean_absolute_error``."""
+    if len(weeks) < 2:
+        return np.zeros(weeks.shape[1])
+    gap = np.zeros(weeks.shape[1])
+    for value in weeks:
+        gap += np.abs(forecast - value)
+    return gap / len(weeks)
+
+
+def tsb_fit(v: Column, alpha: Column, beta: Column) -> Column:
+    """``series.tsb`` for batches of series: struct(forecast, mae), null where NaN is the result."""
+
+    @F.pandas_udf("forecast double, mae double")
+    def fit(v: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.DataFrame:
+        forecast, mae = np.zeros(len(v)), np.zeros(len(v))
+        a, b = (p.to_numpy(dtype=float) for p in (alpha, beta))
+        for where, weeks in _in_groups(v):
+            forecast[where] = _tsb(weeks, a[where], b[where])
+            mae[where] = _mae(weeks, forecast[where])
+        return pd.DataFrame({"forecast": forecast, "mae": mae})
+
+    return fit.asNondeterministic()(v, alpha, beta)  # called once per row, see holt_winters_fit
+
+
+def _imapa(weeks: np.ndarray, windows: list[int]):
+    """Window with the smallest RMSE, the smaller one on ties, and its forecast; window 0 below three weeks."""
+    items = weeks.shape[1]
+    best, forecast, chosen = np.full(items, np.nan), np.full(items, np.nan), np.zeros(items, dtype=int)
+    for window in windows:
+        count = len(weeks) // window
+        if count < 3:
+            continue
+        sums = weeks[: count * window : window]
+        for j in range(1, window):
+            sums = sums + weeks[j : count * window : window]
+        level, squares = sums[0], np.zeros(items)
+        for value in sums[1:]:
+            miss = level - value
+            level = 0.1 * value + 0.9 * level
+            squares += miss * miss
+        rmse = np.sqrt(squares / (count - 1))
+        better = (chosen == 0) | (rmse < best) | (np.isnan(best) & ~np.isnan(rmse))
+        best, forecast = np.where(better, rmse, best), np.where(better, level / window, forecast)
+        chosen = np.where(better, window, chosen)
+    return np.where(chosen == 0, 0.0, forecast), chosen
+
+
+def imapa_fit(v: Column, windows: list[int]) -> Column:
+    """``series.imapa`` for batches of series: struct(forecast, window, mae), null where NaN is the result.
+
+    Without a window of three blocks window and forecast are 0.
+    """
+
+    @F.pandas_udf("forecast double, window int, mae double")
+    def fit(v: pd.Series) -> pd.DataFrame:
+        forecast, window, mae = np.zeros(len(v)), np.zeros(len(v), dtype=int), np.zeros(len(v))
+        for where, weeks in _in_groups(v):
+            forecast[where], window[where] = _imapa(weeks, windows)
+            mae[where] = _mae(weeks, forecast[where])
+        return pd.DataFrame({"forecast": forecast, "window": window, "mae": mae})
+
+    return fit.asNondeterministic()(v)
+
+
 def _best(x: np.ndarray, forecasts: np.ndarray):
     """Index and RMSE of the grid point closest to the history; the first point wins ties.
 

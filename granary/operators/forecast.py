@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions import series as S
 from granary.functions.numeric import filled, first_match, settle
-from granary.functions.seasonal import holt_winters
+from granary.functions.seasonal import holt_winters, imapa_fit, tsb_fit
 from granary.schema import (
     ADI_LIMIT,
     ALPHA,
@@ -298,9 +298,18 @@ def forecast_demand(
     is_seasonal = F.col("method") == "holt_winters"
     mode = F.when(is_seasonal & (points >= SEASON_TEST_POINTS), S.seasonal_mode(v, season)).when(is_seasonal, "add")
     items = settle(items, {"season_mode": mode})
-    # only seasonal items send their series to Python; all others send null
-    fit = holt_winters(F.when(is_seasonal, v), F.col("alpha"), F.col("beta"), F.col("gamma"), F.col("season_mode"), season)
-    items = items.withColumn("seasonal_fit", fit)
+    # a series goes to Python for its own method only; to the others the item sends null
+    only = lambda method: F.when(F.col("method") == method, v)
+    fits = {
+        "seasonal_fit": holt_winters(only("holt_winters"), F.col("alpha"), F.col("beta"), F.col("gamma"), F.col("season_mode"), season),
+        "tsb_fit": tsb_fit(only("tsb"), F.col("alpha"), F.col("beta")),
+        "imapa_fit": imapa_fit(only("imapa"), S.imapa_windows(imapa_window)),
+    }
+    items = items.withColumns(fits)
+    # on the way back from pandas NaN is null
+    fitted = lambda name: F.coalesce(F.col(name), F.lit(float("nan")))
+    level = fitted("imapa_fit.forecast")
+    error = first_match([(F.col("method") == m, fitted(f"{m}_fit.mae")) for m in ("tsb", "imapa")])
 
     def answer(forecast, trend, window=None) -> Column:
         return F.struct(
@@ -310,18 +319,8 @@ def forecast_demand(
     no_trend = F.lit("n/a")
     result = first_match(
         [
-            (F.col("method") == "tsb", answer(S.tsb(v, F.col("alpha"), F.col("beta")), F.lit("intermittent"))),
-            (
-                F.col("method") == "imapa",
-                S.bind(
-                    S.imapa(v, imapa_window),
-                    lambda w: F.struct(
-                        filled(w["forecast"]).alias("forecast"),
-                        F.lit("lumpy").alias("trend"),
-                        F.when(w["forecast"] > 0, w["window"]).alias("imapa_window"),
-                    ),
-                ),
-            ),
+            (F.col("method") == "tsb", answer(fitted("tsb_fit.forecast"), F.lit("intermittent"))),
+            (F.col("method") == "imapa", answer(level, F.lit("lumpy"), F.when(level > 0, F.col("imapa_fit.window")))),
             (is_seasonal, answer(F.col("seasonal_fit.forecast"), F.col("seasonal_fit.direction"))),
             (
                 F.col("method") == "holt",
@@ -338,14 +337,14 @@ def forecast_demand(
         ],
         answer(F.lit(0.0), no_trend),
     )
-    items = items.withColumn("result", result).select("*", "result.*").drop("result", "seasonal_fit")
+    items = items.withColumns({"result": result, "error": error}).select("*", "result.*").drop("result", *fits)
     forecast = F.col("forecast")
     return (
         items.withColumns(prediction_interval(forecast, F.col("std_out"), points, z_value))
-        .withColumns(forecast_metrics(v, forecast, F.col("mean_out"), F.col("var_out"), points))
+        .withColumns(forecast_metrics(v, forecast, F.col("mean_out"), F.col("var_out"), points, F.col("error")))
         .withColumn("z_value", F.lit(z_value))
         .withColumn("parameter_source", F.lit("tuned" if tuned is not None else "default"))
-        .drop("v", "var_out")
+        .drop("v", "var_out", "error")
     )
 
 
@@ -355,10 +354,13 @@ def prediction_interval(forecast: Column, std: Column, points: Column, z_value:
     return {"lower": F.greatest(F.lit(0.0), forecast - z_value * se), "upper": forecast + z_value * se}
 
 
-def forecast_metrics(v: Column, forecast: Column, mean: Column, var_pop: Column, points: Column) -> dict[str, Column]:
-    """Columns ``mae``, ``rmse``, ``bias`` of the constant forecast over the history."""
+def forecast_metrics(
+    v: Column, forecast: Column, mean: Column, var_pop: Column, points: Column, mae: Column | None = None
+) -> dict[str, Column]:
+    """Columns ``mae``, ``rmse``, ``bias`` of the constant forecast over the history; ``mae`` where it is known already."""
+    error = S.mean_absolute_error(v, forecast)
     return {
-        "mae": S.mean_absolute_error(v, forecast),
+        "mae": error if mae is None else F.when(mae.isNotNull(), mae).otherwise(error),
         "rmse": S.constant_rmse(forecast, mean, var_pop, points),
         "bias": F.when(points >= 2, forecast - mean).otherwise(F.lit(0.0)),
     }

@@ -252,6 +252,35 @@ def test_dense_balance_is_the_running_balance_of_dense_weeks(spark):
     assert "Window" in want._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")[0]
 
 
+def test_balances_are_added_up_before_the_opening_stock_is_joined(spark):
+    from granary.operators import ingest as N
+
+    moves = [("a", 3, 0.0, 1.0), ("a", 1, 5.0, 2.0), ("a", 2, None, 4.0), ("two", 2, 1.0, 4.0), ("two", 1, 3.0, 0.5), ("new", 1, 2.0, 0.0), (None, 1, 1.0, 0.0)]
+    weekly = frame(spark, moves, "item_code string, week_key int, week_in double, week_out double")
+    opening = frame(spark, [("a", 10.0), ("two", 1.0), ("two", 1.0), ("x", 4.0), (None, 9.0)], "item_code string, opening_qty double")
+    got = N.running_balance(weekly, opening)
+    assert got.columns == [*weekly.columns, "week_balance"]
+    rows = sorted((r.item_code or "", r.week_key, r.week_balance) for r in got.collect())
+    # both opening rows of "two" have their weeks, and the flows of both are added
+    assert rows == [
+        ("", 1, 1.0), ("a", 1, 13.0), ("a", 2, 13.0), ("a", 3, 12.0), ("new", 1, 2.0),
+        ("two", 1, 3.5), ("two", 1, 6.0), ("two", 2, 0.0), ("two", 2, 3.0),
+    ]
+    # the join comes on top of the windows, so that the weekly rows are sorted once
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+
+
+def test_the_chain_adds_line_items_up_to_a_summary_once(spark):
+    from checks.fixtures import Inputs
+
+    i = Inputs(spark, "nowhere")  # has no table to read
+    kept = frame(spark, [("P5", 1.0)], "item_code string, out_qty double")
+    i.kept["PS"] = kept
+    assert i.summary() is kept
+    assert [r.item_code for r in i.master().collect()] == [r.item_code for r in i.item_transit().collect()] == ["P5"]
+
+
 def test_slices_are_found_by_halving(spark):
     from granary.functions.ordering import _up_to
 

@@ -115,6 +115,38 @@ def test_recurrences(spark, series):
     assert got["two"]["trend"] == "insufficient" and got["constant"]["trend"] == "flat"
 
 
+def test_batches_of_intermittent_series_give_the_same(spark, series, monkeypatch):
+    from granary.functions import seasonal as N
+
+    monkeypatch.setattr(N, "_BUDGET", 200)  # several groups of one length
+    given = series | {f"like{k}": [float((t * k) % 7 < 2) * k for t in range(20)] for k in range(1, 25)} | {"nan": [1.0, math.nan, 0.0, 2.0, 0.0, 3.0]}
+    v, none = F.col("v"), F.lit(None).cast("array<double>")
+    rows = G.demand_series(weekly_rows(spark, given)).withColumns({"alpha": F.length("item_code") / 20, "beta": F.lit(0.2)})
+    rows = rows.withColumns(
+        {
+            "tsb": S.tsb(v, F.col("alpha"), F.col("beta")), "imapa": S.imapa(v, 8),
+            "tsb_fit": N.tsb_fit(v, F.col("alpha"), F.col("beta")), "imapa_fit": N.imapa_fit(v, S.imapa_windows(8)),
+            "none": N.imapa_fit(none, [1]),
+        }
+    )
+    rows = rows.withColumns({f"{m}_mae": S.mean_absolute_error(v, F.col(f"{m}_fit.forecast")) for m in ("tsb", "imapa")})
+    for r in rows.collect():
+        if r.item_code == "nan":
+            assert math.isnan(r.tsb) and math.isnan(r.imapa.forecast) and r.imapa.window == 1 == r.imapa_fit.window
+            assert r.tsb_fit.forecast is None and r.imapa_fit.forecast is None
+            continue
+        assert (r.tsb, r.tsb_mae) == (r.tsb_fit.forecast, r.tsb_fit.mae), r.item_code
+        window, forecast = (r.imapa.window, r.imapa.forecast) if r.imapa else (0, 0.0)
+        assert (window, forecast, r.imapa_mae) == (r.imapa_fit.window, r.imapa_fit.forecast, r.imapa_fit.mae), r.item_code
+        assert r.none.window == 0
+
+
+def test_a_forecast_has_no_interpreted_loop_for_intermittent_series(spark, series):
+    forecasts = G.forecast_demand(weekly_rows(spark, series))
+    plan = forecasts._jdf.queryExecution().optimizedPlan().toString()
+    assert "sse" not in plan and "chance" not in plan
+
+
 @pytest.mark.parametrize("mode", ["add", "mul"])
 def test_holt_winters(spark, mode):
     m = 4

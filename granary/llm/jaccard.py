@@ -24,7 +24,8 @@ with its like.
 Leaves. A piece of work is bounded in sets and n-grams, and a task verifies all its pairs exactly with products of its
 incidence matrix. Out come sums per set (links, as rows are counted) and the group label of every linked set, never pairs.
 
-Equal sets are one entry throughout, and equal texts of a block collapse before anything is sent. Groups are found by label
+Equal sets are one entry throughout: one document stands for all with its set before any region is made, so copies share
+none. Regions of few blocks meet in a task that one of these blocks names, so sets that share many meet in few tasks. Groups are found by label
 propagation with pointer jumping over written tables, on labels of cells instead of sets. N-grams are 64-bit hashes.
 """
 
@@ -52,6 +53,7 @@ PIVOTS = 8
 LEVELS = 12
 _CHUNK = 1 << 20
 MANY = 64  # entries of a region beyond which sets leave it out if they can
+NEAR = 16  # blocks of a region up to which one of them names the place where its sets meet
 _KEPT = 5  # bytes of a region key that are compared inside its bucket
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -208,27 +210,33 @@ def least_labels(node: np.ndarray, key: np.ndarray, label: np.ndarray) -> np.nda
         label = low
 
 
-_DESCRIBED = "kind int, no long, pos int, doc_id long, n long, e long, bucket int, regions binary, several binary"
+_DESCRIBED = "no long, pos int, doc_id long, n long, e long"
+
+
+def _describe(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """A row per document with its set's size and digest."""
+    for batch in batches:
+        for file in batch.itertuples():
+            doc, null, texts = textblocks.read(file.path)
+            told = [(len(s), digest(s)) for s in shingle_sets(texts, size)]
+            n, e = np.array(told, np.int64).reshape(-1, 2).T
+            yield pd.DataFrame({"no": file.no, "pos": np.arange(len(doc)), "doc_id": pd.Series(doc, dtype="Int64").mask(null), "n": n, "e": e})
 
 
 class Regions:
-    """The distinct sets of a block (``e``, ``n``, parities) and the rows (key, node) of their regions by bucket and key."""
-
-    def __init__(self, doc: np.ndarray, null: np.ndarray, texts: list[bytes], size: int, classes: Classes, buckets: int):
-        self.n_of, self.e_of = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-        nodes: dict[int, int] = {}
-        keys, self.spare, self.sets = [], [], []
-        for i, s in enumerate(shingle_sets(texts, size)):
-            self.n_of[i], self.e_of[i] = len(s), (e := digest(s))
-            if len(s) and not null[i] and e not in nodes:
-                nodes[e] = len(nodes)
-                key, spare = classes.regions(s)
-                keys.append(key)
-                self.spare.append(spare)
-                self.sets.append((len(s), parities(s, int(parity_words(np.array([len(s)]), classes.num, classes.den)[0]))))
-        self.e = np.fromiter(nodes, np.int64, len(nodes))
+    """The sets of the chosen documents of a block (``e``, ``n``, parities) and the rows (key, node) of their regions by bucket and key."""
+
+    def __init__(self, texts: list[bytes], size: int, classes: Classes, buckets: int):
+        keys, self.spare, self.sets, e = [], [], [], []
+        for s in shingle_sets(texts, size):
+            key, spare = classes.regions(s)
+            keys.append(key)
+            e.append(digest(s))
+            self.spare.append(spare)
+            self.sets.append((len(s), parities(s, int(parity_words(np.array([len(s)]), classes.num, classes.den)[0]))))
+        self.e = np.array(e, np.int64)
         key = np.concatenate([np.zeros(0, np.uint64), *keys])
-        node = np.repeat(np.arange(len(nodes)), [len(k) for k in keys])
+        node = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         # which class of its set a region belongs to
         sizes = [many for spare in self.spare for many, _ in spare]
         share = np.repeat(np.arange(len(sizes)), sizes)
@@ -238,28 +246,28 @@ class Regions:
         self.new = np.append(True, self.key[1:] != self.key[:-1]) if len(key) else np.zeros(0, bool)
 
 
-def _describe(batches: Iterator[pd.DataFrame], size: int, num: int, den: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Of every block: a row per document with its set's size and digest (kind 0), and per bucket the region keys of its
-    sets, each once with the number of sets that have it (kind 1)."""
+def _chosen(file) -> list[bytes]:
+    """The texts at the places ``pos`` of a block."""
+    texts = textblocks.read(file.path)[2]
+    return [texts[p] for p in file.pos]
+
+
+_KEYS = "no long, bucket int, regions binary, several binary"
+
+
+def _keys(batches: Iterator[pd.DataFrame], size: int, num: int, den: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Of every block and bucket the region keys of the chosen sets, each once with the number of sets that have it."""
     classes = Classes(num, den)
     for batch in batches:
         for file in batch.itertuples():
-            doc, null, texts = textblocks.read(file.path)
-            r = Regions(doc, null, texts, size, classes, buckets)
-            yield _full(pd.DataFrame({"kind": 0, "no": file.no, "pos": np.arange(len(doc)), "doc_id": pd.Series(doc, dtype="Int64").mask(null), "n": r.n_of, "e": r.e_of}))
+            r = Regions(_chosen(file), size, classes, buckets)
             first = np.flatnonzero(r.new)
             several = np.minimum(np.diff(np.append(first, len(r.key))), 255).astype(np.uint8)
             key, bucket = r.key[first], r.bucket[first]
             cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            rows = [(int(bucket[a]), _short(key[a:b]), several[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False) if a < b]
+            rows = [(file.no, int(bucket[a]), _short(key[a:b]), several[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False) if a < b]
             if rows:
-                yield _full(pd.DataFrame(rows, columns=["bucket", "regions", "several"]).assign(kind=1, no=file.no))
-
-
-def _full(df: pd.DataFrame) -> pd.DataFrame:
-    names = [x.split()[0] for x in _DESCRIBED.split(", ")]
-    df = df.reindex(columns=names)
-    return df.astype({c: "Int64" for c in ("pos", "doc_id", "n", "e", "bucket")})
+                yield pd.DataFrame(rows, columns=["no", "bucket", "regions", "several"])
 
 
 def _short(keys: np.ndarray) -> bytes:
@@ -273,32 +281,54 @@ def _long(short: list[bytes]) -> np.ndarray:
     return raw.view("<u8")[:, 0]
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(no, bucket, marks): for every region of a block 1 if several sets have it, 3 if more than ``MANY`` do, else 0."""
-    _, region = np.unique(_long(list(pdf.regions)), return_inverse=True)
+_MARKS = "no long, bucket int, marks binary, meets binary"
+
+
+def _shared(pdf: pd.DataFrame, near: int, groups: int) -> pd.DataFrame:
+    """For every region of a block 1 if several sets have it, 3 if more than ``MANY`` do, else 0; and where those of several sets meet.
+
+    Regions of at most ``near`` blocks meet where one of these blocks says, others where their key does.
+    """
+    key, region, blocks = np.unique(_long(list(pdf.regions)), return_inverse=True, return_counts=True)
+    counts = pdf.several.str.len().to_numpy()
     held = np.bincount(region, np.frombuffer(b"".join(pdf.several), np.uint8))
     marks = ((held > 1) + 2 * (held > MANY)).astype(np.uint8)[region]
-    cuts = pdf.several.str.len().cumsum().tolist()
-    return pd.DataFrame({"no": pdf.no, "bucket": pdf.bucket, "marks": [_packed(marks[a:b].tobytes()) for a, b in zip([0, *cuts], cuts, strict=False)]})
+    least = np.full(len(key), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, region, np.repeat(mix(pdf.no.to_numpy(np.int64)), counts))
+    meets = (np.where(blocks <= near, mix(least), mix(key)) % np.uint64(groups)).astype("<u4")[region]
+    out = []
+    for a, b in zip([0, *(cuts := np.cumsum(counts).tolist())], cuts, strict=False):
+        out.append((_packed(marks[a:b].tobytes()), _packed(meets[a:b][marks[a:b] > 0].tobytes())))
+    return pd.DataFrame(out, columns=["marks", "meets"]).assign(no=pdf.no.to_numpy(), bucket=pdf.bucket.to_numpy())[["no", "bucket", "marks", "meets"]]
 
 
 def _packed(data: bytes) -> bytes:
     return zstandard.compress(data)
 
 
+def _unpacked(parts: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zstandard.decompress, parts)), kind)
+
+
 _SENT = "no long, bucket int, regions binary, nodes binary, e binary, n binary, words binary"
 
 
-def _shared_regions(manifest: pd.DataFrame, marks: pd.DataFrame, size: int, num: int, den: int, buckets: int, groups: int) -> pd.DataFrame:
-    """Per group of buckets the shared regions of a block's sets, and size and parities of these sets."""
+def _shared_regions(chosen: pd.DataFrame, marks: pd.DataFrame, size: int, num: int, den: int, buckets: int) -> pd.DataFrame:
+    """Per meeting place (``bucket``) the shared regions of a block's sets, and size and parities of these sets."""
     columns = [x.split()[0] for x in _SENT.split(", ")]
-    if manifest.empty or marks.empty:
+    if chosen.empty or marks.empty:
         return pd.DataFrame([], columns=columns)
-    r = Regions(*textblocks.read(manifest.path.iloc[0]), size, Classes(num, den), buckets)
-    mark = np.frombuffer(b"".join(map(zstandard.decompress, marks.sort_values("bucket").marks)), np.uint8)[np.cumsum(r.new) - 1]
+    file = next(chosen.itertuples())
+    r = Regions(_chosen(file), size, Classes(num, den), buckets)
+    marks = marks.sort_values("bucket")
+    each = _unpacked(marks.marks, np.uint8)
+    meets = np.zeros(len(each), np.int64)
+    meets[each > 0] = _unpacked(marks.meets, "<u4")
+    region = np.cumsum(r.new) - 1
+    mark, group = each[region], meets[region]
     spare = np.array([more for spare in r.spare for _, more in spare])
     kept = (mark == 1) | ((mark == 3) & (np.bincount(r.share[mark == 3], minlength=len(spare)) > spare)[r.share])
-    group = r.bucket[kept] % groups
+    group = group[kept]
     order = np.argsort(group, kind="stable")
     key, node, bucket = r.key[kept][order], r.node[kept][order], group[order]
     cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
@@ -308,7 +338,7 @@ def _shared_regions(manifest: pd.DataFrame, marks: pd.DataFrame, size: int, num:
             own, at = np.unique(node[a:b], return_inverse=True)
             n = np.array([r.sets[i][0] for i in own.tolist()], np.int64)
             words = b"".join(r.sets[i][1].tobytes() for i in own.tolist())
-            rows.append((int(manifest.no.iloc[0]), int(bucket[a]), _short(key[a:b]), at.astype("<i4").tobytes(), r.e[own].tobytes(), n.tobytes(), words))
+            rows.append((int(file.no), int(bucket[a]), _short(key[a:b]), at.astype("<i4").tobytes(), r.e[own].tobytes(), n.tobytes(), words))
     return pd.DataFrame(rows, columns=columns)
 
 
@@ -612,19 +642,23 @@ def components(
     # explicit numbers: the shuffled rows are small, the work behind them is not
     by_block, by_bucket = min(blocks, 4 * partitions(docs)), min(4 * buckets, 4 * partitions(docs))
     spread = manifest.repartition(by_block, "no")
-    described = staged(spread.mapInPandas(lambda it: _describe(it, size, num, den, buckets), _DESCRIBED), "described")
-    rows = described.where("kind = 0").select("doc_id", "no", "pos", "n", "e")
-    keys = described.where("kind = 1").select("no", "bucket", "regions", "several").repartition(by_bucket, "bucket").groupBy("bucket")
-    marks = staged(keys.applyInPandas(_shared, "no long, bucket int, marks binary"), "marks")
-    shared = spread.groupBy("no").cogroup(marks.repartition(by_block, "no").groupBy("no"))
-    shared = shared.applyInPandas(lambda a, b: _shared_regions(a, b, size, num, den, buckets, groups), _SENT)
-    met = shared.repartition(min(4 * groups, 4 * partitions(docs)), "bucket").groupBy("bucket").applyInPandas(lambda pdf: _plausible(pdf, num, den), "x long, y long")
-    cells = connected(met).select(F.col("node").alias("e"), F.col("group").alias("cell"))
+    rows = staged(spread.mapInPandas(lambda it: _describe(it, size), _DESCRIBED), "described")
 
     # equal sets are one entry, named by the digest; the row with the smallest id stands for it
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     entries = full.groupBy("e").agg(F.min(F.struct("doc_id", "no", "pos")).alias("at"), F.count(F.lit(1)).alias("held"), F.max("n").alias("n"))
     entries = staged(entries.select("e", "held", "n", "at.*"), "entries")
+    places = entries.groupBy("no").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+    chosen = staged(manifest.join(places, "no"), "chosen").repartition(by_block, "no")
+
+    keys = chosen.mapInPandas(lambda it: _keys(it, size, num, den, buckets), _KEYS).repartition(by_bucket, "bucket").groupBy("bucket")
+    near = min(NEAR, blocks // 4)  # of many blocks, so that none of them names the place of much more than its share
+    marks = staged(keys.applyInPandas(lambda pdf: _shared(pdf, near, groups), _MARKS), "marks")
+    shared = chosen.groupBy("no").cogroup(marks.repartition(by_block, "no").groupBy("no"))
+    shared = shared.applyInPandas(lambda a, b: _shared_regions(a, b, size, num, den, buckets), _SENT)
+    met = shared.repartition(min(4 * groups, 4 * partitions(docs)), "bucket").groupBy("bucket").applyInPandas(lambda pdf: _plausible(pdf, num, den), "x long, y long")
+    cells = connected(met).select(F.col("node").alias("e"), F.col("group").alias("cell"))
+
     wanted = entries.join(cells, "e").select("no", "pos", "cell", "e", "held", "n")
     found = spread.groupBy("no").cogroup(wanted.repartition(by_block, "no").groupBy("no")).applyInPandas(lambda a, b: _fetch(a, b, size), _MEMBERS)
     members = staged(found, "members")

@@ -115,6 +115,29 @@ def test_no_groups(spark):
     assert made(spark, [(1, "a b c d")], 3, 90, 100) == [("1", 2, "1")]
 
 
+def test_copies_in_other_blocks_share_no_regions(spark, monkeypatch):
+    kept, write = {}, jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: kept.update({name: (out := write(df, name))}) or out)
+    texts = [" ".join(f"{k}-{j}" for j in range(40)) for k in range(30)]
+    rows = [(100 * c + k, t) for c in range(4) for k, t in enumerate(texts)]
+    assert made(spark, rows, 3, 90, 100, block_bytes=1500) == brute(rows, 3, 90, 100)
+    marks = kept["marks"].collect()
+    assert len(marks) > 4 and sum(jaccard.zstandard.decompress(r.marks).count(0) for r in marks) > 30
+    assert all(set(jaccard.zstandard.decompress(r.marks)) == {0} for r in marks)
+
+
+def test_regions_of_the_same_blocks_meet_in_one_task():
+    import numpy as np
+    import pandas as pd
+
+    keys = np.sort(jaccard.mix(np.arange(300, dtype=np.uint64)))
+    pdf = pd.DataFrame([(no, 0, jaccard._short(k), bytes([1] * len(k))) for no, k in [(3, keys[:200]), (17, keys[:200]), *((no, keys[200:]) for no in range(40))]], columns=["no", "bucket", "regions", "several"])
+    out = jaccard._shared(pdf, 16, 50)
+    places = [np.frombuffer(jaccard.zstandard.decompress(m), "<u4").tolist() for m in out.meets]
+    assert len(set(places[0])) == 1 and places[0] == places[1] and len(places[0]) == 200
+    assert all(p == places[2] for p in places[3:]) and len(set(places[2])) > 30  # a region of many blocks goes by its key
+
+
 def test_one_of_each_group_stays(spark, documents):
     left = jaccard.first_of_groups(documents)
     assert left.columns == documents.columns

@@ -108,3 +108,23 @@ def test_records_without_quotes_are_split(spark):
     got = rows.select(cells(F.col("value")).alias("c"))
     assert [r.c for r in got.collect()] == [["a", None, "b", None], ["x,y", None, "", "z"], [None, None], ["a"], ['a"b', "c"]]
     assert "split(value" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ids_of_torn_records_have_no_gaps_in_plain_and_packed_files(spark, tmp_path):
+    import gzip
+
+    data = text(11, 60)
+    (tmp_path / "a.csv").write_text(data)
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress(data.encode()))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        for names, splits in (("*.csv", 3), ("*.csv.gz", 1)):
+            found = L.read_ledgers(spark, str(tmp_path), names=names).select("chunk", "row_id", "cells").collect()
+            rows = sorted((r.chunk, r.row_id, [None if c == "" else c for c in r.cells]) for r in found)
+            assert [c for _, _, c in rows] == want(data)
+            ids = {c: [i for at, i, _ in rows if at == c] for c in {at for at, _, _ in rows}}
+            assert len(ids) >= splits and all(i == list(range(i[0], i[0] + len(i))) for i in ids.values())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

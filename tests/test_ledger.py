@@ -185,3 +185,14 @@ def test_outliers_skip_constant_and_short_columns(spark):
     rows = [(f"i{n}", 1.0, float(n % 3), 5.0, None) for n in range(50)] + [("far", 1.0, 900.0, 5.0, 3.0)]
     df = spark.createDataFrame(rows, "item_code string, opening_qty double, in_qty double, out_qty double, closing_qty double")
     assert [(r["item_code"], r["column"]) for r in Q.detect_outliers(df).collect()] == [("far", "in_qty")]
+
+
+def test_forward_fill_shuffles_only_chunks_with_nulls(spark):
+    keys = [("f", 0), ("f", 1), ("f", 2), (None, 0), (None, 1), ("g", None)]
+    rows = [(f, c, 10 * k + r, None if r == 1 and (f, c) not in (("f", 0), ("f", 2)) else f"{k}{r}") for k, (f, c) in enumerate(keys) for r in range(3)]
+    df = spark.createDataFrame(rows, "file string, chunk int, row_id int, v string").withColumn("wide", F.repeat(F.lit("x"), 10))
+    out = N.forward_fill(df, ["v"])
+    assert out.columns == df.columns
+    assert {r.row_id: r.v for r in out.collect()} == {i: f"{i // 10}0" if v is None else v for _, _, i, v in rows}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan

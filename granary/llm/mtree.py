@@ -9,9 +9,11 @@ stored distances already exclude it by the triangle inequality costs no distance
 
 Spark splits the work: equal vectors are one entry with their ``k + 1`` smallest ids (more cannot be returned);
 vectors go to the nearest of some sampled routing vectors, each region is cut by hash into trees of bounded size,
-and every tree is built in one task. Queries visit their nearest tree first; the k-th score found there is the bound
-with which whole trees are excluded before the second round. Queries come in blocks, so a task holds one tree and
-one block. The sample only routes: every vector is indexed and the result is exact.
+and every tree is built in one task and written to a folder of its own. Queries visit their nearest tree first; the k-th
+score found there is the bound with which whole trees are excluded in the second round. There a piece of work is a block of
+queries and some trees, which it reads one after the other; the best scores of a query so far exclude what follows. So a task
+holds one tree and one block, and neither trees nor pairs of queries and trees are shuffled. The sample only routes:
+every vector is indexed and the result is exact.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from granary.llm.common import read_files, run_folder, staged
+from granary.llm.common import partitions, read_block, read_files, run_folder, staged, written_blocks
 
 PAGE = 128
 TREE_ROWS = 8192
 MAX_ROUTES = 1024
 QUERY_BLOCK = 2048
+TREES = 64  # at most, that a piece of work searches for a block of queries
+_CELLS = 1_000_000  # of a matrix of distances
 _SLACK = 1e-6
 
 
@@ -70,27 +74,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, page: int = PAGE, tr
     counts = {r[0]: r[1] for r in routed.groupBy("route").count().collect()}
     parts = F.create_map(*[F.lit(x) for r, n in counts.items() for x in (r, -(-n // tree_rows))])
     cut = F.pmod(F.xxhash64("v"), parts[F.col("route")]).cast("int")
-    pages = routed.withColumn("cut", cut).groupBy("route", "cut").applyInPandas(lambda key, pdf: _build(key, pdf, space, page), _PAGES)
-    pages = staged(pages, "pages")
+    forest = run_folder(spark, "trees")  # a folder per tree, read by tasks
+    routed.withColumn("cut", cut).groupBy("route", "cut").applyInPandas(lambda key, pdf: _build(key, pdf, space, page), _PAGES).write.partitionBy("tree").parquet(forest)
     tops = run_folder(spark, "tops")  # a row per tree, read by tasks
-    pages.where("page = 0").select("tree", "top", "reach").write.parquet(tops)
+    spark.read.schema(_PAGES).parquet(forest).where("page = 0").select("tree", "top", "reach").write.parquet(tops)
+    trees = spark.read.parquet(tops).count()
 
     asked = vectors.where(is_query)
     questions = staged(asked.groupBy("v").agg(F.min("id").alias("qid")), "questions")
     blocks = -(-max(1, questions.count()) // QUERY_BLOCK)
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
-    bounds = StructType([StructField("qid", LongType()), StructField("v", ArrayType(LongType())), StructField("tree", LongType()), StructField("least", LongType())])
-
-    def visit(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.withColumn("block", block)
-        needed = pairs.select(F.col("tree").alias("at"), F.col("block").alias("part")).distinct()
-        copies = pages.join(needed, F.col("tree") == F.col("at"))
-        return pairs.groupBy("tree", "block").cogroup(copies.groupBy("at", "part")).applyInPandas(lambda a, b: _search(a, b, space, k + 1), _FOUND)
-
-    first = staged(visit(questions.mapInPandas(lambda it: _nearest(it, space, tops), bounds)), "first")
+    placed = StructType([StructField("qid", LongType()), StructField("v", ArrayType(LongType())), StructField("tree", LongType())])
+    nearest = staged(questions.mapInPandas(lambda it: _nearest(it, space, tops), placed).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "nearest")
+    sorted_ = nearest.repartition(4 * partitions(vectors), "tree", "block").sortWithinPartitions("tree")
+    first = staged(sorted_.mapInPandas(lambda it: _first(it, space, forest, k + 1), _FOUND), "first")
     kth = first.where(F.col("nth") == k + 1).select("qid", F.col("score").alias("least"))
-    known = questions.join(kth, "qid", "left").select("qid", "v", F.lit(0).cast("long").alias("tree"), "least")
-    rest = visit(known.mapInPandas(lambda it: _others(it, space, tops), bounds))
+    known = written_blocks(nearest.join(kth, "qid", "left"), "known", "block", blocks)
+    tasks = 4 * partitions(vectors)
+    per = max(1, min(TREES, blocks * trees // tasks))
+    work = blocks * -(-trees // per)
+    rest = spark.range(0, work, 1, min(work, tasks)).mapInPandas(lambda it: _others(it, space, forest, tops, known, blocks, per, k + 1), _FOUND)
 
     best = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     merged = first.unionByName(rest).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
@@ -150,8 +152,10 @@ _FOUND = StructType([StructField("qid", LongType()), StructField("nth", IntegerT
 
 def _route(batches: Iterator[pd.DataFrame], space: Space, routes: np.ndarray) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        if len(batch):
-            yield batch.assign(route=space.between(space.matrix(batch.v), routes).argmin(1).astype("int32"))
+        step = max(1, _CELLS // len(routes))
+        for at in range(0, len(batch), step):
+            part = batch.iloc[at : at + step]
+            yield part.assign(route=space.between(space.matrix(part.v), routes).argmin(1).astype("int32"))
 
 
 def _build(key, pdf: pd.DataFrame, space: Space, page: int) -> pd.DataFrame:
@@ -209,79 +213,109 @@ def _tops(path: str) -> tuple[np.ndarray, list, np.ndarray]:
     return np.array(rows["tree"], np.int64), rows["top"], np.array(rows["reach"], np.float64)
 
 
-def _measured(batches, space: Space, path: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Questions in pieces, with their squared norms, the trees, and the distances to their tops; a piece has bounded arrays."""
-    trees, tops, reach = _tops(path)
+def _nearest(batches, space: Space, path: str) -> Iterator[pd.DataFrame]:
+    """Questions with the tree whose top is nearest."""
+    trees, tops, _ = _tops(path)
     centres = space.matrix(tops).astype(np.float64).T
-    step = max(1, 4_000_000 // len(trees))
+    step = max(1, _CELLS // len(trees))
     for batch in batches:
         for at in range(0, len(batch), step):
             part = batch.iloc[at : at + step]
             q = space.matrix(part.v)
-            q2 = space.norms(q)[:, None]
-            yield part, q2, trees, reach, space.to_query(q.astype(np.float64) @ centres, q2)
+            d = space.to_query(q.astype(np.float64) @ centres, space.norms(q)[:, None])
+            yield pd.DataFrame({"qid": part.qid, "v": part.v, "tree": trees[d.argmin(1)]})
 
 
-def _nearest(batches, space: Space, path: str) -> Iterator[pd.DataFrame]:
-    for part, _, trees, _, d in _measured(batches, space, path):
-        yield pd.DataFrame({"qid": part.qid, "v": part.v, "tree": trees[d.argmin(1)], "least": None})
-
-
-def _others(batches, space: Space, path: str) -> Iterator[pd.DataFrame]:
-    """The trees, beside the one searched already, that can hold a score of at least ``least``."""
-    for part, q2, trees, reach, d in _measured(batches, space, path):
-        least = part.least.astype("float64").fillna(-np.inf).to_numpy()[:, None]
-        bound = space.to_query(np.where(np.isinf(least), -1e300, least), q2)
-        open_ = d - reach[None] <= bound + space.slack()
-        open_[np.arange(len(part)), d.argmin(1)] = False
-        row, tree = np.nonzero(open_)
-        yield pd.DataFrame({"qid": part.qid.to_numpy()[row], "v": part.v.to_numpy()[row], "tree": trees[tree], "least": part.least.to_numpy()[row]})
-
-
-def _search(questions: pd.DataFrame, pages: pd.DataFrame, space: Space, wanted: int) -> pd.DataFrame:
-    """The best ``wanted`` (score, id) of each question in one tree, those above its bound only."""
-    tree = {}
-    for r in pages.itertuples():
-        entries = np.frombuffer(r.vectors, space.kind).reshape(-1, space.width)
-        tree[r.page] = (r.leaf, entries, np.frombuffer(r.to_parent), np.frombuffer(r.radius) if not r.leaf else None, np.frombuffer(r.child, np.int64) if not r.leaf else r.ids)
-    top = space.pad(pages.top[pages.page == 0].iloc[0]) if len(pages) else None
-    out = []
-    for qid, v, least in zip(questions.qid, questions.v, questions.least, strict=True):
-        q = space.pad(v)
-        q2, slack = float(space.norms(q)), space.slack()
-        found: list = []  # heap of (score, -id): the worst kept is first
-        floor = -np.inf if pd.isna(least) else int(least)
-        bound = np.inf if pd.isna(least) else float(space.to_query(floor, q2)) + slack
-        queue = [(0.0, 0, float(space.to_query(top @ q, q2)))]
-        while queue:
-            near, at, to_parent = heapq.heappop(queue)
-            if near > bound:
-                break
-            leaf, entries, parent, radius, below = tree[at]
-            # the triangle inequality over stored distances: no product is computed for what it excludes
-            gap = np.abs(to_parent - parent)
-            keep = np.flatnonzero((gap if leaf else gap - radius) <= bound)
-            if not len(keep):
-                continue
-            product = entries[keep] @ q
-            if not leaf:
-                d = space.to_query(product, q2)
-                low = np.maximum(d - radius[keep], 0)
-                for i in np.flatnonzero(low <= bound):
-                    heapq.heappush(queue, (float(low[i]), int(below[keep[i]]), float(d[i])))
-                continue
-            for i in np.flatnonzero(product >= floor):
-                score = int(product[i])
-                for vec_id in below[keep[i]]:
-                    item = (score, -int(vec_id))
-                    if len(found) < wanted:
-                        heapq.heappush(found, item)
-                    elif item > found[0]:
-                        heapq.heapreplace(found, item)
-                    else:
-                        break
-            if len(found) == wanted and found[0][0] > floor:
-                floor = found[0][0]
-                bound = float(space.to_query(floor, q2)) + slack
-        out += [(int(qid), n, -i, s) for n, (s, i) in enumerate(sorted(found, key=lambda x: (-x[0], -x[1])), 1)]
+@lru_cache(1)
+def _tree(forest: str, number: int, width: int, kind: type) -> tuple[np.ndarray, dict]:
+    """Top vector and pages of a tree."""
+    pages = read_block(forest, "tree", number).select(["page", "leaf", "vectors", "to_parent", "radius", "child", "ids", "top"]).to_pylist()
+    tree, top = {}, np.zeros(width, kind)
+    for r in pages:
+        entries = np.frombuffer(r["vectors"], kind).reshape(-1, width)
+        leaf = r["leaf"]
+        tree[r["page"]] = (leaf, entries, np.frombuffer(r["to_parent"]), None if leaf else np.frombuffer(r["radius"]), r["ids"] if leaf else np.frombuffer(r["child"], np.int64))
+        if r["page"] == 0:
+            top[: len(r["top"])] = r["top"]
+    return top, tree
+
+
+def _first(batches: Iterator[pd.DataFrame], space: Space, forest: str, wanted: int) -> Iterator[pd.DataFrame]:
+    """The best ``wanted`` (score, id) of each question in its nearest tree."""
+    for batch in batches:
+        for number, part in batch.groupby("tree", sort=False):
+            tree, found = _tree(forest, int(number), space.width, space.kind), [[] for _ in range(len(part))]
+            for v, best in zip(part.v, found, strict=True):
+                _search(tree, space.pad(v), -np.inf, best, space, wanted)
+            yield _found(part.qid.tolist(), found)
+
+
+def _others(batches: Iterator[pd.DataFrame], space: Space, forest: str, tops: str, known: str, blocks: int, per: int, wanted: int) -> Iterator[pd.DataFrame]:
+    """Of each piece of work, the best ``wanted`` (score, id) of each question of a block in some of the trees, beside the one
+    searched already; what cannot reach the bound is left out."""
+    trees, centres, reach = _tops(tops)
+    for piece in (int(i) for batch in batches for i in batch.id):
+        asked = read_block(known, "block", piece % blocks)
+        if asked is None:
+            continue
+        own = slice(piece // blocks * per, (piece // blocks + 1) * per)
+        asked = asked.to_pydict()
+        q = space.matrix(asked["v"])
+        q2, searched = space.norms(q), np.array(asked["tree"], np.int64)
+        d = space.to_query(q.astype(np.float64) @ space.matrix(centres[own]).astype(np.float64).T, q2[:, None]) - reach[own]
+        floors = [-np.inf if x is None else x for x in asked["least"]]
+        bounds = np.array([np.inf if x == -np.inf else float(space.to_query(x, y)) for x, y in zip(floors, q2, strict=True)])
+        found: list[list] = [[] for _ in floors]
+        for j in np.argsort(d.min(0), kind="stable"):
+            open_ = np.flatnonzero((d[:, j] <= bounds + space.slack()) & (searched != trees[own][j]))
+            if len(open_):
+                tree = _tree(forest, int(trees[own][j]), space.width, space.kind)
+                for i in open_:
+                    floors[i] = _search(tree, q[i], floors[i], found[i], space, wanted)
+                    if floors[i] > -np.inf:
+                        bounds[i] = float(space.to_query(floors[i], q2[i]))
+        yield _found(asked["qid"], found)
+
+
+def _search(of: tuple[np.ndarray, dict], q: np.ndarray, floor, found: list, space: Space, wanted: int):
+    """Puts the best scores of at least ``floor`` of a tree on the heap ``found`` of at most ``wanted`` (score, -id); the new floor."""
+    top, tree = of
+    q2, slack = float(space.norms(q)), space.slack()
+    bound = np.inf if floor == -np.inf else float(space.to_query(floor, q2)) + slack
+    queue = [(0.0, 0, float(space.to_query(top @ q, q2)))]
+    while queue:
+        near, at, to_parent = heapq.heappop(queue)
+        if near > bound:
+            break
+        leaf, entries, parent, radius, below = tree[at]
+        # the triangle inequality over stored distances: no product is computed for what it excludes
+        gap = np.abs(to_parent - parent)
+        keep = np.flatnonzero((gap if leaf else gap - radius) <= bound)
+        if not len(keep):
+            continue
+        product = entries[keep] @ q
+        if not leaf:
+            d = space.to_query(product, q2)
+            low = np.maximum(d - radius[keep], 0)
+            for i in np.flatnonzero(low <= bound):
+                heapq.heappush(queue, (float(low[i]), int(below[keep[i]]), float(d[i])))
+            continue
+        for i in np.flatnonzero(product >= floor):
+            score = int(product[i])
+            for vec_id in below[keep[i]]:
+                item = (score, -int(vec_id))
+                if len(found) < wanted:
+                    heapq.heappush(found, item)
+                elif item > found[0]:
+                    heapq.heapreplace(found, item)
+                else:
+                    break
+        if len(found) == wanted and found[0][0] > floor:
+            floor = found[0][0]
+            bound = float(space.to_query(floor, q2)) + slack
+    return floor
+
+
+def _found(qids: list[int], found: list[list]) -> pd.DataFrame:
+    out = [(int(qid), n, -i, score) for qid, best in zip(qids, found, strict=True) for n, (score, i) in enumerate(sorted(best, key=lambda x: (-x[0], -x[1])), 1)]
     return pd.DataFrame(out, columns=["qid", "nth", "vec_id", "score"]).astype({"qid": "int64", "nth": "int32", "vec_id": "int64", "score": "int64"})

@@ -55,6 +55,19 @@ def test_top_k_is_exact(spark):
     assert search(spark, rows, k=5, page=8, tree_rows=64) == brute(rows, 5)
 
 
+def test_blocks_and_trees_are_read_in_bounded_pieces(spark, monkeypatch):
+    import pandas as pd
+
+    space = mtree.Space(4, 4.0, True)
+    routed = list(mtree._route(iter([pd.DataFrame({"v": [[i % 7, 1, 0, 1] for i in range(3000)]})]), space, np.ones((1000, 4))))
+    assert max(map(len, routed)) <= 1000 and sum(map(len, routed)) == 3000
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(mtree, "TREES", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=5)]) for i in range(0, 600, 2)]
+    assert search(spark, rows, k=3, page=8, tree_rows=24) == brute(rows, 3)
+
+
 def test_top_k_of_few_and_none(spark):
     assert search(spark, [(0, [1.0, 2.0]), (1, [1.0, 1.0])], k=5) == brute([(0, [1.0, 2.0]), (1, [1.0, 1.0])], 5)
     assert search(spark, [], k=5) == set()
